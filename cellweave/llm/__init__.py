@@ -10,7 +10,12 @@ from importlib import import_module
 MODULES = (
     "secret_scan",
     "chat_format",
+    "toxicity",
     "fingerprint",
+    "token_count",
+    "topk_search",
+    "packing",
+    "bpe_codec",
 )
 
 
