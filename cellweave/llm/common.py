@@ -51,16 +51,18 @@ def sha_hex(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
 
 
-def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A 64-bit key of a row: ``id_col`` where it is unique and never null, else a hash of id and text.
+def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """``df`` with the 64-bit column ``key``, and whether it is known to be unique.
 
-    Rows that repeat both share the key; every operator gives such rows equal results.
+    It is ``id_col`` where that is a unique integer and never null, else a hash of id and text. Rows that repeat both
+    share the key; every operator gives such rows equal results.
     """
     if dict(df.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
         repeated = df.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull())
         if repeated.isEmpty():
-            return F.col(id_col).cast("long")
-    return F.xxhash64(F.col(id_col).cast("string"), whole_text(text_col), F.length(whole_text(text_col)))
+            return df.withColumn("key", F.col(id_col).cast("long")), True
+    text = whole_text(text_col)
+    return df.withColumn("key", F.xxhash64(F.col(id_col).cast("string"), text, F.length(text))), False
 
 
 Query = Callable[[SparkSession, str], DataFrame]

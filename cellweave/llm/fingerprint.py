@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import row_key, sha_hex, table, whole_text
+from .common import keyed, sha_hex, table, whole_text
 
 WORDS = 5
 BIN_BITS = 7
@@ -128,16 +128,16 @@ def next_rows(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    keyed = docs.withColumn("key", row_key(docs))
-    pairs = next_rows(keyed.select("key", "doc_id", F.length("text").alias("n_chars")).distinct())
-    base = with_fingerprint(keyed.select("key", "text"), "text", "fp")
+    rows, unique = keyed(docs)
+    pairs = next_rows(rows.select("key", "doc_id", F.length("text").alias("n_chars")).distinct())
+    base = with_fingerprint(rows.select("key", "text"), "text", "fp")
     other = base.select(F.col("key").alias("next"), F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     lent = (
         pairs.join(other, "next")
         .select("key", "doc_id", "n_chars", F.substring("next_text", F.lit(1), third).alias("lent"), "next_fp")
     )
-    lent = lent.dropDuplicates(["key"]) if _repeats(keyed) else lent
+    lent = lent if unique else lent.dropDuplicates(["key"])
     edited = base.join(lent, "key").withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - third), "lent"))
     return with_fingerprint(edited.select("doc_id", "n_chars", "edited", "fp", "next_fp"), "edited", "edited_fp").select(
         "doc_id",
@@ -150,8 +150,4 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _repeats(keyed: DataFrame) -> bool:
-    return not keyed.groupBy("key").count().where("count > 1").isEmpty()
-
-
 QUERIES = {"op4_fingerprint": op4_fingerprint}
