@@ -130,16 +130,16 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows, unique = keyed(docs)
     pairs = next_rows(rows.select("key", "doc_id", F.length("text").alias("n_chars")).distinct())
-    base = with_fingerprint(rows.select("key", "text"), "text", "fp")
-    other = base.select(F.col("key").alias("next"), F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
+    base = rows.select("key", "text")  # moved once: both joins below read one exchange
+    other = base.select(F.col("key").alias("next"), F.col("text").alias("next_text"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    lent = (
-        pairs.join(other, "next")
-        .select("key", "doc_id", "n_chars", F.substring("next_text", F.lit(1), third).alias("lent"), "next_fp")
+    lent = with_fingerprint(pairs.join(other, "next"), "next_text", "next_fp").select(
+        "key", "doc_id", "n_chars", F.substring("next_text", F.lit(1), third).alias("lent"), "next_fp"
     )
     lent = lent if unique else lent.dropDuplicates(["key"])
     edited = base.join(lent, "key").withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - third), "lent"))
-    return with_fingerprint(edited.select("doc_id", "n_chars", "edited", "fp", "next_fp"), "edited", "edited_fp").select(
+    both = with_fingerprint(with_fingerprint(edited.select("doc_id", "n_chars", "text", "edited", "next_fp"), "text", "fp"), "edited", "edited_fp")
+    return both.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         sha_hex(F.col("edited")).alias("edited_sha256"),
