@@ -15,6 +15,7 @@ MODULES = (
     "token_count",
     "topk_search",
     "packing",
+    "suffix_dedup",
     "minhash_dedup",
     "bpe_codec",
 )
