@@ -272,10 +272,14 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     return packed(items, capacity)
 
 
-def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path(name)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES = {"op7_best_fit_packing": op7_best_fit_packing}

@@ -204,17 +204,16 @@ def _counted(seen: tuple[Counter, Counter], n: list[int]) -> pd.DataFrame:
     return pd.DataFrame({"w": [*words, ""], "y1": [*(seen[1][w] for w in words), n[1]], "y0": [*(seen[0][w] for w in words), n[0]]})
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row."""
-    kind = dict(docs.dtypes)[id_col]
+def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with the column ``score``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
         m = held.value
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "score": [m.score(t) for t in b["t"].tolist()]})
+        return pd.Series([m.score(t) for t in texts], dtype=float)
 
-    return docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("t")).mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.withColumn("score", score(whole_text(text_col)))
 
 
 def held_out(doc_id="doc_id"):
@@ -224,7 +223,7 @@ def held_out(doc_id="doc_id"):
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic")
-    return scored(docs, fitted(docs, labels)).select(
+    return with_score(docs, fitted(docs, labels)).select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
