@@ -1,0 +1,80 @@
+"""Train and validation splits with guards against leaks. Orders come from md5 of key and seed, alike in any engine."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .relational import ranked
+
+
+def seeded(key: str | Column, seed: int) -> Column:
+    x = F.col(key) if isinstance(key, str) else key
+    return F.md5(F.concat_ws("|", x.cast("string"), F.lit(str(seed))))
+
+
+def group_split(rows: DataFrame, group: str | Column, share: float = 0.25, seed: int = 0) -> DataFrame:
+    """``rows`` with ``split``: the first groups by seeded order are validation, at least one and never all of them;
+    their number is the share rounded half to even."""
+    tagged = rows.withColumn("_g", group if isinstance(group, Column) else F.col(group))
+    groups = tagged.select("_g").distinct().withColumn("_h", seeded("_g", seed))
+    n = groups.count()
+    n_val = max(1, min(n - 1, round(n * share))) if n > 1 else 0
+    order = ranked(groups, ["_h", "_g"], "_i")
+    named = order.select("_g", F.when(F.col("_i") < n_val, "validation").otherwise("train").alias("split"))
+    return tagged.join(named, tagged["_g"].eqNullSafe(named["_g"])).drop(named["_g"]).drop("_g")
+
+
+def six_digits(c: str) -> Column:
+    """A number with six significant digits and no trailing zeros; a missing one prints nan."""
+    v = F.col(c).cast("double")
+    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(v))))
+    cut = F.when(v == 0, F.lit(0.0)).otherwise(F.bround(v * scale, 0) / scale)
+    return F.coalesce(F.regexp_replace(cut.cast("string"), r"\.0$", ""), F.lit("nan"))
+
+
+def protocol_key(readable: str | Column, values: list[str]) -> Column:
+    """The readable name, else the numbers joined by dashes."""
+    x = F.col(readable) if isinstance(readable, str) else readable
+    return F.coalesce(F.nullif(F.trim(x), F.lit("")), F.concat_ws("-", *[six_digits(v) for v in values]))
+
+
+def canonical_split(rows: DataFrame, key: str, batch_date: str, locked: str, first: list[str], share: float = 0.488, seed: int = 0) -> DataFrame:
+    """Rows of the locked date are the secondary test; of the first dates, the share by seeded order trains; all others
+    are the primary test."""
+    pool = rows.where(F.col(batch_date).isin(*first)).select(key).distinct().withColumn("_h", seeded(key, seed))
+    n_train = round(pool.count() * share)
+    order = ranked(pool, ["_h", key], "_i").select(key, (F.col("_i") < n_train).alias("_train"))
+    named = F.when(F.col(batch_date) == locked, "secondary_test").when(F.coalesce("_train", F.lit(False)), "train").otherwise("primary_test")
+    return rows.join(order, key, "left").withColumn("split", named).drop("_train")
+
+
+def positional_split(rows: DataFrame, batch: str) -> DataFrame:
+    """The first batch by name trains, the second validates, the others test."""
+    place = F.dense_rank().over(Window.orderBy(batch))
+    names = rows.select(batch).distinct().withColumn("_p", place)
+    named = F.when(F.col("_p") == 1, "train").when(F.col("_p") == 2, "validation").otherwise("test")
+    return rows.join(names.select(batch, named.alias("split")), batch)
+
+
+def balance(rows: DataFrame, split: str, value: str, tolerance: float) -> DataFrame:
+    """Count and mean per split, and whether each mean is within the tolerance of the training mean."""
+    each = rows.groupBy(split).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    train = each.where(F.col(split) == "train").select(F.col("mean").alias("train_mean"))
+    both = each.crossJoin(F.broadcast(train))  # one row
+    return both.withColumn("delta", F.abs(F.col("mean") - F.col("train_mean"))).withColumn("balanced", F.col("delta") <= tolerance).drop("train_mean")
+
+
+def leaks(rows: DataFrame, split: str, group: str) -> DataFrame:
+    """Groups that lie in more than one split: must be none."""
+    return rows.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")
+
+
+def stratified_sample(rows: DataFrame, key: str, value: str, each: int = 5, seed: int = 0) -> DataFrame:
+    """``each`` rows by seeded order from the lower, middle and upper part of a value, cut at its 0.33 and 0.67 quantile."""
+    cuts = rows.agg(F.percentile(value, F.array(F.lit(0.33), F.lit(0.67))).alias("_q"))
+    part = F.when(F.col(value) <= F.get("_q", F.lit(0)), "low").when(F.col(value) <= F.get("_q", F.lit(1)), "mid").otherwise("high")
+    tagged = rows.crossJoin(F.broadcast(cuts)).withColumn("stratum", part).drop("_q")
+    order = Window.partitionBy("stratum").orderBy(seeded(key, seed), key)
+    return tagged.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= each).drop("_k")
