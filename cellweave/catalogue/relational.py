@@ -10,18 +10,19 @@ from ..operators import splits as T
 from ..sources import payload as L
 from .tables import daily, r, rounded, table
 
-CHECKS = {
-    "low_price": F.expr("o_totalprice < 20000"), "urgent": F.expr("o_orderpriority = '1-URGENT'"), "open": F.expr("o_orderstatus = 'O'"), "no_customer": F.expr("o_custkey IS NULL"),
-}
 RULES = [("licence", r"(?i)licen[cs]ed? under|all rights reserved"), ("mail", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+"), ("number", r"[0-9]{4,}")]
 
 
+def checks():
+    return {"low_price": F.col("o_totalprice") < 20000, "urgent": F.col("o_orderpriority") == "1-URGENT", "open": F.col("o_orderstatus") == "O", "no_customer": F.col("o_custkey").isNull()}
+
+
 def exclusion_reasons(spark, d):
-    return R.with_reasons(table(spark, d, "orders"), CHECKS).select("o_orderkey", "reasons")
+    return R.with_reasons(table(spark, d, "orders"), checks()).select("o_orderkey", "reasons")
 
 
 def exclusion_counts(spark, d):
-    return R.reason_counts(R.split_by_reasons(table(spark, d, "orders"), CHECKS)[1])
+    return R.reason_counts(R.split_by_reasons(table(spark, d, "orders"), checks())[1])
 
 
 def identity_match_join(spark, d):
