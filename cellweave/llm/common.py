@@ -36,17 +36,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(*frames: DataFrame) -> None:
-    """Delete tables made by ``written`` once nothing reads them any more."""
-    for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if name.startswith(shared_dir(spark)) or name.removeprefix("file://").startswith(shared_dir(spark).removeprefix("file://")):
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def sha_hex(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
 

@@ -1,8 +1,8 @@
 """Suffix-array dedup: removes every byte covered by a 200-byte string that also starts elsewhere.
 
 Every 200-byte window of a text picks its least 48-byte gram by hash, so equal windows pick the same gram. Neighbouring
-windows with one gram form a context. A gram that occurs once is done with; where all contexts of a gram are equal, they
-repeat whole. The other contexts are dealt by gram, each distinct one once with its number of places, and a shard's
+windows with one gram form a context. A gram that occurs once is done with; where all contexts of a gram are equal, or
+each of them has several places, they repeat whole. The other contexts are dealt by gram, each distinct one once with its number of places, and a shard's
 contexts, apart by separators, are sorted by induced sorting: suffixes are classified, the leftmost-smaller substrings
 are sorted and named, the string of names recursively, and the suffix array is induced from them in linear time. Permuted
 common prefixes of 200 bytes or more, irreducible ones compared and the others derived, mark the windows that repeat. The
@@ -379,8 +379,10 @@ def marks(rows: DataFrame) -> DataFrame:
     shared = written(places(rows).join(grams.select("gram", F.expr("c1 <> c2").alias("several")), "gram"), "places")
     several = shared.where("several")
     kinds = several.groupBy("gram", "ctx").agg(F.min(F.struct("key", "at", "size")).alias("of"), F.count("*").alias("n"))
-    many = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
-    wanted = kinds.join(many, "gram").groupBy(F.col("of.key").alias("key")).agg(F.collect_list(F.struct("gram", "ctx", "n", "of.at", "of.size", (F.col("kinds") > HOT).alias("hot"))).alias("wants"))
+    many = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+    counted = kinds.join(many, "gram")
+    sure = counted.where("least > 1").select("gram", "ctx", F.array(F.lit(0)).alias("s"), F.array("of.size").alias("e"))
+    wanted = counted.where("least = 1").groupBy(F.col("of.key").alias("key")).agg(F.collect_list(F.struct("gram", "ctx", "n", "of.at", "of.size", (F.col("kinds") > HOT).alias("hot"))).alias("wants"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -390,7 +392,7 @@ def marks(rows: DataFrame) -> DataFrame:
 
     bodies = rows.join(wanted, "key").select("text", "wants").mapInPandas(cut, "gram bigint, ctx bigint, n bigint, hot boolean, body binary")
     bodies = written(bodies, "bodies")
-    found = sorted_marks(bodies.where("NOT hot"))
+    found = sorted_marks(bodies.where("NOT hot")).unionByName(sure)
     if not bodies.where("hot").isEmpty():
         found = found.unionByName(counted_marks(bodies.where("hot")))
     spans = several.join(found, ["gram", "ctx"]).select("key", "at", F.explode(F.arrays_zip("s", "e")).alias("x"))
