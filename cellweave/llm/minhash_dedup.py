@@ -27,8 +27,8 @@ WORDS, SHARE = 4, (80, 100)
 MINIMA, ROWS, BANDS = 256, 4, 32
 #: The share of equal minima below which a pair is not compared on full sets: 0.8 less five standard deviations.
 LEAST_ESTIMATE = 0.675
-#: Members of a bucket that are compared at once.
-BLOCK = 2000
+#: Members of a bucket up to which its pairs are moved one by one; members of a larger one that are compared at once.
+SMALL, BLOCK = 24, 2000
 
 _rng = np.random.default_rng(20_240_601)
 _A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -199,17 +199,29 @@ def components(edges: DataFrame, what: str = "stars", most: int = 60) -> DataFra
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def across(members: DataFrame, sigs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b) pairs of (bucket, key, comp) members that share a bucket, lie in different components and agree by size
-    and signature. A bucket is cut into blocks; each pair of blocks is one unit of work."""
-    mixed_up = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("bucket", "m")
-    rest = members.join(mixed_up, "bucket").join(sigs, "key")
-    n = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("key"), n).cast("int")
-    dealt = (
-        rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-        .select("bucket", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "key", "comp", "n", "sig")
-    )
+def mixed_buckets(members: DataFrame) -> DataFrame:
+    """The (bucket, key, comp) members of buckets that hold several components, and the bucket's size ``m``."""
+    mixed = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    return members.join(mixed.select("bucket", "m"), "bucket")
+
+
+def _grouped(batches: Iterator[pd.DataFrame], names: list[str], solve) -> Iterator[pd.DataFrame]:
+    """``solve`` of each run of rows with equal names, which may span batches."""
+    held = None
+    for b in batches:
+        b = b if held is None else pd.concat([held, b])
+        name = b[names].to_numpy()
+        edge = np.concatenate(([0], np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1))
+        held = b.iloc[edge[-1] :]
+        for i, j in zip(edge[:-1], edge[1:]):
+            if j - i > 1:
+                yield solve(b.iloc[i:j])
+    if held is not None and len(held) > 1:
+        yield solve(held)
+
+
+def near_in_small(rest: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b) pairs of members of one bucket, in different components, that agree by size and signature."""
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("n", kind="stable")
@@ -217,30 +229,58 @@ def across(members: DataFrame, sigs: DataFrame, block: int = BLOCK) -> DataFrame
         sig = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(-1, MINIMA)
         out = []
         for i in range(len(f) - 1):
-            upto = np.searchsorted(size, size[i] * SHARE[1] / SHARE[0], side="right")
-            j = np.arange(i + 1, upto)
+            j = np.arange(i + 1, np.searchsorted(size, size[i] * SHARE[1] / SHARE[0], side="right"))
             j = j[comp[j] != comp[i]]
             if len(j):
-                j = j[estimate(sig[j], sig[i]) >= LEAST_ESTIMATE]
-                out += [(key[i], key[x]) for x in j]
+                out += [(key[i], key[x]) for x in j[estimate(sig[j], sig[i]) >= LEAST_ESTIMATE]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            b = b if held is None else pd.concat([held, b])
-            name = b[["bucket", "b1", "b2"]]
-            cut = np.flatnonzero((name.to_numpy()[1:] != name.to_numpy()[:-1]).any(axis=1)) + 1
-            edge = np.concatenate(([0], cut))
-            held = b.iloc[edge[-1] :]
-            for i, j in zip(edge[:-1], edge[1:]):
-                if j - i > 1:
-                    yield compare(b.iloc[i:j])
-        if held is not None and len(held) > 1:
-            yield compare(held)
+    ordered = rest.join(sigs.select("key", "n", "sig"), "key").select("bucket", "key", "comp", "n", "sig").repartition("bucket").sortWithinPartitions("bucket")
+    return ordered.mapInPandas(lambda b: _grouped(b, ["bucket"], compare), "a bigint, b bigint").distinct()
+
+
+def linked_in_large(rest: DataFrame, sigs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE, block: int = BLOCK) -> DataFrame:
+    """(a, b) links, by signatures and then full sets, that join the components of large buckets.
+
+    A bucket is cut into blocks, and each pair of blocks is a unit of work that holds its members' sets. A pair is looked
+    at in the first bucket it shares only, and only while it lies in different components, links found so far included;
+    so a unit gives fewer links than it has members.
+    """
+    n = F.ceil(F.col("m") / block).cast("int")
+    dealt = rest.withColumn("own", F.pmod(F.xxhash64("key"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "key", "comp")
+    ordered = dealt.join(sigs, "key").join(sets, "key").select("bucket", "b1", "b2", "own", "key", "comp", "n", "sig", "bands", "items").repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("n", kind="stable")
+        key, root, size, own = (f[c].to_numpy().copy() for c in ("key", "comp", "n", "own"))
+        sig = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(-1, MINIMA)
+        band = np.stack(f["bands"].to_list())
+        k = int((band[0] == f["bucket"].iloc[0]).argmax())
+        apart = f["b1"].iloc[0] != f["b2"].iloc[0]
+        items, flat = np.unique(np.concatenate(f["items"].to_list()), return_inverse=True)
+        stop = np.cumsum(size)
+        start, mark, out = stop - size, np.zeros(len(items), bool), []
+        for i in range(len(f) - 1):
+            j = np.arange(i + 1, np.searchsorted(size, size[i] * share[1] / share[0], side="right"))
+            j = j[root[j] != root[i]]
+            if apart:
+                j = j[own[j] != own[i]]
+            if k and len(j):
+                j = j[~(band[j, :k] == band[i, :k]).any(axis=1)]
+            if len(j):
+                j = j[estimate(sig[j], sig[i]) >= LEAST_ESTIMATE]
+            mark[mine := flat[start[i] : stop[i]]] = True
+            for x in j.tolist():
+                if root[x] != root[i]:
+                    both = int(mark[flat[start[x] : stop[x]]].sum())
+                    if both * share[1] >= (size[i] + size[x] - both) * share[0]:
+                        out.append((key[i], key[x]))
+                        root[root == root[x]] = root[i]
+            mark[mine] = False
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    ordered = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
-    return ordered.mapInPandas(run, "a bigint, b bigint").distinct()
+    return ordered.mapInPandas(lambda b: _grouped(b, ["bucket", "b1", "b2"], compare), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -263,7 +303,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SH
     links = written(linked(near_signatures(spokes, sigs), sets, share), "links")
     roots = components(links)
     placed = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("comp"))
-    more = written(linked(across(placed, sigs), sets, share), "links")
+    rest = written(mixed_buckets(placed), "rest")
+    small, large = rest.where(F.col("m") <= SMALL), rest.where(F.col("m") > SMALL)
+    more = written(linked(near_in_small(small, sigs), sets, share).unionByName(linked_in_large(large, reps, sets, share)), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     rooted = classed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "doc_id", "n", F.coalesce("root", "rep").alias("comp"))
