@@ -4,7 +4,8 @@ Documents become token pieces of at most ``capacity``. The pieces are dealt by h
 shard is packed by several islands. An island breeds packings: a child takes whole well-filled bins of one parent, drops
 the other parent's bins that hold any of their pieces, and puts the displaced pieces back by best fit, longest first.
 After each epoch the islands of a shard pass their best packing on to the next island. What a shard leaves in bins that
-are not nearly full is dealt anew, level by level, until one shard is left, so sharding costs next to nothing.
+are not nearly full is dealt anew, level by level, until one shard is left, so sharding costs next to nothing. Where a
+level leaves most of its pieces so, as pieces of over half a sequence do, dealing anew gains nothing: its bins stay.
 
 Edge cases: a null text is empty and is the end token alone; pieces as long as a sequence stand alone; repeated rows are
 pieces of their own; ties go by the pieces' order; an empty table gives an empty result; very long texts are cut into
@@ -31,6 +32,11 @@ SHARD = 6000
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 5, 6
 #: Bins filled less than this are dealt anew on the next level.
 WELL = 0.995
+#: A level that leaves more than this share of its pieces in such bins is the last one. Each level before it shrinks the
+#: pieces by that share, so all levels together take 1 / (1 - MOST_LEFT) times the first one's work and disk at most.
+MOST_LEFT = 0.75
+#: Bits of a sequence's number that say which bin of its shard it is; the bins of a shard are an int.
+BIN_BITS = 31
 
 PIECE = "struct<length:int,doc_id:bigint,piece:int,start:bigint,ids_crc32:bigint>"
 
@@ -180,9 +186,8 @@ def evolved(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed
     return [p for _, _, p in ranked]
 
 
-def packed_shards(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, level: int = 0) -> tuple[DataFrame, int]:
-    """(shard, bin, fill, item) rows of one level, written to the shared folder, and its number of shards."""
-    n = items.count()
+def packed_shards(items: DataFrame, n: int, capacity: int = CAPACITY, shard_size: int = SHARD, level: int = 0) -> tuple[DataFrame, int]:
+    """(shard, bin, fill, item) rows of one level's ``n`` pieces, written to the shared folder, and its number of shards."""
     shards = max(1, -(-n // shard_size))
     key = F.pmod(F.xxhash64("item.doc_id", "item.piece", "item.ids_crc32", F.lit(level)), F.lit(shards))
     dealt = items.select(key.alias("shard"), "item").groupBy("shard").agg(F.sort_array(F.collect_list("item")).alias("items"))
@@ -233,22 +238,23 @@ def packed(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD)
     from pyspark.sql.window import Window
 
     left = items.select(F.struct("length", "doc_id", "piece", "start", "ids_crc32").cast(PIECE).alias("item"))
-    levels, level = [], 0
+    every, level, n, before = None, 0, left.count(), 0
     while True:
-        rows, shards = packed_shards(left, capacity, shard_size, level)
-        levels.append(rows if shards == 1 else rows.where(F.col("fill") >= WELL * capacity))
-        levels[-1] = levels[-1].withColumn("level", F.lit(level))
-        if shards == 1:
+        rows, shards = packed_shards(left, n, capacity, shard_size, level)
+        number = F.shiftleft(F.col("shard") + F.lit(before).cast("long"), BIN_BITS) + F.col("bin")
+        rows = rows.withColumn("sequence_id", number)
+        thin = rows.where(F.col("fill") < WELL * capacity)
+        n, n_before = (thin.count(), n) if shards > 1 else (0, n)
+        last = shards == 1 or n > MOST_LEFT * n_before
+        settled = rows if last else rows.where(F.col("fill") >= WELL * capacity)
+        every = settled if every is None else every.unionByName(settled)
+        if last or not n:
             break
-        left, level = rows.where(F.col("fill") < WELL * capacity).select("item"), level + 1
-    every = levels[0]
-    for more in levels[1:]:
-        every = every.unionByName(more)
-    place = Window.partitionBy("level", "shard", "bin").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
-    number = F.shiftleft(F.col("level").cast("long"), 58) + F.shiftleft(F.col("shard").cast("long"), 20) + F.col("bin")
+        left, level, before = thin.select("item"), level + 1, before + shards
+    place = Window.partitionBy("sequence_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
     return every.select(
         "item.doc_id", "item.piece", "item.start", F.col("item.length").cast("long").alias("length"), "item.ids_crc32",
-        number.alias("sequence_id"), F.coalesce(F.sum("item.length").over(place), F.lit(0)).cast("long").alias("offset"),
+        "sequence_id", F.coalesce(F.sum("item.length").over(place), F.lit(0)).cast("long").alias("offset"),
     )
 
 
