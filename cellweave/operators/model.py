@@ -116,19 +116,63 @@ def ridge(rows: DataFrame, features: list[str], label: str, alpha: float = 3.0):
     return LinearRegression(regParam=alpha * (s.s or 0.0) / max(1, s.n), elasticNetParam=0.0, standardization=False, solver="normal").fit(scaled), scaled
 
 
+def by_folds(l1_ratio: float | list[float], n_alphas: int = 100, eps: float = 1e-3, cv: int = 3):
+    """An estimator of a lasso (``l1_ratio`` 1) or elastic net on standardised features, whose penalty has the least mean
+    squared error over ``cv`` folds: of ``n_alphas`` from the least one without any coefficient down to its ``eps``-fold.
+
+    A row's fold follows from its values, so it does not depend on how rows are dealt out.
+    """
+    from pyspark.ml import Estimator, PipelineModel
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    class ByFolds(Estimator):
+        def _fit(self, rows: DataFrame) -> PipelineModel:
+            scaler = StandardScaler(inputCol="features", outputCol="scaled_features", withMean=True).fit(rows)
+            values = vector_to_array("features")
+            ready = scaler.transform(rows).withColumn("fold", F.pmod(F.xxhash64(values, "label"), F.lit(cv)).cast("int")).persist()
+            try:
+                scaled = vector_to_array("scaled_features")
+                width = len(scaler.mean)
+                s = ready.agg(F.stddev_pop("label").alias("s"), *[F.covar_pop(scaled[j], F.col("label")).alias(f"c{j}") for j in range(width)]).first()
+                top = max(abs(s[f"c{j}"] or 0.0) for j in range(width))
+                model = LinearRegression(featuresCol="scaled_features", standardization=False, solver="normal")
+                grid = []
+                for ratio in [l1_ratio] if isinstance(l1_ratio, (int, float)) else l1_ratio:
+                    for alpha in np.geomspace(top / ratio, top / ratio * eps, n_alphas) if top > 0 else [0.0]:
+                        # the library divides the squared part by the label's deviation
+                        penalty = float(alpha * (ratio + (1 - ratio) * (s.s or 0.0)))
+                        grid += ParamGridBuilder().baseOn({model.regParam: penalty, model.elasticNetParam: float(alpha * ratio / penalty) if penalty else 0.0}).build()
+                error = RegressionEvaluator(metricName="mse")
+                best = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=error, numFolds=cv, foldCol="fold", parallelism=4).fit(ready).bestModel
+            finally:
+                ready.unpersist()
+            return PipelineModel([scaler, best])
+
+    return ByFolds()
+
+
 def regressor(family: str, **settings):
-    """An estimator by family name; unknown names are ridge."""
+    """An estimator by family name, with the reference's sizes; unknown names are ridge.
+
+    The forest's trees grow to the library's largest depth, 30. Lasso and elastic net choose their penalty by
+    cross-validation, unless ``regParam`` gives it.
+    """
     from pyspark.ml import regression as R
 
     name = family.lower().replace("_", "").replace(" ", "")
     if name in ("randomforest", "randomforestregressor", "forest", "rf"):
-        return R.RandomForestRegressor(**{"numTrees": 40, "seed": 19, "minInstancesPerNode": 2} | settings)
+        return R.RandomForestRegressor(**{"numTrees": 160, "maxDepth": 30, "featureSubsetStrategy": "all", "seed": 19, "minInstancesPerNode": 2} | settings)
     if name in ("gradientboosting", "gradientboostingregressor", "gbr", "gbt"):
-        return R.GBTRegressor(**{"maxIter": 20, "stepSize": 0.05, "maxDepth": 2, "seed": 23} | settings)
-    if name in ("lasso", "lassocv"):
-        return R.LinearRegression(**{"regParam": 0.1, "elasticNetParam": 1.0} | settings)
-    if name in ("elasticnet", "elasticnetcv"):
-        return R.LinearRegression(**{"regParam": 0.1, "elasticNetParam": 0.5} | settings)
+        return R.GBTRegressor(**{"maxIter": 120, "stepSize": 0.05, "maxDepth": 2, "seed": 23} | settings)
+    if name in ("lasso", "lassocv", "elasticnet", "elasticnetcv"):
+        ratio = 1.0 if name.startswith("lasso") else 0.5
+        if "regParam" in settings:
+            return R.LinearRegression(**{"elasticNetParam": ratio} | settings)
+        return by_folds(**{"l1_ratio": ratio} | settings)
     return R.LinearRegression(**{"regParam": 0.1, "elasticNetParam": 0.0} | settings)
 
 
