@@ -4,20 +4,22 @@ Queries are taken in blocks of bounded size; each block is broadcast and meets e
 that like ones lie together, cuts them into ranges, and keeps per range and component the largest and smallest value. A
 query's bound for a range is the sum, over its components, of the largest product they allow. A query visits the ranges
 by falling bound, scores them through their forward index, and stops when the bound is below its k-th score so far.
-Every task gives its best rows for each query; equal scores go to the smaller id, so the result is exact.
+Every task gives its best rows for each query; equal scores go to the smaller id, so the result is exact. Rows and queries
+with components too large for exact sums in double precision are scored in whole numbers of any size instead.
 
 Edge cases: vectors that are null, or hold a null or non-finite component, take no part, nor do rows without an id; a
 shorter vector counts as filled up with zeros; rows that repeat an id are candidates each, but not of the same id's query,
-which is asked once for its least vector; an empty table gives an empty result; other columns are ignored.
+which is asked once for its least vector; a score among the best that is no bigint raises; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,25 +76,38 @@ def block_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray,
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, q): floor(256 * component) of every vector that takes part."""
+    """(id, q): floor(256 * component) of every vector that takes part, as whole doubles, which none is too large for."""
     x = F.col(vec_col)
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & whole).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * 256).cast("long")).alias("q")
+        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: whole_number(v.cast("double") * 256)).alias("q")
     )
 
 
+def whole_number(v: Column) -> Column:
+    return F.when(F.abs(v) < EXACT, F.floor(v).cast("double")).otherwise(v)
+
+
 def matrix(rows, width: int, exact: bool) -> np.ndarray:
     out = np.zeros((len(rows), width), np.float64 if exact else object)
     for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+        out[i, : len(r)] = r if exact else [int(v) for v in r]
     return out
 
 
+def whole_topk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int | None]]:
+    """(query, row, score) of each query's k best rows, in Python's whole numbers; a score below all bigints is null."""
+    for one, name in zip(q, q_ids.tolist()):
+        for s, i in heapq.nsmallest(k, ((-s, i) for s, i in zip(x @ one, ids.tolist()) if i != name)):
+            if -s >= 2**63:
+                raise ValueError(f"the score of query {name} and row {i} is no bigint")
+            yield name, i, None if -s < -(2**63) else -s
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` against ``rows``, both (id, q)."""
     spark = rows.sparkSession
-    stats = rows.agg(F.max(F.size("q")).alias("w"), F.max(F.array_max(F.transform("q", lambda v: F.abs(v)))).alias("m"), F.count("*").alias("n")).first()
+    stats = rows.agg(F.max(F.size("q")).alias("w"), F.count("*").alias("n")).first()
     schema = "query_id bigint, vec_id bigint, score bigint"
     width = stats.w or 0
     n = queries.select("id").distinct().count() if stats.n else 0
@@ -100,21 +115,39 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     blocks = -(-n // each)
     if not blocks:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    if float(stats.m or 0) ** 2 * max(1, width) >= EXACT:
-        raise ValueError("components too large for exact sums in double precision")
+    limit = float(int((EXACT / max(1, width)) ** 0.5) - 1)  # up to this, sums of products stay below EXACT
+    large = lambda m: np.array([max(map(abs, r), default=0) > limit for r in m], bool)
 
     found = None
     asked = queries.groupBy("id").agg(F.min("q").alias("q"))
     for b in range(blocks):  # a pass over the rows for each bounded block of queries
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
         q_ids = np.array([r.id for r in block], np.int64)
-        held = spark.sparkContext.broadcast((q_ids, matrix([r.q for r in block], width, True)))
+        big = large([r.q for r in block])
+        wide = [r.q for r, x in zip(block, big) if x]
+        held = spark.sparkContext.broadcast((q_ids, matrix([r.q for r in block], width, True), big, matrix(wide, width, False)))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, mat = held.value
+            ids, mat, big, wide = held.value
 
             def give(frames: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 f = pd.concat(frames)
+                over = large(f["q"])
+                if over.any():  # these rows meet all queries in whole numbers
+                    every = matrix(mat.tolist(), width, False)
+                    yield whole(every, ids, f[over])
+                f = f[~over]
+                if big.any() and len(f):
+                    yield whole(wide, ids[big], f)
+                if len(f) and not big.all():
+                    yield from close(mat[~big], ids[~big], f)
+
+            def whole(q: np.ndarray, ids: np.ndarray, f: pd.DataFrame) -> pd.DataFrame:
+                x = matrix(f["q"].tolist(), width, False)
+                out = pd.DataFrame(list(whole_topk(q, ids, x, f["id"].to_numpy(np.int64), k)), columns=["query_id", "vec_id", "score"], dtype=object)
+                return out.astype({"query_id": "int64", "vec_id": "int64", "score": "Int64"})
+
+            def close(mat: np.ndarray, ids: np.ndarray, f: pd.DataFrame) -> Iterator[pd.DataFrame]:
                 score, best, _ = block_topk(mat, ids, matrix(f["q"].tolist(), width, True), f["id"].to_numpy(np.int64), k)
                 at, rank = np.nonzero(best >= -(2**63))
                 at, rank = at[np.isfinite(score[at, rank])], rank[np.isfinite(score[at, rank])]
@@ -133,7 +166,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         part = rows.mapInPandas(run, schema)
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.coalesce("score", F.raise_error(F.lit("a score among the best is no bigint")).cast("long")).alias("score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
