@@ -173,7 +173,7 @@ def linked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) ->
     return both.where(F.col("both") * share[1] >= (F.size("xa") + F.size("xb") - F.col("both")) * share[0]).select("a", "b")
 
 
-def components(edges: DataFrame, what: str = "stars", most: int = 60) -> DataFrame:
+def components(edges: DataFrame, what: str = "stars") -> DataFrame:
     """(node, root) of the nodes of (a, b) edges: root is the least node reachable.
 
     Large-star hangs every larger neighbour of a node on its least neighbour, small-star every smaller one; both keep
@@ -182,9 +182,7 @@ def components(edges: DataFrame, what: str = "stars", most: int = 60) -> DataFra
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
     sums = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = sums(e)
-    for _ in range(most):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
