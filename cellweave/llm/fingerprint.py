@@ -6,8 +6,9 @@ An empty bin copies the bin that its own random probes hit first (optimal densif
 every bin are stored. The likeness of two fingerprints is the share of equal bins, corrected for chance agreement.
 
 Edge cases: a null text is empty; a text without words has the fingerprint '', like another of the kind (1.0) and unlike
-any other (0.0); in ``op4``, documents that share an id go by a hash of id and text, and rows that repeat both count once
-as neighbours; a single document is its own next; an empty table gives an empty result; other columns are ignored.
+any other (0.0); very long texts are fingerprinted whole; in ``op4``, documents that share an id go by a 128-bit hash of id
+and text, documents without one come last by the same hash, and rows that repeat both count once as neighbours; a single
+document is its own next; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keyed, sha_hex, table, whole_text
+from .common import sha_hex, table, unique_integer, whole_text, written
 
 WORDS = 5
 BIN_BITS = 7
 BITS = 8
 PROBES = 8
-BUCKETS = 64
+#: Documents that a range of the order by id holds on average, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 20_000, 4096
 
 
 def words(text: Column) -> Column:
@@ -107,29 +109,30 @@ def likeness(a: Column, b: Column, keep: int = BITS) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), guess)))
 
 
-def next_rows(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(key, doc_id, n_chars, next) of distinct ``rows`` (key, doc_id, n_chars): the next key by descending doc_id and
-    key, the first after the last.
+def next_rows(rows: DataFrame, n: int) -> DataFrame:
+    """(key, doc_id, n_chars, next) of about ``n`` distinct ``rows`` (key, doc_id, n_chars): the next key by descending
+    doc_id and key, the first after the last.
 
-    The rows are ranged into buckets by quantiles, followed up within each, and one row a bucket links the buckets.
+    The rows are cut into ranges of that order, written so that the ranges stay, followed up within each, and one row a
+    range links the ranges. An id that many rows share is cut like any other.
     """
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first().q or []
-    cuts = sorted({c for c in cuts if c is not None})
-    edges = _literal(cuts, "bigint") if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))))
     order = [F.col("doc_id").desc_nulls_last(), F.col("key").desc()]
-    ranged = rows.withColumn("bucket", bucket)
+    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
+    ranged = written(rows.repartitionByRange(ranges, *order).withColumn("bucket", F.spark_partition_id()), "ranges")
     within = ranged.withColumn("next", F.lead("key").over(Window.partitionBy("bucket").orderBy(*order)))
-    heads = ranged.groupBy("bucket").agg(F.max(F.struct("doc_id", "key"))["key"].alias("head"))
-    around = Window.orderBy(F.col("bucket").desc())  # at most buckets + 1 rows
+    one = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "key")
+    heads = ranged.groupBy("bucket").agg(F.max(one)["key"].alias("head"))
+    around = Window.orderBy("bucket")  # a row a range
     links = heads.select("bucket", F.lead("head").over(around).alias("after"), F.first("head").over(around).alias("first"))
     return within.join(F.broadcast(links), "bucket").select("key", "doc_id", "n_chars", F.coalesce("next", "after", "first").alias("next"))
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows, unique = keyed(docs)
-    pairs = next_rows(rows.select("key", "doc_id", F.length("text").alias("n_chars")).distinct())
+    unique = unique_integer(docs)
+    rows = docs.withColumn("key", F.col("doc_id") if unique else F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")))
+    slim = rows.select("key", "doc_id", F.length("text").alias("n_chars"))
+    pairs = next_rows(slim if unique else slim.distinct(), docs.count())
     base = rows.select("key", "text")  # moved once: both joins below read one exchange
     other = base.select(F.col("key").alias("next"), F.col("text").alias("next_text"))
     third = F.floor(F.col("n_chars") / 3).cast("int")

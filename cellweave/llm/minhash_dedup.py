@@ -5,11 +5,13 @@ has 256 minima, of which 32 bands of four are its buckets: a pair with likeness
 First every member of a bucket is compared with the bucket's least member only; signatures are compared before the full
 sets are. The links' components are found by alternating large-star and small-star. Then only buckets that still hold
 several components are compared further, pairs within one component never, in blocks of bounded size; so a large group of
-copies costs one comparison a member, and no link between components is lost.
+copies costs one comparison a member, and no link between components is lost. Groups of equal sets and buckets are dealt
+in parts, so none of them lands in one task.
 
 Edge cases: a null or empty text has an empty set and is linked with nothing; with fewer words than a shingle has, the
-whole sequence is the one shingle; rows that repeat an id and text are linked; rows without an id take part, a component
-is named by its least id that is not null; an empty table gives an empty result; other columns are ignored.
+whole sequence is the one shingle; very long texts are hashed whole, their shingles a few hundred at a time; rows that
+repeat an id and text are linked unless empty; rows without an id take part, a component is named by its least id that is
+not null, and null where all are; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, table, whole_text, written
+from .common import dealt, forget, keyed, parts_for, table, whole_text, with_totals, written
 
 WORDS, SHARE = 4, (80, 100)
 MINIMA, ROWS, BANDS = 256, 4, 32
 #: The share of equal minima below which a pair is not compared on full sets: 0.8 less five standard deviations.
 LEAST_ESTIMATE = 0.675
-#: Members of a bucket up to which its pairs are moved one by one; members of a larger one that are compared at once.
-SMALL, BLOCK = 24, 2000
+#: Members of a bucket up to which its pairs are moved one by one; members and shingles of a larger one's blocks.
+SMALL, BLOCK, BLOCK_ITEMS = 24, 2000, 2_000_000
+#: Rows that a comparing task gets on average, and the most tasks.
+TASK_ROWS, MOST_TASKS = 10_000, 50_000
 
 _rng = np.random.default_rng(20_240_601)
 _A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,33 +193,49 @@ def components(edges: DataFrame, what: str = "stars") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a")
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e = written(small, what)
+        e, old = written(small, what), e
         after = sums(e)
+        forget(old)
         if after == before:
             break
         before = after
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def mixed_buckets(members: DataFrame) -> DataFrame:
-    """The (bucket, key, comp) members of buckets that hold several components, and the bucket's size ``m``."""
-    mixed = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-    return members.join(mixed.select("bucket", "m"), "bucket")
+def mixed_buckets(members: DataFrame, parts: int) -> DataFrame:
+    """The (bucket, key, comp) members of buckets that hold several components, with the bucket's size ``m`` and shingles
+    ``w``."""
+    lo, hi, m, w = F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("w")
+    total = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m"), F.sum("w").alias("w")]
+    whole = with_totals(dealt(members, ["bucket"], "key", parts), ["bucket"], [lo, hi, m, w], total, F.col("lo") < F.col("hi"))
+    return whole.select("bucket", "key", "comp", "m", "w")
+
+
+def tasks_for(rows: DataFrame) -> int:
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(least, 200), min(MOST_TASKS, rows.count() // TASK_ROWS))
 
 
 def _grouped(batches: Iterator[pd.DataFrame], names: list[str], solve) -> Iterator[pd.DataFrame]:
     """``solve`` of each run of rows with equal names, which may span batches."""
-    held = None
+    held: list[pd.DataFrame] = []
+
+    def done() -> Iterator[pd.DataFrame]:
+        if sum(map(len, held)) > 1:
+            yield solve(pd.concat(held))
+        held.clear()
+
     for b in batches:
-        b = b if held is None else pd.concat([held, b])
         name = b[names].to_numpy()
-        edge = np.concatenate(([0], np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1))
-        held = b.iloc[edge[-1] :]
+        edge = np.concatenate(([0], np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1, [len(b)]))
+        if held and len(b) and (held[-1][names].iloc[-1].to_numpy() != name[0]).any():
+            yield from done()
         for i, j in zip(edge[:-1], edge[1:]):
-            if j - i > 1:
-                yield solve(b.iloc[i:j])
-    if held is not None and len(held) > 1:
-        yield solve(held)
+            if i:
+                yield from done()
+            if j > i:
+                held.append(b.iloc[i:j])
+    yield from done()
 
 
 def near_in_small(rest: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -233,21 +253,23 @@ def near_in_small(rest: DataFrame, sigs: DataFrame) -> DataFrame:
                 out += [(key[i], key[x]) for x in j[estimate(sig[j], sig[i]) >= LEAST_ESTIMATE]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    ordered = rest.join(sigs.select("key", "n", "sig"), "key").select("bucket", "key", "comp", "n", "sig").repartition("bucket").sortWithinPartitions("bucket")
+    near = rest.join(sigs.select("key", "n", "sig"), "key").select("bucket", "key", "comp", "n", "sig")
+    ordered = near.repartition(tasks_for(rest), "bucket").sortWithinPartitions("bucket")
     return ordered.mapInPandas(lambda b: _grouped(b, ["bucket"], compare), "a bigint, b bigint").distinct()
 
 
 def linked_in_large(rest: DataFrame, sigs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE, block: int = BLOCK) -> DataFrame:
     """(a, b) links, by signatures and then full sets, that join the components of large buckets.
 
-    A bucket is cut into blocks, and each pair of blocks is a unit of work that holds its members' sets. A pair is looked
-    at in the first bucket it shares only, and only while it lies in different components, links found so far included;
-    so a unit gives fewer links than it has members.
+    A bucket is cut into blocks of about ``block`` members and ``BLOCK_ITEMS`` shingles, and each pair of blocks is a unit
+    of work that holds its members' sets. A pair is looked at in the first bucket it shares only, and only while it lies in
+    different components, links found so far included; so a unit gives fewer links than it has members.
     """
-    n = F.ceil(F.col("m") / block).cast("int")
-    dealt = rest.withColumn("own", F.pmod(F.xxhash64("key"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "key", "comp")
-    ordered = dealt.join(sigs, "key").join(sets, "key").select("bucket", "b1", "b2", "own", "key", "comp", "n", "sig", "bands", "items").repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
+    n = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("w") / BLOCK_ITEMS)).cast("int")
+    units = rest.withColumn("own", F.pmod(F.xxhash64("key"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    units = units.select("bucket", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "key", "comp")
+    held = units.join(sigs, "key").join(sets, "key").select("bucket", "b1", "b2", "own", "key", "comp", "n", "sig", "bands", "items")
+    ordered = held.repartition(tasks_for(units), "bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("n", kind="stable")
@@ -281,41 +303,55 @@ def linked_in_large(rest: DataFrame, sigs: DataFrame, sets: DataFrame, share: tu
     return ordered.mapInPandas(lambda b: _grouped(b, ["bucket", "b1", "b2"], compare), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """(key, doc_id, n_shingles, component_id) of the rows of (doc_id, text)."""
-    rows, unique = keyed(docs.select("doc_id", "text"))
+def linked_keys(rows: DataFrame, k: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
+    """(key, doc_id, n, comp) of the rows of (key, doc_id, text), ``key`` unique: the least key reachable."""
     known = written(signed(rows, k), "signed")
-    first = known.where("n > 0").groupBy("same").agg(F.min("key").alias("rep"))
-    classed = known.select("key", "doc_id", "n", "same").join(first, "same", "left").select("key", "doc_id", "n", F.coalesce("rep", "key").alias("rep"))
-    reps = known.where("n > 0").join(first.select(F.col("rep").alias("key")), "key").select("key", "n", "bands", "sig")
-    reps = reps if unique else reps.dropDuplicates(["key"])
+    parts = parts_for(known.count())
+    slim = dealt(known.where("n > 0").select("key", "same"), ["same"], "key", parts)
+    first, count = F.min("key").alias("rep"), F.count("*").alias("c")
+    copies = with_totals(slim, ["same"], [first, count], [F.min("rep").alias("rep"), F.sum("c").alias("c")], F.col("c") > 1)
+    copies = written(copies.where("key <> rep").select("key", "rep"), "copies")
+    reps = known.where("n > 0").join(copies, "key", "left_anti").select("key", F.col("n").cast("int").alias("n"), "bands", "sig")
     sigs = reps.select("key", "n", "sig")
 
-    exploded = reps.select("key", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
-    members = written(exploded.join(shared, "bucket"), "members")
-    wanted = members.select("key").distinct()
-    sets = written(shingle_sets(rows.join(wanted, "key") if unique else rows.join(wanted, "key").dropDuplicates(["key"]), k), "sets")
+    exploded = dealt(reps.select("key", "n", F.explode("bands").alias("bucket")), ["bucket"], "key", parts)
+    hub, m = F.min("key").alias("hub"), F.count("*").alias("m")
+    shared = with_totals(exploded, ["bucket"], [hub, m], [F.min("hub").alias("hub"), F.sum("m").alias("m")], F.col("m") > 1)
+    members = written(shared.select("bucket", "key", "n", "hub"), "members")
+    sets = written(shingle_sets(rows.join(members.select("key").distinct(), "key"), k), "sets")
 
     spokes = members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     links = written(linked(near_signatures(spokes, sigs), sets, share), "links")
     roots = components(links)
-    placed = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("comp"))
-    rest = written(mixed_buckets(placed), "rest")
+    placed = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("comp"))
+    rest = written(mixed_buckets(placed, parts), "rest")
     small, large = rest.where(F.col("m") <= SMALL), rest.where(F.col("m") > SMALL)
     more = written(linked(near_in_small(small, sigs), sets, share).unionByName(linked_in_large(large, reps, sets, share)), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    rooted = classed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "doc_id", "n", F.coalesce("root", "rep").alias("comp"))
-    if unique:  # the key is the id, so the least key is the least id
-        return rooted.select("key", "doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
-    rooted = written(rooted, "rooted")
-    names = rooted.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(names, "comp").select("key", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    of = copies.select("key", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("comp"))
+    of = of.unionByName(roots.select(F.col("node").alias("key"), F.col("root").alias("comp")))
+    made = written(known.select("key", "doc_id", "n").join(of, "key", "left").select("key", "doc_id", "n", F.coalesce("comp", "key").alias("comp")), "linked")
+    forget(known, copies, members, sets, links, rest, more)
+    return made
+
+
+def near_duplicates(rows: DataFrame, by_id: bool, k: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
+    """(key, doc_id, n_shingles, component_id, first) of ``keyed`` rows; ``by_id``: whether the key is the id.
+
+    ``first`` holds for one row of each component: its least by id, nulls last, and key.
+    """
+    found = linked_keys(rows.select("key", "doc_id", "text"), k, share)
+    if by_id:  # the least key is the least id
+        return found.select("key", "doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.expr("key = comp").alias("first"))
+    parts = parts_for(found.count())
+    least = lambda c: F.min(F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("doc_id"), "key"))
+    named = with_totals(dealt(found, ["comp"], "key", parts), ["comp"], [least("doc_id").alias("of")], [F.min("of").alias("of")])
+    return named.select("key", "doc_id", F.col("n").alias("n_shingles"), F.col("of.doc_id").alias("component_id"), (F.col("key") == F.col("of.key")).alias("first"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(*keyed(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 
 

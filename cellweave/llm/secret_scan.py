@@ -2,21 +2,23 @@
 
 Every version of a file is a row. A version's text is content-addressed (SHA-256); a rule has a kind and a version.
 Only (blob, rule, rule version) triples that the ledger lacks are scanned, each blob once however many paths hold it,
-and the findings are joined back to all paths.
+and the findings are joined back to all paths, in parts, so that a blob with very many paths fills no one task.
 
-Edge cases: a null text is the empty blob; repeated rows are paths of one blob and each gets its findings; an empty
-table gives an empty result; columns beside those asked for are ignored, or kept by ``redact``.
+Edge cases: a null text is the empty blob; repeated rows are paths of one blob and each gets its findings; very long texts
+are scanned whole; an empty table gives an empty result; columns beside those asked for are ignored, or kept by
+``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import sha_hex, table, whole_text
+from .common import dealt, parts_for, sha_hex, shared_dir, table, whole_text, with_found
 
 
 @dataclass(frozen=True)
@@ -101,16 +103,18 @@ def unseen(versions: DataFrame, rules: tuple[Rule, ...], scanned: DataFrame | No
     ``versions``: blob and text. ``scanned``: the ledger's (blob, kind, version) triples, or None for an empty ledger.
     Equal blobs meet after each task has kept one row of each, so a blob that many paths hold is moved once a task.
     """
+    once = versions.select("blob", "text").dropDuplicates(["blob"])
     if scanned is None:
-        return {rules: versions.select("blob", "text").dropDuplicates(["blob"])}
+        return {rules: once}
     names = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     seen = scanned.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("seen"))
-    lacking = versions.join(seen, "blob", "left").withColumn("lacks", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))))
-    lacking = lacking.where(F.size("lacks") > 0).select("blob", "text", F.array_join("lacks", ",").alias("lacks"))
-    sets = [row.lacks for row in lacking.select("lacks").distinct().collect()]  # at most 2 ** len(rules)
+    lacks = F.array_join(F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))), ",")
+    ids = versions.select("blob").distinct().join(seen, "blob", "left").select(lacks.alias("lacks")).where("lacks <> ''")
+    sets = [row.lacks for row in ids.distinct().collect()]  # at most 2 ** len(rules)
+    lacking = once.join(seen, "blob", "left").withColumn("lacks", lacks)
     return {
-        tuple(r for r in rules if f"{r.kind}:{r.version}" in x.split(",")): lacking.where(F.col("lacks") == x).select("blob", "text").dropDuplicates(["blob"])
-        for x in sets
+        tuple(r for r in rules if f"{r.kind}:{r.version}" in x.split(",")): lacking.where(F.col("lacks") == x).select("blob", "text")
+        for x in sorted(sets)
     }
 
 
@@ -124,27 +128,32 @@ class Ledger:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _read(self, name: str, schema: str) -> DataFrame | None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if fs.exists(path) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if fs.exists(path) else None
 
-    def scanned(self) -> DataFrame:
-        return self._read("scanned", "blob string, kind string, version int").distinct()
+    def scanned(self) -> DataFrame | None:
+        """The (blob, kind, version) triples that need no scan; None before the first update."""
+        found = self._read("scanned", "blob string, kind string, version int")
+        return None if found is None else found.distinct()
 
     def findings(self, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
         """(blob, findings) of the current rule versions."""
         live = F.lit(False)
         for r in rules:
             live = live | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
-        rows = self._read("findings", "blob string, kind string, version int, start int, end int").where(live).distinct()
+        schema = "blob string, kind string, version int, start int, end int"
+        found = self._read("findings", schema)
+        rows = (self.spark.createDataFrame([], schema) if found is None else found).where(live).distinct()
         order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
         one = F.struct("start", order[F.col("kind")].alias("rank"), "end", "kind")
         return rows.groupBy("blob").agg(F.sort_array(F.collect_list(one)).cast(FINDING).alias("findings"))
 
     def update(self, versions: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text") -> int:
         """Scan the unseen pairs of blob and rule version; the number of scanned pairs."""
-        new = addressed(versions, text_col).select("blob", whole_text(text_col).alias("text"))
+        new = versions.select(whole_text(text_col).alias("text"))
+        new = addressed(new)
         n = 0
         for some, blobs in unseen(new, rules, self.scanned()).items():
             version = F.create_map(*[x for r in some for x in (F.lit(r.kind), F.lit(r.version))])
@@ -159,7 +168,9 @@ class Ledger:
 
 def join_back(versions: DataFrame, findings: DataFrame) -> DataFrame:
     """``versions`` (with ``blob``) and each path's findings, an empty array where there are none."""
-    return versions.join(findings, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDING)))
+    rows = versions.withColumn("_path", F.xxhash64(*[c for c in versions.columns if c != "blob"]))
+    spread = dealt(rows, ["blob"], "_path", parts_for(versions.count()))
+    return with_found(spread, findings, ["blob"]).withColumn("findings", F.coalesce("findings", F.array().cast(FINDING))).drop("_path", "_part")
 
 
 def digest(findings: Column, rules: tuple[Rule, ...] = BASE_RULES) -> list[Column]:
@@ -169,23 +180,30 @@ def digest(findings: Column, rules: tuple[Rule, ...] = BASE_RULES) -> list[Colum
     return [*n, sha_hex(spans).alias("base_sha256"), spans.alias("spans")]
 
 
+def new_ledger(spark: SparkSession) -> Ledger:
+    """An empty ledger in the shared folder."""
+    return Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
-    versions = addressed(docs)
-    (blobs,) = unseen(versions, BASE_RULES, None).values()
-    return join_back(versions.select("doc_id", "blob"), scan(blobs)).select("doc_id", *digest(F.col("findings")))
+    ledger = new_ledger(spark)
+    ledger.update(docs)
+    return join_back(addressed(docs).select("doc_id", "blob"), ledger.findings()).select("doc_id", *digest(F.col("findings")))
 
 
-def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES, mark: str = "[SECRET]", ledger: Ledger | None = None) -> DataFrame:
     """``docs`` with every finding replaced by ``mark``; overlapping findings are replaced together.
 
-    A text without findings is left as it is, a null one too. All columns are kept.
+    A text without findings is left as it is, a null one too. All columns are kept. What ``ledger`` knows already is not
+    scanned again; without one an empty ledger is used.
     """
-    versions = addressed(docs, text_col)
-    (blobs,) = unseen(versions.select("blob", whole_text(text_col).alias("text")), rules, None).values()
-    joined = join_back(versions, scan(blobs, rules))
+    ledger = ledger or new_ledger(docs.sparkSession)
+    ledger.update(docs, rules, text_col)
+    versions = addressed(docs.select(F.struct(*docs.columns).alias("row"), whole_text(text_col).alias("text")))
+    joined = join_back(versions.select("row", "blob"), ledger.findings(rules))
     upto = lambda s: F.greatest(s["upto"], F.lit(0))
-    text = F.col(text_col)
+    text = F.col("row")[text_col]
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("upto"))
     pieces = F.aggregate(
         "findings",
@@ -200,7 +218,8 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BA
         ),
         lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["upto"] + 1, F.length(text))),
     )
-    return joined.withColumn(text_col, F.when(F.size("findings") > 0, pieces).otherwise(text)).select(*docs.columns)
+    masked = F.when(F.size("findings") > 0, pieces).otherwise(text)
+    return joined.select(F.col("row").withField(text_col, masked).alias("row")).select("row.*")
 
 
 _ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""

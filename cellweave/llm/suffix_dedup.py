@@ -1,13 +1,17 @@
 """Suffix-array dedup: removes every byte covered by a 200-byte string that also starts elsewhere.
 
 Every 200-byte window of a text picks its least 48-byte gram by hash, so equal windows pick the same gram. Neighbouring
-windows with one gram form a context. A gram that occurs once is done with; where all contexts of a gram are equal, or
-each of them has several places, they repeat whole. The other contexts are dealt by gram, each distinct one once with its number of places, and a shard's
+windows with one gram form a context. A gram that occurs once is done with; where all contexts of a gram are equal, they
+repeat whole. The other contexts are dealt by gram, each distinct one once with its number of places, and a shard's
 contexts, apart by separators, are sorted by induced sorting: suffixes are classified, the leftmost-smaller substrings
 are sorted and named, the string of names recursively, and the suffix array is induced from them in linear time. Permuted
 common prefixes of 200 bytes or more, irreducible ones compared and the others derived, mark the windows that repeat. The
-marks go back to all places of a context. A gram with more than ``HOT`` distinct contexts has its windows counted by
-128-bit hash instead, so no gram's contexts gather in one task without a bound.
+marks go back to all places of a context.
+
+A gram with more than ``HOT`` distinct contexts is dealt further, so that no gram's contexts gather in one task without a
+bound: the windows that hold it far from their start go by the bytes before it that they all hold, the others by the bytes
+behind it. Equal windows stay together, equal parts of contexts become one again, and each step halves where in a window
+the gram may be, so the parts of a group are sorted after at most eight steps or are single windows that all differ.
 
 Edge cases: a null text is empty; texts shorter than a window lose nothing; rows that repeat an id and text are documents
 of their own and repeat each other; rows without an id take part; an empty table gives an empty result; very long texts
@@ -24,11 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, table, whole_text, written
+from .common import dealt, forget, keyed, parts_for, table, whole_text, with_found, with_totals, written
 
 WINDOW, GRAM = 200, 48
 #: Bytes read at once, bytes of contexts sorted at once, distinct contexts of a gram that are sorted together.
 PIECE, SHARD_BYTES, HOT = 1 << 20, 1_500_000, 4096
+#: Bytes of contexts that a sorting task gets on average, and the most tasks.
+TASK_BYTES, MOST_TASKS = 6_000_000, 50_000
 
 _BYTE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -43,7 +49,8 @@ def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     power, size = {1: _P}, 1
     while size * 2 <= gram:
         h[size * 2] = h[size][:-size] * power[size] + h[size][size:]
-        power[size * 2] = power[size] * power[size]
+        with np.errstate(over="ignore"):
+            power[size * 2] = power[size] * power[size]
         size *= 2
     total, done = h[size], size
     while done < gram:
@@ -320,9 +327,9 @@ def as_spans(starts: np.ndarray, window: int = WINDOW) -> tuple[list[int], list[
 
 
 def sorted_marks(texts: DataFrame) -> DataFrame:
-    """(gram, ctx, s, e) of (gram, ctx, n, body) rows: starts and ends of what repeats.
+    """(gram, ctx, s, e) of (gram, ctx, n, size, body) rows: starts and ends of what repeats.
 
-    Whole grams lie together in shards of bounded size.
+    Whole grams lie together in shards of bounded size; the number of tasks follows from the bytes.
     """
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
@@ -352,53 +359,141 @@ def sorted_marks(texts: DataFrame) -> DataFrame:
         if held:
             yield solve(pd.concat(held))
 
-    return texts.repartition("gram").sortWithinPartitions("gram", "ctx").mapInPandas(run, "gram bigint, ctx bigint, s array<int>, e array<int>")
+    total = texts.agg(F.sum(F.col("size").cast("long")).alias("n")).first().n or 0
+    least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(least, 200), min(MOST_TASKS, total // TASK_BYTES))
+    return texts.repartition(tasks, "gram").sortWithinPartitions("gram", "ctx").mapInPandas(run, "gram bigint, ctx bigint, s array<int>, e array<int>")
 
 
-def counted_marks(texts: DataFrame) -> DataFrame:
-    """As ``sorted_marks`` for grams of many contexts: windows counted by a 128-bit hash, in as many tasks as needed."""
+def place_of_gram(body: bytes) -> int:
+    """Where the gram that a context's windows share starts in it."""
+    h = gram_hashes(np.frombuffer(body, np.uint8)[:WINDOW])
+    low = np.uint64((1 << 24) - 1)
+    return int(((h & ~low) | np.arange(len(h), dtype=np.uint64)).min() & low)
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_128_digest
 
-        for b in batches:
-            for i in range(0, len(b), 200):
-                part = b.iloc[i : i + 200]
-                out = [(g, c, n, p, *np.frombuffer(xxh3_128_digest(x[p : p + WINDOW]), "<i8").tolist()) for g, c, n, x in zip(part["gram"], part["ctx"], part["n"], part["body"]) for p in range(len(x) - WINDOW + 1)]
-                yield pd.DataFrame(out, columns=["gram", "ctx", "n", "p", "w1", "w2"])
+def halves(body: bytes, at: int, lo: int, hi: int) -> list[tuple[int, bytes, bytes, int, int, int]]:
+    """(offset, name, body, place of the gram, least, most) of the two parts of a context by where a window holds its gram.
+
+    ``at``: the gram's place; ``lo``, ``hi``: its least and largest place in the windows. The name is what all the
+    windows of a part hold before or behind the gram.
+    """
+    mid = (lo + hi + 1) // 2
+    out = []
+    if at >= mid:  # windows that hold the gram at mid or later
+        stop = min(len(body) - WINDOW, at - mid) + WINDOW
+        out.append((0, b"<" + body[at - mid : at], body[:stop], at, mid, hi))
+    start = max(0, at - mid + 1)
+    if start + WINDOW <= len(body):
+        behind = at + GRAM
+        out.append((start, b">" + body[behind : behind + WINDOW - GRAM - mid + 1], body[start:], at - start, lo, mid - 1))
+    return out
 
-    every = texts.mapInPandas(windows, "gram bigint, ctx bigint, n bigint, p int, w1 bigint, w2 bigint")
-    twice = every.groupBy("w1", "w2").agg(F.sum("n").alias("of")).where("of > 1")
-    found = every.join(twice, ["w1", "w2"]).groupBy("gram", "ctx").agg(F.sort_array(F.collect_list("p")).alias("s"))
-    return found.withColumn("e", F.transform("s", lambda p: p + WINDOW))
+
+def divided(hot: DataFrame) -> DataFrame:
+    """The parts of (gram, ctx, n, at, lo, hi, body) contexts; ``at`` is below 0 where the gram was not looked for yet."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_64_intdigest
+
+        signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+        for b in batches:
+            for k in range(0, len(b), 1000):
+                out = []
+                for g, c, n, at, lo, hi, body in b.iloc[k : k + 1000][["gram", "ctx", "n", "at", "lo", "hi", "body"]].itertuples(index=False):
+                    at = place_of_gram(body) if at < 0 else at
+                    for off, name, part, place, a, z in halves(body, at, lo, hi):
+                        sub = xxh3_64_intdigest(g.to_bytes(8, "little", signed=True) + name)
+                        out.append((g, c, off, signed(sub), signed(xxh3_64_intdigest(part)), n, place, a, z, len(part), part))
+                yield pd.DataFrame(out, columns=["gram", "ctx", "off", "sub", "subctx", "n", "at", "lo", "hi", "size", "body"])
+
+    return hot.mapInPandas(run, "gram bigint, ctx bigint, off int, sub bigint, subctx bigint, n bigint, at int, lo int, hi int, size int, body binary")
+
+
+def marks_in(bodies: DataFrame, parts: int, scratch: list[DataFrame]) -> DataFrame:
+    """(gram, ctx, s, e) of distinct contexts (gram, ctx, n, kinds, at, lo, hi, size, body); ``kinds``: those of the gram."""
+    found = sorted_marks(bodies.where(F.col("kinds") <= HOT))
+    hot = bodies.where((F.col("kinds") > HOT) & (F.col("lo") < F.col("hi")))
+    over = bodies.where((F.col("kinds") > HOT) & (F.col("lo") >= F.col("hi")) & (F.col("n") > 1))  # single windows
+    found = found.unionByName(over.select("gram", "ctx", F.array(F.lit(0)).alias("s"), F.array("size").alias("e")))
+    if hot.isEmpty():
+        return found
+    cut = written(divided(hot), "parts")
+    scratch.append(cut)
+    kinds = cut.groupBy("sub", "subctx").agg(F.sum("n").alias("n"), F.min(F.struct("gram", "ctx", "off")).alias("of"))
+    count, least = F.count("*").alias("kinds"), F.min("n").alias("least")
+    counted = with_totals(dealt(kinds, ["sub"], "subctx", parts), ["sub"], [count, least], [F.sum("kinds").alias("kinds"), F.min("least").alias("least")])
+    alike = counted.where("kinds = 1 AND n > 1").select("sub", "subctx", "of")
+    wanted = counted.where("kinds > 1").select("sub", "subctx", F.col("n").alias("_n"), "kinds", "of.gram", "of.ctx", "of.off")
+    reps = cut.drop("sub", "subctx", "n").join(wanted, ["gram", "ctx", "off"]).select(F.col("sub").alias("gram"), F.col("subctx").alias("ctx"), F.col("_n").alias("n"), "kinds", "at", "lo", "hi", "size", "body")
+    reps = written(reps, "bodies")
+    scratch.append(reps)
+    inner = marks_in(reps, parts, scratch)
+    size = cut.groupBy("sub", "subctx").agg(F.min("size").alias("size"))
+    inner = inner.select(F.col("gram").alias("sub"), F.col("ctx").alias("subctx"), "s", "e").unionByName(
+        alike.join(size, ["sub", "subctx"]).select("sub", "subctx", F.array(F.lit(0)).alias("s"), F.array("size").alias("e"))
+    )
+    members = dealt(cut.select("gram", "ctx", "off", "sub", "subctx"), ["sub", "subctx"], "ctx", parts)
+    back = with_found(members, inner, ["sub", "subctx"]).where("s IS NOT NULL")
+    moved = back.select("gram", "ctx", F.transform("s", lambda x: x + F.col("off")).alias("s"), F.transform("e", lambda x: x + F.col("off")).alias("e"))
+    return found.unionByName(moved)
 
 
 def marks(rows: DataFrame) -> DataFrame:
     """(key, spans): the covered bytes of the rows of (key, text) that have any, as an array of (start, end)."""
-    grams = places(rows).groupBy("gram").agg(F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).where("n > 1")
-    shared = written(places(rows).join(grams.select("gram", F.expr("c1 <> c2").alias("several")), "gram"), "places")
-    several = shared.where("several")
+    parts = parts_for(rows.count())
+    moved = dealt(places(rows), ["gram"], "key", parts)
+    count, low, high = F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")
+    shared = with_totals(moved, ["gram"], [count, low, high], [F.sum("n").alias("n"), F.min("c1").alias("c1"), F.max("c2").alias("c2")], F.col("n") > 1, costly=True)
+    shared = written(shared.select("gram", "ctx", "key", "at", "size", F.expr("c1 <> c2").alias("several")), "places")
+    several = shared.where("several").drop("several")
     kinds = several.groupBy("gram", "ctx").agg(F.min(F.struct("key", "at", "size")).alias("of"), F.count("*").alias("n"))
-    many = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    counted = kinds.join(many, "gram")
-    sure = counted.where("least > 1").select("gram", "ctx", F.array(F.lit(0)).alias("s"), F.array("of.size").alias("e"))
-    wanted = counted.where("least = 1").groupBy(F.col("of.key").alias("key")).agg(F.collect_list(F.struct("gram", "ctx", "n", "of.at", "of.size", (F.col("kinds") > HOT).alias("hot"))).alias("wants"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for wants, text in zip(b["wants"], b["text"]):
-                raw = text.encode("utf-8", "replace")
-                yield pd.DataFrame([(w["gram"], w["ctx"], w["n"], w["hot"], raw[w["at"] : w["at"] + w["size"]]) for w in wants], columns=["gram", "ctx", "n", "hot", "body"])
-
-    bodies = rows.join(wanted, "key").select("text", "wants").mapInPandas(cut, "gram bigint, ctx bigint, n bigint, hot boolean, body binary")
-    bodies = written(bodies, "bodies")
-    found = sorted_marks(bodies.where("NOT hot")).unionByName(sure)
-    if not bodies.where("hot").isEmpty():
-        found = found.unionByName(counted_marks(bodies.where("hot")))
-    spans = several.join(found, ["gram", "ctx"]).select("key", "at", F.explode(F.arrays_zip("s", "e")).alias("x"))
+    counted = with_totals(dealt(kinds, ["gram"], "ctx", parts), ["gram"], [F.count("*").alias("kinds")], [F.sum("kinds").alias("kinds")])
+    wanted = counted.groupBy(F.col("of.key").alias("key")).agg(F.collect_list(F.struct("gram", "ctx", "n", "kinds", "of.at", "of.size")).alias("wants"))
+    bodies = written(cut_out(rows.join(wanted, "key").select("text", "wants")), "bodies")
+    scratch = [shared, bodies]
+    found = marks_in(bodies, parts, scratch)
+    spans = with_found(dealt(several, ["gram", "ctx"], "key", parts), found, ["gram", "ctx"]).select("key", "at", F.explode(F.arrays_zip("s", "e")).alias("x"))
     partly = spans.select("key", (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e"))
     whole = shared.where("NOT several").select("key", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))
-    return whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    made = written(whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    forget(*scratch)
+    return made
+
+
+def cut_out(wanted: DataFrame) -> DataFrame:
+    """The contexts that (text, wants) rows ask for, with their bytes."""
+    import pyarrow as pa
+
+    names = ["gram", "ctx", "n", "kinds", "at", "size"]
+    kinds = {"gram": pa.int64(), "ctx": pa.int64(), "n": pa.int64(), "kinds": pa.int64(), "size": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            many = b.column("wants").value_lengths().to_numpy()
+            flat = b.column("wants").flatten()
+            col = {n: flat.field(n).to_numpy() for n in names}
+            at, stop = col["at"].tolist(), (col["at"] + col["size"]).tolist()
+            begin, j, held, size = 0, 0, [], 0
+            for text, k in zip(b.column("text"), many.tolist()):
+                raw = text.as_py().encode("utf-8", "replace")
+                held += [raw[at[i] : stop[i]] for i in range(j, j + k)]
+                j += k
+                size += len(raw)
+                if size > 4 * PIECE:
+                    yield batch(col, begin, j, held)
+                    begin, held, size = j, [], 0
+            if held:
+                yield batch(col, begin, j, held)
+
+    def batch(col: dict, i: int, j: int, held: list[bytes]) -> pa.RecordBatch:
+        none = pa.array(np.full(j - i, -1, np.int32))
+        lo, hi = pa.array(np.zeros(j - i, np.int32)), pa.array(np.full(j - i, WINDOW - GRAM, np.int32))
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array(col[n][i:j], t) for n, t in kinds.items()], none, lo, hi, pa.array(held, pa.binary())], names=[*kinds, "at", "lo", "hi", "body"]
+        )
+
+    return wanted.mapInArrow(run, "gram bigint, ctx bigint, n bigint, kinds bigint, size int, at int, lo int, hi int, body binary")
 
 
 def merged_spans(spans) -> list[tuple[int, int]]:
@@ -421,14 +516,14 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def deduplicated(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """The rows of ``docs`` with ``key`` and ``spans`` (null: none), and whether the key is unique."""
-    rows, unique = keyed(docs)
-    return rows.join(marks(rows.select("key", whole_text().alias("text"))), "key", "left"), unique
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a unique ``key`` and ``spans`` (null: none)."""
+    rows, _ = keyed(docs)
+    return rows.join(marks(rows.select("key", whole_text().alias("text"))), "key", "left")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = deduplicated(table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text")))
+    docs = deduplicated(table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
