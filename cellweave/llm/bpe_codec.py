@@ -6,7 +6,8 @@ first where they overlap; words without a known pair are done and leave the arra
 no pair of a merged symbol ranks before the merge that makes it, which the constructor proves for the vocabulary.
 
 Edge cases: a null text is empty and has no ids; an added token's string inside a text is that token; texts of white space
-have no ids; repeated rows are encoded each; very long texts and words are encoded whole; other columns are ignored.
+have no ids; repeated rows are encoded each; very long texts are encoded whole, words of over ``LONG`` bytes by a heap in
+place of the rounds; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import byte_alphabet
+from .byte_bpe import byte_alphabet, heap_merged
 from .common import table, whole_text
 
 #: Entries that a worker's cache of chunks holds at most before it starts anew.
 CACHE = 150_000
+#: Bytes of a word from which on a heap merges it: each round rescans a word, which takes long words too long.
+LONG = 1000
 NONE = np.int32(2**31 - 1)
 
 
@@ -62,8 +65,17 @@ class WordBpe:
         keys = left * self.size + right
         order = np.argsort(keys)
         self.keys, self.ranks, self.product = keys[order], ranks[order].astype(np.int32), product[order]
+        self.pairs = None
         self.cache: dict[str, tuple[bytes, str]] = {}
 
+    def long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word."""
+        if self.pairs is None:
+            self.pairs = {k: (r, p) for k, r, p in zip(self.keys.tolist(), self.ranks.tolist(), self.product.tolist())}
+        raw = np.frombuffer(word, np.uint8)
+        symbols = [*self.inner[raw[:-1]].tolist(), int(self.last[raw[-1]])]
+        return np.array(heap_merged(symbols, lambda a, b: self.pairs.get(a * self.size + b)), np.int64)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after another, and how many each has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -107,13 +119,14 @@ class WordBpe:
             self.cache.clear()
         pieces = [self.words(self.normal(c)) for c in new]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(w for p in pieces for w in p))}
-        ids, n = self.merge([w.encode("utf-8") for w in distinct]) if distinct else (np.empty(0, np.int64), np.empty(0, np.int64))
-        stop = np.cumsum(n)
-        flat, token = ids.tolist(), self.token
-        begin = (stop - n).tolist()
-        stop = stop.tolist()
+        raw = [w.encode("utf-8") for w in distinct]
+        short = [k for k, w in enumerate(raw) if len(w) <= LONG]
+        ids, n = self.merge([raw[k] for k in short]) if short else (np.empty(0, np.int64), np.empty(0, np.int64))
+        of = dict(zip(short, np.split(ids, np.cumsum(n)[:-1]) if short else []))
+        of |= {k: self.long(w) for k, w in enumerate(raw) if len(w) > LONG}
+        own_ids, token = {w: of[k].tolist() for w, k in distinct.items()}, self.token
         for chunk, words in zip(new, pieces):
-            own = [i for w in words for i in flat[begin[distinct[w]] : stop[distinct[w]]]]
+            own = [i for w in words for i in own_ids[w]]
             self.cache[chunk] = np.array(own, "<u4").tobytes(), " ".join([token[i] for i in own])
 
     def parts(self, text: str) -> list[str]:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Hashable
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 # GPT-2 style pre-token pattern of a ByteLevel pre-tokenizer with use_regex (fixed value)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Bytes of a pre-token from which on its pairs are kept in a heap.
+LONG = 200
+
 _ODD_SPACE = re.compile(r" (?!\S)")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -51,6 +56,8 @@ class ByteBpe:
     def merged(self, piece: bytes) -> int:
         """How many tokens a pre-token has: the lowest-ranked pair of neighbours is merged until none is left."""
         ranks = self.ranks
+        if len(piece) > LONG:
+            return len(self.long(piece))
         parts = [piece[i : i + 1] for i in range(len(piece))]
         none = len(ranks)
         pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
@@ -68,6 +75,38 @@ class ByteBpe:
         return len(parts)
 
 
+    def long(self, piece: bytes) -> list[int]:
+        """The ids of a pre-token of any length."""
+        parts = heap_merged([piece[i : i + 1] for i in range(len(piece))], lambda a, b: (r, a + b) if (r := self.ranks.get(a + b)) is not None else None)
+        return [self.ranks[p] for p in parts]
+
+
+def heap_merged(symbols: list[Hashable], of: Callable[[Hashable, Hashable], tuple[int, Hashable] | None]) -> list:
+    """The symbols after merging, lowest rank and then leftmost first; ``of``: a pair's rank and product, or None.
+
+    A heap holds the pairs and links the neighbours, so the time grows with n log n.
+    """
+    n = len(symbols)
+    after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
+    heap = [(m[0], i, symbols[i], symbols[i + 1], m[1]) for i in range(n - 1) if (m := of(symbols[i], symbols[i + 1]))]
+    heapify(heap)
+    while heap:
+        _, i, a, b, made = heappop(heap)
+        j = after[i]
+        if gone[i] or j >= n or symbols[i] != a or symbols[j] != b:
+            continue
+        symbols[i], gone[j] = made, 1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if m := of(made, symbols[k]):
+                heappush(heap, (m[0], i, made, symbols[k], m[1]))
+        h = before[i]
+        if h >= 0 and (m := of(symbols[h], made)):
+            heappush(heap, (m[0], h, symbols[h], made, m[1]))
+    return [s for s, x in zip(symbols, gone) if not x]
+
+
 @lru_cache(4)
 def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)

@@ -7,14 +7,15 @@ After each epoch the islands of a shard pass their best packing on to the next i
 are not nearly full is dealt anew, level by level, until one shard is left, so sharding costs next to nothing. Where a
 level leaves most of its pieces so, as pieces of over half a sequence do, dealing anew gains nothing: its bins stay.
 
+Each piece's ids are kept as bytes beside its place, so a sequence is its pieces' ids by offset, one after another.
+
 Edge cases: a null text is empty and is the end token alone; pieces as long as a sequence stand alone; repeated rows are
-pieces of their own; ties go by the pieces' order; an empty table gives an empty result; very long texts are cut into
-whole sequences behind a shorter first piece; other columns are ignored.
+pieces of their own; ties go by the pieces' order; an empty table gives an empty result; very long texts and runs of
+white space are cut into whole sequences behind a shorter first piece; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +39,8 @@ MOST_LEFT = 0.75
 #: Bits of a sequence's number that say which bin of its shard it is; the bins of a shard are an int.
 BIN_BITS = 31
 
-PIECE = "struct<length:int,doc_id:bigint,piece:int,start:bigint,ids_crc32:bigint>"
+#: Characters of a run of white space from which on it is cut out before the pattern, which goes back over such a run.
+LONG_SPACE = 1000
 
 
 class Encoder:
@@ -53,10 +55,26 @@ class Encoder:
 
         bpe = byte_bpe(path)
         self.lib = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=bpe.ranks, special_tokens=bpe.added)
-        self.added = set(bpe.added)
+        self.bpe, self.added = bpe, set(bpe.added)
+        import regex
+
+        self.space = regex.compile(rf"\p{{White_Space}}{{{LONG_SPACE},}}")
+
+    def plain(self, text: str) -> bytes:
+        return self.lib.encode_to_numpy(text, allowed_special=self.added).astype("<u4").tobytes() if text else b""
+
+    def one(self, text: str) -> bytes:
+        """The ids of a text; a long run of white space is one pre-token, but for its last character before a word."""
+        out, at = [], 0
+        for run in self.space.finditer(text):
+            word = run.end() < len(text) and not text.startswith(tuple(self.added), run.end())
+            stop = run.end() - 1 if word else run.end()
+            out += [self.plain(text[at : run.start()]), np.array(self.bpe.long(text[run.start() : stop].encode()), "<u4").tobytes()]
+            at = stop
+        return b"".join([*out, self.plain(text[at:])])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [self.lib.encode_to_numpy(t, allowed_special=self.added).astype("<u4").tobytes() for t in texts]
+        return [self.one(t) for t in texts]
 
 
 @lru_cache(2)
@@ -65,7 +83,7 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every row's ids and the end id behind them."""
+    """(doc_id, piece, start, length, ids) of every row's ids and the end id behind them; ids: four bytes each, little-endian."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
@@ -79,12 +97,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                     while at < n:
                         size = capacity if at or n <= capacity or n % capacity == 0 else n % capacity
                         size = min(size, n - at)
-                        out.append((None if doc != doc else doc, j, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                        out.append((None if doc != doc else doc, j, at, size, ids[4 * at : 4 * (at + size)]))
                         at, j = at + size, j + 1
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"})
 
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t"))
-    return text.mapInPandas(run, "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint")
+    return text.mapInPandas(run, "doc_id bigint, piece int, start bigint, length int, ids binary")
 
 
 class Fits:
@@ -189,7 +207,7 @@ def evolved(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed
 def packed_shards(items: DataFrame, n: int, capacity: int = CAPACITY, shard_size: int = SHARD, level: int = 0) -> tuple[DataFrame, int]:
     """(shard, bin, fill, item) rows of one level's ``n`` pieces, written to the shared folder, and its number of shards."""
     shards = max(1, -(-n // shard_size))
-    key = F.pmod(F.xxhash64("item.doc_id", "item.piece", "item.ids_crc32", F.lit(level)), F.lit(shards))
+    key = F.pmod(F.xxhash64("item.row", F.lit(level)), F.lit(shards))
     dealt = items.select(key.alias("shard"), "item").groupBy("shard").agg(F.sort_array(F.collect_list("item")).alias("items"))
     state = dealt.select(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.transform("items", lambda i: i["length"]).alias("sizes"), F.array().cast("array<binary>").alias("pop")
@@ -234,10 +252,10 @@ def _by_bin():
 
 
 def packed(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD) -> DataFrame:
-    """``items`` (doc_id, piece, start, length, ids_crc32) with ``sequence_id`` and the gapless ``offset`` in it."""
+    """(row, sequence_id, offset) of ``items`` (row, length), ``row`` unique: the gapless place of each in its sequence."""
     from pyspark.sql.window import Window
 
-    left = items.select(F.struct("length", "doc_id", "piece", "start", "ids_crc32").cast(PIECE).alias("item"))
+    left = items.select(F.struct(F.col("length").cast("int").alias("length"), F.col("row").cast("long").alias("row")).alias("item"))
     every, level, n, before = None, 0, left.count(), 0
     while True:
         rows, shards = packed_shards(left, n, capacity, shard_size, level)
@@ -252,15 +270,14 @@ def packed(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD)
             break
         left, level, before = thin.select("item"), level + 1, before + shards
     place = Window.partitionBy("sequence_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
-    return every.select(
-        "item.doc_id", "item.piece", "item.start", F.col("item.length").cast("long").alias("length"), "item.ids_crc32",
-        "sequence_id", F.coalesce(F.sum("item.length").over(place), F.lit(0)).cast("long").alias("offset"),
-    )
+    return every.select("item.row", "sequence_id", F.coalesce(F.sum("item.length").over(place), F.lit(0)).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    items = written(pieces(docs, path, capacity, end_id), "pieces")
-    return packed(items, capacity)
+    """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece."""
+    items = written(pieces(docs, path, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    made = items.join(packed(items.select("row", "length"), capacity), "row")
+    return made.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids", "sequence_id", "offset")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -270,7 +287,8 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+    made = pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 QUERIES = {"op7_best_fit_packing": op7_best_fit_packing}

@@ -5,7 +5,8 @@ A pre-token that is proven whole counts one. Only the other pre-tokens are merge
 cache holds it. Texts are cut at spaces first, so that a repeated word costs one look-up.
 
 Edge cases: a null text is empty and has no tokens; an added token's string inside a text is one token, as the library
-has it by default; repeated rows are counted each; very long texts are counted whole; other columns are ignored.
+has it by default; repeated rows are counted each; very long texts are counted whole, pre-tokens of any length merged by a
+heap; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from .common import table, whole_text
 
 #: Entries that a worker's cache of chunks or pre-tokens holds at most before it starts anew.
 CACHE = 250_000
-#: The merge loop is quadratic in a pre-token's bytes; longer ones are merged by the library.
-LONG = 200
 
 
 @lru_cache(2)
@@ -34,10 +33,8 @@ def counter(path: str) -> Counter:
 class Counter:
     def __init__(self, path: str):
         import regex
-        import tokenizers
 
         self.bpe, self.pieces = byte_bpe(path), regex.compile(PATTERN).findall
-        self.model = tokenizers.Tokenizer.from_file(path).model
         self.whole = proven_whole(path)
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
@@ -48,13 +45,7 @@ class Counter:
         if found is None:
             if len(self.rest) >= CACHE:
                 self.rest.clear()
-            raw = piece.encode("utf-8", "replace")
-            if len(raw) > LONG:
-                shown = {b: c for c, b in _alphabet().items()}
-                found = len(self.model.tokenize("".join(shown[b] for b in raw)))
-            else:
-                found = self.bpe.merged(raw)
-            self.rest[piece] = found
+            found = self.rest[piece] = self.bpe.merged(piece.encode("utf-8", "replace"))
         return found
 
     def plain(self, text: str) -> int:
@@ -93,12 +84,6 @@ class Counter:
         return sum(1 if s in self.bpe.added else self.segment(s) for s in special.split(text))
 
 
-def _alphabet() -> dict[str, int]:
-    from .byte_bpe import byte_alphabet
-
-    return byte_alphabet()
-
-
 @lru_cache(2)
 def proven_whole(path: str) -> frozenset[str]:
     """The vocabulary strings that the merges, from their single bytes, bring back to one token."""

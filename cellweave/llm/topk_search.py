@@ -1,6 +1,7 @@
 """Exact top-k inner-product search by block-at-a-time pruning.
 
-Queries are taken in blocks of bounded size; each block is broadcast and meets every row once. A task orders its rows so
+Queries are taken in blocks of bounded size; each block is broadcast and meets every row once. The driver holds one block
+at a time, and where there are several, each block's result is written before the next. A task orders its rows so
 that like ones lie together, cuts them into ranges, and keeps per range and component the largest and smallest value. A
 query's bound for a range is the sum, over its components, of the largest product they allow. A query visits the ranges
 by falling bound, scores them through their forward index, and stops when the bound is below its k-th score so far.
@@ -15,6 +16,7 @@ which is asked once for its least vector; a score among the best that is no bigi
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import shared_dir, table
 
 #: Numbers in a broadcast block of queries, rows in a range, rows that a task orders at once.
 QUERY_NUMBERS, RANGE_ROWS, TASK_ROWS = 1 << 20, 128, 1 << 15
 #: Below this, sums of products are exact in double precision.
 EXACT = 2.0**53
+RANKED = "query_id bigint, rank int, vec_id bigint, score bigint"
 
 
 def ordered(x: np.ndarray) -> np.ndarray:
@@ -114,11 +117,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     each = max(1, QUERY_NUMBERS // max(1, width))
     blocks = -(-n // each)
     if not blocks:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        return spark.createDataFrame([], RANKED)
     limit = float(int((EXACT / max(1, width)) ** 0.5) - 1)  # up to this, sums of products stay below EXACT
     large = lambda m: np.array([max(map(abs, r), default=0) > limit for r in m], bool)
 
-    found = None
+    path = f"{shared_dir(spark)}/top-{uuid.uuid4().hex}"
     asked = queries.groupBy("id").agg(F.min("q").alias("q"))
     for b in range(blocks):  # a pass over the rows for each bounded block of queries
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
@@ -163,8 +166,16 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             if n_rows and len(ids):
                 yield from give(held_rows)
 
-        part = rows.mapInPandas(run, schema)
-        found = part if found is None else found.unionByName(part)
+        part = best_of(rows.mapInPandas(run, schema), k)
+        if blocks == 1:
+            return part
+        part.write.mode("append").parquet(path)
+        held.unpersist()
+    return spark.read.schema(RANKED).parquet(path)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """Each query's ``k`` best rows of those that the tasks gave."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     score = F.coalesce("score", F.raise_error(F.lit("a score among the best is no bigint")).cast("long")).alias("score")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)

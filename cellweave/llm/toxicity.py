@@ -1,14 +1,14 @@
 """Toxicity by maximum-scoring segments.
 
 A token's weight is the log-odds of its document share in toxic against other labelled texts, with an informative
-Dirichlet prior from both; only weights that stand out by their
-likelihood ratio count. A token without one scores a small
+Dirichlet prior from both; only weights that stand out by their likelihood ratio count. A token without one scores a small
 negative drift, so a passage must hold enough toxic tokens close together. One linear scan finds all maximal-scoring
 segments of a text. Their scores are calibrated by an extreme-value law for the best segment of clean texts of a given
-length, and a logistic function of the summed significance gives the score.
+length, and a logistic function of the summed significance gives the score. The law is fitted by maximum likelihood; a
+clean text without a segment says that its best score is below the least that a segment can have.
 
-The weights and the calibration are fitted on disjoint halves of at most about ``FIT_ROWS`` labelled rows; what a text
-scores depends on nothing but its words.
+The weights and the calibration are fitted on disjoint parts, two thirds and one third, of at most about ``FIT_ROWS``
+labelled rows, which bounds the tokens of the model as well; what a text scores depends on nothing but its words.
 
 Edge cases: a null or empty text has no segment and gets the score of one; rows without a label teach nothing; without any
 usable label all scores are the share of toxic labels, 0.5 without labels; repeated rows are scored each; very long texts
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import table, whole_text
 
-#: Labelled rows that the fit uses at most, about; tokens that the model keeps at most.
-FIT_ROWS, MODEL_TOKENS = 24_000, 50_000
+#: Labelled rows that the fit uses at most, about.
+FIT_ROWS = 24_000
 PRIOR, LEAST_DOCS, DRIFT, TOP = 30.0, 4, 0.1, 8.0
 #: A weight needs this log-likelihood ratio (chance gives it to one token in a million) and this size.
 LEAST_G, LEAST_DELTA = 26.0, 1.0
@@ -122,13 +122,24 @@ def fit_weights(counts: list[tuple[str, int, int]], n1: int, n0: int) -> dict[st
 
 
 def fit_calibration(model: Model, best: np.ndarray, length: np.ndarray, toxic: np.ndarray) -> None:
-    """The extreme-value law of clean texts' best segments: by the moments of score against the log of the length."""
-    clean = best[toxic == 0]
-    spread = clean.std() if len(clean) > 1 else 0.0
-    model.lam = float(np.pi / (spread * 6**0.5)) if spread > 1e-6 else 1.0
-    model.lam = min(max(model.lam, 0.2), 3.0)
-    rest = model.lam * clean - np.log(np.maximum(length[toxic == 0], 1))
-    model.log_k = float(rest.mean() - np.euler_gamma) if len(clean) else 0.0
+    """The extreme-value law of clean texts' best segments: the expected number of segments of score s or more in a text
+    of n tokens is exp(log_k - lam * s) * n.
+
+    ``best`` is 0 where a text has no segment. For each lam the likeliest k is known, so one number is searched for.
+    """
+    clean = toxic == 0
+    least = min((w for w in model.weight.values() if w > 0), default=1.0)
+    seen, log_n = best[clean] > 0, np.log(np.maximum(length[clean], 1))
+    score, m = np.where(seen, best[clean], least), max(float(seen.sum()), 0.5)
+
+    def log_total(lam: float) -> float:
+        x = log_n - lam * score
+        return float(x.max() + np.log(np.exp(x - x.max()).sum())) if len(x) else 0.0
+
+    lams = np.geomspace(0.02, 20.0, 400)
+    likely = [m * np.log(lam) - m * log_total(lam) - lam * float(score[seen].sum()) for lam in lams]
+    model.lam = float(lams[int(np.argmax(likely))]) if seen.any() else 1.0
+    model.log_k = float(np.log(m) - log_total(model.lam)) if clean.any() else 0.0
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -180,21 +191,28 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mode
     part_g = lambda y, n: F.when(y > 0, y * F.log(y * (n1 + n0) / ((y1 + y0) * n))).otherwise(0.0)
     g = 2 * (part_g(y1, n1) + part_g(y0, n0))
     odd = counted.where(f"y1 + y0 >= {LEAST_DOCS} AND w <> ''").withColumn("g", g).where(F.col("g") >= LEAST_G)
-    rows = odd.orderBy(F.col("g").desc(), "w").limit(MODEL_TOKENS).select("w", "y1", "y0").collect()
+    rows = odd.select("w", "y1", "y0").collect()  # at most the tokens that LEAST_DOCS of the fit's rows hold
     model = Model(fit_weights([(r.w, r.y1, r.y0) for r in rows], size.y1, size.y0))
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rest = sample.where("half = 0").select("text", "toxic")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [model.segments(t) for t in b["text"].tolist()]
-            yield pd.DataFrame({"toxic": b["toxic"], "n": [n for _, n in got], "s": [[x[2] for x in s] for s, _ in got]})
+            yield pd.DataFrame({"toxic": b["toxic"], "n": [n for _, n in got], "s": [max((x[2] for x in s), default=0.0) for s, _ in got]})
 
-    seen = sample.where("half = 0").select("text", "toxic").mapInPandas(measure, "toxic int, n int, s array<double>").collect()
+    seen = rest.mapInPandas(best, "toxic int, n int, s double").collect()  # three numbers a row of the fit's third
     toxic, length = np.array([r.toxic for r in seen]), np.array([r.n for r in seen], float)
     if not toxic.any() or toxic.all():
         return flat
-    fit_calibration(model, np.array([max(r.s, default=0.0) for r in seen]), length, toxic)
-    sums = [sum(max(0.0, model.lam * s - model.log_k - log(max(r.n, 1))) for s in r.s) for r in seen]
-    model.slope, model.offset = fit_logistic(np.log1p(sums), toxic.astype(float))
+    fit_calibration(model, np.array([r.s for r in seen]), length, toxic)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"toxic": b["toxic"], "x": [log(1.0 + model.significance(t)) for t in b["text"].tolist()]})
+
+    pairs = rest.mapInPandas(summed, "toxic int, x double").collect()
+    model.slope, model.offset = fit_logistic(np.array([r.x for r in pairs]), np.array([float(r.toxic) for r in pairs]))
     return model
 
 

@@ -1,5 +1,6 @@
-"""Packing of more pieces than a shard holds, where dealing anew settles little."""
+"""Packing of more pieces than a shard holds, the genetic step, and whole sequences."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from cellweave.llm import packing
 
 
 def pieces_of(spark, n, length):
-    return spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), length.cast("long").alias("length"), F.col("id").alias("ids_crc32"))
+    return spark.range(n).select(F.col("id").alias("row"), length.cast("long").alias("length"))
 
 
 @pytest.mark.parametrize("kind", ["equal, over half", "equal, two fit", "over half", "mixed"])
@@ -22,8 +23,9 @@ def test_levels_end(spark, monkeypatch, kind):
         return one(*args)
 
     monkeypatch.setattr(packing, "packed_shards", counted)
-    got = packing.packed(pieces_of(spark, n, length)).select("doc_id", "sequence_id", "offset", "length").collect()
-    assert sorted(r.doc_id for r in got) == list(range(n))
+    items = pieces_of(spark, n, length)
+    got = packing.packed(items).join(items, "row").collect()
+    assert sorted(r.row for r in got) == list(range(n))
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -44,7 +46,7 @@ def test_sequence_numbers_of_many_levels_differ(spark, monkeypatch):
     def one_settled(items, *_):
         k = len(levels)
         levels.append(k)
-        settled = F.col("item.doc_id") == k
+        settled = F.col("item.row") == k
         rows = items.select(F.lit(0).cast("long").alias("shard"), F.when(settled, 0).otherwise(1).alias("bin"), F.when(settled, packing.CAPACITY).otherwise(1).cast("long").alias("fill"), "item")
         return packing.written(rows, "one"), 1 if k == 65 else 2
 
@@ -52,3 +54,56 @@ def test_sequence_numbers_of_many_levels_differ(spark, monkeypatch):
     monkeypatch.setattr(packing, "MOST_LEFT", 1.0, raising=False)
     got = packing.packed(pieces_of(spark, 66, F.lit(1)).coalesce(1)).collect()
     assert len(levels) == 66 and len({r.sequence_id for r in got}) == 66
+
+
+def test_crossover_beats_best_fit():
+    """Pieces of which three fill a sequence exactly: best fit, longest first, is far from the 40 sequences there are."""
+    better = 0
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        a, b = r.integers(520, 800, (2, 40))
+        sizes = np.concatenate([a, b, packing.CAPACITY - a - b])
+        of, room = [0] * len(sizes), []
+        packing.best_fit(sizes.tolist(), np.argsort(-sizes, kind="stable").tolist(), room, of, packing.CAPACITY)
+        started, bred = (packing.evolved(sizes, [], packing.CAPACITY, seed, generations=g)[0] for g in (0, 60))
+        assert (np.bincount(bred, weights=sizes) <= packing.CAPACITY).all() and len(bred) == len(sizes)
+        n = [len(room), len(set(started.tolist())), len(set(bred.tolist()))]
+        assert 40 <= n[2] <= n[1] <= n[0]
+        better += n[2] < n[1]
+    assert better
+
+
+def test_sequences_are_few_and_equal_rows_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    """10,000 equal rows with one id, and rows of mixed length: near the lower bound, in shards of bounded size."""
+    monkeypatch.setattr(packing, "SHARD", 1500)
+    rows = spark.range(10_000).select(F.lit(7).alias("doc_id"), F.lit("one two three").alias("text"))
+    more = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.pmod(F.xxhash64("id"), F.lit(1500)).cast("int")).alias("text"))
+    rows.unionByName(more.withColumn("doc_id", F.col("doc_id").cast("int"))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op7_best_fit_packing(spark, str(tmp_path))
+    s = got.agg(F.sum("length").alias("n"), F.count_distinct("sequence_id").alias("bins"), F.count("*").alias("rows")).first()
+    assert s.rows == 13_000 and s.bins <= 1.01 * -(-s.n // packing.CAPACITY)
+    sizes = spark.range(10_000).select(F.col("id").alias("row"), F.lit(5).alias("length"))
+    level, shards = packing.packed_shards(sizes.select(F.struct("length", "row").alias("item")), 10_000, 2048, 1500)
+    assert shards == 7 and level.groupBy("shard").count().agg(F.max("count")).first()[0] < 2200
+
+
+def test_a_sequence_is_its_pieces_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, texts = Tokenizer.from_file(path), {1: "a b c", 2: None, 3: "word " * 5000, 4: " " * 5000}
+    got = packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), path).collect()
+    by_doc, by_place = {}, {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+        ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
+        assert len(ids) == r.length and r.start == len(by_doc.setdefault(r.doc_id, []))
+        by_doc[r.doc_id] += ids
+        by_place.setdefault(r.sequence_id, {})[r.offset] = ids
+    assert by_doc == {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in texts.items()}
+    for places in by_place.values():
+        at = 0
+        for offset in sorted(places):
+            assert offset == at
+            at += len(places[offset])
+        assert at <= packing.CAPACITY

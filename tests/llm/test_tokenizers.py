@@ -57,3 +57,25 @@ def test_codec(texts):
     ids = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x, _ in got] == ids
     assert [s for _, s in got] == [t.decode(x, skip_special_tokens=False) for x in ids]
+
+
+def test_long_runs():
+    """Runs of white space and words that a pattern or a round a merge cannot take."""
+    from cellweave.llm.bpe_codec import WordBpe
+    from cellweave.llm.packing import Encoder
+    from cellweave.llm.token_count import Counter
+
+    r = random.Random(4)
+    run = ["w" + " " * 2_000_000 + "x", "a\n" + "\n \t" * 400_000, "w " + " " * 3000 + "<|endoftext|> b" + "　" * 1500 + "!", " " * 1500 + "\n" + " " * 20 + "é"]
+    run += ["  \x1c" * 900 + "a", "a" * 50_000, "".join(r.choice("abcdefgh") for _ in range(40_000)), "Σé" * 3000 + " b " + "the" * 2000]
+    path, t = library("byte_bpe_50k.json")
+    encode, count = Encoder(path), Counter(path)
+    for x in run:
+        want = t.encode(x, add_special_tokens=False).ids
+        assert np.frombuffer(encode([x])[0], "<u4").tolist() == want and count(x) == len(want)
+    path, t = library("word_bpe_49k.json")
+    codec = WordBpe(path)
+    for x in run[4:]:
+        want = t.encode(x, add_special_tokens=False).ids
+        ((ids, text),) = codec.encode_batch([x])
+        assert np.frombuffer(ids, "<u4").tolist() == want and text == t.decode(want, skip_special_tokens=False)
