@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over the documents table, each written as Parquet and read back as the next one's docs.
 
 1. toxicity: scores every text and drops the toxic ones; the labels of the sound fifth are never learned from.
-2. near_duplicates: one document of each group of near copies (five-word shingles, likeness 0.8 or more) stays.
+2. near_duplicates: one document of each group of near copies (five-word shingles, likeness 0.8 or more) stays, the one
+   with the least id; documents without words are no copies and all stay.
 3. repeated_passages: bytes covered by a 200-byte string that also starts elsewhere are cut; a text keeps its place even
    where little is left, and is cut at whole characters.
 4. secrets: every finding is replaced by a mark; all documents stay.
@@ -32,15 +33,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash_dedup.near_duplicates(docs, k=5)
-    rows, unique = keyed(docs.select(*COLUMNS))
-    kept = found.where("doc_id <=> component_id").select("key").distinct()
-    stay = rows.join(kept, "key", "left_semi")
-    return (stay if unique else stay.dropDuplicates(["key"])).select(*COLUMNS)
+    rows, by_id = keyed(docs.select(*COLUMNS))
+    found = minhash_dedup.near_duplicates(rows, by_id, k=5)
+    return rows.join(found.where("first").select("key"), "key", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, _ = suffix_dedup.deduplicated(docs.select(*COLUMNS))
+    rows = suffix_dedup.deduplicated(docs.select(*COLUMNS))
     whole = rows.where("spans IS NULL").select(*COLUMNS)
     schema = docs.select(*COLUMNS).schema
 
@@ -75,7 +74,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Minima, suffix arrays, a fitted score and a genetic search are beyond SQL; tests/llm holds the stages against brute force.
+#: Minima, suffix arrays, a fitted score and a genetic search are beyond SQL; tests/llm/test_pipeline.py holds each stage
+#: against a brute-force version of it.
 ORACLE_SQL = None
 
 
