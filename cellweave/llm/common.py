@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a group's part holds on average where a group is dealt in parts, and the most parts it is dealt in.
-PART_ROWS, MOST_PARTS = 1000, 4096
+PART_ROWS, MOST_PARTS = 250, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,17 +88,19 @@ def dealt(rows: DataFrame, by: list[str], spread: str, parts: int) -> DataFrame:
 
     What joins or groups the result by ``by`` and ``_part`` moves it no more, and a group of any size fills no one task.
     """
-    part = F.pmod(F.xxhash64(F.lit(11), spread), F.lit(parts)).cast("int")
+    part = F.coalesce(F.pmod(F.xxhash64(F.lit(11), spread), F.lit(parts)).cast("int"), F.lit(0))
     return rows.withColumn("_part", part).repartition(*by, "_part")
 
 
 def with_totals(rows: DataFrame, by: list[str], partial: list[Column], total: list[Column], keep: Column | None = None, costly: bool = False) -> DataFrame:
     """``dealt`` rows with aggregates of their whole group: ``partial`` of each part, ``total`` of those.
 
-    Rows of groups for which ``keep`` does not hold are left out. No task gathers a group: the totals are made of at most
-    one row a part and go back to the parts. ``costly`` rows are computed and moved once: the aggregates then use every
-    column, so that both sides of the join read one exchange.
+    Rows of groups for which ``keep`` does not hold, or with a null in ``by``, are left out. No task gathers a group: the
+    totals are made of at most one row a part and go back to the parts. ``costly`` rows are computed and moved once: the
+    aggregates then use every column, so that all sides read one exchange.
     """
+    for c in by:  # said here, so that no side gets a filter of its own
+        rows = rows.where(F.col(c).isNotNull())
     every = [F.max(F.xxhash64(*rows.columns)).alias("_every")] if costly else []
     some = rows.groupBy(*by, "_part").agg(*partial, *every)
     if costly:

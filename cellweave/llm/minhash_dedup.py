@@ -30,7 +30,7 @@ MINIMA, ROWS, BANDS = 256, 4, 32
 #: The share of equal minima below which a pair is not compared on full sets: 0.8 less five standard deviations.
 LEAST_ESTIMATE = 0.675
 #: Members of a bucket up to which its pairs are moved one by one; members and shingles of a larger one's blocks.
-SMALL, BLOCK, BLOCK_ITEMS = 24, 2000, 2_000_000
+SMALL, BLOCK, BLOCK_ITEMS = 24, 500, 1_000_000
 #: Rows that a comparing task gets on average, and the most tasks.
 TASK_ROWS, MOST_TASKS = 10_000, 50_000
 
@@ -316,7 +316,7 @@ def linked_keys(rows: DataFrame, k: int = WORDS, share: tuple[int, int] = SHARE)
 
     exploded = dealt(reps.select("key", "n", F.explode("bands").alias("bucket")), ["bucket"], "key", parts)
     hub, m = F.min("key").alias("hub"), F.count("*").alias("m")
-    shared = with_totals(exploded, ["bucket"], [hub, m], [F.min("hub").alias("hub"), F.sum("m").alias("m")], F.col("m") > 1)
+    shared = with_totals(exploded, ["bucket"], [hub, m], [F.min("hub").alias("hub"), F.sum("m").alias("m")], F.col("m") > 1, costly=True)
     members = written(shared.select("bucket", "key", "n", "hub"), "members")
     sets = written(shingle_sets(rows.join(members.select("key").distinct(), "key"), k), "sets")
 

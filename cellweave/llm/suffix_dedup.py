@@ -1,8 +1,8 @@
 """Suffix-array dedup: removes every byte covered by a 200-byte string that also starts elsewhere.
 
 Every 200-byte window of a text picks its least 48-byte gram by hash, so equal windows pick the same gram. Neighbouring
-windows with one gram form a context. A gram that occurs once is done with; where all contexts of a gram are equal, they
-repeat whole. The other contexts are dealt by gram, each distinct one once with its number of places, and a shard's
+windows with one gram form a context. A gram that occurs once is done with; where each context of a gram has several
+places, all of them repeat whole and there is nothing to sort. The other contexts are dealt by gram, each distinct one once with its number of places, and a shard's
 contexts, apart by separators, are sorted by induced sorting: suffixes are classified, the leftmost-smaller substrings
 are sorted and named, the string of names recursively, and the suffix array is induced from them in linear time. Permuted
 common prefixes of 200 bytes or more, irreducible ones compared and the others derived, mark the windows that repeat. The
@@ -423,8 +423,8 @@ def marks_in(bodies: DataFrame, parts: int, scratch: list[DataFrame]) -> DataFra
     kinds = cut.groupBy("sub", "subctx").agg(F.sum("n").alias("n"), F.min(F.struct("gram", "ctx", "off")).alias("of"))
     count, least = F.count("*").alias("kinds"), F.min("n").alias("least")
     counted = with_totals(dealt(kinds, ["sub"], "subctx", parts), ["sub"], [count, least], [F.sum("kinds").alias("kinds"), F.min("least").alias("least")])
-    alike = counted.where("kinds = 1 AND n > 1").select("sub", "subctx", "of")
-    wanted = counted.where("kinds > 1").select("sub", "subctx", F.col("n").alias("_n"), "kinds", "of.gram", "of.ctx", "of.off")
+    alike = counted.where("least > 1").select("sub", "subctx", "of")
+    wanted = counted.where("least = 1 AND kinds > 1").select("sub", "subctx", F.col("n").alias("_n"), "kinds", "of.gram", "of.ctx", "of.off")
     reps = cut.drop("sub", "subctx", "n").join(wanted, ["gram", "ctx", "off"]).select(F.col("sub").alias("gram"), F.col("subctx").alias("ctx"), F.col("_n").alias("n"), "kinds", "at", "lo", "hi", "size", "body")
     reps = written(reps, "bodies")
     scratch.append(reps)
@@ -448,11 +448,13 @@ def marks(rows: DataFrame) -> DataFrame:
     shared = written(shared.select("gram", "ctx", "key", "at", "size", F.expr("c1 <> c2").alias("several")), "places")
     several = shared.where("several").drop("several")
     kinds = several.groupBy("gram", "ctx").agg(F.min(F.struct("key", "at", "size")).alias("of"), F.count("*").alias("n"))
-    counted = with_totals(dealt(kinds, ["gram"], "ctx", parts), ["gram"], [F.count("*").alias("kinds")], [F.sum("kinds").alias("kinds")])
-    wanted = counted.groupBy(F.col("of.key").alias("key")).agg(F.collect_list(F.struct("gram", "ctx", "n", "kinds", "of.at", "of.size")).alias("wants"))
+    count, least = F.count("*").alias("kinds"), F.min("n").alias("least")
+    counted = with_totals(dealt(kinds, ["gram"], "ctx", parts), ["gram"], [count, least], [F.sum("kinds").alias("kinds"), F.min("least").alias("least")])
+    sure = counted.where("least > 1").select("gram", "ctx", F.array(F.lit(0)).alias("s"), F.array("of.size").alias("e"))
+    wanted = counted.where("least = 1").groupBy(F.col("of.key").alias("key")).agg(F.collect_list(F.struct("gram", "ctx", "n", "kinds", "of.at", "of.size")).alias("wants"))
     bodies = written(cut_out(rows.join(wanted, "key").select("text", "wants")), "bodies")
     scratch = [shared, bodies]
-    found = marks_in(bodies, parts, scratch)
+    found = marks_in(bodies, parts, scratch).unionByName(sure)
     spans = with_found(dealt(several, ["gram", "ctx"], "key", parts), found, ["gram", "ctx"]).select("key", "at", F.explode(F.arrays_zip("s", "e")).alias("x"))
     partly = spans.select("key", (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e"))
     whole = shared.where("NOT several").select("key", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))
