@@ -92,28 +92,32 @@ def dealt(rows: DataFrame, by: list[str], spread: str, parts: int) -> DataFrame:
     return rows.withColumn("_part", part).repartition(*by, "_part")
 
 
-def with_totals(rows: DataFrame, by: list[str], partial: list[Column], total: list[Column], keep: Column | None = None, costly: bool = False) -> DataFrame:
+def with_totals(rows: DataFrame, by: list[str], partial: list[Column], total: list[Column], keep: Column | None = None) -> DataFrame:
     """``dealt`` rows with aggregates of their whole group: ``partial`` of each part, ``total`` of those.
 
     Rows of groups for which ``keep`` does not hold, or with a null in ``by``, are left out. No task gathers a group: the
-    totals are made of at most one row a part and go back to the parts. ``costly`` rows are computed and moved once: the
-    aggregates then use every column, so that all sides read one exchange.
+    totals are made of at most one row a part and go back to the parts.
     """
-    for c in by:  # said here, so that no side gets a filter of its own
-        rows = rows.where(F.col(c).isNotNull())
-    every = [F.max(F.xxhash64(*rows.columns)).alias("_every")] if costly else []
-    some = rows.groupBy(*by, "_part").agg(*partial, *every)
-    if costly:
-        some = some.where("_every IS NOT NULL")
+    rows, some = _in_parts(rows, by, partial)
     whole = some.groupBy(*by).agg(*total)
     whole = whole if keep is None else whole.where(keep)
     return rows.join(some.select(*by, "_part").join(whole, by), [*by, "_part"])
 
 
 def with_found(rows: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
-    """``dealt`` rows left-joined to ``found``, which has one row for each value of ``by``."""
-    there = rows.groupBy(*by, "_part").agg(F.lit(1).alias("_one")).drop("_one")
-    return rows.join(there.join(found, by), [*by, "_part"], "left")
+    """``dealt`` rows left-joined to ``found``, which has one row for each value of ``by``; rows with a null there are left
+    out."""
+    rows, some = _in_parts(rows, by, [])
+    return rows.join(some.select(*by, "_part").join(found, by), [*by, "_part"], "left")
+
+
+def _in_parts(rows: DataFrame, by: list[str], partial: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and their aggregates by part. The aggregates use every column and both have one filter, so that all that
+    is made of them reads one exchange: the rows are computed and moved once."""
+    for c in by:
+        rows = rows.where(F.col(c).isNotNull())
+    every = F.max(F.xxhash64(*rows.columns)).alias("_every")
+    return rows, rows.groupBy(*by, "_part").agg(*partial, every).where("_every IS NOT NULL")
 
 
 Query = Callable[[SparkSession, str], DataFrame]

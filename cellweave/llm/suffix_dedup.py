@@ -444,7 +444,7 @@ def marks(rows: DataFrame) -> DataFrame:
     parts = parts_for(rows.count())
     moved = dealt(places(rows), ["gram"], "key", parts)
     count, low, high = F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")
-    shared = with_totals(moved, ["gram"], [count, low, high], [F.sum("n").alias("n"), F.min("c1").alias("c1"), F.max("c2").alias("c2")], F.col("n") > 1, costly=True)
+    shared = with_totals(moved, ["gram"], [count, low, high], [F.sum("n").alias("n"), F.min("c1").alias("c1"), F.max("c2").alias("c2")], F.col("n") > 1)
     shared = written(shared.select("gram", "ctx", "key", "at", "size", F.expr("c1 <> c2").alias("several")), "places")
     several = shared.where("several").drop("several")
     kinds = several.groupBy("gram", "ctx").agg(F.min(F.struct("key", "at", "size")).alias("of"), F.count("*").alias("n"))
