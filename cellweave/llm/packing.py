@@ -273,11 +273,16 @@ def packed(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD)
     return every.select("item.row", "sequence_id", F.coalesce(F.sum("item.length").over(place), F.lit(0)).cast("long").alias("offset"))
 
 
+def placed_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, piece, start, length, ids) of every piece, and (row, sequence_id, offset): its place."""
+    items = written(pieces(docs, path, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return items.withColumn("length", F.col("length").cast("long")), packed(items.select("row", "length"), capacity)
+
+
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece."""
-    items = written(pieces(docs, path, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    made = items.join(packed(items.select("row", "length"), capacity), "row")
-    return made.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids", "sequence_id", "offset")
+    items, placed = placed_pieces(docs, path, capacity, end_id)
+    return items.join(placed, "row").drop("row")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -287,8 +292,9 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pack_documents(table(spark, sf_dir, "documents"), vocabulary())
-    return made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    items, placed = placed_pieces(table(spark, sf_dir, "documents"), vocabulary())
+    digests = items.select("row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))  # before the join, which then moves no ids
+    return digests.join(placed, "row").drop("row")
 
 
 QUERIES = {"op7_best_fit_packing": op7_best_fit_packing}
