@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.expr import text_key
+from .relational import ranked
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -24,98 +24,126 @@ def error_metrics(y: str = "y", p: str = "y_pred") -> list[Column]:
     return [F.count("*").alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), r2.alias("r2"), mape.alias("mape"), (mape * 100).alias("error_pct"), guarded_corr(y, p).alias("pearson")]
 
 
-def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """(value, out): the average rank of each distinct value, from counts of values that are ranged and summed up."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    cuts = sorted(set(counts.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 10_000).alias("q")).first().q or []))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + F.when(F.col(value) >= F.lit(c), 1).otherwise(0)
-    ranged = counts.withColumn("_r", part)
-    sizes = {r["_r"]: r["n"] for r in ranged.groupBy("_r").agg(F.sum("_n").alias("n")).collect()}  # at most 64 rows
-    offsets = [sum(n for r, n in sizes.items() if r < k) for k in range(len(cuts) + 1)]
-    before = F.sum("_n").over(Window.partitionBy("_r").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    offset = F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_r"))
-    return ranged.withColumn(out, offset + before + (F.col("_n") + 1) / 2).select(value, out)
+#: Points that one task counts on average, and the most ranges that either value is cut into.
+RANGE_POINTS, MOST_RANGES = 50_000, 1024
 
 
-def spearman(rows: DataFrame, y: str = "y", p: str = "y_pred") -> DataFrame:
-    """One row: the correlation of average ranks."""
-    ranks = rows.select(y, p).join(average_ranks(rows, y, "_a"), y).join(average_ranks(rows, p, "_b"), p)
-    return ranks.agg(guarded_corr("_a", "_b").alias("spearman"))
-
+def rank_correlations(rows: DataFrame, y: str = "y", p: str = "y_pred") -> tuple[float | None, float | None]:
+    """Spearman's rho and Kendall's tau-b of the rows, None where either value does not vary; no pairs are formed.
 
-def kendall(rows: DataFrame, y: str = "y", p: str = "y_pred", buckets: int = 64) -> DataFrame:
-    """One row: Kendall's tau-b over all pairs without forming them.
-
-    Equal points are counted once with their number. Both values are cut into ranges. Pairs in different ranges of both
-    are read from the table of range counts; pairs within a range of the first, and within a range of the second but not
-    of the first, are counted by merging inside the range. Ties come from the counts of equal values.
+    Equal points are counted once with their number. Both values are cut into ranges, whose number follows from the rows;
+    each cut, and each value so common that it is several quantiles, is a range of its own, whose points are all tied.
+    Pairs in different ranges of both values are read from the table of range counts, the others are counted inside the
+    ranges: first along y, which also gives each point its rank in y, then along p, which sums the products of the ranks.
     """
-    points = rows.groupBy(F.col(y).alias("a"), F.col(p).alias("b")).agg(F.count("*").alias("n"))
-    cuts = points.agg(*[F.percentile_approx(c, [i / buckets for i in range(1, buckets)], 10_000).alias(c) for c in ("a", "b")]).first()
-
-    def part(c: str) -> Column:
-        out = F.lit(0)
-        for x in sorted(set(cuts[c] or [])):
-            out = out + F.when(F.col(c) >= F.lit(x), 1).otherwise(0)
+    steps = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    one = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(c, steps, 100_000).alias(k) for c, k in ((y, "a"), (p, "b"))]).first()
+    if not one.n:
+        return None, None
+    each = max(1, MOST_RANGES // max(1, min(MOST_RANGES, one.n // RANGE_POINTS)))
+    cuts = {k: sorted({x for x, z in zip(one[k], one[k][1:]) if x == z} | set(one[k][each - 1 :: each])) for k in ("a", "b")}
+
+    def place(k: str) -> Column:  # even between cuts, odd on one
+        edges = F.array(*[F.lit(float(c)) for c in cuts[k]]) if cuts[k] else F.array().cast("array<double>")
+        return 2 * F.size(F.filter(edges, lambda c: c < F.col(k))) + F.array_contains(edges, F.col(k)).cast("int")
+
+    points = rows.groupBy(F.col(y).cast("double").alias("a"), F.col(p).cast("double").alias("b")).agg(F.count("*").cast("double").alias("n"))
+    points = points.withColumn("i", place("a")).withColumn("j", place("b"))
+    cells = np.zeros((2 * len(cuts["a"]) + 1, 2 * len(cuts["b"]) + 1))
+    for r in points.groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # at most a row a pair of ranges
+        cells[r.i, r.j] = r.n
+    score = _apart(cells) - _apart(cells[:, ::-1])
+    in_a, in_b = cells.sum(axis=1), cells.sum(axis=0)
+    before_a, before_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+    middle = (one.n + 1) / 2
+    held = lambda x: F.array(*[F.lit(float(v)) for v in x])
+
+    def along_a(f: pd.DataFrame) -> pd.DataFrame:
+        rank, ties = _ranks(f["a"].to_numpy(), f["n"].to_numpy())
+        out = f[["i", "j", "b", "n"]].assign(ra=rank + before_a[int(f["i"].iloc[0])] - middle, s=0.0, t=0.0)
+        out.iloc[0, out.columns.get_indexer(["s", "t"])] = concordance(f["a"].to_numpy(), f["b"].to_numpy(), f["n"].to_numpy()), ties
         return out
 
-    placed = points.withColumn("i", part("a")).withColumn("j", part("b"))
-    cells = np.zeros((buckets, buckets))
-    for r in placed.groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # at most buckets ** 2 rows
-        cells[r.i, r.j] = r.n
+    tied = F.get(held(before_a + (in_a + 1) / 2 - middle), F.col("i"))
+    ranked = points.where("i % 2 = 0").groupBy("i").applyInPandas(along_a, "i int, j int, b double, n double, ra double, s double, t double")
+    ranked = ranked.unionByName(points.where("i % 2 = 1").select("i", "j", "b", "n", tied.alias("ra"), F.lit(0.0).alias("s"), F.lit(0.0).alias("t")))
+
+    def along_b(f: pd.DataFrame) -> pd.DataFrame:
+        n, ra = f["n"].to_numpy(), f["ra"].to_numpy()
+        rank, ties = _ranks(f["b"].to_numpy(), n)
+        rb = rank + before_b[int(f["j"].iloc[0])] - middle
+        s = concordance(f["i"].to_numpy(), f["b"].to_numpy(), n) + f["s"].sum()
+        return pd.DataFrame({"s": [s], "ta": [f["t"].sum()], "tb": [ties], "ab": [(n * ra * rb).sum()], "aa": [(n * ra * ra).sum()], "bb": [(n * rb * rb).sum()]})
+
+    names = "s double, ta double, tb double, ab double, aa double, bb double"
+    rb = F.get(held(before_b + (in_b + 1) / 2 - middle), F.col("j"))
+    rest = ranked.where("j % 2 = 1").withColumn("rb", rb).agg(
+        F.sum("s").alias("s"), F.sum("t").alias("ta"), F.lit(0.0).alias("tb"), F.sum(F.col("n") * F.col("ra") * F.col("rb")).alias("ab"),
+        F.sum(F.col("n") * F.col("ra") * F.col("ra")).alias("aa"), F.sum(F.col("n") * F.col("rb") * F.col("rb")).alias("bb"),
+    )
+    near = ranked.where("j % 2 = 0").groupBy("j").applyInPandas(along_b, names)
+    sums = near.unionByName(rest).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("s", "ta", "tb", "ab", "aa", "bb")]).first()
+    every = one.n * (one.n - 1) / 2
+    pairs = lambda x: float((x[1::2] * (x[1::2] - 1) / 2).sum())
+    left_a, left_b = every - sums.ta - pairs(in_a), every - sums.tb - pairs(in_b)
+    varies = left_a > 0 and left_b > 0
+    return (sums.ab / (sums.aa * sums.bb) ** 0.5, (score + sums.s) / (left_a * left_b) ** 0.5) if varies else (None, None)
+
+
+def _apart(cells: np.ndarray) -> float:
+    """Pairs of which one lies in a later row and column."""
     later = np.cumsum(np.cumsum(cells[::-1, ::-1], axis=0), axis=1)[::-1, ::-1]
-    total = float((cells[:-1, :-1] * later[1:, 1:]).sum())
-    flipped = cells[:, ::-1]
-    later = np.cumsum(np.cumsum(flipped[::-1, ::-1], axis=0), axis=1)[::-1, ::-1]
-    score = total - float((flipped[:-1, :-1] * later[1:, 1:]).sum())
+    return float((cells[:-1, :-1] * later[1:, 1:]).sum())
 
-    def inside(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"s": [concordance(f["u"].to_numpy(), f["v"].to_numpy(), f["n"].to_numpy(float))]})
 
-    one = placed.groupBy("i").applyInPandas(lambda f: inside(f.rename(columns={"a": "u", "b": "v"})), "s double")
-    other = placed.groupBy("j").applyInPandas(lambda f: inside(f.rename(columns={"i": "u", "b": "v"})), "s double")
-    near = one.unionByName(other).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
-    ties = lambda c: rows.groupBy(c).count().agg((F.sum(F.col("count") * (F.col("count") - 1.0)) / 2).alias("t"), F.sum("count").alias("n"))
-    a, b = ties(y).select(F.col("t").alias("ta"), "n"), ties(p).select(F.col("t").alias("tb"))
-    every = F.col("n") * (F.col("n") - 1.0) / 2
-    below = F.sqrt((every - F.col("ta")) * (every - F.col("tb")))
-    return near.crossJoin(a).crossJoin(b).select(F.try_divide(F.col("s") + score, below).alias("kendall"))  # single rows
+def _ranks(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+    """Average ranks of weighted values, and the number of tied pairs."""
+    _, at = np.unique(values, return_inverse=True)
+    size = np.bincount(at, weights=n)
+    return (np.cumsum(size) - size + (size + 1) / 2)[at], float((size * (size - 1) / 2).sum())
 
 
 def concordance(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> float:
-    """Concordant less discordant pairs of weighted points; pairs equal in either value count nothing."""
-    v = np.unique(v, return_inverse=True)[1]
-    order = np.argsort(u, kind="stable")
-    u, v, n = u[order], v[order], n[order]
-    edge = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
-    tree, size, total = np.zeros(len(v) + 2), int(v.max()) + 1 if len(v) else 0, 0.0
-    seen = 0.0
-    for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(u)]):
-        for k in range(s, e):
-            total += n[k] * (_upto(tree, v[k]) - (seen - _upto(tree, v[k] + 1)))
-        for k in range(s, e):
-            i = int(v[k]) + 1
-            while i <= size:
-                tree[i] += n[k]
-                i += i & -i
-            seen += n[k]
-    return float(total)
-
-
-def _upto(tree: np.ndarray, k: int) -> float:
-    total, i = 0.0, int(k)
-    while i > 0:
-        total += tree[i]
-        i -= i & -i
-    return total
+    """Concordant less discordant pairs of weighted points; pairs equal in either value count nothing.
+
+    Counted by merging halves of twice the width on each level; pairs with one u, which lie in order of v, are taken off.
+    """
+    u, v = np.unique(u, return_inverse=True)[1], np.unique(v, return_inverse=True)[1]
+    order = np.lexsort((v, u))
+    u, v, n = u[order], v[order], np.asarray(n, float)[order]
+    m, total, width, place = len(v), 0.0, 1, np.arange(len(v))
+    while width < m:
+        block, right = place // (2 * width), (place // width) % 2 == 1
+        left = np.where(right, 0.0, n)
+        whole = np.bincount(block, weights=left)
+        start = np.cumsum(whole) - whole
+        key = (block * (m + 1) + v) * 2
+        for after in (True, False):  # left ones of the same v behind and before the right one
+            o = np.argsort(key + (right if not after else ~right), kind="stable")
+            o, upto = o[right[o]], np.cumsum(left[o])[right[o]]
+            total += float((n[o] * (upto - start[block[o]])).sum())
+        total -= float((n * whole[block])[right].sum())
+        width *= 2
+    _, of = np.unique(u * (m + 1) + v, return_inverse=True)
+    in_u, in_both = np.bincount(u, weights=n), np.bincount(of, weights=n)
+    return total - float(((in_u**2).sum() - (in_both**2).sum()) / 2)
+
+
+def spearman(rows: DataFrame, y: str = "y", p: str = "y_pred") -> DataFrame:
+    """One row: the correlation of average ranks."""
+    return rows.sparkSession.createDataFrame([(rank_correlations(rows, y, p)[0],)], "spearman double")
+
+
+def kendall(rows: DataFrame, y: str = "y", p: str = "y_pred") -> DataFrame:
+    """One row: Kendall's tau-b."""
+    return rows.sparkSession.createDataFrame([(rank_correlations(rows, y, p)[1],)], "kendall double")
 
 
 def regression_metrics(rows: DataFrame, y: str = "y", p: str = "y_pred") -> DataFrame:
     """One row with all metrics of the rows whose target and prediction are not null."""
     ok = rows.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    return ok.agg(*error_metrics(y, p)).crossJoin(spearman(ok, y, p)).crossJoin(kendall(ok, y, p))  # single rows
+    rho, tau = rank_correlations(ok, y, p)
+    return ok.agg(*error_metrics(y, p)).withColumn("spearman", F.lit(rho).cast("double")).withColumn("kendall", F.lit(tau).cast("double"))
 
 
 def diagnostics(y: str = "y", p: str = "y_pred") -> list[Column]:
@@ -138,6 +166,13 @@ def protocol_ranking(observed: DataFrame, early: DataFrame, posterior: DataFrame
     e = early.select(k, "prediction").groupBy("key").agg(F.avg("prediction").alias("early"))
     q = posterior.select(k, "posterior").groupBy("key").agg(F.max("posterior").alias("posterior"))
     both = o.join(e, "key", "left").join(q, "key", "left")
-    order = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.orderBy(F.col(c).desc_nulls_last(), "key")))  # noqa: E731  one row a protocol
-    return both.withColumn("observed_rank", order("mean")).withColumn("early_rank", order("early")).withColumn("residual", F.col("early") - F.col("mean"))
+    for c, out in (("mean", "observed_rank"), ("early", "early_rank")):
+        both = numbered(both, c, "key", out)
+    return both.withColumn("residual", F.col("early") - F.col("mean"))
+
+
+def numbered(rows: DataFrame, value: str, tie: str, out: str) -> DataFrame:
+    """``rows`` with their place by falling ``value`` and ``tie``, which is unique; null where the value is."""
+    named = ranked(rows.where(F.col(value).isNotNull()).select((-F.col(value)).alias("_v"), tie), ["_v", tie], out, start=1)
+    return rows.join(named.select(tie, F.col(out).cast("int").alias(out)), tie, "left")
 

@@ -62,14 +62,23 @@ def anonymised(rows: DataFrame, key: str, out: str = "anon", prefix: str = "anon
     return ranked(ids, ["k"], "i").select(key, F.format_string(f"{prefix}%05d", F.col("i")).alias(out))
 
 
-def ranked(rows: DataFrame, order: list[str], out: str, start: int = 0, ranges: int = 64) -> DataFrame:
-    """``rows`` numbered by ``order``, which must be unique: ranges by a sample, numbers within them, offsets of the counts."""
+#: Rows that a range holds on average, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 200_000, 1024
+
+
+def ranked(rows: DataFrame, order: list[str], out: str, start: int = 0) -> DataFrame:
+    """``rows`` numbered by ``order``, which must be unique: ranges by a sample, numbers within them, offsets of the counts.
+
+    The number of ranges follows from the rows; a few rows are one range and need no sample.
+    """
     first = order[0]
-    cuts = [r[0] for r in rows.select(first).where(F.col(first).isNotNull()).sample(min(1.0, 20_000 / max(1, rows.count())), seed=1).orderBy(first).collect()]
-    cuts = sorted({cuts[i * len(cuts) // ranges] for i in range(1, ranges)}) if cuts else []
-    part = F.lit(0)
-    for c in cuts:
-        part = part + F.when(F.col(first) >= F.lit(c), 1).otherwise(0)
+    n = rows.count()
+    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
+    cuts = []
+    if ranges > 1:
+        cuts = [r[0] for r in rows.select(first).where(F.col(first).isNotNull()).sample(min(1.0, 100 * ranges / n), seed=1).orderBy(first).collect()]
+        cuts = sorted({cuts[i * len(cuts) // ranges] for i in range(1, ranges)}) if cuts else []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(first))) if cuts else F.lit(0)
     ranged = rows.withColumn("_range", part)
     sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # at most ``ranges`` rows
     offsets, at = [], start
@@ -108,11 +117,20 @@ def stacked(first: DataFrame, second: DataFrame, row_id: str) -> DataFrame:
 
 
 def dataset_profile(rows: DataFrame) -> DataFrame:
-    """(column, nulls, distinct values, least, largest) in one pass; numbers as text."""
+    """(column, rows, nulls, distinct values, least, largest); numbers as text.
+
+    One pass for all but the distinct values, which each column counts for itself: counted at once, each row would be
+    moved once a column.
+    """
     cols = rows.columns
-    one = rows.agg(*[x for c in cols for x in (F.count_if(F.col(c).isNull()).alias(f"{c}|n"), F.count_distinct(c).alias(f"{c}|d"), F.min(c).cast("string").alias(f"{c}|lo"), F.max(c).cast("string").alias(f"{c}|hi"))], F.count("*").alias("|rows"))
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col("|rows").alias("rows"), F.col(f"{c}|n").alias("nulls"), F.col(f"{c}|d").alias("distinct"), F.col(f"{c}|lo").alias("least"), F.col(f"{c}|hi").alias("largest")) for c in cols])
-    return one.select(F.explode(each).alias("p")).select("p.*")
+    one = rows.agg(*[x for c in cols for x in (F.count_if(F.col(c).isNull()).alias(f"{c}|n"), F.min(c).cast("string").alias(f"{c}|lo"), F.max(c).cast("string").alias(f"{c}|hi"))], F.count("*").alias("|rows"))
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col("|rows").alias("rows"), F.col(f"{c}|n").alias("nulls"), F.col(f"{c}|lo").alias("least"), F.col(f"{c}|hi").alias("largest")) for c in cols])
+    stats = one.select(F.explode(each).alias("p")).select("p.*")
+    distinct = None
+    for c in cols:
+        n = rows.select(F.col(c).alias("_v")).where("_v IS NOT NULL").groupBy("_v").agg(F.lit(1).alias("_one")).agg(F.lit(c).alias("column"), F.count("*").alias("distinct"))
+        distinct = n if distinct is None else distinct.unionByName(n)
+    return stats.join(F.broadcast(distinct), "column")  # a row a column
 
 
 def classified(text: str | Column, rules: list[tuple[str, str]], default: str) -> Column:

@@ -60,7 +60,7 @@ def test_curves(spark):
     assert flat.identity_sum_abs == pytest.approx(0) and flat.identity_skew == 0 and flat.identity_log_var == pytest.approx(-30, abs=1e-6)
 
 
-def test_metrics(spark):
+def test_metrics(spark, monkeypatch):
     from cellweave.operators import metrics as M
 
     rng = np.random.default_rng(1)
@@ -69,8 +69,17 @@ def test_metrics(spark):
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, p)], "y double, y_pred double")
     s = np.sign(y[:, None] - y) * np.sign(p[:, None] - p)
     tau = s.sum() / np.sqrt(np.abs(np.sign(y[:, None] - y)).sum() * np.abs(np.sign(p[:, None] - p)).sum())
-    assert M.kendall(df, buckets=7).first()[0] == pytest.approx(tau)
-    assert M.kendall(df, buckets=64).first()[0] == pytest.approx(tau)
+    import pandas as pd
+
+    rho = pd.DataFrame({"y": y, "p": p}).rank().corr().iloc[0, 1]
+    for points in (50_000, 100, 10):
+        monkeypatch.setattr(M, "RANGE_POINTS", points)
+        assert M.rank_correlations(df) == (pytest.approx(rho), pytest.approx(tau))
+    fine = df.withColumn("y", F.col("y") + F.rand(1) / 9).withColumn("y_pred", F.col("y_pred") + F.rand(2) / 9).toPandas()
+    s = np.sign(fine["y"].to_numpy()[:, None] - fine["y"].to_numpy()) * np.sign(fine["y_pred"].to_numpy()[:, None] - fine["y_pred"].to_numpy())
+    assert M.rank_correlations(spark.createDataFrame(fine)) == (pytest.approx(fine.rank().corr().iloc[0, 1]), pytest.approx(s.sum() / (400 * 399)))
+    assert M.rank_correlations(df.withColumn("y", F.lit(1.0))) == (None, None) and M.rank_correlations(df.limit(0)) == (None, None)
+    assert M.concordance(np.array([1, 1, 2, 2]), np.array([1, 2, 1, 3]), np.array([1.0, 2.0, 3.0, 4.0])) == 12 - 6
     one = spark.createDataFrame([(10.0, 11.0), (20.0, 22.0), (-1.0, 0.0)], "y double, y_pred double").agg(*M.error_metrics()).first()
     assert one.mape == pytest.approx(0.1)
     gain = spark.range(1).select(M.gain_recovered(F.lit(200.0), F.lit(150.0), F.lit(100.0)).alias("a"), M.gain_recovered(F.lit(100.0), F.lit(90.0), F.lit(100.0)).alias("b")).first()
