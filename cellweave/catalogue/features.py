@@ -243,7 +243,7 @@ a AS (SELECT entity, {', '.join(f'avg(value) FILTER (WHERE step = {c}) AS at_{c}
   count(*) FILTER (WHERE step >= 2) AS n2, var_pop(step) FILTER (WHERE step >= 2) AS v2, count(*) FILTER (WHERE step >= 20) AS n20, var_pop(step) FILTER (WHERE step >= 20) AS v20,
   regr_slope(value, step) {_cap(2)} AS es, regr_intercept(value, step) {_cap(2)} AS ei, regr_slope(value, step) {_cap(20)} AS ts, regr_intercept(value, step) {_cap(20)} AS ti,
   avg(value) FILTER (WHERE step = fs) AS first, avg(value) FILTER (WHERE step = ls) AS last FROM s GROUP BY entity)
-SELECT entity, {', '.join(r(f'at_{c}', f'at_{c}') for c in (1, 2, 10, 29))}, {r('max', 'max')}, {r('max - at_2', 'max_less_2')}, {r('at_29 - at_10', 'last_less_10')},
+SELECT entity, {', '.join(r(f'at_{c}', f'at_{c}') for c in (1, 2, 10, 29))}, {r('max', 'max')}, {r('max - at_2', 'max_less_2')}, {r('coalesce(at_29, last) - at_10', 'last_less_10')},
   {r('CASE WHEN n2 >= 2 AND v2 > 0 THEN es END', 'early_slope')}, {r('CASE WHEN n2 >= 2 AND v2 > 0 THEN ei END', 'early_intercept')}, {r('CASE WHEN n20 >= 2 AND v20 > 0 THEN ts END', 'late_slope')}, {r('CASE WHEN n20 >= 2 AND v20 > 0 THEN ti END', 'late_intercept')},
   {r('mean', 'mean')}, {r('std', 'std')}, {r('min', 'min')}, {r('first', 'first')}, {r('last', 'last')}, {r('first - last', 'fade')}, {r('(first - last) / nullif(first, 0)', 'fade_share')} FROM a""",
     "first_crossing_lifetime": f"WITH {SERIES}, p AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY step) AS i FROM series), b AS (SELECT entity, coalesce(max(v) FILTER (WHERE i = 2), max(v) FILTER (WHERE i = 1)) AS base FROM p GROUP BY entity) SELECT entity, coalesce(min(i) FILTER (WHERE v < 0.8 * base), max(i))::BIGINT AS life FROM p JOIN b USING (entity) GROUP BY entity",

@@ -8,6 +8,7 @@ from ..operators import campaign as K
 from ..operators import metrics as M
 from ..operators import model as D
 from ..operators import series as S
+from ..operators import splits as T
 from .tables import SERIES, daily, r, rounded, table
 
 PRED = "o_totalprice / 1000 * 0.9 + (o_custkey % 7) * 3"
@@ -96,13 +97,13 @@ FEATURES = ["q0", "q1", "qn", "slope", "max_diff", "mean", "std"]
 
 
 def ridge_candidate(spark, d):
-    model, ready = D.ridge(_labelled(spark, d), FEATURES, "life")
-    return rounded(model.transform(ready).select("entity", F.col("label").alias("y"), F.col("prediction").alias("y_pred")), 4)
+    rows = T.group_split(_labelled(spark, d), "entity", 0.25, 0)
+    return rounded(D.evaluated(rows.where("split = 'train'"), rows.where("split = 'validation'").select("entity", *FEATURES, "life"), FEATURES, "life", "ridge", alpha=3.0).select("entity", "y", "y_pred"), 4)
 
 
 def forest_candidate(spark, d):
-    rows = _labelled(spark, d)
-    return D.evaluated(rows.where("entity % 4 <> 0"), rows.where("entity % 4 = 0").select("entity", *FEATURES, "life"), FEATURES, "life", "random_forest").select("entity", "y", "y_pred")
+    rows = T.group_split(_labelled(spark, d), "entity", 0.25, 0)
+    return D.evaluated(rows.where("split = 'train'"), rows.where("split = 'validation'").select("entity", *FEATURES, "life"), FEATURES, "life", "random_forest").select("entity", "y", "y_pred")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -22,24 +22,37 @@ def policy_space(spark: SparkSession) -> DataFrame:
     return grid.withColumn("C4", last).where(F.col("C4").between(0.1, 4.81) & ~same).select("C1", "C2", "C3", F.bround("C4", 3).alias("C4"))
 
 
+# The best protocols that were published, best first.
+PUBLISHED = ((4.8, 5.2, 5.2, 4.160), (5.2, 5.2, 4.8, 4.160), (4.4, 5.6, 5.2, 4.252))
+
+
 class BestArm:
     """Bounds of every arm's mean from its observations, with a squared-exponential kernel; runs on the driver, since the
     arms are a fixed few hundred."""
 
-    def __init__(self, arms: np.ndarray, gamma: float = 1.0, prior: float = 164.0, noise: float = 164.0, mean: float = 947.0, beta: float = 5.0, decay: float = 0.5, seed: int = 0):
+    # The defaults of the settings.
+    def __init__(self, arms: np.ndarray, gamma: float = 1.0, prior: float = 164.0, noise: float = 164.0, mean: float = 947.0, beta: float = 5.0, decay: float = 0.5, seed: int = 0, batch: int = 48):
         self.arms = arms[np.random.default_rng(seed).permutation(len(arms))]
-        gap = ((self.arms[:, None, :] - self.arms[None, :, :]) ** 2).sum(axis=2)
+        gap = ((self.arms[:, None, :3] - self.arms[None, :, :3]) ** 2).sum(axis=2)
         self.kernel = prior**2 * np.exp(-gamma * gap)
-        self.noise, self.mean, self.beta0, self.decay = noise**2, mean, beta, decay
+        self.noise, self.mean, self.beta0, self.decay, self.size = noise**2, mean, beta, decay, batch
+
+    def beta(self, turn: int) -> float:
+        """The width of the bounds in a round: each decays from the one before, to four digits."""
+        now = self.beta0
+        for _ in range(turn):
+            now = float(np.around(now * self.decay, 4))
+        return now
 
     def arm_of(self, values: np.ndarray, tolerance: float = 1e-3) -> int:
-        hit = np.flatnonzero((np.abs(self.arms[:, :3] - values[:3]) <= tolerance).all(axis=1))
+        """The first arm whose currents are the values but for the tolerance."""
+        hit = np.flatnonzero((np.abs(np.round(self.arms[:, :3], 3) - np.round(values[:3], 3)) <= tolerance + 1e-9).all(axis=1))
         if not len(hit):
             raise ValueError(f"no arm has the values {values.tolist()}")
         return int(hit[0])
 
     def bounds(self, arms: list[int], values: list[float], turn: int) -> tuple[np.ndarray, np.ndarray]:
-        beta = self.beta0 * self.decay**turn
+        beta = self.beta(turn)
         mean, var = np.zeros(len(self.arms)), np.diag(self.kernel).copy()
         if arms:  # observations of one arm count as their mean with less noise
             seen, n = np.unique(arms, return_counts=True)
@@ -49,20 +62,22 @@ class BestArm:
             mean = (k * (inverse * (total / n - self.mean)).sum(axis=1)).sum(axis=1)
             var = var - (np.einsum("ij,jk->ik", k, inverse) * k).sum(axis=1)
         half = beta * np.sqrt(np.maximum(var, 0))
-        return np.round(mean - half + self.mean, 4), np.round(mean + half + self.mean, 4)
-
-    def batch(self, low: np.ndarray, high: np.ndarray, size: int) -> list[int]:
-        """Of the arm with the least gap to its best rival and that rival, the less certain one, again and again."""
-        left, chosen = list(range(len(low))), []
+        return np.round(mean - half, 4) + self.mean, np.round(mean + half, 4) + self.mean
+
+    def batch(self, low: np.ndarray, high: np.ndarray, size: int) -> tuple[list[int], int]:
+        """The arms to try next, and the proposal: again and again, of the arm with the least gap to its best rival, rivals
+        that are taken included, and the best other arm that is left, the less certain one."""
+        top = np.sort(high)[::-1][:2]
+        rival = np.where(np.arange(len(high)) == int(np.argmax(high)), top[-1], top[0])
+        left, chosen, proposal = list(range(len(low))), [], -1
         while left and len(chosen) < size:
-            top = np.sort(high)[::-1][:2]
-            rival = np.where(high == top[0], top[1] if len(top) > 1 else top[0], top[0])
-            one = min(left, key=lambda k: rival[k] - low[k])
-            other = max((k for k in left if k != one), key=lambda k: high[k], default=one)
+            one = min(left, key=lambda k: (rival[k] - low[k], k))
+            other = max((k for k in left if k != one), key=lambda k: (high[k], -k), default=one)
+            proposal = one if not chosen else proposal
             pick = one if high[one] - low[one] >= high[other] - low[other] else other
             chosen.append(pick)
             left.remove(pick)
-        return chosen
+        return chosen, proposal
 
 
 def inverted(a: np.ndarray) -> np.ndarray:
@@ -79,20 +94,63 @@ def inverted(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def closed_loop(spark: SparkSession, arms: DataFrame, rounds: list[DataFrame], **settings) -> DataFrame:
-    """(rank, C1..C4, mean, half_width) after taking in each round's (C1, C2, C3, prediction) rows."""
+def loop_rounds(arms: DataFrame, rounds: list[DataFrame], **settings) -> tuple[BestArm, list[dict]]:
+    """The rounds of the loop: one without observations, then one for each of ``rounds`` (C1, C2, C3, prediction).
+
+    Each gives the bounds, the batch to try next, its proposal, the gap of the round before's proposal, and the best arm
+    so far: the proposal with the least gap.
+    """
     names = ["C1", "C2", "C3", "C4"]
     space = np.array([tuple(r) for r in arms.select(*names).orderBy(*names).collect()])
-    best, seen, values = BestArm(space, **settings), [], []
-    for rows in rounds:
-        for r in rows.select("C1", "C2", "C3", "prediction").orderBy("C1", "C2", "C3", "prediction").collect():
-            seen.append(best.arm_of(np.array([r.C1, r.C2, r.C3])))
-            values.append(r.prediction)
-    low, high = best.bounds(seen, values, len(rounds))
+    best, seen, values, made = BestArm(space, **settings), [], [], []
+    for turn in range(len(rounds) + 1):
+        n = 0
+        if turn:
+            for r in rounds[turn - 1].select("C1", "C2", "C3", "prediction").where("prediction IS NOT NULL").orderBy("C1", "C2", "C3", "prediction").collect():
+                seen.append(best.arm_of(np.array([r.C1, r.C2, r.C3])))
+                values.append(r.prediction)
+                n += 1
+        low, high = best.bounds(seen, values, turn)
+        chosen, proposal = best.batch(low, high, best.size)
+        gap, winner = None, None
+        if turn:
+            before = made[-1]["proposal"]
+            gap = float(np.delete(high, before).max() - low[before])
+            gaps = [r["gap"] for r in made[1:]] + [gap]
+            winner = made[int(np.argmin(gaps))]["proposal"]
+        made.append({"round": turn, "observations": n, "low": low, "high": high, "batch": chosen, "proposal": proposal, "gap": gap, "winner": winner})
+    return best, made
+
+
+def closed_loop(spark: SparkSession, arms: DataFrame, rounds: list[DataFrame], **settings) -> DataFrame:
+    """(rank, C1..C4, mean, low, high, half_width) after taking in each round's (C1, C2, C3, prediction) rows."""
+    best, made = loop_rounds(arms, rounds, **settings)
+    low, high = made[-1]["low"], made[-1]["high"]
     mean = (low + high) / 2
     order = sorted(range(len(mean)), key=lambda k: (-mean[k], *best.arms[k]))
-    rows = [(i + 1, *map(float, best.arms[k]), float(mean[k]), float((high[k] - low[k]) / 2)) for i, k in enumerate(order)]
-    return spark.createDataFrame(rows, "rank int, C1 double, C2 double, C3 double, C4 double, mean double, half_width double")
+    rows = [(i + 1, *map(float, best.arms[k]), float(mean[k]), float(low[k]), float(high[k]), float((high[k] - low[k]) / 2)) for i, k in enumerate(order)]
+    return spark.createDataFrame(rows, "rank int, C1 double, C2 double, C3 double, C4 double, mean double, low double, high double, half_width double")
+
+
+def next_batches(spark: SparkSession, arms: DataFrame, rounds: list[DataFrame], **settings) -> DataFrame:
+    """(round, place, C1..C4, proposal): the protocols that each round wants tried, in order."""
+    best, made = loop_rounds(arms, rounds, **settings)
+    rows = [(r["round"], i, *map(float, best.arms[k]), k == r["proposal"]) for r in made for i, k in enumerate(r["batch"])]
+    return spark.createDataFrame(rows, "round int, place int, C1 double, C2 double, C3 double, C4 double, proposal boolean")
+
+
+def published_check(ranking: DataFrame, published=PUBLISHED, tolerance: float = 1e-3) -> DataFrame:
+    """(C1..C4, found, rank, mean, half_width, same_top): where the published best protocols stand in a ranking, and
+    whether its first ones are these in order; a protocol that the ranking lacks has nulls."""
+    spark = ranking.sparkSession
+    names = ["C1", "C2", "C3", "C4"]
+    wanted = spark.createDataFrame([(i + 1, *map(float, p)) for i, p in enumerate(published)], "place int, C1 double, C2 double, C3 double, C4 double")
+    rows = ranking.select("rank", "mean", "half_width", *[F.col(c).alias(f"_{c}") for c in names], *[F.bround(c, 3).alias(f"_k{c}") for c in names])
+    near = [F.abs(F.col(c) - F.col(f"_{c}")) <= tolerance + 1e-9 for c in names]
+    both = F.broadcast(wanted).join(rows, near[0] & near[1] & near[2] & near[3], "left")  # a few published rows
+    first = both.groupBy("place", *names).agg(F.min_by(F.struct("rank", "mean", "half_width"), "rank").alias("r"))
+    same = first.agg((F.count_if(F.col("r.rank") == F.col("place")) == len(published)).alias("same_top"))
+    return first.crossJoin(F.broadcast(same)).select(*names, F.col("r.rank").isNotNull().alias("found"), "r.rank", "r.mean", "r.half_width", "same_top")  # one row
 
 
 def assembled(rows: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -101,19 +159,36 @@ def assembled(rows: DataFrame, features: list[str], label: str) -> DataFrame:
 
     filled = [f"{f}_filled" for f in features]
     full = Imputer(strategy="median", inputCols=features, outputCols=filled).fit(rows).transform(rows)
-    return VectorAssembler(inputCols=filled, outputCol="raw_features").transform(full).withColumn("label", F.col(label))
+    return VectorAssembler(inputCols=filled, outputCol="features").transform(full).withColumn("label", F.col(label))
 
 
-def ridge(rows: DataFrame, features: list[str], label: str, alpha: float = 3.0):
-    """A ridge regression on standardised features; ``alpha`` penalises the sum of squared coefficients as such, which in
-    this library's scale is alpha * deviation(label) / rows."""
+def ridge_estimator(alpha: float = 3.0, intercept: bool = True):
+    """An estimator of a ridge regression on features scaled by their population deviation; ``alpha`` penalises the sum of
+    squared coefficients as such.
+
+    The library scales by the sample deviation, on which the same fit has the penalty alpha * (n - 1) / n, and counts a
+    penalty in units of the label's deviation over n.
+    """
+    from pyspark.ml import Estimator, PipelineModel
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.regression import LinearRegression
 
+    class Ridge(Estimator):
+        def _fit(self, rows: DataFrame) -> PipelineModel:
+            scaler = StandardScaler(inputCol="features", outputCol="scaled_features", withMean=True).fit(rows)
+            s = rows.agg(F.stddev_pop("label").alias("s"), F.count("*").alias("n")).first()
+            n = max(1, s.n)
+            penalty = alpha * (n - 1) / n * (s.s or 0.0) / n
+            line = LinearRegression(featuresCol="scaled_features", regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal", fitIntercept=intercept)
+            return PipelineModel([scaler, line.fit(scaler.transform(rows))])
+
+    return Ridge()
+
+
+def ridge(rows: DataFrame, features: list[str], label: str, alpha: float = 3.0):
+    """The fitted model of ``ridge_estimator`` on median-imputed features, and the rows it was fitted on."""
     ready = assembled(rows, features, label)
-    scaled = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True).fit(ready).transform(ready)
-    s = scaled.agg(F.stddev_pop("label").alias("s"), F.count("*").alias("n")).first()
-    return LinearRegression(regParam=alpha * (s.s or 0.0) / max(1, s.n), elasticNetParam=0.0, standardization=False, solver="normal").fit(scaled), scaled
+    return ridge_estimator(alpha).fit(ready), ready
 
 
 def by_folds(l1_ratio: float | list[float], n_alphas: int = 100, eps: float = 1e-3, cv: int = 3):
@@ -173,7 +248,9 @@ def regressor(family: str, **settings):
         if "regParam" in settings:
             return R.LinearRegression(**{"elasticNetParam": ratio} | settings)
         return by_folds(**{"l1_ratio": ratio} | settings)
-    return R.LinearRegression(**{"regParam": 0.1, "elasticNetParam": 0.0} | settings)
+    if "regParam" in settings:
+        return R.LinearRegression(**{"elasticNetParam": 0.0} | settings)
+    return ridge_estimator(**settings)
 
 
 def evaluated(train: DataFrame, test: DataFrame, features: list[str], label: str, family: str, log_target: bool = False, **settings) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,22 +14,41 @@ def per_step_mean(rows: DataFrame, entity: str, step: str, signals: list[str]) -
     return rows.where(F.col(step).isNotNull()).groupBy(entity, step).agg(*[F.avg(finite(s)).alias(s) for s in signals])
 
 
-def value_at_step(rows: DataFrame, entity: str, step: str, signals: list[str], steps: list[int], aggs: list[str] = ["last"]) -> DataFrame:
-    """The per-step mean of each signal at chosen steps, one column each; last and mean are the same for a series."""
-    at = [
-        F.max(F.when(F.col(step) == c, F.col(s))).alias(f"{s}{'' if a == 'last' else '_' + a}_step_{c}")
-        for s in signals for c in steps for a in aggs
-    ]
-    return per_step_mean(rows, entity, step, signals).groupBy(entity).agg(*at)
+def value_columns(signal: str, step: str, steps: list[int], aggs: list[str] = ["last"]) -> dict[str, Column]:
+    """Named aggregates: a signal's mean at each step, for the names ``last`` and ``mean``, which are the same there."""
+    return {f"{signal}{'' if a == 'last' else '_' + a}_step_{c}": F.avg(F.when(F.col(step) == c, finite(signal))) for c in dict.fromkeys(steps) for a in aggs if a in ("last", "mean")}
+
+
+def value_at_step(rows: DataFrame, entity: str, step: str, signals: list[str], steps: list[int], aggs: list[str] = ["last"], samples: DataFrame | None = None, order: str | None = None, kind: str | None = None, kind_value: str | None = None) -> DataFrame:
+    """Each signal at chosen steps, one column a step and aggregate, in one pass over the rows.
+
+    ``last`` and ``mean`` are the mean of the step's rows, and of the samples' where the rows lack the step. Any other
+    aggregate is one of the samples (of the rows, without samples) of the step, by ``order`` and of one kind if asked for.
+    """
+    means = [a for a in aggs if a in ("last", "mean")]
+    other = [a for a in aggs if a not in ("last", "mean")]
+    cols = {n: c for s in signals for n, c in value_columns(s, step, steps, means).items()}
+    out = rows.where(F.col(step).isNotNull()).groupBy(entity).agg(*[c.alias(n) for n, c in cols.items()]) if cols else None
+    if samples is not None and cols:
+        raw = samples.where(F.col(step).isin(*steps)).groupBy(entity).agg(*[c.alias(f"raw_{n}") for n, c in cols.items()])
+        out = out.join(raw, entity, "full_outer").select(entity, *[F.coalesce(n, f"raw_{n}").alias(n) for n in cols])
+    for s in signals if other else []:
+        made = raw_aggregate(samples if samples is not None else rows, entity, step, order or step, s, steps, other, kind, kind_value)
+        out = made if out is None else out.join(made, entity, "full_outer")
+    return out
 
 
 def value_with_fallback(summary: DataFrame, samples: DataFrame, entity: str, step: str, signal: str, steps: list[int]) -> DataFrame:
     """As ``value_at_step`` of the summary, and of the raw samples where the summary has no such step."""
-    names = [f"{signal}_step_{c}" for c in steps]
-    a = value_at_step(summary, entity, step, [signal], steps)
-    b = value_at_step(samples, entity, step, [signal], steps)
-    b = b.select(entity, *[F.col(n).alias(f"raw_{n}") for n in names])
-    return a.join(b, entity, "full_outer").select(entity, *[F.coalesce(n, f"raw_{n}").alias(n) for n in names])
+    return value_at_step(summary, entity, step, [signal], steps, samples=samples)
+
+
+def with_raw_series(series: DataFrame, samples: DataFrame, entity: str, step: str, signals: list[str]) -> DataFrame:
+    """The per-step means of ``series``; a signal without any finite value for an entity takes the samples' means."""
+    raw = per_step_mean(samples, entity, step, signals).select(entity, step, *[F.col(s).alias(f"raw_{s}") for s in signals])
+    both = per_step_mean(series, entity, step, signals).join(raw, [entity, step], "full_outer")
+    own = Window.partitionBy(entity)
+    return both.select(entity, step, *[F.when(F.count(s).over(own) > 0, F.col(s)).otherwise(F.col(f"raw_{s}")).alias(s) for s in signals])
 
 
 def raw_aggregate(samples: DataFrame, entity: str, step: str, order: str, signal: str, steps: list[int], aggs: list[str], kind: str | None = None, kind_value: str | None = None) -> DataFrame:
@@ -41,36 +60,65 @@ def raw_aggregate(samples: DataFrame, entity: str, step: str, order: str, signal
     return rows.groupBy(entity).agg(*[aggregate(a, F.when(F.col(step) == c, value), order).alias(f"{signal}_{a}_step_{c}") for c in steps for a in aggs])
 
 
-def window_stats(rows: DataFrame, entity: str, step: str, signal: str, windows: list[tuple[int, int]]) -> DataFrame:
+def window_columns(signal: str, step: str, lo: int, hi: int) -> dict[str, Column]:
+    """Named aggregates of a signal's per-step means in an inclusive window.
+
+    Steps are measured from the window's middle, so that the quadratic fit's moments need no second pass.
+    """
+    v = F.when(F.col(step).between(lo, hi), F.col(signal))
+    t = F.when(v.isNotNull(), F.col(step) - (lo + hi) / 2)
+    n = F.count(v)
+    m = F.sum(t) / n
+    raw = [n, F.sum(t), F.sum(t * t), F.sum(t * t * t), F.sum(t * t * t * t)]
+    s2 = raw[2] - n * m * m
+    s3 = raw[3] - 3 * m * raw[2] + 2 * n * m * m * m
+    s4 = raw[4] - 4 * m * raw[3] + 6 * m * m * raw[2] - 3 * n * m * m * m * m
+    d1 = F.sum(t * v) - m * F.sum(v)
+    d2 = F.sum(t * t * v) - 2 * m * F.sum(t * v) + m * m * F.sum(v) - s2 * F.avg(v)
+    below = s2 * (s4 - s2 * s2 / n) - s3 * s3
+    x = F.when(v.isNotNull(), F.col(step))
+    stats = {
+        "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "delta": F.when(n >= 2, F.max_by(v, x) - F.min_by(v, x)),
+        "slope": slope(v, step), "intercept": intercept(v, step), "r2": r2(v, step), "curvature": F.when(n >= 3, F.try_divide(s2 * d2 - s3 * d1, F.when(F.abs(below) > 1e-9, below))),
+    }
+    return {f"{signal}_{k}_{lo}_{hi}": c for k, c in stats.items()}
+
+
+def window_stats(rows: DataFrame, entity: str, step: str, signal: str, windows: list[tuple[int, int]], samples: DataFrame | None = None) -> DataFrame:
     """Mean, population deviation, extremes, last less first, line fit and curvature of the per-step means in each
-    inclusive window. One row an entity; the curvature is the leading coefficient of the quadratic fit."""
-    series = per_step_mean(rows, entity, step, [signal]).where(F.col(signal).isNotNull())
-    out = None
-    for lo, hi in windows:
-        part = series.where(F.col(step).between(lo, hi))
-        own = Window.partitionBy(entity)
-        centred = part.withColumn("t", F.col(step) - F.avg(step).over(own)).withColumn("d", F.col(signal) - F.avg(signal).over(own))
-        n, t, d = F.count("*"), F.col("t"), F.col("d")
-        s2, s3, s4 = F.sum(t * t), F.sum(t * t * t), F.sum(t * t * t * t)
-        below = s2 * (s4 - s2 * s2 / n) - s3 * s3
-        curve = (s2 * F.sum(t * t * d) - s3 * F.sum(t * d)) / F.nullif(below, F.lit(0.0))
-        name = lambda s: f"{signal}_{s}_{lo}_{hi}"
-        stats = centred.groupBy(entity).agg(
-            F.avg(signal).alias(name("mean")), F.stddev_pop(signal).alias(name("std")), F.min(signal).alias(name("min")), F.max(signal).alias(name("max")),
-            F.when(n >= 2, F.max_by(signal, step) - F.min_by(signal, step)).alias(name("delta")),
-            slope(signal, step).alias(name("slope")), intercept(signal, step).alias(name("intercept")), r2(signal, step).alias(name("r2")),
-            F.when(n >= 3, curve).alias(name("curvature")),
-        )
-        out = stats if out is None else out.join(stats, entity, "full_outer")
-    return out
+    inclusive window, all windows in one pass. One row an entity; the curvature is the leading coefficient of the
+    quadratic fit. An entity whose signal is missing throughout takes the samples' means, if there are samples."""
+    series = per_step_mean(rows, entity, step, [signal]) if samples is None else with_raw_series(rows, samples, entity, step, [signal])
+    cols = {n: c for lo, hi in dict.fromkeys(windows) for n, c in window_columns(signal, step, lo, hi).items()}
+    return series.groupBy(entity).agg(*[c.alias(n) for n, c in cols.items()])
+
+
+def delta_columns(signal: str, step: str, pairs: list[tuple[int, int]], how: list[str], eps: float = 1e-12) -> dict[str, Column]:
+    """Named aggregates: a later step's mean against an earlier one's."""
+    at = lambda c: F.avg(F.when(F.col(step) == c, finite(signal)))
+    return {f"{signal}_{h}_{a}_{b}": delta(at(a), at(b), h, eps) for a, b in pairs for h in how}
 
 
 def step_delta(rows: DataFrame, entity: str, step: str, signal: str, pairs: list[tuple[int, int]], how: list[str], eps: float = 1e-12) -> DataFrame:
     """The later step's value against the earlier one's; null if either is missing."""
-    steps = sorted({s for p in pairs for s in p})
-    at = value_at_step(rows, entity, step, [signal], steps)
-    name = lambda c: F.col(f"{signal}_step_{c}")
-    return at.select(entity, *[delta(name(a), name(b), h, eps).alias(f"{signal}_{h}_{a}_{b}") for a, b in pairs for h in how])
+    return rows.where(F.col(step).isNotNull()).groupBy(entity).agg(*[c.alias(n) for n, c in delta_columns(signal, step, pairs, how, eps).items()])
+
+
+def last_up_to(rows: DataFrame, entity: str, step: str, signal: str, upto: int) -> DataFrame:
+    """(entity, value): the last finite per-step mean at or before a step."""
+    series = per_step_mean(rows.where(F.col(step) <= upto), entity, step, [signal])
+    return series.groupBy(entity).agg(last_by(signal, step).alias("value"))
+
+
+def first_array(rows: DataFrame, keys: list[str], array: str, order: str) -> DataFrame:
+    """(keys, array): the first array that is not null of each group, in ``order``."""
+    return rows.groupBy(*keys).agg(F.min_by(array, F.when(F.col(array).isNotNull(), F.col(order))).alias(array))
+
+
+def nth_value(rows: DataFrame, entity: str, order: str, signal: str, places: list[int]) -> DataFrame:
+    """The values at zero-based places of an entity's rows in ``order``; null where the place is beyond them."""
+    at = rows.withColumn("_i", F.row_number().over(Window.partitionBy(entity).orderBy(order)) - 1)
+    return at.groupBy(entity).agg(*[F.max(F.when(F.col("_i") == k, F.col(signal))).alias(f"{signal}_{k}") for k in places])
 
 
 def chosen_alias(rows: DataFrame, entity: str, names: list[str], out: str) -> DataFrame:
@@ -84,17 +132,21 @@ def chosen_alias(rows: DataFrame, entity: str, names: list[str], out: str) -> Da
 
 
 def capacity_summary(rows: DataFrame, entity: str, step: str, signal: str, upto: int, at: list[int], early: int = 2, late: int = 91) -> DataFrame:
-    """Values at chosen steps, range and fade of a signal up to a step, and line fits of its early and late rows."""
+    """Values at chosen steps, range and fade of a signal up to a step, and line fits of its early and late rows.
+
+    Where the last step is missing, the last one before it stands in for it.
+    """
     part = rows.where(F.col(step) <= upto).select(entity, step, finite(signal).alias("v")).where("v IS NOT NULL")
     start = late if upto >= late else max(2, upto - 9)
     mean = lambda c: F.avg(F.when(F.col(step) == c, F.col("v")))
     within = lambda lo: F.when(F.col(step) >= lo, F.col("v"))
-    firsts = [F.avg(F.when(F.col(step) == F.col("first_step"), F.col("v"))).alias("first"), F.avg(F.when(F.col(step) == F.col("last_step"), F.col("v"))).alias("last")]
+    last = F.avg(F.when(F.col(step) == F.col("last_step"), F.col("v")))
+    firsts = [F.avg(F.when(F.col(step) == F.col("first_step"), F.col("v"))).alias("first"), last.alias("last")]
     own = Window.partitionBy(entity)
     part = part.withColumn("first_step", F.min(step).over(own)).withColumn("last_step", F.max(step).over(own))
     out = part.groupBy(entity).agg(
         *[mean(c).alias(f"at_{c}") for c in at],
-        F.max("v").alias("max"), (F.max("v") - mean(2)).alias("max_less_2"), (mean(upto) - mean(10)).alias("last_less_10"),
+        F.max("v").alias("max"), (F.max("v") - mean(2)).alias("max_less_2"), (F.coalesce(mean(upto), last) - mean(10)).alias("last_less_10"),
         slope(within(early), step).alias("early_slope"), intercept(within(early), step).alias("early_intercept"),
         slope(within(start), step).alias("late_slope"), intercept(within(start), step).alias("late_intercept"),
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), *firsts,

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import curves, protocol, series
@@ -51,8 +51,19 @@ class Inputs:
     metadata: DataFrame | None = None
 
 
+@dataclass
+class Status:
+    """What became of a specification: ok, warning, failed, disabled or skipped."""
+
+    operator: str
+    status: str
+    n_features: int = 0
+    warnings: list[str] = field(default_factory=list)
+
+
 class Registry:
-    """Plan builders by name."""
+    """Plan builders by name. A builder with ``columns`` gives named aggregates of the per-step means instead of a frame
+    of its own; all such specifications of a program are one pass."""
 
     def __init__(self) -> None:
         self._built: dict[str, tuple[Callable, dict]] = {}
@@ -72,23 +83,32 @@ class Registry:
         return self._built[name][1]
 
 
-def _value(s: Spec, i: Inputs) -> DataFrame:
-    return series.value_at_step(i.series, "entity", "step", [s.signal], s.params["steps"], s.params.get("aggs", ["last"]))
+def _value(s: Spec, i: Inputs) -> DataFrame | None:
+    """The aggregates of single steps other than the mean, from the samples, and the means of steps the series lack."""
+    aggs = s.params.get("aggs", ["last"])
+    samples = i.samples if i.samples is not None and s.signal in i.samples.columns else None
+    if samples is None and not set(aggs) - {"last", "mean"}:
+        return None  # all of it comes from the columns
+    return series.value_at_step(i.series, "entity", "step", [s.signal], s.params["steps"], aggs, samples, s.params.get("order"), "kind" if s.params.get("kind_value") else None, s.params.get("kind_value"))
+
+
+def _value_columns(s: Spec, i: Inputs) -> dict[str, Column]:
+    return series.value_columns(s.signal, "step", s.params["steps"], s.params.get("aggs", ["last"]))
 
 
-def _window(s: Spec, i: Inputs) -> DataFrame:
-    out = series.window_stats(i.series, "entity", "step", s.signal, [tuple(w) for w in s.params["windows"]])
-    stats = s.params.get("stats")
-    return out if not stats else out.select("entity", *[f"{s.signal}_{t}_{a}_{b}" for a, b in s.params["windows"] for t in stats])
+def _window_columns(s: Spec, i: Inputs) -> dict[str, Column]:
+    wanted = s.params.get("stats")
+    every = {n: c for lo, hi in s.params["windows"] for n, c in series.window_columns(s.signal, "step", lo, hi).items()}
+    return {n: c for n, c in every.items() if not wanted or n.removeprefix(f"{s.signal}_").rsplit("_", 2)[0] in wanted}
 
 
-def _delta(s: Spec, i: Inputs) -> DataFrame:
-    return series.step_delta(i.series, "entity", "step", s.signal, [tuple(p) for p in s.params["pairs"]], s.params["how"])
+def _delta_columns(s: Spec, i: Inputs) -> dict[str, Column]:
+    return series.delta_columns(s.signal, "step", [tuple(p) for p in s.params["pairs"]], s.params["how"])
 
 
 def _shape(s: Spec, i: Inputs) -> DataFrame:
     aggs, kind = tuple(s.params.get("aggs", curves.SHAPE)), s.params.get("kind_value")
-    steps = s.params["steps"]
+    steps = list(dict.fromkeys(s.params["steps"]))
     made = curves.curve_shape(i.samples, "entity", "step", "x", s.signal, steps, "kind" if kind else None, kind, s.params.get("grid", 1000), aggs, s.params.get("window"))
     return made.groupBy("entity").agg(*[F.max(F.when(F.col("step") == c, F.col(f"{s.signal}_{a}"))).alias(f"{s.signal}_{kind or 'all'}_{a}_at_{c}") for c in steps for a in aggs])
 
@@ -106,9 +126,9 @@ def _protocol(s: Spec, i: Inputs) -> DataFrame | None:
 
 
 registry = Registry()
-registry.register("value_at_step", _value, reads="series")
-registry.register("window_stats", _window, reads="series")
-registry.register("step_delta", _delta, reads="series")
+registry.register("value_at_step", _value, reads="series", columns=_value_columns)
+registry.register("window_stats", lambda s, i: None, reads="series", columns=_window_columns)
+registry.register("step_delta", lambda s, i: None, reads="series", columns=_delta_columns)
 registry.register("curve_shape", _shape, reads="samples")
 registry.register("curve_delta", _curve_delta, reads="samples")
 registry.register("protocol", _protocol, reads="metadata")
@@ -117,27 +137,76 @@ registry.register("generic_timeseries_placeholder", lambda s, i: None, reads="")
 
 
 def requires_samples(program: Program) -> bool:
-    """Whether an enabled operator reads the samples; otherwise their source need not be scanned."""
-    return any(s.enabled and registry.about(s.operator)["reads"] == "samples" for s in program.specs)
-
-
-def parts(program: Program, inputs: Inputs) -> tuple[list[DataFrame], list[tuple[str, str]]]:
-    """The operators' frames in order and each operator's status."""
-    frames, status = [], []
+    """Whether an enabled operator reads the samples; otherwise their source is not scanned, not even for fallbacks."""
+    return any(s.enabled and registry.about(s.operator).get("reads") == "samples" for s in program.specs)
+
+
+def _resolved(signals: list[str], rows: DataFrame) -> dict[str, list[str]]:
+    """The columns that stand for each signal: its known other names, as far as ``rows`` has them."""
+    known = {s: [c for c in [s, *SIGNAL_ALIASES.get(s, [])] if c in rows.columns] for s in signals}
+    lacking = [s for s, c in known.items() if not c]
+    if lacking:
+        raise KeyError(f"no column for the signals {', '.join(lacking)}")
+    return known
+
+
+def _means(i: Inputs, signals: list[str]) -> DataFrame:
+    """The per-step means of the signals, each by the first of its names with any value for an entity."""
+    names = _resolved(signals, i.series)
+    rows = i.series
+    for s, cols in names.items():
+        if len(cols) > 1:
+            rows = series.chosen_alias(rows, "entity", cols, "_chosen").drop("_chosen_from").withColumn(s, F.col("_chosen")).drop("_chosen")
+        elif cols[0] != s:
+            rows = rows.withColumn(s, F.col(cols[0]))
+    have = [s for s in signals if i.samples is not None and s in i.samples.columns]
+    if not have:
+        return series.per_step_mean(rows, "entity", "step", signals)
+    made = series.with_raw_series(rows, i.samples, "entity", "step", have)
+    rest = [s for s in signals if s not in have]
+    return made.join(series.per_step_mean(rows, "entity", "step", rest), ["entity", "step"], "full_outer") if rest else made
+
+
+def parts(program: Program, inputs: Inputs, strict: bool = False) -> tuple[list[DataFrame], list[Status]]:
+    """The operators' frames, those of the series as one pass, and each specification's status.
+
+    A specification whose plan cannot be built (an unknown operator or column) is marked as failed; ``strict`` raises.
+    """
+    i = inputs if requires_samples(program) else replace(inputs, samples=None)
+    frames, status, cols, signals = [], [], {}, []
     for s in program.specs:
-        if not s.enabled or s.operator == "protocol" and not program.include_protocol:
-            status.append((s.operator, "disabled"))
+        if not s.enabled:
+            status.append(Status(s.operator, "disabled"))
             continue
-        made = registry.get(s.operator)(s, inputs)
-        status.append((s.operator, "ok" if made is not None else "warning"))
-        if made is not None:
-            frames.append(made)
+        if s.operator == "protocol" and not program.include_protocol:
+            status.append(Status(s.operator, "skipped", 0, ["protocol columns are not included"]))
+            continue
+        try:
+            build = registry.get(s.operator)
+            own = registry.about(s.operator).get("columns")
+            made = build(s, i)
+            named = own(s, i) if own else {}
+            if named:
+                _means(i, [s.signal]).groupBy("entity").agg(*[c.alias(n) for n, c in named.items()])  # only analysed
+                cols |= named
+                signals.append(s.signal)
+            if made is not None:
+                frames.append(made)  # of one name, the later frame's feature counts
+            n = len(named) + (len([c for c in made.columns if c not in named]) - 1 if made is not None else 0)
+            status.append(Status(s.operator, "ok" if n else "warning", n, [] if n else ["no feature"]))
+        except Exception as e:
+            if strict:
+                raise
+            status.append(Status(s.operator, "failed", 0, [f"{s.operator} failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"]))
+    if cols:
+        once = _means(i, list(dict.fromkeys(signals))).groupBy("entity").agg(*[c.alias(n) for n, c in cols.items()])
+        frames.insert(0, once)
     return frames, status
 
 
-def long_features(program: Program, inputs: Inputs) -> DataFrame:
+def long_features(program: Program, inputs: Inputs, strict: bool = False) -> DataFrame:
     """(entity, feature, value) without nulls; of features of one name the later operator's is kept."""
-    frames, _ = parts(program, inputs)
+    frames, _ = parts(program, inputs, strict)
     later, out = set(), None
     for f in reversed(frames):
         names = [c for c in f.columns if c != "entity" and c not in later]
@@ -149,15 +218,109 @@ def long_features(program: Program, inputs: Inputs) -> DataFrame:
     return out
 
 
-def wide_features(program: Program, inputs: Inputs, prune: bool = True) -> DataFrame:
-    """One row an entity with all features; columns without any value are dropped after one counting pass."""
-    frames, _ = parts(program, inputs)
+def joined(frames: list[DataFrame]) -> DataFrame:
     out = None
     for f in frames:
         out = f if out is None else out.drop(*[c for c in f.columns if c != "entity" and c in out.columns]).join(f, "entity", "full_outer")
+    return out
+
+
+def wide_features(program: Program, inputs: Inputs, prune: bool = True, strict: bool = False) -> DataFrame:
+    """One row an entity with all features; columns without any value are dropped after one counting pass."""
+    out = joined(parts(program, inputs, strict)[0])
     return pruned(out, ["entity"]) if prune else out
 
 
+@dataclass
+class Result:
+    """A built table: ``features`` (entity and columns), ``metadata`` (a row a feature), ``exclusions`` (entity, reason),
+    ``statuses`` a specification, ``pruned`` columns without any value, and the ``card`` of counts."""
+
+    features: DataFrame
+    metadata: DataFrame
+    exclusions: DataFrame
+    statuses: list[Status]
+    pruned: list[str]
+    card: dict
+
+
+def status_counts(statuses: list[Status], most: int = 10) -> list[dict]:
+    """Per operator: how often each status, how many warnings, and the first of them."""
+    out = []
+    for name in sorted({s.operator for s in statuses}):
+        own = [s for s in statuses if s.operator == name]
+        warnings = [w for s in own for w in s.warnings]
+        out.append({"operator": name, "statuses": {k: sum(s.status == k for s in own) for k in sorted({s.status for s in own})}, "warnings": len(warnings), "preview": warnings[:most]})
+    return out
+
+
+def build_table(program: Program, inputs: Inputs, manifest: DataFrame, key: str = "entity", payload: str | None = None, strict: bool = False) -> Result:
+    """The feature table of a manifest's entities, with what was left out and why.
+
+    An entity that no input holds (with ``payload``: whose payload column is null) is an exclusion, not a row.
+    """
+    frames, statuses = parts(program, inputs, strict)
+    spark = manifest.sparkSession
+    wanted = manifest.select(F.col(key).alias("entity"), *([payload] if payload else [])).dropDuplicates(["entity"])
+    made = joined(frames) if frames else spark.createDataFrame([], manifest.select(F.col(key).alias("entity")).schema)
+    there = inputs.series.select("entity").distinct().withColumn("_there", F.lit(True))
+    marked = wanted.join(there, "entity", "left")
+    reason = F.when(F.col("_there").isNull(), "no input rows")
+    if payload:
+        reason = F.when(F.col(payload).isNull(), "no payload").otherwise(reason)
+    marked = marked.withColumn("reason", reason)
+    exclusions = marked.where("reason IS NOT NULL").select("entity", F.lit("feature_program").alias("stage"), "reason")
+    rows = marked.where("reason IS NULL").select("entity").join(made, "entity", "left")
+    names = [c for c in rows.columns if c != "entity"]
+    seen = rows.agg(F.count("*").alias("|n"), *[F.count(c).alias(c) for c in names]).first()
+    empty = [c for c in names if not seen[c]]
+    rows = rows.drop(*empty)
+    about = metadata(spark, program).where(F.col("feature").isin(*rows.columns))
+    families = {r.family: r.n for r in about.groupBy("family").agg(F.count("*").alias("n")).collect()}  # a few rows
+    n_out = exclusions.count()
+    card = {
+        "program": program.name, "entities_requested": seen["|n"] + n_out, "entities_featurized": seen["|n"], "entities_excluded": n_out, "pruned_features": len(empty),
+        "pruned_preview": empty[:25], "families": families, "convention": program.convention, "operators": status_counts(statuses),
+        "curve_features": any(f.startswith("curve") for f in families), "protocol_features": "protocol" in families,
+    }
+    return Result(rows, about, exclusions, statuses, empty, card)
+
+
+def json_ready(value):
+    """A value as JSON has it: no NaN or infinity, text keys, lists."""
+    if isinstance(value, dict):
+        return {str(k): json_ready(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [json_ready(v) for v in value]
+    if hasattr(value, "item"):
+        value = value.item()
+    return None if isinstance(value, float) and (value != value or abs(value) == float("inf")) else value
+
+
+def card_text(card: dict) -> str:
+    """A dataset card as Markdown."""
+    lines = [f"# {card['program']}", ""]
+    lines += [f"- {k.replace('_', ' ')}: `{v}`" for k, v in card.items() if not isinstance(v, (dict, list)) and k != "program"]
+    lines += ["", "## Features by family", ""] + ([f"- `{k}`: {v}" for k, v in sorted(card["families"].items())] or ["- none"])
+    return "\n".join(lines) + "\n"
+
+
+def write_result(result: Result, path: str, program: Program) -> None:
+    """The table, its metadata and exclusions as Parquet under ``path``; program, card and its text beside them, written
+    by Spark, so that any file system does."""
+    spark = result.features.sparkSession
+    for name, frame in (("features", result.features), ("metadata", result.metadata), ("exclusions", result.exclusions)):
+        frame.write.mode("overwrite").parquet(f"{path}/{name}")
+    texts = {"program": program.to_json(), "card": json.dumps(json_ready(result.card), sort_keys=True, indent=2), "card_text": card_text(result.card)}
+    for name, text in texts.items():
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def safe_name(text: str) -> str:
+    """A name for a column: minus, point and space written as letters and underscores."""
+    return text.replace("-", "m").replace(".", "p").replace(" ", "_")
+
+
 def pruned(df: DataFrame, keep: list[str]) -> DataFrame:
     """``df`` without columns that are null throughout."""
     rest = [c for c in df.columns if c not in keep]
@@ -167,12 +330,12 @@ def pruned(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.drop(*[c for c in rest if not seen[c]])
 
 
+# The family of a signal's features by a part of its name.
+FAMILIES = (("capacity", "capacity_summary"), ("resistance", "resistance_summary"), ("temp", "thermal_summary"), ("energy", "energy_summary"))
+
+
 def family_of(signal: str, default: str) -> str:
-    name = signal.lower()
-    for word, family in (("capacity", "capacity_summary"), ("resistance", "resistance_summary"), ("temp", "thermal_summary"), ("energy", "energy_summary")):
-        if word in name:
-            return family
-    return default
+    return next((family for word, family in FAMILIES if word in signal.lower()), default)
 
 
 def feature_names(s: Spec) -> list[str]:
@@ -190,8 +353,8 @@ def feature_names(s: Spec) -> list[str]:
     return []
 
 
-def metadata(spark: SparkSession, program: Program) -> DataFrame:
-    """One row a feature with its provenance, made from the program alone."""
+def metadata(spark: SparkSession, program: Program, prefix: str = "") -> DataFrame:
+    """One row a feature with its provenance, made from the program alone; ``prefix`` goes before each name."""
     rows, seen = [], set()
     for s in program.specs:
         if s.enabled:
@@ -199,10 +362,13 @@ def metadata(spark: SparkSession, program: Program) -> DataFrame:
             for n in feature_names(s):
                 if n not in seen:
                     seen.add(n)
-                    rows.append((n, family, s.operator, s.signal, json.dumps(s.params, sort_keys=True), program.name, program.convention))
+                    rows.append((prefix + n, family, s.operator, s.signal, json.dumps(s.params, sort_keys=True), program.name, program.convention))
     return spark.createDataFrame(rows, "feature string, family string, operator string, signal string, params string, program string, convention string")
 
 
+# Other names that a signal's column may have.
+SIGNAL_ALIASES = {"internal_resistance": ["dc_internal_resistance"], "temperature": ["temperature_average"]}
+
 # Fixed values of the recipes: signals, steps, windows and statistics.
 SIGNALS = ["discharge_capacity", "charge_capacity", "internal_resistance", "temperature", "discharge_energy", "charge_energy"]
 SCALAR_STEPS = [0, 1, 2, 4, 9, 10, 49, 99]
