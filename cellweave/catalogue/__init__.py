@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("features", "relational", "modelling")
+MODULES = ("features", "recipes", "relational", "modelling", "records")
 
 
 def queries() -> dict:

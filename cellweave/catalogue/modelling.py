@@ -115,7 +115,7 @@ _SCORED = f"scored AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_cust
 _ERR = ", ".join(["count(*) AS n", r("sqrt(avg((p - y) * (p - y)))", "rmse"), r("avg(abs(p - y))", "mae"), r("CASE WHEN count(*) > 1 AND var_pop(y) > 0 THEN 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)) END", "r2"),
                   r("avg(abs(p - y) / y) FILTER (WHERE y > 0)", "mape"), r("100 * avg(abs(p - y) / y) FILTER (WHERE y > 0)", "error_pct"), r("CASE WHEN var_pop(y) > 0 AND var_pop(p) > 0 THEN corr(y, p) END", "pearson")])
 _RUNS = "runs AS (SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey AS run, l_partkey % 3 AS seed, l_extendedprice / 777 AS rmse, l_discount - 0.05 AS bias FROM lineitem)"
-_AGG = _RUNS + """, agg AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n_evals, count(DISTINCT run) AS n_runs, count(DISTINCT seed) AS n_seeds, array_to_string(list_sort(list(DISTINCT CAST(run AS VARCHAR))), ';') AS runs,
+_AGG = _RUNS + """, agg AS (SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n_evals, count(DISTINCT run) AS n_runs, count(DISTINCT seed) AS n_seeds, array_to_string(list_sort(list(DISTINCT CAST(run AS VARCHAR))), ';') AS runs, array_to_string(list_sort(list(DISTINCT seed)), ';') AS seeds,
   avg(rmse) AS mean, coalesce(stddev_samp(rmse), 0) AS std, min(rmse) AS min, max(rmse) AS max, avg(bias) AS mean_bias FROM runs GROUP BY ALL), sel AS (SELECT *, mean + 0.25 * std + 0.1 * abs(mean_bias) AS score FROM agg WHERE n_evals >= 2)"""
 _r5 = lambda e, n: f"round({e}, 5) + 0.0 AS {n}"
 _KEY = "CAST(round_even(C1, 3) AS VARCHAR) || '|' || coalesce(CAST(round_even(C2, 3) AS VARCHAR), 'nan')"
@@ -132,7 +132,7 @@ SELECT {_ERR}, (SELECT {r('corr(ra, rb)', 'x').rsplit(' AS ', 1)[0]} FROM k) AS
 o AS (SELECT key, count(life) AS n, avg(life) AS mean, median(life) AS median FROM k GROUP BY key), e AS (SELECT key, avg(life * 1.1) AS early FROM k WHERE o_orderkey % 2 = 0 GROUP BY key), p AS (SELECT key, max(life / 3) AS posterior FROM k WHERE C1 > 1 GROUP BY key),
 b AS (SELECT *, row_number() OVER (ORDER BY mean DESC, key) AS observed_rank, CASE WHEN early IS NOT NULL THEN row_number() OVER (ORDER BY early DESC NULLS LAST, key) END AS early_rank FROM o LEFT JOIN e USING (key) LEFT JOIN p USING (key))
 SELECT key, n, {_r5('mean', 'mean')}, {_r5('median', 'median')}, {_r5('early', 'early')}, {_r5('posterior', 'posterior')}, CAST(observed_rank AS INTEGER) AS observed_rank, CAST(coalesce(early_rank, 0) AS INTEGER) AS early_rank, {_r5('early - mean', 'residual')} FROM b""",
-    "campaign_config_aggregate": f"WITH {_AGG} SELECT l_returnflag, l_linestatus, l_linenumber, n_evals, n_runs, n_seeds, runs, {', '.join(_r5(c, c) for c in ('mean', 'std', 'min', 'max', 'mean_bias', 'score'))} FROM sel",
+    "campaign_config_aggregate": f"WITH {_AGG} SELECT l_returnflag, l_linestatus, l_linenumber, n_evals, n_runs, n_seeds, runs, seeds, {', '.join(_r5(c, c) for c in ('mean', 'std', 'min', 'max', 'mean_bias', 'score'))} FROM sel",
     "topk_shortlist": f"WITH {_AGG} SELECT l_returnflag, l_linestatus, l_linenumber, {_r5('score', 'score')} FROM sel ORDER BY sel.score, mean, std, l_returnflag, l_linestatus, l_linenumber LIMIT 5",
     "leaderboard_best_by": f"WITH {_RUNS} SELECT l_returnflag, l_linestatus, l_linenumber, run, {_r5('rmse', 'rmse')}, true AS success FROM runs WHERE seed > 0 QUALIFY row_number() OVER (PARTITION BY l_linenumber ORDER BY runs.rmse, run, l_returnflag, l_linestatus) = 1",
     "failure_summary": "SELECT o_orderstatus, CASE WHEN o_custkey % 4 <> 0 THEN CAST(o_custkey % 4 AS VARCHAR) END AS why, count(*) AS n FROM orders GROUP BY 1, 2 ORDER BY n DESC, 1 NULLS FIRST, 2 NULLS FIRST LIMIT 10",

@@ -27,7 +27,7 @@ def exclusion_counts(spark, d):
 
 def identity_match_join(spark, d):
     left = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("/raw/"), "s_name", F.lit("_structure.json")).alias("file"))
-    right = table(spark, d, "customer").select(F.regexp_replace("c_name", "Customer", "SUPPLIER").alias("name"), "c_custkey").where("c_custkey % 2 = 0")
+    right = table(spark, d, "customer").select(F.regexp_replace("c_name", "Customer", "SUPPLIER").alias("name"), "c_custkey")
     hit, miss = R.matched(left, right, "file", "name", ["c_custkey"])
     both = hit.select("s_suppkey", "identity", "c_custkey").unionByName(miss.select("s_suppkey", "identity"), allowMissingColumns=True)
     return both.withColumn("c_custkey", F.coalesce("c_custkey", F.lit(-1)))
@@ -35,7 +35,7 @@ def identity_match_join(spark, d):
 
 def path_resolution_cascade(spark, d):
     p = table(spark, d, "pages")
-    listing = p.where("page_id % 3 <> 0").select(F.regexp_replace("url", r"[?#].*$", "").alias("path"))
+    listing = p.where("html LIKE '%a%'").select(F.regexp_replace("url", r"[?#].*$", "").alias("path"))
     cand = {"direct": "url", "no_query": F.regexp_replace("url", r"[?#].*$", ""), "rebased": F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "^http:", "https:")}
     return R.resolved_path(cand, listing, p.select("page_id", "url"), "page_id")
 
@@ -175,8 +175,8 @@ _clean = "regexp_replace(url, '[?#].*$', '')"
 ORACLE_SQL = {
     "exclusion_reasons": f"SELECT o_orderkey, {_REASONS} AS reasons FROM orders",
     "exclusion_counts": f"SELECT reason, count(*) AS n FROM (SELECT unnest(string_split({_REASONS}, ';')) AS reason FROM orders WHERE {_REASONS} <> '') GROUP BY reason",
-    "identity_match_join": f"WITH l AS (SELECT s_suppkey, {_norm(chr(39) + '/raw/' + chr(39) + ' || s_name || ' + chr(39) + '_structure.json' + chr(39))} AS identity FROM supplier), c AS (SELECT c_custkey, {_norm(chr(39) + 'x/' + chr(39) + ' || replace(c_name, ' + chr(39) + 'Customer' + chr(39) + ', ' + chr(39) + 'SUPPLIER' + chr(39) + ')')} AS identity FROM customer WHERE c_custkey % 2 = 0) SELECT s_suppkey, identity, coalesce(c_custkey, -1) AS c_custkey FROM l LEFT JOIN c USING (identity)",
-    "path_resolution_cascade": f"""WITH l AS (SELECT DISTINCT {_clean} AS path FROM pages WHERE page_id % 3 <> 0), c AS (SELECT page_id, url AS a, {_clean} AS b, regexp_replace({_clean}, '^http:', 'https:') AS c FROM pages)
+    "identity_match_join": f"WITH l AS (SELECT s_suppkey, {_norm(chr(39) + '/raw/' + chr(39) + ' || s_name || ' + chr(39) + '_structure.json' + chr(39))} AS identity FROM supplier), c AS (SELECT c_custkey, {_norm(chr(39) + 'x/' + chr(39) + ' || replace(c_name, ' + chr(39) + 'Customer' + chr(39) + ', ' + chr(39) + 'SUPPLIER' + chr(39) + ')')} AS identity FROM customer) SELECT s_suppkey, identity, coalesce(c_custkey, -1) AS c_custkey FROM l LEFT JOIN c USING (identity)",
+    "path_resolution_cascade": f"""WITH l AS (SELECT DISTINCT {_clean} AS path FROM pages WHERE html LIKE '%a%'), c AS (SELECT page_id, url AS a, {_clean} AS b, regexp_replace({_clean}, '^http:', 'https:') AS c FROM pages)
 SELECT page_id, CASE WHEN a IN (SELECT path FROM l) THEN a WHEN b IN (SELECT path FROM l) THEN b WHEN c IN (SELECT path FROM l) THEN c END AS path,
   CASE WHEN a IN (SELECT path FROM l) THEN 'direct' WHEN b IN (SELECT path FROM l) THEN 'no_query' WHEN c IN (SELECT path FROM l) THEN 'rebased' ELSE 'unresolved' END AS how, CAST(3 AS BIGINT) AS tried FROM c""",
     "anonymised_keys": "SELECT c_custkey, format('anon_cell_{:05d}', dense_rank() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) - 1) AS anon FROM customer WHERE c_custkey IS NOT NULL",

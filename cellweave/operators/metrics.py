@@ -13,7 +13,7 @@ from .relational import ranked
 
 def guarded_corr(a: str, b: str) -> Column:
     """Pearson correlation, null where either hardly varies."""
-    return F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b))
+    return F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def error_metrics(y: str = "y", p: str = "y_pred") -> list[Column]:

@@ -154,3 +154,75 @@ def availability(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Whether each column has any value."""
     one = rows.agg(*[(F.count(c) > 0).alias(c) for c in columns])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("available")) for c in columns])).alias("f")).select("f.*")
+
+
+def rebased(path: str | Column, marker: str, root: str) -> Column:
+    """A path whose part behind ``marker`` is put under ``root``; null without the marker or anything behind it."""
+    x = F.replace(F.col(path) if isinstance(path, str) else path, F.lit("\\"), F.lit("/"))
+    rest = F.regexp_replace(F.substring(x, F.locate(marker, x) + len(marker), F.length(x)), r"^/+|/+$", "")
+    return F.when((F.locate(marker, x) > 0) & (rest != ""), F.concat(F.lit(root.rstrip("/") + "/"), rest))
+
+
+def file_names(batch: str | Column, cell: str | Column) -> Column:
+    """The JSON file names that a cell of a batch may have, most likely first, without repeats."""
+    b, c = (F.col(x) if isinstance(x, str) else x for x in (batch, cell))
+    stem = F.regexp_replace(F.trim(c), r"\.json$", "")
+    other = F.when(F.endswith(stem, F.lit("_structure")), F.regexp_replace(stem, "_structure$", "")).otherwise(F.concat(stem, F.lit("_structure")))
+    in_batch = F.when(F.startswith(stem, F.lit("CH")), F.concat(b, F.lit("_"), stem))
+    stems = F.array(stem, other, in_batch, F.concat(in_batch, F.lit("_structure")))
+    return F.transform(F.array_distinct(F.filter(stems, lambda s: s.isNotNull() & (s != ""))), lambda s: F.concat(s, F.lit(".json")))
+
+
+def reconstructed_paths(rows: DataFrame, key: str, root: str, batch: str, cells: list[str]) -> DataFrame:
+    """(key, rank, path): where a row's file may lie by its batch and any of its cell names, in order."""
+    base = root.rstrip("/") if root.rstrip("/").endswith("/data") else root.rstrip("/") + "/data"
+    names = F.flatten(F.array(*[F.coalesce(F.when(F.trim(F.col(c)) != "", file_names(batch, c)), F.array().cast("array<string>")) for c in cells]))
+    each = rows.where(F.trim(F.col(batch)) != "").select(key, batch, F.posexplode(names).alias("rank", "name"))
+    return each.select(key, "rank", F.concat_ws("/", F.lit(base), batch, "name").alias("path"))
+
+
+def resolved_sources(rows: DataFrame, key: str, columns: list[str], root: str, marker: str, batch: str, cells: list[str], files: DataFrame) -> DataFrame:
+    """(key, path, how, source_column, source_path, attempted): each row's raw file, the first of: a path column as it is,
+    rebased by the marker, taken as relative; then one made of batch and cell names. ``attempted``: all tried, in order."""
+    tries = []
+    for i, c in enumerate(columns):
+        x = F.nullif(F.trim(F.col(c)), F.lit(""))
+        relative = F.when(~F.startswith(x, F.lit("/")), F.concat(F.lit(root.rstrip("/") + "/"), x))
+        for j, (how, p) in enumerate((("direct", x), ("rebased", rebased(x, marker, root)), ("rebased", relative))):
+            tries.append(F.struct(F.lit(3 * i + j).alias("rank"), F.lit(how).alias("how"), F.lit(c).alias("source_column"), p.alias("path")))
+    each = rows.select(key, F.explode(F.array(*tries)).alias("t")).select(key, "t.*").where("path IS NOT NULL")
+    made = reconstructed_paths(rows, key, root, batch, cells).select(key, (F.col("rank") + 3 * len(columns)).alias("rank"), F.lit("reconstructed").alias("how"), F.lit(None).cast("string").alias("source_column"), "path")
+    hit = each.unionByName(made).join(files.select("path").distinct().withColumn("_there", F.lit(True)), "path", "left")
+    best = F.min_by(F.struct("path", "how", "source_column"), F.when(F.col("_there"), F.col("rank")))
+    upto = F.min(F.when(F.col("_there"), F.col("rank")))
+    tried = F.sort_array(F.collect_list(F.struct("rank", "path")))
+    found = hit.groupBy(key).agg(best.alias("b"), upto.alias("_upto"), tried.alias("_tried"))
+    kept = F.transform(F.filter("_tried", lambda t: F.col("_upto").isNull() | (t["rank"] <= F.col("_upto"))), lambda t: t["path"])
+    first = F.coalesce(*[F.when(F.trim(F.col(c)) != "", F.struct(F.lit(c).alias("c"), F.trim(F.col(c)).alias("p"))) for c in columns])
+    out = rows.select(key, first.alias("_first")).join(found, key, "left")
+    return out.select(key, "b.path", F.coalesce("b.how", F.lit("unresolved")).alias("how"), F.coalesce("b.source_column", "_first.c").alias("source_column"), F.col("_first.p").alias("source_path"), F.array_join(F.array_distinct(F.coalesce(kept, F.array().cast("array<string>"))), ";").alias("attempted"))
+
+
+def first_per(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The first row of each key in ``order``."""
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def within(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the ids (a semi join)."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def table_problems(rows: DataFrame, required: list[str], unique: str | None = None, lower: str | None = None) -> list[str]:
+    """What is wrong with a table: missing columns, numbers that are infinite, repeated names, texts not in lower case."""
+    found = [f"missing column: {c}" for c in required if c not in rows.columns]
+    numbers = [c for c, t in rows.dtypes if t in ("float", "double")]
+    checks = {f"infinite numbers: {c}": F.count_if(F.abs(F.col(c)) == float("inf")) for c in numbers}
+    if lower and lower in rows.columns:
+        checks[f"not in lower case: {lower}"] = F.count_if(F.col(lower) != F.lower(lower))
+    if checks:
+        seen = rows.agg(*[c.alias(str(i)) for i, c in enumerate(checks.values())]).first()
+        found += [name for i, name in enumerate(checks) if seen[str(i)]]
+    if unique and unique in rows.columns and not rows.groupBy(unique).count().where("count > 1").isEmpty():
+        found.append(f"repeated: {unique}")
+    return found

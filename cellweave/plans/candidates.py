@@ -164,9 +164,7 @@ def variants(first: Candidate, iteration: int, n: int, protocol_allowed: bool =
 def wanted_families(of: str, protocol: bool, only: list[str] = []) -> set[str] | None:
     """The families that a feature set takes; None: all that are allowed."""
     found = set(only) or {"scalar_only": SCALARS, "curve_only": CURVES, "scalar_plus_curve": SCALARS | CURVES, "broad_physics": SCALARS | CURVES | PLACEHOLDERS, "protocol_only": {"protocol"}}.get(of, set())
-    if not found:
-        return None
-    return found | {"protocol"} if protocol and of == "protocol_only" else found if protocol else found - {"protocol"}
+    return (found if protocol else found - {"protocol"}) or None
 
 
 def selected_columns(columns: list[str], about: dict[str, str], of: str, protocol: bool, only: list[str] = []) -> list[str]:

@@ -108,7 +108,8 @@ def protocol_columns(metadata: DataFrame) -> DataFrame:
     """(key, currents, their mean, most and variance, products of neighbours); the first row of each key counts."""
     key = key_column(metadata.columns)
     names = {c: next((a for a in alias if a in metadata.columns), None) for c, alias in CURRENTS.items()}
-    rows = metadata.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(*[F.min_by(finite(a), F.col("_at")).alias(c) for c, a in names.items() if a])
+    some = [F.min_by(finite(a) if a else F.lit(None).cast("double"), F.col("_at")).alias(c) for c, a in names.items()]
+    rows = metadata.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(*some)
     out = protocol.protocol_features(rows, key, list(CURRENTS), products=True)
     out = out.withColumnsRenamed({"protocol_mean": "protocol_current_mean", "protocol_max": "protocol_current_max", "protocol_var": "protocol_current_variance"})
     return out.withColumnsRenamed({f"{a}_x_{b}": f"protocol_{a.lower()}_{b.lower()}" for a, b in zip(list(CURRENTS), list(CURRENTS)[1:])})

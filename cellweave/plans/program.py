@@ -80,7 +80,7 @@ class Registry:
         return sorted(self._built)
 
     def about(self, name: str) -> dict:
-        return self._built[name][1]
+        return self._built[name][1] if name in self._built else {}
 
 
 def _value(s: Spec, i: Inputs) -> DataFrame | None:
@@ -343,7 +343,7 @@ def feature_names(s: Spec) -> list[str]:
     if s.operator == "value_at_step":
         return [f"{g}{'' if a == 'last' else '_' + a}_step_{c}" for c in p["steps"] for a in p.get("aggs", ["last"])]
     if s.operator == "window_stats":
-        return [f"{g}_{t}_{a}_{b}" for a, b in p["windows"] for t in p["stats"]]
+        return [f"{g}_{t}_{a}_{b}" for a, b in p["windows"] for t in p.get("stats", WINDOW_STATS)]
     if s.operator == "step_delta":
         return [f"{g}_{h}_{a}_{b}" for a, b in p["pairs"] for h in p["how"]]
     if s.operator == "curve_shape":
