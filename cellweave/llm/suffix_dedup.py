@@ -32,7 +32,7 @@ from .common import dealt, forget, keyed, parts_for, table, whole_text, with_fou
 
 WINDOW, GRAM = 200, 48
 #: Bytes read at once, bytes of contexts sorted at once, distinct contexts of a gram that are sorted together.
-PIECE, SHARD_BYTES, HOT = 1 << 20, 1_500_000, 4096
+PIECE, SHARD_BYTES, HOT = 1 << 20, 1_500_000, 1024
 #: Bytes of contexts that a sorting task gets on average, and the most tasks.
 TASK_BYTES, MOST_TASKS = 6_000_000, 50_000
 
