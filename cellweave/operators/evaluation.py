@@ -122,7 +122,8 @@ def evaluated_candidate(candidate: Candidate, train: tuple[DataFrame, DataFrame,
     """
     early = lambda c: c.where(F.col("cycle_index") <= upto)
     tables = [train[0], early(train[1]), train[2], test[0], early(test[1]), test[2]]
-    names = aliases(*tables, key=key)
+    names = aliases(*tables, key=key).persist()  # read by every table; so are the predictions by every check
+    held = [names]
     try:
         got = candidate(
             sanitised_metadata(tables[0], names, protocol, key), sanitised_steps(tables[1], names, key), sanitised_labels(tables[2], names, key),
@@ -139,15 +140,21 @@ def evaluated_candidate(candidate: Candidate, train: tuple[DataFrame, DataFrame,
             got = traced.select(key, "y_pred")
         else:
             return Evaluation(False, error_type="PredictionValidationError", reason=f"predictions need {key} or cell_id")
+        got = got.persist()
+        held.append(got)
         expected = finite_labels(tables[5], key).select(key, "y")
         problems = prediction_problems(expected, got, key)
         counts = {r.what: r.n for r in problems.groupBy("what").agg(F.count("*").alias("n")).collect()}  # at most four rows
         if counts:
             return Evaluation(False, error_type="PredictionValidationError", reason="; ".join(f"{n} {what}" for what, n in sorted(counts.items())))
-        scored = expected.join(got.select(key, F.col("y_pred").cast("double").alias("y_pred")), key)
+        scored = expected.join(got.select(key, F.col("y_pred").cast("double").alias("y_pred")), key).persist()
+        held.append(scored)
         row = regression_metrics(scored).crossJoin(scored.agg(*diagnostics())).first()  # single rows
     except Exception as e:
         return Evaluation(False, error_type=type(e).__name__, reason=str(e).splitlines()[0] if str(e) else type(e).__name__)
+    finally:
+        for h in held:
+            h.unpersist()
     metrics = row.asDict()
     gain = None if weak is None or strong is None or weak == strong else (weak - metrics["rmse"]) / (weak - strong)
     return Evaluation(True, metrics | {"gain": gain}, scored)

@@ -218,9 +218,10 @@ def runnable(c: Candidate, tables: list[FeatureTable] = [], upto: int = 100, pro
         train, columns = feature_frame(meta, cycles, c, tables, upto, None, protocol_allowed)
         test, _ = feature_frame(test_meta, test_cycles, c, tables, upto, columns, protocol_allowed)
         target = F.log10(F.when(F.col("y") > 0, F.col("y")).otherwise(F.raise_error(F.lit("a logarithmic target needs positive labels")).cast("double"))) if c.target == "log10" else F.col("y")
-        rows = train.join(labels.select(key, "y"), key).withColumn("label", target.cast("double"))
+        rows = train.join(labels.select(key, "y"), key).withColumn("label", target.cast("double")).persist()  # fits read it many times
         filled = [f"_{i}" for i in range(len(columns))]
         model = Pipeline(stages=[Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), estimator(c.family, c.settings, len(columns))]).fit(rows)
+        rows.unpersist()
         out = model.transform(test)
         return out.select(key, (F.pow(F.lit(10.0), "prediction") if c.target == "log10" else F.col("prediction")).alias("y_pred"))
 

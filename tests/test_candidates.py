@@ -35,7 +35,7 @@ def test_every_family_beats_the_mean(spark, cells, family):
     meta, steps, labels = cells
     splits = halves(labels)
     judge = V.HiddenEvaluator(meta, steps, labels, splits, upto=40)
-    settings = {"n_estimators": 20} if "Regressor" in family else {"n_alphas": 10} if family.endswith("CV") else {"alpha": 1.0, "nonsense": object()}
+    settings = {"n_estimators": 8, "learning_rate": 0.3} if family.startswith("Grad") else {"n_estimators": 8} if "Regressor" in family else {"n_alphas": 4, "eps": 0.01} if family.endswith("CV") else {"alpha": 1.0, "nonsense": object()}
     got = judge.evaluate(C.runnable(C.Candidate("c", family, "log10" if family == "Ridge" else "raw", settings=settings), upto=40))
     assert got.success, got.reason
     part = lambda s: labels.join(splits.where(F.col("split") == s), "row_id", "left_semi")
@@ -251,7 +251,7 @@ def test_tool_calls(spark, cells, tmp_path):
     assert t.build_battery_features(meta, steps, 40).values["families"]["capacity_summary"] > 10
     got = t.evaluate_candidate(C.Candidate("c", "Ridge"), meta, steps, labels, halves(labels), upto=40)
     assert got.success and got.values["metrics"]["n"] == 15
-    assert not t.evaluate_candidate(C.Candidate("c"), meta, steps.drop("discharge_capacity"), labels).success
+    assert not t.evaluate_candidate(C.Candidate("c"), meta, steps.drop("row_id"), labels).success
     assert t.review_candidate("x = open('f')\nridge = 1").values == {"verdict": "needs_attention", "issues": ["line 1: file access"], "model": "Ridge"}
     assert t.review_candidate(C.Candidate("c", settings={"bad": 1})).values["verdict"] == "needs_attention"
     runs = spark.createDataFrame([("a",), ("b",)], "run_id string")
