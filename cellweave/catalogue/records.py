@@ -163,7 +163,7 @@ def review_statuses(spark, d):
 
 
 def recipe_from_paths(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") < 5, "given").alias("recipe"), F.when(F.col("p_size") < 20, "/x/severson_broad_physics_idx3_50/feature_table.csv").when(F.col("p_size") < 35, "/runs/trackA_my_mix_batch_7/out").otherwise("/none").alias("path"))
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") < 5, "given").alias("recipe"), F.when(F.col("p_size") < 20, "/x/oed_broad_physics_idx3_50/feature_table.csv").when(F.col("p_size") < 35, "/runs/trackA_my_mix_batch_7/out").otherwise("/none").alias("path"))
     return p.select("p_partkey", K.run_recipe("recipe", "path").alias("recipe"), *[c.alias(f"table_{n}") for c, n in zip(K.recipe_settings("path"), ("recipe", "early", "late", "first"))])
 
 

@@ -120,7 +120,7 @@ def code_problems(lines: DataFrame, key: str, rules: dict[str, str], allowed: st
 
 
 # The recipes that a path may name, first match first.
-RECIPES = ("minimal_debug", "scalar_baseline", "curve_delta", "broad_physics", "attia_severson_like")
+RECIPES = ("minimal_debug", "scalar_baseline", "curve_delta", "broad_physics", "literature")
 
 
 def run_recipe(recipe: str, *paths: str) -> Column:
@@ -137,7 +137,7 @@ def recipe_settings(path: str | Column, recipe: str | None = None, early: str |
     """Recipe and steps of a feature table's folder name ``<prefix>_<recipe>_idx<early>_<late>``; given columns go first."""
     x = F.regexp_replace(F.col(path) if isinstance(path, str) else path, r"/?(feature_table\.csv)?/?$", "")
     stem = F.element_at(F.split(x, "/"), -1)
-    head = F.regexp_replace(F.regexp_replace(stem, r"_idx.*$", ""), r"^(severson|oed|batch9|all)_", "")
+    head = F.regexp_replace(F.regexp_replace(stem, r"_idx.*$", ""), r"^(oed|batch9|all)_", "")
     steps = [F.regexp_extract(stem, r"_idx(\d+)_(\d+)$", i).try_cast("int") for i in (1, 2)]
     given = lambda c, kind: F.nullif(F.col(c).cast("string"), F.lit("")).try_cast(kind) if c else F.lit(None).cast(kind)
     a, b = F.coalesce(given(early, "int"), steps[0], F.lit(9)), F.coalesce(given(late, "int"), steps[1], F.lit(99))

@@ -91,7 +91,7 @@ def table_kind(splits: DataFrame | None) -> str:
         return "absent"
     if "split_source" in splits.columns:
         sources = {r[0] for r in splits.select("split_source").where("split_source IS NOT NULL").distinct().collect()}
-        if "canonical_severson" in sources:
+        if any(str(s).startswith("canonical") for s in sources):
             return "canonical"
         if sources == {"source_file_identity_default"}:
             return "legacy"
