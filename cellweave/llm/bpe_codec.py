@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .byte_bpe import byte_alphabet, heap_merged
 from .common import table, whole_text
 
-#: Entries that a worker's cache of chunks holds at most before it starts anew.
+#: Entries that a worker's cache of chunks holds at most before it starts anew; the one before it is kept, and what is
+#: still used comes back from there.
 CACHE = 150_000
 #: Bytes of a word from which on a heap merges it: each round rescans a word, which takes long words too long.
 LONG = 1000
@@ -66,7 +67,9 @@ class WordBpe:
         order = np.argsort(keys)
         self.keys, self.ranks, self.product = keys[order], ranks[order].astype(np.int32), product[order]
         self.pairs = None
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, str] = {}
+        self.old: tuple[dict[str, bytes], dict[str, str]] = {}, {}
 
     def long(self, word: bytes) -> np.ndarray:
         """The ids of one long word."""
@@ -111,23 +114,30 @@ class WordBpe:
 
     def normal(self, text: str) -> str:
         """Composed and lower-cased a character at a time: no rule looks at neighbours."""
+        if text.isascii():
+            return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def learn(self, new: list[str]) -> None:
         """Put the chunks, texts without spaces, into the cache: their ids' bytes and their decoded text."""
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
         pieces = [self.words(self.normal(c)) for c in new]
-        distinct = {w: i for i, w in enumerate(dict.fromkeys(w for p in pieces for w in p))}
+        distinct = list(dict.fromkeys(w for p in pieces for w in p))
         raw = [w.encode("utf-8") for w in distinct]
         short = [k for k, w in enumerate(raw) if len(w) <= LONG]
         ids, n = self.merge([raw[k] for k in short]) if short else (np.empty(0, np.int64), np.empty(0, np.int64))
-        of = dict(zip(short, np.split(ids, np.cumsum(n)[:-1]) if short else []))
-        of |= {k: self.long(w) for k, w in enumerate(raw) if len(w) > LONG}
-        own_ids, token = {w: of[k].tolist() for w, k in distinct.items()}, self.token
+        made, stop, flat, at = ids.astype("<u4").tobytes(), np.cumsum(n).tolist(), list(map(self.token.__getitem__, ids.tolist())), 0
+        own_ids, own_text = {}, {}
+        for k, e in zip(short, stop):
+            own_ids[distinct[k]], own_text[distinct[k]], at = made[4 * at : 4 * e], " ".join(flat[at:e]), e
+        for w, r in zip(distinct, raw):
+            if len(r) > LONG:
+                one = self.long(r)
+                own_ids[w], own_text[w] = one.astype("<u4").tobytes(), " ".join([self.token[i] for i in one.tolist()])
         for chunk, words in zip(new, pieces):
-            own = [i for w in words for i in own_ids[w]]
-            self.cache[chunk] = np.array(own, "<u4").tobytes(), " ".join([token[i] for i in own])
+            if len(words) == 1:
+                self.ids[chunk], self.text[chunk] = own_ids[words[0]], own_text[words[0]]
+            else:
+                self.ids[chunk], self.text[chunk] = b"".join([own_ids[w] for w in words]), " ".join([own_text[w] for w in words])
 
     def parts(self, text: str) -> list[str]:
         """The chunks of a text and its added tokens, in order."""
@@ -138,19 +148,18 @@ class WordBpe:
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Per text its ids, little-endian and four bytes each, and what they decode to."""
         cut = [self.parts(t) for t in texts]
-        new = {c for p in cut for c in p if c not in self.cache}
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = {c for p in cut for c in p}
-        new -= self.added.keys()
-        self.learn(sorted(new))
+        chunks = set().union(*cut)
+        new = chunks.difference(self.ids)
+        if len(self.ids) + len(new) > CACHE:
+            self.old, self.ids, self.text, new = (self.ids, self.text), {}, {}, chunks
+        old_ids, old_text = self.old
+        for c in [c for c in new if c in old_ids]:
+            self.ids[c], self.text[c] = old_ids[c], old_text[c]
+        self.learn(sorted(c for c in new if c not in self.ids and c not in self.added))
         for s, i in self.added.items():
-            self.cache[s] = np.array([i], "<u4").tobytes(), s
-        found = []
-        for p in cut:
-            both = [self.cache[c] for c in p]
-            found.append((b"".join([x for x, _ in both]), " ".join([s for _, s in both if s])))
-        return found
+            self.ids[s], self.text[s] = np.array([i], "<u4").tobytes(), s
+        ids, text = self.ids.__getitem__, self.text.__getitem__
+        return [(b"".join(map(ids, p)), " ".join(filter(None, map(text, p)))) for p in cut]
 
 
 @lru_cache(2)
