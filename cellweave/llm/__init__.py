@@ -18,6 +18,9 @@ MODULES = (
     "suffix_dedup",
     "minhash_dedup",
     "bpe_codec",
+    "token_alignment",
+    "repetition",
+    "fim",
 )
 
 

@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 * 2**20
+
+
+def byte_bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands rows to Python workers in batches bounded by bytes, not by rows alone."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).removesuffix("b")) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def whole_text(c: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
