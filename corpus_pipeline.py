@@ -21,25 +21,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import minhash_dedup, packing, secret_scan, suffix_dedup, toxicity
-from cellweave.llm.common import keyed, table, written
+from cellweave.llm.common import byte_bounded, keyed, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
+    docs = byte_bounded(docs)
     model = toxicity.fitted(docs.select("doc_id", "text"), labels)
     return toxicity.with_score(docs.select(*COLUMNS), model).where("score < 0.5").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, by_id = keyed(docs.select(*COLUMNS))
+    rows, by_id = keyed(byte_bounded(docs).select(*COLUMNS))
     found = minhash_dedup.near_duplicates(rows, by_id, k=5)
     return rows.join(found.where("first").select("key"), "key", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = suffix_dedup.deduplicated(docs.select(*COLUMNS))
+    rows = suffix_dedup.deduplicated(byte_bounded(docs).select(*COLUMNS))
     whole = rows.where("spans IS NULL").select(*COLUMNS)
     schema = docs.select(*COLUMNS).schema
 
@@ -63,7 +64,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs.select("doc_id", "text"), packing.vocabulary())
+    return packing.pack_documents(byte_bounded(docs).select("doc_id", "text"), packing.vocabulary())
 
 
 STAGES = [
