@@ -30,7 +30,7 @@ def _program(name):
 
 def _long(spark, d, name):
     i = _inputs(spark, d)
-    if name in ("literature", "broad_physics"):  # these have curves, so the series' fallback would read other entities
+    if name in ("literature", "broad_physics"):  # the samples' entities are others than the series', so these show the fallback
         i.samples = i.samples.withColumn("entity", -F.col("entity") - 1)
     return rounded(G.long_features(_program(name), i))
 
@@ -48,11 +48,11 @@ def recipe_curve_delta(spark, d):
 
 
 def recipe_literature(spark, d):
-    return _long(spark, d, "literature").where("entity >= 0")
+    return _long(spark, d, "literature")
 
 
 def recipe_broad_physics(spark, d):
-    return _long(spark, d, "broad_physics").where("entity < 0 AND feature RLIKE '_at_[0-9]+$'")
+    return _long(spark, d, "broad_physics")
 
 
 def program_status_counts(spark, d):
@@ -115,25 +115,36 @@ def _windows(signal, windows, stats):
     return out
 
 
-def _signal_sql(signal, columns):
-    return f"SELECT entity, {', '.join(columns)} FROM (SELECT entity, step, avg({SIGNALS[signal]}) AS v FROM daily GROUP BY entity, step) GROUP BY entity"
+def _series_sql(signal, raw=False):
+    """Per-step means, and with ``raw`` those of the samples' entities."""
+    own = f"SELECT entity, step, avg({SIGNALS[signal]}) AS v FROM daily GROUP BY entity, step"
+    return own + (f" UNION ALL SELECT -entity - 1, step, avg({CURVES[signal]}) FROM li GROUP BY entity, step" if raw and signal in CURVES else "")
+
+
+def _signal_sql(signal, columns, raw=False):
+    return f"SELECT entity, {', '.join(columns)} FROM ({_series_sql(signal, raw)}) GROUP BY entity"
 
 
 def _unpivot(sqls):
     return " UNION ALL ".join(f"SELECT entity, feature, value FROM (UNPIVOT ({q}) ON COLUMNS(* EXCLUDE (entity)) INTO NAME feature VALUE value)" for q in sqls)
 
 
-def _curvature(signal, windows):
+def _curvature(signal, windows, raw=False):
     one = lambda lo, hi: f"""SELECT entity, '{signal}_curvature_{lo}_{hi}' AS feature, round(CAST((sum(t*t) * sum(t*t*e) - sum(t*t*t) * sum(t*e)) / nullif(sum(t*t) * (sum(t*t*t*t) - sum(t*t) * sum(t*t) / count(*)) - sum(t*t*t) * sum(t*t*t), 0) AS DOUBLE), 6) + 0.0 AS value
-  FROM (SELECT entity, step - avg(step) OVER (PARTITION BY entity) AS t, v - avg(v) OVER (PARTITION BY entity) AS e FROM (SELECT entity, step, avg({SIGNALS[signal]}) AS v FROM daily GROUP BY entity, step) WHERE v IS NOT NULL AND step BETWEEN {lo} AND {hi}) GROUP BY entity HAVING count(*) >= 3"""
+  FROM (SELECT entity, step - avg(step) OVER (PARTITION BY entity) AS t, v - avg(v) OVER (PARTITION BY entity) AS e FROM ({_series_sql(signal, raw)}) WHERE v IS NOT NULL AND step BETWEEN {lo} AND {hi}) GROUP BY entity HAVING count(*) >= 3"""
     return [f"SELECT * FROM ({one(lo, hi)}) WHERE value IS NOT NULL" for lo, hi in windows]
 
 
-_SCALAR_WINDOWS = [(0, 4), (0, 9), (0, 49), (0, 29), (10, 29)]
-_baseline = [
-    _signal_sql(s, [r(_at(c), f"{s}{a}_step_{c}") for c in G.SCALAR_STEPS for a in ("", "_mean")] + _windows(s, _SCALAR_WINDOWS, G.WINDOW_STATS) + [r(_delta_sql(a, b, h), f"{s}_{h}_{a}_{b}") for a, b in [(0, 9), (1, 29), (9, 29)] for h in ("difference", "ratio", "relative", "log")])
-    for s in SIGNALS
-]
+def _scalars_sql(late, raw=False):
+    """Every feature of the scalar specifications up to a last step."""
+    windows = [(0, 4), (0, 9), (0, 49), (0, late), (10, late)]
+    texts = [
+        _signal_sql(s, [r(_at(c), f"{s}{a}_step_{c}") for c in G.SCALAR_STEPS for a in ("", "_mean")] + _windows(s, windows, G.WINDOW_STATS) + [r(_delta_sql(a, b, h), f"{s}_{h}_{a}_{b}") for a, b in [(0, 9), (1, late), (9, late)] for h in ("difference", "ratio", "relative", "log")], raw)
+        for s in SIGNALS
+    ]
+    return _unpivot(texts) + " UNION ALL " + " UNION ALL ".join(x for s in SIGNALS for x in _curvature(s, windows, raw))
+
+
 _POINTS = f"li AS (SELECT l_suppkey AS entity, l_linenumber AS step, trim(lower({KIND})) AS kind, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem)"
 
 
@@ -178,11 +189,12 @@ _lit_windows = list(dict.fromkeys(_curve_stats(_late)))
 _cap = lambda lo: f"FILTER (WHERE step >= {lo})"
 
 ORACLE_SQL = {
-    "recipe_scalar_baseline": f"WITH {DAILY} " + _unpivot(_baseline) + " UNION ALL " + " UNION ALL ".join(x for s in SIGNALS for x in _curvature(s, _SCALAR_WINDOWS)),
+    "recipe_scalar_baseline": f"WITH {DAILY} " + _scalars_sql(29),
     "recipe_minimal_debug": f"WITH {DAILY} " + _unpivot([_signal_sql(_q, [r(_at(c), f"{_q}_step_{c}") for c in (0, 1, 9)] + [r(_delta_sql(0, 9, h), f"{_q}_{h}_0_9") for h in ("difference", "log")])]),
     "recipe_curve_delta": _deltas(["identity", "abs", "log_abs"], G.DELTA_AGGS) + "SELECT entity, feature, value FROM (UNPIVOT a ON COLUMNS(* EXCLUDE (entity)) INTO NAME feature VALUE value)",
-    "recipe_literature": f"WITH {DAILY} " + _unpivot([_signal_sql(_q, [r(_at(c), f"{_q}_step_{c}") for c in dict.fromkeys((1, _early, _late))] + _lit_windows)]),
-    "recipe_broad_physics": _shapes(),
+    "recipe_literature": f"WITH {DAILY}, {_POINTS} " + _unpivot([_signal_sql(_q, [r(_at(c), f"{_q}_step_{c}") for c in dict.fromkeys((1, _early, _late))] + _lit_windows, True)])
+    + " UNION ALL SELECT -entity - 1, feature, value FROM (" + _deltas(["identity", "log_abs"], ["min", "mean", "var", "log_var", "skew", "sum_abs", "sum_sq"]) + "SELECT entity, feature, value FROM (UNPIVOT a ON COLUMNS(* EXCLUDE (entity)) INTO NAME feature VALUE value))",
+    "recipe_broad_physics": f"WITH {DAILY}, {_POINTS} " + _scalars_sql(LATE, True) + " UNION ALL " + _shapes(),
     "program_status_counts": f"""WITH {DAILY}, e AS (SELECT DISTINCT entity FROM daily), c AS (SELECT count(*) FILTER (WHERE c_custkey IN (SELECT entity FROM e)) AS a, count(*) FILTER (WHERE c_custkey NOT IN (SELECT entity FROM e)) AS b FROM customer)
 SELECT * FROM (VALUES ('value_at_step', 'ok', CAST(1 AS BIGINT)), ('value_at_step', 'disabled', 1), ('window_stats', 'failed', 1), ('step_delta', 'ok', 1), ('protocol', 'skipped', 1), ('generic_timeseries_placeholder', 'warning', 1), ('no_such_operator', 'failed', 1), ('pruned', 'features', 0), ('family', 'thermal_summary', 2), ('family', 'capacity_summary_delta', 1)) AS t(what, name, n)
 UNION ALL SELECT 'featurized', 'entities', a FROM c UNION ALL SELECT 'excluded', 'entities', b FROM c""",

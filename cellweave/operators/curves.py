@@ -1,75 +1,141 @@
 """Operators over response curves: y against x, per entity, step and step kind.
 
 Curves are resampled by segments: each point covers the grid places up to the next point, so a resampled curve is one
-explode of its own points, without a join or Python.
+explode of its own points, without a join or Python. All curves that are wanted at once, whatever their signals, kinds,
+steps and windows, go through one scan and one exchange of the samples.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import finite, g1_skew, transformed
 
 SHAPE = ("min", "max", "mean", "std", "var", "skew", "area", "gradient")
-
-
-def curves(samples: DataFrame, keys: list[str], x: str, y: str, kind: str | None = None, kind_value: str | None = None, window: tuple[float, float] | None = None) -> DataFrame:
-    """keys, x, y: finite points, repeated x averaged, clipped to an inclusive window."""
-    rows = samples
-    if kind:
-        rows = rows.where(F.lower(F.trim(F.col(kind))) == kind_value.lower())
-    rows = rows.select(*keys, finite(x).alias("x"), finite(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    if window and window[1] > window[0]:
-        rows = rows.where(F.col("x").between(*window))
-    return rows.groupBy(*keys, "x").agg(F.avg("y").alias("y"))
-
-
-def resampled(points: DataFrame, keys: list[str], grid: int = 1000, window: tuple[float, float] | None = None) -> DataFrame:
-    """keys, i, q, v: the curve at ``grid`` even places from its least to its largest x, or over the whole window, where
-    it keeps its end values. ``points`` may bring the range as columns lo and hi. Curves of one x have no places."""
-    grid = max(2, grid)
-    every, by_x = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("x")
-    p = points
-    if window and window[1] > window[0]:
-        p = p.withColumn("lo", F.lit(float(window[0]))).withColumn("hi", F.lit(float(window[1])))
-    elif "lo" not in points.columns:
-        p = p.withColumn("lo", F.min("x").over(every)).withColumn("hi", F.max("x").over(every))
-    p = p.withColumn("points", F.count("*").over(every)).withColumn("x2", F.lead("x").over(by_x)).withColumn("y2", F.lead("y").over(by_x)).withColumn("x0", F.lag("x").over(by_x))
-    p = p.where("points >= 2 AND hi > lo").withColumn("h", (F.col("hi") - F.col("lo")) / (grid - 1))
+DIFFERENCE = ("min", "max", "mean", "std", "var", "skew", "sum_abs", "sum_sq", "log_var", "area_abs", "area_signed")
+TRANSFORMS = ("identity", "abs", "log_abs")
+
+
+@dataclass(frozen=True)
+class Curve:
+    """A signal's curves at ``steps``, of one ``kind`` if given. ``pair``: of two steps, the later curve less the earlier
+    one, on a grid over the x that both have. A ``window`` of x clips the points and is the grid's range."""
+
+    signal: str
+    steps: tuple[int, ...]
+    pair: bool = False
+    kind: str | None = None
+    grid: int = 1000
+    window: tuple[float, float] | None = None
+
+
+def _each(wanted: list[Curve], of) -> Column:
+    """What ``of`` gives for the row's curve."""
+    values = [of(c) for c in wanted]
+    if len(set(values)) == 1:
+        return F.lit(values[0])
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("task") + 1)
+
+
+def _points(samples: DataFrame, entity: str, step: str, x: str, wanted: list[Curve], kind: str | None) -> DataFrame:
+    """(entity, slot, task, step, x, y): the finite points of each curve, repeated x averaged. A slot holds what belongs
+    together: one step, or the two steps of a pair; all its points are in one partition."""
+    taken = []
+    for k, c in enumerate(wanted):
+        holds = F.col("step").isin(*c.steps)
+        if c.kind:
+            holds &= F.col("kind") == c.kind.lower()
+        if c.window and c.window[1] > c.window[0]:
+            holds &= F.col("x").between(*map(float, c.window))
+        taken.append(F.when(holds, F.struct(F.lit(k).alias("task"), (F.lit(-1 - k) if c.pair else F.col("step")).cast("long").alias("slot"), F.col(f"_{c.signal}").alias("y"))))
+    signals = dict.fromkeys(c.signal for c in wanted)
+    steps = dict.fromkeys(s for c in wanted for s in c.steps)
+    rows = samples.where(F.col(step).isin(*steps)).select(F.col(entity).alias("entity"), F.col(step).alias("step"), finite(x).alias("x"), *([F.lower(F.trim(F.col(kind))).alias("kind")] if kind else []), *[finite(s).alias(f"_{s}") for s in signals])
+    rows = rows.where("x IS NOT NULL").select("entity", "step", "x", F.explode(F.filter(F.array(*taken), lambda t: t.isNotNull() & t["y"].isNotNull())).alias("t"))
+    rows = rows.select("entity", "t.slot", "t.task", "step", "x", "t.y").repartition("entity", "slot")
+    return rows.groupBy("entity", "slot", "task", "step", "x").agg(F.avg("y").alias("y"))
+
+
+def resampled(points: DataFrame, wanted: list[Curve]) -> DataFrame:
+    """(entity, slot, task, i, h, d): the curve, or the pair's difference, at even places of its range; the ends of a
+    window wider than the curve keep its end values. A curve of one x, or a pair that lacks one, has a row without i."""
+    keys = ["entity", "slot", "task"]
+    every, whole = Window.partitionBy(*keys, "step"), Window.partitionBy(*keys)
+    by_x = every.orderBy("x")
+    pair, grid = _each(wanted, lambda c: c.pair), _each(wanted, lambda c: max(2, c.grid))
+    clipped = lambda c: bool(c.window and c.window[1] > c.window[0])
+    p = points.withColumn("lo", F.min("x").over(every)).withColumn("hi", F.max("x").over(every)).withColumn("points", F.count("*").over(every))
+    p = p.withColumn("x2", F.lead("x").over(by_x)).withColumn("y2", F.lead("y").over(by_x)).withColumn("x0", F.lag("x").over(by_x))
+    both = F.lit(True)
+    if any(c.pair for c in wanted):
+        least, most = F.max("lo").over(whole), F.min("hi").over(whole)
+        p = p.withColumn("both", F.min("step").over(whole) < F.max("step").over(whole))
+        p = p.withColumns({"lo": F.when(pair, least).otherwise(F.col("lo")), "hi": F.when(pair, most).otherwise(F.col("hi"))})
+        both = ~pair | F.col("both")
+    if any(map(clipped, wanted)):
+        fixed, ends = _each(wanted, clipped), [_each(wanted, lambda c, k=k: float(c.window[k]) if clipped(c) else 0.0) for k in (0, 1)]
+        p = p.withColumns({n: F.when(fixed, e).otherwise(F.col(n)) for n, e in zip(("lo", "hi"), ends)})
+    p = p.withColumn("valid", (F.col("points") >= 2) & (F.col("hi") > F.col("lo")) & both).withColumn("h", (F.col("hi") - F.col("lo")) / (grid - 1))
     place = lambda c: F.ceil((F.col(c) - F.col("lo")) / F.col("h"))
-    i0 = F.when(F.col("x0").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(grid), place("x"))))
-    i1 = F.when(F.col("x2").isNull(), grid - 1).otherwise(F.least(F.lit(grid - 1), F.greatest(F.lit(-1), place("x2") - 1)))
-    p = p.withColumn("i0", i0.cast("int")).withColumn("i1", i1.cast("int")).where("i0 <= i1").withColumn("i", F.explode(F.sequence("i0", "i1")))
+    i0 = F.when(F.col("x0").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(grid, place("x"))))
+    i1 = F.when(F.col("x2").isNull(), grid - 1).otherwise(F.least(grid - 1, F.greatest(F.lit(-1), place("x2") - 1)))
+    p = p.withColumn("i0", i0.cast("int")).withColumn("i1", i1.cast("int"))
+    p = p.withColumn("i", F.explode_outer(F.when(F.col("valid") & (F.col("i0") <= F.col("i1")), F.sequence("i0", "i1")))).where("i IS NOT NULL OR NOT valid")
     q = F.when(F.col("i") == grid - 1, F.col("hi")).otherwise(F.col("lo") + F.col("i") * F.col("h"))
-    p = p.withColumn("q", q)
-    inside = F.col("y") + (F.col("y2") - F.col("y")) * (F.col("q") - F.col("x")) / (F.col("x2") - F.col("x"))
-    v = F.when(F.col("x2").isNull() | (F.col("q") <= F.col("x")), F.col("y")).otherwise(inside)
-    return p.select(*keys, "i", "q", v.alias("v"), "h")
+    inside = F.col("y") + (F.col("y2") - F.col("y")) * (q - F.col("x")) / (F.col("x2") - F.col("x"))
+    v = F.when(F.col("x2").isNull() | (q <= F.col("x")), F.col("y")).otherwise(inside)
+    early = pair & (F.col("step") == _each(wanted, lambda c: c.steps[0]))
+    p = p.select(*keys, "i", "h", F.when(F.col("i").isNotNull(), F.when(early, -v).otherwise(v)).alias("v"))
+    met = p.groupBy(*keys, "i").agg(F.max("h").alias("h"), F.sum("v").alias("d"), F.count("v").alias("n"))
+    return met.select(*keys, "i", "h", F.when(F.col("n") == F.when(pair, 2).otherwise(1), F.col("d")).alias("d"))
+
+
+def _shape(grid: Column) -> dict[str, Column]:
+    at = lambda i: F.max(F.when(F.col("i") == i, F.col("d")))
+    h, n = F.max("h"), F.max(grid)
+    a, b, y, z = at(F.lit(0)), at(F.lit(1)), at(grid - 2), at(grid - 1)
+    return {
+        "min": F.min("d"), "max": F.max("d"), "mean": F.avg("d"), "std": F.stddev_pop("d"), "var": F.var_pop("d"), "skew": g1_skew("d"),
+        "area": h * (F.sum("d") - (a + z) / 2),
+        "gradient": ((b - a) + (z - y) + (z + y - b - a) / 2) / (h * n),
+    }
 
 
-def _shape(grid: int) -> dict:
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col("v")))
-    n, h = grid, F.max("h")
-    a, b, y, z = at(0), at(1), at(grid - 2), at(grid - 1)
+def _difference(how: str, grid: Column, eps: float) -> dict[str, Column]:
+    v = transformed(F.col("d"), how, eps)
+    half = F.when((F.col("i") == 0) | (F.col("i") == grid - 1), 0.5).otherwise(1.0)
     return {
-        "min": F.min("v"), "max": F.max("v"), "mean": F.avg("v"), "std": F.stddev_pop("v"), "var": F.var_pop("v"), "skew": g1_skew("v"),
-        "area": h * (F.sum("v") - (a + z) / 2),
-        "gradient": ((b - a) + (z - y) + (z + y - b - a) / 2) / (h * n),
+        "min": F.min(v), "max": F.max(v), "mean": F.avg(v), "std": F.stddev_pop(v), "var": F.var_pop(v),
+        "skew": g1_skew(v), "sum_abs": F.sum(F.abs(v)), "sum_sq": F.sum(v * v), "log_var": F.log10(F.var_pop(v) + 1e-30),
+        "area_abs": F.sum(F.abs(v) * half) * F.max("h"), "area_signed": F.sum(v * half) * F.max("h"),
     }
 
 
+def curve_stats(samples: DataFrame, entity: str, step: str, x: str, wanted: list[Curve], kind: str | None = None, aggs: tuple[str, ...] = SHAPE, transforms: tuple[str, ...] = ("identity",), eps: float = 1e-12) -> DataFrame:
+    """(entity, slot, task, columns) of all wanted curves in one pass: ``task`` is the curve's place in ``wanted``, ``slot``
+    its step. Single curves have ``shape_<agg>``, pairs ``<transform>_<agg>``."""
+    grid, out = _each(wanted, lambda c: max(2, c.grid)), []
+    if any(not c.pair for c in wanted):
+        of = _shape(grid)
+        out += [of[a].alias(f"shape_{a}") for a in dict.fromkeys(aggs)]
+    if any(c.pair for c in wanted):
+        out += [c.alias(f"{how}_{a}") for how in dict.fromkeys(transforms) for a, c in _difference(how, grid, eps).items()]
+    made = resampled(_points(samples, entity, step, x, wanted, kind), wanted)
+    return made.groupBy("entity", "slot", "task").agg(*out).withColumnRenamed("entity", entity)
+
+
 def curve_shape(samples: DataFrame, entity: str, step: str, x: str, y: str, steps: list[int], kind: str | None = None, kind_value: str | None = None, grid: int = 1000, aggs: tuple[str, ...] = SHAPE, window: tuple[float, float] | None = None) -> DataFrame:
     """(entity, step, one column an aggregate) of the resampled curves at the chosen steps.
 
     An entity and step with points but fewer than two distinct x has nulls.
     """
-    keys = [entity, step]
-    points = curves(samples.where(F.col(step).isin(*steps)), keys, x, y, kind, kind_value, window)
-    aggs_of = _shape(max(2, grid))
-    shape = resampled(points, keys, grid, window).groupBy(*keys).agg(*[aggs_of[a].alias(f"{y}_{a}") for a in aggs])
-    return points.select(*keys).distinct().join(shape, keys, "left")
+    one = Curve(y, tuple(dict.fromkeys(steps)), False, kind_value if kind else None, grid, window)
+    made = curve_stats(samples, entity, step, x, [one], kind, aggs)
+    return made.select(entity, F.col("slot").cast(dict(samples.dtypes)[step]).alias(step), *[F.col(f"shape_{a}").alias(f"{y}_{a}") for a in aggs])
 
 
 def curve_delta(samples: DataFrame, entity: str, step: str, x: str, y: str, pair: tuple[int, int], kind: str | None = None, kind_value: str | None = None, grid: int = 1000, window: tuple[float, float] | None = None, transforms: tuple[str, ...] = ("identity",), later_less_earlier: bool = True, eps: float = 1e-12) -> DataFrame:
@@ -77,24 +143,6 @@ def curve_delta(samples: DataFrame, entity: str, step: str, x: str, y: str, pair
 
     The grid spans the x that both curves have, or the window. Entities that lack a curve or common x have nulls.
     """
-    a, b = pair
-    points = curves(samples.where(F.col(step).isin(a, b)), [entity, step], x, y, kind, kind_value, window)
-    spans = points.groupBy(entity, step).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    ranges = spans.groupBy(entity).agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.count("*").alias("n")).where("n = 2")
-    if window and window[1] > window[0]:
-        ranges = ranges.withColumn("lo", F.lit(float(window[0]))).withColumn("hi", F.lit(float(window[1])))
-    both = resampled(points.join(ranges.drop("n"), entity), [entity, step], grid)
-    sign = 1.0 if later_less_earlier else -1.0
-    d = both.groupBy(entity, "i").agg(F.max("h").alias("h"), F.sum(F.when(F.col(step) == b, F.col("v")).otherwise(-F.col("v"))).alias("d"), F.count("*").alias("n"))
-    d = d.where("n = 2").withColumn("d", F.col("d") * sign)
-    out = []
-    ends = F.col("i").isin(0, max(2, grid) - 1)
-    for how in transforms:
-        v = transformed(F.col("d"), how, eps)
-        half = F.when(ends, 0.5).otherwise(1.0)
-        out += [
-            F.min(v).alias(f"{how}_min"), F.max(v).alias(f"{how}_max"), F.avg(v).alias(f"{how}_mean"), F.stddev_pop(v).alias(f"{how}_std"), F.var_pop(v).alias(f"{how}_var"),
-            g1_skew(v).alias(f"{how}_skew"), F.sum(F.abs(v)).alias(f"{how}_sum_abs"), F.sum(v * v).alias(f"{how}_sum_sq"), F.log10(F.var_pop(v) + 1e-30).alias(f"{how}_log_var"),
-            (F.sum(F.abs(v) * half) * F.max("h")).alias(f"{how}_area_abs"), (F.sum(v * half) * F.max("h")).alias(f"{how}_area_signed"),
-        ]
-    return points.select(entity).distinct().join(d.groupBy(entity).agg(*out), entity, "left")
+    a, b = pair if later_less_earlier else pair[::-1]
+    one = Curve(y, (a, b), True, kind_value if kind else None, grid, window)
+    return curve_stats(samples, entity, step, x, [one], kind, (), transforms, eps).drop("slot", "task")

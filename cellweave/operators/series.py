@@ -2,11 +2,42 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expr import aggregate, delta, finite, first_by, intercept, last_by, r2, slope
+from ..functions.expr import aggregate, finite, first_by, intercept, last_by, slope
+
+
+@dataclass
+class Derived:
+    """Features by two steps of SQL text: ``moments``, aggregates by name, and ``columns`` made of them. Moments that many
+    features use are computed and planned once, and a text costs the driver one call, however long it is."""
+
+    moments: dict[str, str] = field(default_factory=dict)
+    columns: dict[str, str] = field(default_factory=dict)
+
+    def __or__(self, other: Derived) -> Derived:
+        return Derived(self.moments | other.moments, self.columns | other.columns)
+
+    def only(self, names) -> Derived:
+        return Derived(self.moments, {n: c for n, c in self.columns.items() if n in names})
+
+    def of(self, rows: DataFrame, entity: str) -> DataFrame:
+        """(entity, columns): moments that no column uses are left out by the optimiser."""
+        made = rows.groupBy(entity).agg(*[F.expr(c).alias(n) for n, c in self.moments.items()])
+        return made.select(entity, *[F.expr(c).alias(n) for n, c in self.columns.items()])
+
+
+def _name(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _finite(c: str) -> str:
+    x = f"CAST({_name(c)} AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({x}) AND abs({x}) < double('infinity') THEN {x} END"
 
 
 def per_step_mean(rows: DataFrame, entity: str, step: str, signals: list[str]) -> DataFrame:
@@ -14,9 +45,20 @@ def per_step_mean(rows: DataFrame, entity: str, step: str, signals: list[str]) -
     return rows.where(F.col(step).isNotNull()).groupBy(entity, step).agg(*[F.avg(finite(s)).alias(s) for s in signals])
 
 
-def value_columns(signal: str, step: str, steps: list[int], aggs: list[str] = ["last"]) -> dict[str, Column]:
-    """Named aggregates: a signal's mean at each step, for the names ``last`` and ``mean``, which are the same there."""
-    return {f"{signal}{'' if a == 'last' else '_' + a}_step_{c}": F.avg(F.when(F.col(step) == c, finite(signal))) for c in dict.fromkeys(steps) for a in aggs if a in ("last", "mean")}
+def step_value(signal: str, step: str, at: int) -> tuple[str, str]:
+    """The name and text of a moment: the mean of a signal at a step."""
+    return f"_{signal}_at_{at}", f"avg(CASE WHEN {_name(step)} = {int(at)} THEN {_finite(signal)} END)"
+
+
+def value_columns(signal: str, step: str, steps: list[int], aggs: list[str] = ["last"], fallback: str | None = None) -> Derived:
+    """A signal's mean at each step, for the names ``last`` and ``mean``, which are the same there; the ``fallback`` column's
+    where the signal has none at the step."""
+    made = Derived()
+    for c in dict.fromkeys(steps):
+        found = dict(step_value(x, step, c) for x in ([signal, fallback] if fallback else [signal]))
+        text = f"coalesce({', '.join(map(_name, found))})"
+        made |= Derived(found, {f"{signal}{'' if a == 'last' else '_' + a}_step_{c}": text for a in aggs if a in ("last", "mean")})
+    return made
 
 
 def value_at_step(rows: DataFrame, entity: str, step: str, signals: list[str], steps: list[int], aggs: list[str] = ["last"], samples: DataFrame | None = None, order: str | None = None, kind: str | None = None, kind_value: str | None = None) -> DataFrame:
@@ -27,10 +69,13 @@ def value_at_step(rows: DataFrame, entity: str, step: str, signals: list[str], s
     """
     means = [a for a in aggs if a in ("last", "mean")]
     other = [a for a in aggs if a not in ("last", "mean")]
-    cols = {n: c for s in signals for n, c in value_columns(s, step, steps, means).items()}
-    out = rows.where(F.col(step).isNotNull()).groupBy(entity).agg(*[c.alias(n) for n, c in cols.items()]) if cols else None
+    made = Derived()
+    for s in signals:
+        made |= value_columns(s, step, steps, means)
+    cols = list(made.columns)
+    out = made.of(rows.where(F.col(step).isNotNull()), entity) if cols else None
     if samples is not None and cols:
-        raw = samples.where(F.col(step).isin(*steps)).groupBy(entity).agg(*[c.alias(f"raw_{n}") for n, c in cols.items()])
+        raw = made.of(samples.where(F.col(step).isin(*steps)), entity).select(entity, *[F.col(n).alias(f"raw_{n}") for n in cols])
         out = out.join(raw, entity, "full_outer").select(entity, *[F.coalesce(n, f"raw_{n}").alias(n) for n in cols])
     for s in signals if other else []:
         made = raw_aggregate(samples if samples is not None else rows, entity, step, order or step, s, steps, other, kind, kind_value)
@@ -43,12 +88,14 @@ def value_with_fallback(summary: DataFrame, samples: DataFrame, entity: str, ste
     return value_at_step(summary, entity, step, [signal], steps, samples=samples)
 
 
-def with_raw_series(series: DataFrame, samples: DataFrame, entity: str, step: str, signals: list[str]) -> DataFrame:
-    """The per-step means of ``series``; a signal without any finite value for an entity takes the samples' means."""
+def with_raw_series(series: DataFrame, samples: DataFrame, entity: str, step: str, signals: list[str], keep_raw: bool = False) -> DataFrame:
+    """The per-step means of ``series``; a signal without any finite value for an entity takes the samples' means, which
+    ``keep_raw`` keeps as raw_<signal>."""
     raw = per_step_mean(samples, entity, step, signals).select(entity, step, *[F.col(s).alias(f"raw_{s}") for s in signals])
     both = per_step_mean(series, entity, step, signals).join(raw, [entity, step], "full_outer")
     own = Window.partitionBy(entity)
-    return both.select(entity, step, *[F.when(F.count(s).over(own) > 0, F.col(s)).otherwise(F.col(f"raw_{s}")).alias(s) for s in signals])
+    raws = [f"raw_{s}" for s in signals] if keep_raw else []
+    return both.select(entity, step, *[F.when(F.count(s).over(own) > 0, F.col(s)).otherwise(F.col(f"raw_{s}")).alias(s) for s in signals], *raws)
 
 
 def raw_aggregate(samples: DataFrame, entity: str, step: str, order: str, signal: str, steps: list[int], aggs: list[str], kind: str | None = None, kind_value: str | None = None) -> DataFrame:
@@ -56,32 +103,47 @@ def raw_aggregate(samples: DataFrame, entity: str, step: str, order: str, signal
     rows = samples.where(F.col(step).isin(*steps))
     if kind:
         rows = rows.where(F.lower(F.trim(F.col(kind))) == kind_value.lower())
-    value = finite(signal)
-    return rows.groupBy(entity).agg(*[aggregate(a, F.when(F.col(step) == c, value), order).alias(f"{signal}_{a}_step_{c}") for c in steps for a in aggs])
+    return rows.groupBy(entity).agg(*[c.alias(n) for n, c in pick_columns(signal, step, order, steps, aggs).items()])
+
 
+def pick_columns(signal: str, step: str, order: str, steps: list[int], aggs: list[str], kind: str | None = None, kind_value: str | None = None) -> dict[str, Column]:
+    """Named aggregates of the rows of single steps, of one kind if asked for."""
+    of = (lambda c: (F.col(step) == c) & (F.lower(F.trim(F.col(kind))) == kind_value.lower())) if kind else (lambda c: F.col(step) == c)
+    return {f"{signal}_{a}_step_{c}": aggregate(a, F.when(of(c), finite(signal)), order) for c in dict.fromkeys(steps) for a in aggs}
 
-def window_columns(signal: str, step: str, lo: int, hi: int) -> dict[str, Column]:
-    """Named aggregates of a signal's per-step means in an inclusive window.
 
-    Steps are measured from the window's middle, so that the quadratic fit's moments need no second pass.
+def window_columns(signal: str, step: str, lo: int, hi: int) -> Derived:
+    """A signal's per-step means in an inclusive window: mean, population deviation, extremes, last less first, line fit and
+    the leading coefficient of the quadratic fit.
+
+    Steps are measured from the window's middle, so that the fits' moments need no second pass.
     """
-    v = F.when(F.col(step).between(lo, hi), F.col(signal))
-    t = F.when(v.isNotNull(), F.col(step) - (lo + hi) / 2)
-    n = F.count(v)
-    m = F.sum(t) / n
-    raw = [n, F.sum(t), F.sum(t * t), F.sum(t * t * t), F.sum(t * t * t * t)]
-    s2 = raw[2] - n * m * m
-    s3 = raw[3] - 3 * m * raw[2] + 2 * n * m * m * m
-    s4 = raw[4] - 4 * m * raw[3] + 6 * m * m * raw[2] - 3 * n * m * m * m * m
-    d1 = F.sum(t * v) - m * F.sum(v)
-    d2 = F.sum(t * t * v) - 2 * m * F.sum(t * v) + m * m * F.sum(v) - s2 * F.avg(v)
-    below = s2 * (s4 - s2 * s2 / n) - s3 * s3
-    x = F.when(v.isNotNull(), F.col(step))
+    mid, x = (lo + hi) / 2, _name(step)
+    there = f"{x} BETWEEN {int(lo)} AND {int(hi)} AND {_name(signal)} IS NOT NULL"
+    v, t = f"CASE WHEN {there} THEN {_name(signal)} END", f"CASE WHEN {there} THEN {x} - {mid}D END"
+    texts = {
+        "n": f"count({v})", "mean": f"avg({v})", "std": f"stddev_pop({v})", "min": f"min({v})", "max": f"max({v})", "first": f"min_by({v}, {t})", "last": f"max_by({v}, {t})",
+        "slope": f"regr_slope({v}, {t})", "at_mid": f"regr_intercept({v}, {t})", "r2": f"regr_r2({v}, {t})", "t": f"sum({t})", "v": f"sum({v})",
+        **{f"t{k}": f"sum({' * '.join([f'({t})'] * k)})" for k in (2, 3, 4)}, "tv": f"sum(({t}) * ({v}))", "t2v": f"sum(({t}) * ({t}) * ({v}))",
+    }
+    key = lambda k: f"_{signal}_{k}_in_{lo}_{hi}"
+    m = {k: _name(key(k)) for k in texts}
+    # the sums about the mean of the steps, from those about the window's middle
+    for k, text in {
+        "s2": "{t2} - {t} * {t} / {n}", "s3": "{t3} - 3 * {t} / {n} * {t2} + 2 * {t} * {t} * {t} / ({n} * {n})",
+        "s4": "{t4} - 4 * {t} / {n} * {t3} + 6 * {t} * {t} / ({n} * {n}) * {t2} - 3 * {t} * {t} * {t} * {t} / ({n} * {n} * {n})",
+        "d1": "{tv} - {t} / {n} * {v}",
+    }.items():
+        m[k] = f"({text.format(**m)})"
+    m["d2"] = f"({m['t2v']} - 2 * {m['t']} / {m['n']} * {m['tv']} + {m['t']} * {m['t']} / ({m['n']} * {m['n']}) * {m['v']} - {m['s2']} * {m['mean']})"
+    below = f"({m['s2']} * ({m['s4']} - {m['s2']} * {m['s2']} / {m['n']}) - {m['s3']} * {m['s3']})"
+    two = f"CASE WHEN {m['n']} >= 2 THEN"
     stats = {
-        "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v), "delta": F.when(n >= 2, F.max_by(v, x) - F.min_by(v, x)),
-        "slope": slope(v, step), "intercept": intercept(v, step), "r2": r2(v, step), "curvature": F.when(n >= 3, F.try_divide(s2 * d2 - s3 * d1, F.when(F.abs(below) > 1e-9, below))),
+        "mean": m["mean"], "std": m["std"], "min": m["min"], "max": m["max"], "delta": f"{two} {m['last']} - {m['first']} END", "slope": f"{two} {m['slope']} END",
+        "intercept": f"{two} {m['at_mid']} - {m['slope']} * {mid}D END", "r2": f"CASE WHEN {m['n']} >= 2 AND {m['std']} > 0 THEN {m['r2']} END",
+        "curvature": f"CASE WHEN {m['n']} >= 3 AND abs({below}) > 1e-9 THEN ({m['s2']} * {m['d2']} - {m['s3']} * {m['d1']}) / {below} END",
     }
-    return {f"{signal}_{k}_{lo}_{hi}": c for k, c in stats.items()}
+    return Derived({key(k): c for k, c in texts.items()}, {f"{signal}_{k}_{lo}_{hi}": c for k, c in stats.items()})
 
 
 def window_stats(rows: DataFrame, entity: str, step: str, signal: str, windows: list[tuple[int, int]], samples: DataFrame | None = None) -> DataFrame:
@@ -89,19 +151,26 @@ def window_stats(rows: DataFrame, entity: str, step: str, signal: str, windows:
     inclusive window, all windows in one pass. One row an entity; the curvature is the leading coefficient of the
     quadratic fit. An entity whose signal is missing throughout takes the samples' means, if there are samples."""
     series = per_step_mean(rows, entity, step, [signal]) if samples is None else with_raw_series(rows, samples, entity, step, [signal])
-    cols = {n: c for lo, hi in dict.fromkeys(windows) for n, c in window_columns(signal, step, lo, hi).items()}
-    return series.groupBy(entity).agg(*[c.alias(n) for n, c in cols.items()])
+    made = Derived()
+    for lo, hi in dict.fromkeys(map(tuple, windows)):
+        made |= window_columns(signal, step, lo, hi)
+    return made.of(series, entity)
 
 
-def delta_columns(signal: str, step: str, pairs: list[tuple[int, int]], how: list[str], eps: float = 1e-12) -> dict[str, Column]:
-    """Named aggregates: a later step's mean against an earlier one's."""
-    at = lambda c: F.avg(F.when(F.col(step) == c, finite(signal)))
-    return {f"{signal}_{h}_{a}_{b}": delta(at(a), at(b), h, eps) for a, b in pairs for h in how}
+def delta_columns(signal: str, step: str, pairs: list[tuple[int, int]], how: list[str], eps: float = 1e-12) -> Derived:
+    """A later step's mean against an earlier one's: difference, ratio, relative or log; an unknown name is the difference."""
+    made = Derived()
+    for first, second in pairs:
+        (na, ta), (nb, tb) = step_value(signal, step, first), step_value(signal, step, second)
+        a, b, e = _name(na), _name(nb), f"{eps!r}D"
+        texts = {"ratio": f"try_divide({b}, {a} + {e})", "relative": f"try_divide({b} - {a}, abs({a}) + {e})", "log": f"log10(abs({b} - {a}) + {e})"}
+        made |= Derived({na: ta, nb: tb}, {f"{signal}_{h}_{first}_{second}": texts.get(h, f"{b} - {a}") for h in how})
+    return made
 
 
 def step_delta(rows: DataFrame, entity: str, step: str, signal: str, pairs: list[tuple[int, int]], how: list[str], eps: float = 1e-12) -> DataFrame:
     """The later step's value against the earlier one's; null if either is missing."""
-    return rows.where(F.col(step).isNotNull()).groupBy(entity).agg(*[c.alias(n) for n, c in delta_columns(signal, step, pairs, how, eps).items()])
+    return delta_columns(signal, step, pairs, how, eps).of(rows.where(F.col(step).isNotNull()), entity)
 
 
 def last_up_to(rows: DataFrame, entity: str, step: str, signal: str, upto: int) -> DataFrame:

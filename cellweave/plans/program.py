@@ -62,8 +62,9 @@ class Status:
 
 
 class Registry:
-    """Plan builders by name. A builder with ``columns`` gives named aggregates of the per-step means instead of a frame
-    of its own; all such specifications of a program are one pass."""
+    """Plan builders by name. A builder may give, in place of a frame of its own, what a program computes together with all
+    its other specifications: ``columns``, features of the per-step means; ``picks``, named aggregates of the
+    samples' rows; ``curves``, wanted curves with the names of their statistics."""
 
     def __init__(self) -> None:
         self._built: dict[str, tuple[Callable, dict]] = {}
@@ -83,42 +84,50 @@ class Registry:
         return self._built[name][1] if name in self._built else {}
 
 
-def _value(s: Spec, i: Inputs) -> DataFrame | None:
-    """The aggregates of single steps other than the mean, from the samples, and the means of steps the series lack."""
-    aggs = s.params.get("aggs", ["last"])
-    samples = i.samples if i.samples is not None and s.signal in i.samples.columns else None
-    if samples is None and not set(aggs) - {"last", "mean"}:
-        return None  # all of it comes from the columns
-    return series.value_at_step(i.series, "entity", "step", [s.signal], s.params["steps"], aggs, samples, s.params.get("order"), "kind" if s.params.get("kind_value") else None, s.params.get("kind_value"))
+def _in_samples(s: Spec, i: Inputs) -> bool:
+    return i.samples is not None and s.signal in i.samples.columns
 
 
-def _value_columns(s: Spec, i: Inputs) -> dict[str, Column]:
-    return series.value_columns(s.signal, "step", s.params["steps"], s.params.get("aggs", ["last"]))
+def _value_columns(s: Spec, i: Inputs) -> series.Derived:
+    """The means at single steps; of the samples where the series lack the step."""
+    return series.value_columns(s.signal, "step", s.params["steps"], s.params.get("aggs", ["last"]), f"raw_{s.signal}" if _in_samples(s, i) else None)
 
 
-def _window_columns(s: Spec, i: Inputs) -> dict[str, Column]:
-    wanted = s.params.get("stats")
-    every = {n: c for lo, hi in s.params["windows"] for n, c in series.window_columns(s.signal, "step", lo, hi).items()}
-    return {n: c for n, c in every.items() if not wanted or n.removeprefix(f"{s.signal}_").rsplit("_", 2)[0] in wanted}
+def _value_picks(s: Spec, i: Inputs) -> dict[str, Column]:
+    """The aggregates of single steps other than the mean, from the samples' rows, or the series' without samples."""
+    aggs = [a for a in s.params.get("aggs", ["last"]) if a not in ("last", "mean")]
+    kind = s.params.get("kind_value")
+    return series.pick_columns(s.signal, "step", s.params.get("order", "step"), s.params["steps"], aggs, "kind" if kind else None, kind) if aggs else {}
 
 
-def _delta_columns(s: Spec, i: Inputs) -> dict[str, Column]:
+def _window_columns(s: Spec, i: Inputs) -> series.Derived:
+    made, wanted = series.Derived(), s.params.get("stats")
+    for lo, hi in s.params["windows"]:
+        one = series.window_columns(s.signal, "step", lo, hi)
+        made |= one.only({f"{s.signal}_{t}_{lo}_{hi}" for t in wanted}) if wanted else one
+    return made
+
+
+def _delta_columns(s: Spec, i: Inputs) -> series.Derived:
     return series.delta_columns(s.signal, "step", [tuple(p) for p in s.params["pairs"]], s.params["how"])
 
 
-def _shape(s: Spec, i: Inputs) -> DataFrame:
+def _window_of(s: Spec) -> tuple[float, float] | None:
+    window = s.params.get("window")
+    return (float(window[0]), float(window[1])) if window else None
+
+
+def _shape(s: Spec, i: Inputs) -> tuple[curves.Curve, dict[str, tuple[int | None, str]]]:
     aggs, kind = tuple(s.params.get("aggs", curves.SHAPE)), s.params.get("kind_value")
-    steps = list(dict.fromkeys(s.params["steps"]))
-    made = curves.curve_shape(i.samples, "entity", "step", "x", s.signal, steps, "kind" if kind else None, kind, s.params.get("grid", 1000), aggs, s.params.get("window"))
-    return made.groupBy("entity").agg(*[F.max(F.when(F.col("step") == c, F.col(f"{s.signal}_{a}"))).alias(f"{s.signal}_{kind or 'all'}_{a}_at_{c}") for c in steps for a in aggs])
+    steps = tuple(dict.fromkeys(s.params["steps"]))
+    named = {f"{s.signal}_{kind or 'all'}_{a}_at_{c}": (c, f"shape_{a}") for c in steps for a in aggs}
+    return curves.Curve(s.signal, steps, False, kind, s.params.get("grid", 1000), _window_of(s)), named
 
 
-def _curve_delta(s: Spec, i: Inputs) -> DataFrame:
-    kind, (a, b) = s.params.get("kind_value"), s.params["pair"]
-    made = curves.curve_delta(i.samples, "entity", "step", "x", s.signal, (a, b), "kind" if kind else None, kind, s.params.get("grid", 1000), s.params.get("window"), tuple(s.params.get("transforms", ("identity",))))
-    only = s.params.get("aggs")
-    names = [c for c in made.columns if c != "entity" and (not only or c.split("_", 2 if c.startswith("log_abs") else 1)[-1] in only)]
-    return made.select("entity", *[F.col(c).alias(f"{s.signal}_{c}_{a}_{b}") for c in names])
+def _curve_delta(s: Spec, i: Inputs) -> tuple[curves.Curve, dict[str, tuple[int | None, str]]]:
+    kind, (a, b), only = s.params.get("kind_value"), s.params["pair"], s.params.get("aggs")
+    named = {f"{s.signal}_{how}_{x}_{a}_{b}": (None, f"{how}_{x}") for how in s.params.get("transforms", ("identity",)) for x in curves.DIFFERENCE if not only or x in only}
+    return curves.Curve(s.signal, (a, b), True, kind, s.params.get("grid", 1000), _window_of(s)), named
 
 
 def _protocol(s: Spec, i: Inputs) -> DataFrame | None:
@@ -126,11 +135,11 @@ def _protocol(s: Spec, i: Inputs) -> DataFrame | None:
 
 
 registry = Registry()
-registry.register("value_at_step", _value, reads="series", columns=_value_columns)
+registry.register("value_at_step", lambda s, i: None, reads="series", columns=_value_columns, picks=_value_picks)
 registry.register("window_stats", lambda s, i: None, reads="series", columns=_window_columns)
 registry.register("step_delta", lambda s, i: None, reads="series", columns=_delta_columns)
-registry.register("curve_shape", _shape, reads="samples")
-registry.register("curve_delta", _curve_delta, reads="samples")
+registry.register("curve_shape", lambda s, i: None, reads="samples", curves=_shape)
+registry.register("curve_delta", lambda s, i: None, reads="samples", curves=_curve_delta)
 registry.register("protocol", _protocol, reads="metadata")
 registry.register("learned_embedding_placeholder", lambda s, i: None, reads="")
 registry.register("generic_timeseries_placeholder", lambda s, i: None, reads="")
@@ -142,8 +151,9 @@ def requires_samples(program: Program) -> bool:
 
 
 def _resolved(signals: list[str], rows: DataFrame) -> dict[str, list[str]]:
-    """The columns that stand for each signal: its known other names, as far as ``rows`` has them."""
-    known = {s: [c for c in [s, *SIGNAL_ALIASES.get(s, [])] if c in rows.columns] for s in signals}
+    """The columns that stand for each signal: its known other names, as far as ``rows`` has them as plain values."""
+    plain = [c for c, kind in rows.dtypes if not kind.startswith(("array", "map", "struct", "binary"))]
+    known = {s: [c for c in [s, *SIGNAL_ALIASES.get(s, [])] if c in plain] for s in signals}
     lacking = [s for s, c in known.items() if not c]
     if lacking:
         raise KeyError(f"no column for the signals {', '.join(lacking)}")
@@ -151,7 +161,8 @@ def _resolved(signals: list[str], rows: DataFrame) -> dict[str, list[str]]:
 
 
 def _means(i: Inputs, signals: list[str]) -> DataFrame:
-    """The per-step means of the signals, each by the first of its names with any value for an entity."""
+    """The per-step means of the signals, each by the first of its names with any value for an entity. A signal that the
+    samples have takes their means where it is missing for an entity, and has them as raw_<signal>, too."""
     names = _resolved(signals, i.series)
     rows = i.series
     for s, cols in names.items():
@@ -162,18 +173,40 @@ def _means(i: Inputs, signals: list[str]) -> DataFrame:
     have = [s for s in signals if i.samples is not None and s in i.samples.columns]
     if not have:
         return series.per_step_mean(rows, "entity", "step", signals)
-    made = series.with_raw_series(rows, i.samples, "entity", "step", have)
+    made = series.with_raw_series(rows, i.samples, "entity", "step", have, keep_raw=True)
     rest = [s for s in signals if s not in have]
     return made.join(series.per_step_mean(rows, "entity", "step", rest), ["entity", "step"], "full_outer") if rest else made
 
 
+def _picked(rows: DataFrame, picks: dict[str, Column]) -> DataFrame:
+    return rows.groupBy("entity").agg(*[c.alias(n) for n, c in picks.items()])
+
+
+def _all_curves(samples: DataFrame, wanted: list[tuple[curves.Curve, dict[str, tuple[int | None, str]]]]) -> DataFrame:
+    """(entity, columns): the named statistics of all wanted curves, by one pass over the samples."""
+    distinct = list(dict.fromkeys(c for c, _ in wanted))
+    used = [stat for _, named in wanted for _, stat in named.values()]
+    aggs = tuple(u.removeprefix("shape_") for u in dict.fromkeys(used) if u.startswith("shape_"))
+    hows = tuple(dict.fromkeys(u.removesuffix(f"_{x}") for u in used if not u.startswith("shape_") for x in curves.DIFFERENCE if u.endswith(f"_{x}") and u.removesuffix(f"_{x}") in curves.TRANSFORMS))
+    made = curves.curve_stats(samples, "entity", "step", "x", distinct, "kind" if any(c.kind for c in distinct) else None, aggs, hows)
+    out = {}
+    for c, named in wanted:
+        for name, (slot, stat) in named.items():
+            holds = f"task = {distinct.index(c)}" + (f" AND slot = {int(slot)}" if slot is not None else "")
+            out[name] = F.expr(f"max(CASE WHEN {holds} THEN {stat} END)")
+    return made.groupBy("entity").agg(*[c.alias(n) for n, c in out.items()])
+
+
 def parts(program: Program, inputs: Inputs, strict: bool = False) -> tuple[list[DataFrame], list[Status]]:
-    """The operators' frames, those of the series as one pass, and each specification's status.
+    """The frames of a program and each specification's status. All aggregates of the series are one frame, all picks from
+    the samples' rows one, all curves one; of one name, the later frame's feature counts.
 
-    A specification whose plan cannot be built (an unknown operator or column) is marked as failed; ``strict`` raises.
+    A specification that cannot be planned (an unknown operator or column) is marked as failed; ``strict`` raises. That
+    follows from the schemas: nothing is analysed for it.
     """
     i = inputs if requires_samples(program) else replace(inputs, samples=None)
-    frames, status, cols, signals = [], [], {}, []
+    frames, status, cols, signals, wanted = [], [], series.Derived(), [], []
+    picks: dict[str, dict[str, Column]] = {"samples": {}, "series": {}}
     for s in program.specs:
         if not s.enabled:
             status.append(Status(s.operator, "disabled"))
@@ -182,26 +215,38 @@ def parts(program: Program, inputs: Inputs, strict: bool = False) -> tuple[list[
             status.append(Status(s.operator, "skipped", 0, ["protocol columns are not included"]))
             continue
         try:
-            build = registry.get(s.operator)
-            own = registry.about(s.operator).get("columns")
+            build, about = registry.get(s.operator), registry.about(s.operator)
             made = build(s, i)
-            named = own(s, i) if own else {}
-            if named:
-                _means(i, [s.signal]).groupBy("entity").agg(*[c.alias(n) for n, c in named.items()])  # only analysed
+            named = series.Derived()
+            if "columns" in about:
+                _resolved([s.signal], i.series)
+                named = about["columns"](s, i)
+            picked = about["picks"](s, i) if "picks" in about else {}
+            curve = None
+            if "curves" in about:
+                _resolved([s.signal], i.samples)
+                curve = about["curves"](s, i)
+            if named.columns:
                 cols |= named
                 signals.append(s.signal)
+            picks["samples" if _in_samples(s, i) else "series"] |= picked
+            if curve:
+                wanted.append(curve)
             if made is not None:
-                frames.append(made)  # of one name, the later frame's feature counts
-            n = len(named) + (len([c for c in made.columns if c not in named]) - 1 if made is not None else 0)
+                frames.append(made)
+            n = len(named.columns | picked) + (len(curve[1]) if curve else 0) + (len(made.columns) - 1 if made is not None else 0)
             status.append(Status(s.operator, "ok" if n else "warning", n, [] if n else ["no feature"]))
         except Exception as e:
             if strict:
                 raise
             status.append(Status(s.operator, "failed", 0, [f"{s.operator} failed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"]))
-    if cols:
-        once = _means(i, list(dict.fromkeys(signals))).groupBy("entity").agg(*[c.alias(n) for n, c in cols.items()])
-        frames.insert(0, once)
-    return frames, status
+    shared = []
+    if cols.columns:
+        shared.append(cols.of(_means(i, list(dict.fromkeys(signals))), "entity"))
+    shared += [_picked(i.samples if where == "samples" else i.series, found) for where, found in picks.items() if found]
+    if wanted:
+        shared.append(_all_curves(i.samples, wanted))
+    return shared + frames, status
 
 
 def long_features(program: Program, inputs: Inputs, strict: bool = False) -> DataFrame:
@@ -212,8 +257,8 @@ def long_features(program: Program, inputs: Inputs, strict: bool = False) -> Dat
         names = [c for c in f.columns if c != "entity" and c not in later]
         later.update(names)
         if names:
-            pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names])
-            one = f.select("entity", F.explode(pairs).alias("p")).select("entity", "p.feature", "p.value").where("value IS NOT NULL")
+            pairs = ", ".join(f"'{c.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}', CAST(`{c.replace('`', '``')}` AS DOUBLE)" for c in names)
+            one = f.select("entity", F.expr(f"stack({len(names)}, {pairs}) AS (feature, value)")).where("value IS NOT NULL")
             out = one if out is None else out.unionByName(one)
     return out
 
