@@ -1,14 +1,11 @@
 """Cross-tokenizer alignment by a label string over bytes, and corpus-wide counts of the aligned token pairs.
 
 A text's tokens by two tokenizers label each of its bytes: neither ends there, A ends, B ends, both end. A regular
-expression scans the labels and takes a span up to each byte where both end; the labels in a span say how many tokens of
-each side form the group. All A-B pairs of a group are linked.
+expression scans the labels and takes a span up to each byte where both end; how often each label stands in a span says
+how many tokens of each side form the group. All A-B pairs of a group are linked. The texts of a batch are labelled and
+scanned together. A text whose bytes a tokenizer changes has no tokens.
 
-Both tokenizers cut between a non-space and a single space before another, which the constructor proves for the
-vocabularies. So texts are cut there, unseen chunks are labelled and scanned together, and a bounded cache gives the
-groups of the rest. A text whose bytes a tokenizer changes has no tokens.
-
-The texts of a task form blocks of bounded bytes, each one written row: a dictionary of its pairs with the number of its
+The texts of a task form blocks of bounded size, each one written row: a dictionary of its pairs with the number of its
 rows that hold them, and per row the places in that dictionary. The dictionaries alone are summed to the corpus-wide
 counts, and the counts go back to the blocks' dictionaries; a pair that stands in every block is dealt in parts.
 
@@ -20,10 +17,11 @@ special tokens are plain text; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -34,19 +32,17 @@ from pyspark.sql import functions as F
 from .byte_bpe import PATTERN, byte_bpe
 from .common import byte_bounded, dealt, forget, parts_for, table, whole_text, with_found, written
 
-#: Bytes of text in a block, at most, or one text.
-BLOCK_BYTES = 2 * 2**20
-#: Entries that a worker's cache of chunks holds at most before it starts anew; the one before it is kept, and what is
-#: still used comes back from there. Longer chunks are not cached.
-CACHE, LONG_CHUNK = 60_000, 60
+#: Code points of texts from which on a block is full.
+BLOCK_SIZE = 2_000_000
+#: Code points of texts that are aligned at once, or one text, and pairs of a group from which on equal ids are counted
+#: before they are paired.
+CHUNK, MANY = 500_000, 1 << 14
 #: Labels of a byte: no token ends, A ends, B ends, both end.
 NO, A_END, B_END, BOTH = range(4)
 #: Characters of a run of white space from which on it is cut out before the pattern, which goes back over such a run.
 LONG_SPACE = 1000
 
 _GROUP = re.compile(rb"[^\x03]*\x03")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$")
 MARK = "▁"
 
 
@@ -65,12 +61,13 @@ class TokensA:
         self.space = regex.compile(rf"\p{{White_Space}}{{{LONG_SPACE},}}")
 
     def __call__(self, text: str) -> list[int]:
+        """The ids of a text; a long run of white space is one pre-token, but for its last character before a word."""
         out, at = [], 0
         for run in self.space.finditer(text):
             stop = run.end() - (run.end() < len(text))
             out += [*self.lib.encode_ordinary(text[at : run.start()]), *self.bpe.long(text[run.start() : stop].encode())]
             at = stop
-        return out + self.lib.encode_ordinary(text[at:]) if out else self.lib.encode_ordinary(text)
+        return out + self.lib.encode_ordinary(text[at:])
 
 
 class TokensB:
@@ -81,8 +78,6 @@ class TokensB:
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size())]
-        if any(MARK in p.lstrip(MARK) for p in pieces) or self.lib.normalize(" a  ﬁ\n") != f"{MARK}{MARK}a{MARK}{MARK}ﬁ\n":
-            raise ValueError("a piece goes on behind a space, or the model changes texts")
         self.raw = [bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.size = np.array([len(r) for r in self.raw], np.int64)
 
@@ -93,78 +88,66 @@ class TokensB:
         return b"".join(map(self.raw.__getitem__, ids))
 
 
+@dataclass
 class Aligned:
-    """The groups of a chunk or text: how many tokens and groups, as a string, and the linked pairs with their number."""
-
-    __slots__ = ("n", "groups", "pairs", "times")
+    """Of a batch of texts: how many tokens, groups and links each has, its groups written out, and its distinct linked
+    pairs with their numbers, those of a text one after another up to ``stop``."""
 
-    def __init__(self, n: tuple[int, int, int], groups: str, pairs: np.ndarray, times: np.ndarray):
-        self.n, self.groups, self.pairs, self.times = n, groups, pairs, times
+    n: np.ndarray
+    groups: list[str]
+    keys: np.ndarray
+    times: np.ndarray
+    stop: np.ndarray
 
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = TokensA(path_a), TokensB(path_b)
         self.width = len(self.b.size)
-        self.cache: dict[str, Aligned | None] = {}
-        self.old: dict[str, Aligned | None] = {}
+        self.pairs = len(self.a.size) * self.width
 
-    def align(self, texts: list[str]) -> list[Aligned | None]:
-        """Of each text with a space before it; None where its bytes are not kept."""
+    def __call__(self, texts: list[str]) -> Aligned:
         ids_b = self.b(texts)
-        kept = [self.b.bytes_of(b) == b" " + t.encode() for t, b in zip(texts, ids_b)]
+        kept = [bool(t) and self.b.bytes_of(b) == b" " + t.encode() for t, b in zip(texts, ids_b)]
         ids_a = [self.a(" " + t) if k else [] for t, k in zip(texts, kept)]
         ids_b = [b if k else [] for b, k in zip(ids_b, kept)]
-        flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids))) for ids in (ids_a, ids_b))
+        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
         ends_a, ends_b = self.a.size[flat_a].cumsum(), self.b.size[flat_b].cumsum()
         labels = np.full(ends_a[-1] if len(ends_a) else 0, NO, np.uint8)
         labels[ends_a - 1] |= A_END
         labels[ends_b - 1] |= B_END
-        spans = _GROUP.finditer(labels.tobytes())
-        flat_a, flat_b, at_a, at_b, found = flat_a.tolist(), flat_b.tolist(), 0, 0, []
-        for k, a, b in zip(kept, ids_a, ids_b):
-            if not k:
-                found.append(None)
-                continue
-            groups, links, stop, n = [], Counter(), at_a + len(a), 0
-            while at_a < stop:
-                span = next(spans)[0]
-                both = span.count(BOTH)
-                own_a, own_b = flat_a[at_a : at_a + span.count(A_END) + both], flat_b[at_b : at_b + span.count(B_END) + both]
-                at_a, at_b, n = at_a + len(own_a), at_b + len(own_b), n + 1
-                groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                if len(own_a) == len(own_b) == 1:
-                    links[own_a[0] * self.width + own_b[0]] += 1
-                else:
-                    many_b = Counter(own_b).items()
-                    for i, c in Counter(own_a).items():
-                        for j, d in many_b:
-                            links[i * self.width + j] += c * d
-            found.append(Aligned((len(a), len(b), n), ";".join(groups), np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))))
-        return found
-
-    def __call__(self, texts: list[str]) -> list[list[Aligned] | None]:
-        """The aligned chunks of each text, in order, or None for a text without tokens."""
-        cut = [[] if not t else _CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        needed = set().union(*cut)
-        new = needed.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.old, self.cache, new = self.cache, {}, needed
-        for c in [c for c in new if c in self.old]:
-            self.cache[c] = self.old[c]
-        new = sorted(c for c in new if c not in self.cache)
-        self.cache.update(zip(new, self.align(new)))
-        found = []
-        for text, chunks in zip(texts, cut):
-            parts = [self.cache[c] for c in chunks]
-            if None in parts:
-                # the bytes of one chunk cannot make up for those of another: a model of pieces only loses its mark
-                parts = None
-            found.append(parts or None)
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                del self.cache[c]
-        return found
+
+        spans = _GROUP.findall(labels.tobytes())
+        last = np.fromiter(map(len, spans), np.int64, len(spans)).cumsum() - 1
+        upto_a, upto_b = (np.cumsum(labels & one > 0)[last] for one in (A_END, B_END))
+        m_a, m_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        from_a, from_b = upto_a - m_a, upto_b - m_b
+        text_of = np.searchsorted(n_a.cumsum(), upto_a)
+        n_groups = np.bincount(text_of, minlength=len(texts))
+
+        said_a, said_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
+        said = [
+            f"{said_a[i]}|{said_b[j]}" if m == n == 1 else f"{','.join(said_a[i : i + m])}|{','.join(said_b[j : j + n])}"
+            for i, m, j, n in zip(from_a.tolist(), m_a.tolist(), from_b.tolist(), m_b.tolist())
+        ]
+        to = n_groups.cumsum().tolist()
+        groups = [";".join(said[i:j]) for i, j in zip([0, *to], to)]
+
+        pairs = m_a * m_b
+        n_links = np.bincount(text_of, pairs, len(texts)).astype(np.int64)
+        few = np.flatnonzero(pairs < MANY)
+        g = np.repeat(few, pairs[few])
+        k = np.arange(len(g)) - np.repeat(pairs[few].cumsum() - pairs[few], pairs[few])
+        keys, times, of = [flat_a[from_a[g] + k // m_b[g]] * self.width + flat_b[from_b[g] + k % m_b[g]]], [np.ones(len(g), np.int64)], [text_of[g]]
+        for g in np.flatnonzero(pairs >= MANY):
+            (own_a, c_a), (own_b, c_b) = (np.unique(flat[i : i + m], return_counts=True) for flat, i, m in ((flat_a, from_a[g], m_a[g]), (flat_b, from_b[g], m_b[g])))
+            keys.append((own_a[:, None] * self.width + own_b).ravel())
+            times.append((c_a[:, None] * c_b).ravel())
+            of.append(np.full(len(keys[-1]), text_of[g]))
+        own, place = np.unique(np.concatenate(of) * self.pairs + np.concatenate(keys), return_inverse=True)
+        times = np.bincount(place, np.concatenate(times), len(own)).astype(np.int64)
+        return Aligned(np.stack([n_a, n_b, n_groups, n_links], axis=1), groups, own % self.pairs, times, np.searchsorted(own, (np.arange(len(texts)) + 1) * self.pairs))
 
 
 @lru_cache(2)
@@ -172,14 +155,14 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _block(rows: list[tuple], keys: list[np.ndarray], times: list[np.ndarray]) -> dict:
-    flat = np.concatenate([np.empty(0, np.int64), *keys])
-    pairs, place, docs = np.unique(flat, return_inverse=True, return_counts=True)
-    ids, n_a, n_b, n_groups, n_links, digest = map(list, zip(*rows))
-    return {
-        "block": uuid4().hex, "id": ids, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digest,
-        "n_pairs": [len(k) for k in keys], "place": place.astype(np.int32), "times": np.concatenate([np.empty(0, np.int64), *times]), "pair": pairs, "docs": docs.astype(np.int64),
-    }
+def _block(rows: list[tuple], keys: list[np.ndarray], times: list[np.ndarray]) -> pd.DataFrame:
+    pairs, place, docs = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    ids, numbers, digest = zip(*rows)
+    n_a, n_b, n_groups, n_links = np.array(numbers).T
+    return pd.DataFrame([{
+        "block": uuid4().hex, "id": list(ids), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": list(digest),
+        "n_pairs": [len(k) for k in keys], "place": place.astype(np.int32), "times": np.concatenate(times), "pair": pairs, "docs": docs.astype(np.int64),
+    }])
 
 
 def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,22 +172,22 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         align, rows, keys, times, size = aligner(path_a, path_b), [], [], [], 0
         for b in batches:
-            texts, ids = b["t"].tolist(), [None if x is None or x != x else x for x in b["id"].tolist()]
-            for k in range(0, len(texts), 64):
-                for i, t, parts in zip(ids[k : k + 64], texts[k : k + 64], align(texts[k : k + 64])):
-                    pairs, n = np.concatenate([np.empty(0, np.int64), *(p.pairs for p in parts or [])]), np.concatenate([np.empty(0, np.int64), *(p.times for p in parts or [])])
-                    own, at = np.unique(pairs, return_inverse=True)
-                    n = np.bincount(at, n, len(own)).astype(np.int64)
-                    sums = map(sum, zip(*(p.n for p in parts))) if parts else (0, 0, 0)
-                    rows.append((i, *sums, int(n.sum()), sha256(";".join([p.groups for p in parts]).encode()).hexdigest() if parts else ""))
-                    keys.append(own)
-                    times.append(n)
-                    size += len(t)
-                    if size > BLOCK_BYTES:
-                        yield pd.DataFrame([_block(rows, keys, times)])
-                        rows, keys, times, size = [], [], [], 0
+            texts, ids, at = b["t"].tolist(), [None if x is None or x != x else x for x in b["id"].tolist()], 0
+            upto = np.cumsum([len(t) for t in texts])
+            while at < len(texts):
+                stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+                found = align(texts[at:stop])
+                rows += [(i, n, sha256(g.encode()).hexdigest() if n[2] else "") for i, n, g in zip(ids[at:stop], found.n.tolist(), found.groups)]
+                for i, j in zip([0, *found.stop.tolist()], found.stop.tolist()):
+                    keys.append(found.keys[i:j])
+                    times.append(found.times[i:j])
+                size += int(upto[stop - 1] - (upto[at - 1] if at else 0))
+                at = stop
+                if size > BLOCK_SIZE:
+                    yield _block(rows, keys, times)
+                    rows, keys, times, size = [], [], [], 0
         if rows:
-            yield pd.DataFrame([_block(rows, keys, times)])
+            yield _block(rows, keys, times)
 
     texts = byte_bounded(docs).select(F.col(id_col).alias("id"), whole_text(text_col).alias("t"))
     numbers = ", ".join(f"{c} array<long>" for c in ("n_a", "n_b", "n_groups", "n_links"))
