@@ -44,8 +44,8 @@ def prediction_diagnostics(spark, d):
 
 
 def rank_protocols(spark, d):
-    c = table(spark, d, "orders").select((F.col("o_custkey") % 11 / 4).alias("C1"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 5 / 8).alias("C2"), (F.col("o_totalprice") / 777).alias("life"), "o_orderkey")
-    early = c.where("o_orderkey % 2 = 0").withColumn("prediction", F.col("life") * 1.1)
+    c = table(spark, d, "orders").select((F.col("o_custkey") % 11 / 4).alias("C1"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 5 / 8).alias("C2"), (F.col("o_totalprice") / 777).alias("life"), F.col("o_orderstatus").alias("status"))
+    early = c.where("status <> 'F'").withColumn("prediction", F.col("life") * 1.1)
     post = c.where("C1 > 1").withColumn("posterior", F.col("life") / 3)
     return rounded(M.protocol_ranking(c, early, post, ["C1", "C2"]).withColumn("early_rank", F.coalesce("early_rank", F.lit(0))), 5)
 
@@ -96,19 +96,35 @@ def _labelled(spark, d):
 FEATURES = ["q0", "q1", "qn", "slope", "max_diff", "mean", "std"]
 
 
-def ridge_candidate(spark, d):
+def _candidate(spark, d, family, **settings):
     rows = T.group_split(_labelled(spark, d), "entity", 0.25, 0)
-    return rounded(D.evaluated(rows.where("split = 'train'"), rows.where("split = 'validation'").select("entity", *FEATURES, "life"), FEATURES, "life", "ridge", alpha=3.0).select("entity", "y", "y_pred"), 4)
+    made = D.evaluated(rows.where("split = 'train'"), rows.where("split = 'validation'").select("entity", *FEATURES, "life"), FEATURES, "life", family, "entity", **settings)
+    return made.select("entity", "y", "y_pred")
+
+
+def ridge_candidate(spark, d):
+    return rounded(_candidate(spark, d, "ridge", alpha=3.0), 4)
+
+
+def lasso_candidate(spark, d):
+    return rounded(_candidate(spark, d, "lasso_cv"), 4)
+
+
+def elastic_net_candidate(spark, d):
+    return rounded(_candidate(spark, d, "elastic_net_cv", l1_ratio=[0.15, 0.5, 0.85]), 4)
+
+
+def boosted_candidate(spark, d):
+    return rounded(_candidate(spark, d, "gradient_boosting"), 4)
 
 
 def forest_candidate(spark, d):
-    rows = T.group_split(_labelled(spark, d), "entity", 0.25, 0)
-    return D.evaluated(rows.where("split = 'train'"), rows.where("split = 'validation'").select("entity", *FEATURES, "life"), FEATURES, "life", "random_forest").select("entity", "y", "y_pred")
+    return _candidate(spark, d, "random_forest")
 
 
 QUERIES = {f.__name__: f for f in (
     regression_metrics, metrics_by_group, protocol_metrics, weak_baseline_gain, prediction_diagnostics, rank_protocols, campaign_config_aggregate, topk_shortlist, leaderboard_best_by, failure_summary, resource_bump,
-    policy_space, posterior_ranking, ridge_candidate, forest_candidate,
+    policy_space, posterior_ranking, ridge_candidate, lasso_candidate, elastic_net_candidate, boosted_candidate, forest_candidate,
 )}
 
 _SCORED = f"scored AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_custkey, o_totalprice / 1000 AS y, {PRED} AS p FROM orders)"
@@ -128,8 +144,8 @@ SELECT {_ERR}, (SELECT {r('corr(ra, rb)', 'x').rsplit(' AS ', 1)[0]} FROM k) AS
     "protocol_metrics": f"WITH {_SCORED}, m AS (SELECT o_custkey, avg(y) AS y, avg(p) AS p FROM scored GROUP BY o_custkey) SELECT {_ERR} FROM m",
     "weak_baseline_gain": f"WITH {_SCORED}, t AS (SELECT avg(y) AS m FROM scored WHERE o_orderstatus = 'F'), e AS (SELECT sqrt(avg((m - y) ** 2)) AS weak, sqrt(avg((p - y) ** 2)) AS candidate FROM scored, t WHERE o_orderstatus <> 'F') SELECT {r('weak', 'weak')}, {r('candidate', 'candidate')}, {r('(weak - candidate) / nullif(weak - 10, 0)', 'gain')}, NULL::DOUBLE AS none FROM e",
     "prediction_diagnostics": f"WITH {_SCORED} SELECT " + ", ".join(r(e, n) for e, n in (("avg(y)", "y_mean"), ("min(y)", "y_min"), ("max(y)", "y_max"), ("avg(p)", "pred_mean"), ("min(p)", "pred_min"), ("max(p)", "pred_max"), ("avg(p - y)", "residual_mean"), ("stddev_pop(p - y)", "residual_std"))) + ", count(*) FILTER (WHERE p < 0) AS n_negative, count(*) - count(p) AS n_missing FROM scored",
-    "rank_protocols": f"""WITH c AS (SELECT CAST(o_custkey % 11 AS DOUBLE) / 4 AS C1, CASE WHEN o_custkey % 3 <> 0 THEN CAST(o_custkey % 5 AS DOUBLE) / 8 END AS C2, o_totalprice / 777 AS life, o_orderkey FROM orders), k AS (SELECT *, {_KEY} AS key FROM c),
-o AS (SELECT key, count(life) AS n, avg(life) AS mean, median(life) AS median FROM k GROUP BY key), e AS (SELECT key, avg(life * 1.1) AS early FROM k WHERE o_orderkey % 2 = 0 GROUP BY key), p AS (SELECT key, max(life / 3) AS posterior FROM k WHERE C1 > 1 GROUP BY key),
+    "rank_protocols": f"""WITH c AS (SELECT CAST(o_custkey % 11 AS DOUBLE) / 4 AS C1, CASE WHEN o_custkey % 3 <> 0 THEN CAST(o_custkey % 5 AS DOUBLE) / 8 END AS C2, o_totalprice / 777 AS life, o_orderstatus AS status FROM orders), k AS (SELECT *, {_KEY} AS key FROM c),
+o AS (SELECT key, count(life) AS n, avg(life) AS mean, median(life) AS median FROM k GROUP BY key), e AS (SELECT key, avg(life * 1.1) AS early FROM k WHERE status <> 'F' GROUP BY key), p AS (SELECT key, max(life / 3) AS posterior FROM k WHERE C1 > 1 GROUP BY key),
 b AS (SELECT *, row_number() OVER (ORDER BY mean DESC, key) AS observed_rank, CASE WHEN early IS NOT NULL THEN row_number() OVER (ORDER BY early DESC NULLS LAST, key) END AS early_rank FROM o LEFT JOIN e USING (key) LEFT JOIN p USING (key))
 SELECT key, n, {_r5('mean', 'mean')}, {_r5('median', 'median')}, {_r5('early', 'early')}, {_r5('posterior', 'posterior')}, CAST(observed_rank AS INTEGER) AS observed_rank, CAST(coalesce(early_rank, 0) AS INTEGER) AS early_rank, {_r5('early - mean', 'residual')} FROM b""",
     "campaign_config_aggregate": f"WITH {_AGG} SELECT l_returnflag, l_linestatus, l_linenumber, n_evals, n_runs, n_seeds, runs, seeds, {', '.join(_r5(c, c) for c in ('mean', 'std', 'min', 'max', 'mean_bias', 'score'))} FROM sel",

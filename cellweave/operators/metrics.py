@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import text_key
+from .order_stats import medians
 from .relational import ranked
 
 
@@ -162,7 +163,8 @@ def gain_recovered(weak: Column, candidate: Column, strong: Column) -> Column:
 def protocol_ranking(observed: DataFrame, early: DataFrame, posterior: DataFrame, keys: list[str]) -> DataFrame:
     """Observed protocols by falling mean life with early prediction and posterior beside them, matched by text key."""
     k = text_key(keys).alias("key")
-    o = observed.select(k, "life").groupBy("key").agg(F.count("life").alias("n"), F.avg("life").alias("mean"), F.median("life").alias("median"))
+    o = observed.select(k, "life").groupBy("key").agg(F.count("life").alias("n"), F.avg("life").alias("mean"))
+    o = o.join(medians(observed.select(k, "life"), ["key"], {"median": "life"}), "key")
     e = early.select(k, "prediction").groupBy("key").agg(F.avg("prediction").alias("early"))
     q = posterior.select(k, "posterior").groupBy("key").agg(F.max("posterior").alias("posterior"))
     both = o.join(e, "key", "left").join(q, "key", "left")

@@ -1,4 +1,4 @@
-"""Policy space, a Bayesian best-arm loop in kernel form, and regression pipelines."""
+"""Policy space, a Bayesian best-arm loop in kernel form, and candidates of all families fitted and applied."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import finite
+from . import penalty, trees
+
 # The charging steps' currents.
 C1 = [3.6, 4.0, 4.4, 4.8, 5.2, 5.6, 6.0, 7.0, 8.0]
 C2 = [3.6, 4.0, 4.4, 4.8, 5.2, 5.6, 6.0, 7.0]
@@ -153,114 +156,39 @@ def published_check(ranking: DataFrame, published=PUBLISHED, tolerance: float =
     return first.crossJoin(F.broadcast(same)).select(*names, F.col("r.rank").isNotNull().alias("found"), "r.rank", "r.mean", "r.half_width", "same_top")  # one row
 
 
-def assembled(rows: DataFrame, features: list[str], label: str) -> DataFrame:
-    """(label, features): medians in place of missing values, then a vector."""
-    from pyspark.ml.feature import Imputer, VectorAssembler
-
-    filled = [f"{f}_filled" for f in features]
-    full = Imputer(strategy="median", inputCols=features, outputCols=filled).fit(rows).transform(rows)
-    return VectorAssembler(inputCols=filled, outputCol="features").transform(full).withColumn("label", F.col(label))
-
-
-def ridge_estimator(alpha: float = 3.0, intercept: bool = True):
-    """An estimator of a ridge regression on features scaled by their population deviation; ``alpha`` penalises the sum of
-    squared coefficients as such.
-
-    The library scales by the sample deviation, on which the same fit has the penalty alpha * (n - 1) / n, and counts a
-    penalty in units of the label's deviation over n.
-    """
-    from pyspark.ml import Estimator, PipelineModel
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.regression import LinearRegression
-
-    class Ridge(Estimator):
-        def _fit(self, rows: DataFrame) -> PipelineModel:
-            scaler = StandardScaler(inputCol="features", outputCol="scaled_features", withMean=True).fit(rows)
-            s = rows.agg(F.stddev_pop("label").alias("s"), F.count("*").alias("n")).first()
-            n = max(1, s.n)
-            penalty = alpha * (n - 1) / n * (s.s or 0.0) / n
-            line = LinearRegression(featuresCol="scaled_features", regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal", fitIntercept=intercept)
-            return PipelineModel([scaler, line.fit(scaler.transform(rows))])
-
-    return Ridge()
-
-
-def ridge(rows: DataFrame, features: list[str], label: str, alpha: float = 3.0):
-    """The fitted model of ``ridge_estimator`` on median-imputed features, and the rows it was fitted on."""
-    ready = assembled(rows, features, label)
-    return ridge_estimator(alpha).fit(ready), ready
+LINEAR = {"ridge": "Ridge", "lasso": "LassoCV", "lassocv": "LassoCV", "elasticnet": "ElasticNetCV", "elasticnetcv": "ElasticNetCV"}
+FOREST = ("randomforest", "randomforestregressor", "forest", "rf")
+BOOSTED = ("gradientboosting", "gradientboostingregressor", "gbr", "gbt")
+# The sizes of the ready candidates' ensembles.
+FOREST_SIZES = {"trees": 160, "least": 2, "seed": 19}
+BOOSTED_SIZES = {"trees": 120, "depth": 2, "rate": 0.05, "seed": 23}
 
 
-def by_folds(l1_ratio: float | list[float], n_alphas: int = 100, eps: float = 1e-3, cv: int = 3):
-    """An estimator of a lasso (``l1_ratio`` 1) or elastic net on standardised features, whose penalty has the least mean
-    squared error over ``cv`` folds: of ``n_alphas`` from the least one without any coefficient down to its ``eps``-fold.
+def evaluated(train: DataFrame, test: DataFrame, features: list[str], label: str, family: str, key: str, log_target: bool = False, cv: int = 3, **settings) -> DataFrame:
+    """The rows of ``test`` with ``y``, if they have the label, and ``y_pred``: fitted on ``train``, whose exact medians take
+    the place of missing values, with a label as it is or its logarithm. Unknown families are ridge.
 
-    A row's fold follows from its values, so it does not depend on how rows are dealt out.
+    ``key`` is unique in each table and orders the rows; the folds of lasso and elastic net are runs of neighbours in it.
+    ``settings`` are those of the family: see ``penalty.fitted``, ``trees.forest`` and ``trees.boosted``.
     """
-    from pyspark.ml import Estimator, PipelineModel
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    class ByFolds(Estimator):
-        def _fit(self, rows: DataFrame) -> PipelineModel:
-            scaler = StandardScaler(inputCol="features", outputCol="scaled_features", withMean=True).fit(rows)
-            values = vector_to_array("features")
-            ready = scaler.transform(rows).withColumn("fold", F.pmod(F.xxhash64(values, "label"), F.lit(cv)).cast("int")).persist()
-            try:
-                scaled = vector_to_array("scaled_features")
-                width = len(scaler.mean)
-                s = ready.agg(F.stddev_pop("label").alias("s"), *[F.covar_pop(scaled[j], F.col("label")).alias(f"c{j}") for j in range(width)]).first()
-                top = max(abs(s[f"c{j}"] or 0.0) for j in range(width))
-                model = LinearRegression(featuresCol="scaled_features", standardization=False, solver="normal")
-                grid = []
-                for ratio in [l1_ratio] if isinstance(l1_ratio, (int, float)) else l1_ratio:
-                    for alpha in np.geomspace(top / ratio, top / ratio * eps, n_alphas) if top > 0 else [0.0]:
-                        # the library divides the squared part by the label's deviation
-                        penalty = float(alpha * (ratio + (1 - ratio) * (s.s or 0.0)))
-                        grid += ParamGridBuilder().baseOn({model.regParam: penalty, model.elasticNetParam: float(alpha * ratio / penalty) if penalty else 0.0}).build()
-                error = RegressionEvaluator(metricName="mse")
-                best = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=error, numFolds=cv, foldCol="fold", parallelism=4).fit(ready).bestModel
-            finally:
-                ready.unpersist()
-            return PipelineModel([scaler, best])
-
-    return ByFolds()
-
-
-def regressor(family: str, **settings):
-    """An estimator by family name, with the reference's sizes; unknown names are ridge.
-
-    The forest's trees grow to the library's largest depth, 30. Lasso and elastic net choose their penalty by
-    cross-validation, unless ``regParam`` gives it.
-    """
-    from pyspark.ml import regression as R
-
     name = family.lower().replace("_", "").replace(" ", "")
-    if name in ("randomforest", "randomforestregressor", "forest", "rf"):
-        return R.RandomForestRegressor(**{"numTrees": 160, "maxDepth": 30, "featureSubsetStrategy": "all", "seed": 19, "minInstancesPerNode": 2} | settings)
-    if name in ("gradientboosting", "gradientboostingregressor", "gbr", "gbt"):
-        return R.GBTRegressor(**{"maxIter": 120, "stepSize": 0.05, "maxDepth": 2, "seed": 23} | settings)
-    if name in ("lasso", "lassocv", "elasticnet", "elasticnetcv"):
-        ratio = 1.0 if name.startswith("lasso") else 0.5
-        if "regParam" in settings:
-            return R.LinearRegression(**{"elasticNetParam": ratio} | settings)
-        return by_folds(**{"l1_ratio": ratio} | settings)
-    if "regParam" in settings:
-        return R.LinearRegression(**{"elasticNetParam": 0.0} | settings)
-    return ridge_estimator(**settings)
-
-
-def evaluated(train: DataFrame, test: DataFrame, features: list[str], label: str, family: str, log_target: bool = False, **settings) -> DataFrame:
-    """(key columns of test, y, y_pred): fitted on ``train`` with its medians, applied to ``test``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
-
-    filled = [f"{f}_filled" for f in features]
-    target = F.log10(F.col(label)) if log_target else F.col(label)
-    steps = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), regressor(family, **settings)]
-    model = Pipeline(stages=steps).fit(train.withColumn("label", target))
-    out = model.transform(test).withColumn("y", F.col(label)).withColumn("y_pred", F.pow(F.lit(10.0), "prediction") if log_target else F.col("prediction"))
-    return out.select(*test.columns, "y", "y_pred")
+    back = lambda c: F.pow(F.lit(10.0), c) if log_target else c
+    kept = test.withColumn("y", F.col(label)) if label in test.columns else test
+    train = train.select(key, *features, label).persist()  # a fit reads it several times
+    if name not in FOREST + BOOSTED:
+        one = penalty.Linear("one", LINEAR.get(name, "Ridge"), tuple(features), log_target, tuple(settings.items()))
+        line = penalty.fit_many(train, label, key, [one], cv=cv)[0]["one"]
+        train.unpersist()
+        return kept.withColumn("y_pred", back(line.prediction()))
+    ready, middle = penalty.filled(train, features)
+    goal = finite(label)
+    if log_target:
+        goal = F.log10(F.when(goal > 0, goal).otherwise(F.raise_error(F.lit("a logarithmic target needs positive labels")).cast("double")))
+    rows = ready.select(F.col(key).alias("id"), F.array(*features).alias("x"), goal.alias("y")).where("y IS NOT NULL")
+    x = F.array(*[F.coalesce(finite(f), F.lit(m)) for f, m in zip(features, middle)])
+    if name in BOOSTED:
+        model = trees.boosted(rows, len(features), **BOOSTED_SIZES | settings)
+        train.unpersist()
+        return kept.withColumn("x", x).withColumn("y_pred", back(model.prediction())).drop("x")
+    made = trees.forest(rows, test.select(F.col(key).alias("id"), x.alias("x")), len(features), **FOREST_SIZES | settings)
+    return kept.join(made.withColumnRenamed("id", key), key, "left").withColumn("y_pred", back(F.col("prediction"))).drop("prediction")

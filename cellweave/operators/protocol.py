@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import biased_skew, finite, slope
+from .order_stats import medians
 
 
 def protocol_features(rows: DataFrame, key: str, columns: list[str], products: bool = False) -> DataFrame:
@@ -90,7 +91,7 @@ def linear_replay(rows: DataFrame, key: str, features: str, mu: list[float], sig
 
 def target_transform(raw: DataFrame, value: str, low: float = 100.0, high: float = 3000.0) -> DataFrame:
     """Whether a batch's raw outputs are log10 of the target or of its inverse, by the median of each reading."""
-    m = raw.agg(F.median(F.pow(F.lit(10.0), F.col(value))).alias("direct_median"), F.median(F.pow(F.lit(10.0), -F.col(value))).alias("inverse_median"))
+    m = medians(raw, [], {"direct_median": F.pow(F.lit(10.0), F.col(value)), "inverse_median": F.pow(F.lit(10.0), -F.col(value))})
     named = F.when(F.col("direct_median").between(low, high), "direct").when(F.col("inverse_median").between(low, high) & (F.col("direct_median") < 1), "inverse").otherwise("error")
     return m.withColumn("transform", named)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import finite
+from .order_stats import medians
 
 
 def with_reasons(rows: DataFrame, checks: dict[str, Column], out: str = "reasons") -> DataFrame:
@@ -145,9 +146,11 @@ def classified(text: str | Column, rules: list[tuple[str, str]], default: str) -
 def batch_statistics(rows: DataFrame, batch: str, value: str) -> DataFrame:
     """Count, extremes, mean, median and sample deviation per batch and over all (batch null, overall true)."""
     v = finite(value)
-    stats = [F.count(v).alias("n"), F.max(v).alias("max"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std")]
-    each = rows.groupBy(batch).agg(*stats).withColumn("overall", F.lit(False))
-    return each.unionByName(rows.agg(*stats).withColumn(batch, F.lit(None).cast(dict(rows.dtypes)[batch])).withColumn("overall", F.lit(True)))
+    stats = [F.count(v).alias("n"), F.max(v).alias("max"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")]
+    middle = medians(rows, [batch], {"median": v}).withColumnRenamed(batch, "_batch")
+    each = rows.groupBy(batch).agg(*stats).withColumn("overall", F.lit(False)).join(middle, F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch")
+    every = rows.agg(*stats).withColumn(batch, F.lit(None).cast(dict(rows.dtypes)[batch])).withColumn("overall", F.lit(True))
+    return each.unionByName(every.crossJoin(F.broadcast(medians(rows, [], {"median": v}))))  # one row
 
 
 def availability(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite
+from .order_stats import medians
 from .relational import reason_counts, split_by_reasons
 
 # The last step and the model file of a batch, by its name; all others have the defaults.
@@ -75,20 +76,18 @@ def in_cycles(raw: str | Column, se: str | Column, transform: str | Column) -> l
     return [pick(ten(x), ten(-x)).alias("prediction"), pick(ten(x - s), ten(-(x + s))).alias("ci_lo"), pick(ten(x + s), ten(-(x - s))).alias("ci_hi")]
 
 
-def finite_stats(c: str | Column, name: str) -> list[Column]:
-    """Aggregates: least, median and largest of the finite values."""
-    v = finite(c)
-    return [F.min(v).alias(f"{name}_min"), F.median(v).alias(f"{name}_median"), F.max(v).alias(f"{name}_max")]
+def finite_stats(rows: DataFrame, columns: dict[str, str | Column]) -> DataFrame:
+    """One row: least, median and largest of each named column's finite values."""
+    ends = rows.agg(*[f(finite(c)).alias(f"{n}_{f.__name__}") for n, c in columns.items() for f in (F.min, F.max)])
+    return ends.crossJoin(F.broadcast(medians(rows, [], {f"{n}_median": c for n, c in columns.items()})))  # one row
 
 
 def scale_diagnostics(rows: DataFrame, widest: float = 2000.0) -> DataFrame:
     """One row: the spread of raw outputs, of both readings of them, of predictions and bounds, and two counts."""
     ten = F.pow(F.lit(10.0), finite("raw"))
     p, w = finite("prediction"), finite("ci_width")
-    return rows.agg(
-        *finite_stats("raw", "raw"), *finite_stats(ten, "direct"), *finite_stats(F.try_divide(F.lit(1.0), ten), "inverse"), *finite_stats(F.when(p > 0, p), "prediction"),
-        *finite_stats("ci_lo", "ci_lo"), *finite_stats("ci_hi", "ci_hi"), *finite_stats("ci_width", "ci_width"), F.count_if(w > widest).alias("n_wide"), F.count_if(p <= 0).alias("n_not_positive"),
-    )
+    spread = finite_stats(rows, {"raw": "raw", "direct": ten, "inverse": F.try_divide(F.lit(1.0), ten), "prediction": F.when(p > 0, p), **{c: c for c in ("ci_lo", "ci_hi", "ci_width")}})
+    return spread.crossJoin(rows.agg(F.count_if(w > widest).alias("n_wide"), F.count_if(p <= 0).alias("n_not_positive")))  # one row
 
 
 def prediction_summary(rows: DataFrame, status: str = "status") -> DataFrame:
@@ -108,7 +107,7 @@ def acquisition_input(rows: DataFrame, low: float = 100.0, high: float = 5000.0)
     p = finite("prediction")
     checks = {f"nonfinite_{c}": finite(c).isNull() for c in CURRENTS} | {"nonfinite_prediction": p.isNull(), "prediction_le_0": p <= 0, "anomalous": F.coalesce(F.col("anomaly"), F.lit(False))}
     good, bad = split_by_reasons(rows, checks)
-    median = good.agg(F.median("prediction").alias("m")).first().m
+    median = medians(good, [], {"m": "prediction"}).first().m
     if median is not None and not low < median < high:
         raise ValueError(f"the median prediction {median:g} is not in cycles")
     return good.select(*CURRENTS, "prediction"), bad, reason_counts(bad)

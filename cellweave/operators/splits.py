@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order_stats import quantiles
 from .relational import ranked
 
 
@@ -73,9 +74,9 @@ def leaks(rows: DataFrame, split: str, group: str) -> DataFrame:
 
 def stratified_sample(rows: DataFrame, key: str, value: str, each: int = 5, seed: int = 0) -> DataFrame:
     """``each`` rows by seeded order from the lower, middle and upper part of a value, cut at its 0.33 and 0.67 quantile."""
-    cuts = rows.agg(F.percentile(value, F.array(F.lit(0.33), F.lit(0.67))).alias("_q"))
-    part = F.when(F.col(value) <= F.get("_q", F.lit(0)), "low").when(F.col(value) <= F.get("_q", F.lit(1)), "mid").otherwise("high")
-    tagged = rows.crossJoin(F.broadcast(cuts)).withColumn("stratum", part).drop("_q")
+    cuts = quantiles(rows, [], {"_q": value}, [0.33, 0.67])
+    part = F.when(F.col(value) <= F.col("_q_0"), "low").when(F.col(value) <= F.col("_q_1"), "mid").otherwise("high")
+    tagged = rows.crossJoin(F.broadcast(cuts)).withColumn("stratum", part).drop("_q_0", "_q_1")  # one row
     order = Window.partitionBy("stratum").orderBy(seeded(key, seed), key)
     return tagged.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= each).drop("_k")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from dataclasses import asdict, dataclass, field
 from itertools import product
@@ -191,18 +192,19 @@ def feature_frame(metadata: DataFrame, cycles: DataFrame, c: Candidate, tables:
     return metadata.select(key).distinct().join(made, key, "left").select(key, *have), columns
 
 
-def estimator(family: str, settings: dict, width: int):
-    """The Spark estimator of a family with its settings, where the library has them."""
+def fit_settings(family: str, settings: dict, width: int) -> tuple[str, dict]:
+    """The name that ``model.evaluated`` knows a family by, and its settings under the names there."""
     s = dict(settings)
     if family == "RandomForestRegressor":
         share = s.get("max_features")
-        return models.regressor("randomforest", numTrees=int(s["n_estimators"]), maxDepth=min(30, int(s.get("max_depth") or 30)), minInstancesPerNode=int(s["min_samples_leaf"]), featureSubsetStrategy=str(share) if share in ("sqrt", "log2") else "all", seed=int(s["random_state"]))
+        tried = {"sqrt": width**0.5, "log2": math.log2(max(width, 2))}.get(share) if isinstance(share, str) else share * width if isinstance(share, float) else share
+        made = {"trees": s["n_estimators"], "depth": s.get("max_depth"), "least": s["min_samples_leaf"], "fewest": s.get("min_samples_split", 2), "seed": s["random_state"], "tried": max(1, int(tried)) if tried else None}
+        return "randomforest", {k: v if v is None else int(v) for k, v in made.items()}
     if family == "GradientBoostingRegressor":
-        return models.regressor("gbr", maxIter=int(s["n_estimators"]), stepSize=float(s["learning_rate"]), maxDepth=int(s["max_depth"]), minInstancesPerNode=int(s.get("min_samples_leaf", 1)), subsamplingRate=float(s.get("subsample", 1.0)), seed=int(s["random_state"]))
-    if family in ("LassoCV", "ElasticNetCV"):
-        ratio = 1.0 if family == "LassoCV" else s.get("l1_ratio", 0.5)
-        return models.by_folds(ratio, n_alphas=int(s.get("n_alphas", 100)), eps=float(s.get("eps", 1e-3)), cv=int(s["cv"]))
-    return models.ridge_estimator(float(s["alpha"]), bool(s.get("fit_intercept", True)))
+        made = {"trees": int(s["n_estimators"]), "depth": int(s["max_depth"]), "least": int(s.get("min_samples_leaf", 1)), "seed": int(s["random_state"])}
+        return "gbr", made | {"rate": float(s["learning_rate"]), "subsample": float(s.get("subsample", 1.0))}
+    taken = {"Ridge": ("alpha", "fit_intercept"), "LassoCV": ("eps", "n_alphas", "alphas", "fit_intercept", "cv"), "ElasticNetCV": ("l1_ratio", "eps", "n_alphas", "alphas", "fit_intercept", "cv")}[family]
+    return family, {k: v for k, v in s.items() if k in taken}
 
 
 def runnable(c: Candidate, tables: list[FeatureTable] = [], upto: int = 100, protocol_allowed: bool = False):
@@ -211,18 +213,11 @@ def runnable(c: Candidate, tables: list[FeatureTable] = [], upto: int = 100, pro
     c = c.standard()
 
     def run(meta: DataFrame, cycles: DataFrame, labels: DataFrame, test_meta: DataFrame, test_cycles: DataFrame) -> DataFrame:
-        from pyspark.ml import Pipeline
-        from pyspark.ml.feature import Imputer, VectorAssembler
-
         key = key_column(meta.columns)
         train, columns = feature_frame(meta, cycles, c, tables, upto, None, protocol_allowed)
         test, _ = feature_frame(test_meta, test_cycles, c, tables, upto, columns, protocol_allowed)
-        target = F.log10(F.when(F.col("y") > 0, F.col("y")).otherwise(F.raise_error(F.lit("a logarithmic target needs positive labels")).cast("double"))) if c.target == "log10" else F.col("y")
-        rows = train.join(labels.select(key, "y"), key).withColumn("label", target.cast("double")).persist()  # fits read it many times
-        filled = [f"_{i}" for i in range(len(columns))]
-        model = Pipeline(stages=[Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), estimator(c.family, c.settings, len(columns))]).fit(rows)
-        rows.unpersist()
-        out = model.transform(test)
-        return out.select(key, (F.pow(F.lit(10.0), "prediction") if c.target == "log10" else F.col("prediction")).alias("y_pred"))
+        family, settings = fit_settings(c.family, c.settings, len(columns))
+        made = models.evaluated(train.join(labels.select(key, "y"), key), test, columns, "y", family, key, c.target == "log10", **settings)
+        return made.select(key, "y_pred")
 
     return run

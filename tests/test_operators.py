@@ -106,10 +106,11 @@ def test_ridge_matches_its_closed_form(spark):
     x = rng.normal(size=(60, 2))
     y = x @ [2.0, -1.0] + rng.normal(size=60)
     df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, life double")
-    model, ready = D.ridge(df, ["a", "b"], "life", alpha=3.0)
+    rows = df.withColumn("id", F.monotonically_increasing_id())
+    made = D.evaluated(rows, rows, ["a", "b"], "life", "ridge", "id", alpha=3.0).collect()
     z = (x - x.mean(axis=0)) / x.std(axis=0)
     want = y.mean() + z @ np.linalg.solve(z.T @ z + 3.0 * np.eye(2), z.T @ (y - y.mean()))
-    got = {(round(r.a, 9)): r.prediction for r in model.transform(ready).select("a", "prediction").collect()}
+    got = {(round(r.a, 9)): r.y_pred for r in made}
     assert [got[round(float(a), 9)] for a in x[:, 0]] == pytest.approx(want.tolist(), rel=1e-9)
 
 
