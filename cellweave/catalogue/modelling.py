@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import campaign as K
 from ..operators import metrics as M
 from ..operators import model as D
-from ..operators import series as S
-from ..operators import splits as T
-from .tables import SERIES, daily, r, rounded, table
+from .tables import r, rounded, table
 
 PRED = "o_totalprice / 1000 * 0.9 + (o_custkey % 7) * 3"
 
@@ -88,43 +86,9 @@ def posterior_ranking(spark, d):
     return rounded(D.closed_loop(spark, arms, [first, first.withColumn("prediction", F.col("prediction") + 30)]), 4)
 
 
-def _labelled(spark, d):
-    feats = S.heuristic_features(daily(spark, d), "entity", "step", "value")
-    return feats.join(table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), (F.col("c_acctbal") + 1500).alias("life")), "entity")
-
-
-FEATURES = ["q0", "q1", "qn", "slope", "max_diff", "mean", "std"]
-
-
-def _candidate(spark, d, family, **settings):
-    rows = T.group_split(_labelled(spark, d), "entity", 0.25, 0)
-    made = D.evaluated(rows.where("split = 'train'"), rows.where("split = 'validation'").select("entity", *FEATURES, "life"), FEATURES, "life", family, "entity", **settings)
-    return made.select("entity", "y", "y_pred")
-
-
-def ridge_candidate(spark, d):
-    return rounded(_candidate(spark, d, "ridge", alpha=3.0), 4)
-
-
-def lasso_candidate(spark, d):
-    return rounded(_candidate(spark, d, "lasso_cv"), 4)
-
-
-def elastic_net_candidate(spark, d):
-    return rounded(_candidate(spark, d, "elastic_net_cv", l1_ratio=[0.15, 0.5, 0.85]), 4)
-
-
-def boosted_candidate(spark, d):
-    return rounded(_candidate(spark, d, "gradient_boosting"), 4)
-
-
-def forest_candidate(spark, d):
-    return _candidate(spark, d, "random_forest")
-
-
 QUERIES = {f.__name__: f for f in (
     regression_metrics, metrics_by_group, protocol_metrics, weak_baseline_gain, prediction_diagnostics, rank_protocols, campaign_config_aggregate, topk_shortlist, leaderboard_best_by, failure_summary, resource_bump,
-    policy_space, posterior_ranking, ridge_candidate, lasso_candidate, elastic_net_candidate, boosted_candidate, forest_candidate,
+    policy_space, posterior_ranking,
 )}
 
 _SCORED = f"scored AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_custkey, o_totalprice / 1000 AS y, {PRED} AS p FROM orders)"
