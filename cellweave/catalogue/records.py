@@ -31,6 +31,16 @@ def ragged_records(spark, d):
     return rounded(rows.groupBy("entity", "cycle_index", "step_type").agg(F.count("*").alias("n"), F.sum("discharge_capacity").alias("q"), F.sum("current").alias("i"), F.sum("temperature").alias("t")))
 
 
+def ragged_leaves(spark, d):
+    """A list an order: numbers, truth values, nulls and texts, and for all but the finished ones lists and objects in it."""
+    inner = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.concat(F.lit(',[['), F.col("o_custkey") + 1, F.lit(',{"k":7}],null,[[-0.5]],"'), F.col("o_orderpriority"), F.lit('"]')))
+    doc = F.concat(F.lit("["), F.col("o_custkey"), F.lit(","), (F.col("o_totalprice") > 150000).cast("string"), F.lit(',null," '), F.col("o_orderkey"), F.lit(' "'), inner, F.lit("]"))
+    v = F.parse_json(doc)
+    made = table(spark, d, "orders").select("o_orderkey", L.numeric_leaves(v).alias("n"), L.string_leaves(v).alias("t"))
+    number = F.transform("n", lambda x: F.coalesce((x * 2).cast("long").cast("string"), F.lit("-")))
+    return made.select("o_orderkey", F.array_join(number, "|").alias("doubled"), F.array_join("t", "|").alias("texts"))
+
+
 def ragged_summary(spark, d):
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", (F.col("o_totalprice") / 1000).alias("p")))).alias("l"))
     doc = F.struct(F.transform("l", lambda x: -x["o_orderkey"]).alias("cycle"), F.transform("l", lambda x: x["p"]).alias("QDischarge"), F.slice(F.transform("l", lambda x: x["p"] * 2), F.lit(1), F.greatest(F.size("l") - 1, F.lit(1))).alias("QCharge"), F.array().cast("array<double>").alias("IR"))
@@ -200,7 +210,7 @@ def full_campaigns(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    ragged_records, ragged_summary, struct_of_lists, batch_labels, merged_batches, resolved_sources, search_split_modes, split_three_parts, replay_in_cycles, protocols_in_names, acquisition_reasons, scale_diagnostics, replay_summary,
+    ragged_records, ragged_leaves, ragged_summary, struct_of_lists, batch_labels, merged_batches, resolved_sources, search_split_modes, split_three_parts, replay_in_cycles, protocols_in_names, acquisition_reasons, scale_diagnostics, replay_summary,
     prediction_problems, sanitised_tables, train_validation_ids, weak_baseline_by_status, predictions_with_metadata, standard_names, job_states_and_actions, candidate_tags, review_statuses, recipe_from_paths, deduplicated_configs,
     shortlist_with_secondary, campaign_examples, full_campaigns,
 )}
@@ -223,6 +233,8 @@ ORACLE_SQL = {
 e AS (SELECT *, unnest(range(0, greatest(nq, ni))) AS i FROM o WHERE place < 5),
 v AS (SELECT *, CASE WHEN nq = 1 THEN p WHEN i < nq THEN p + i END AS q, CASE WHEN ni = 1 THEN p WHEN i < ni THEN CASE WHEN i = 1 THEN -p ELSE p END END AS c FROM e)
 SELECT entity, CAST(place AS DOUBLE) AS cycle_index, CASE WHEN c < 0 THEN 'discharge' WHEN c > 0 THEN 'charge' ELSE '' END AS step_type, count(*) AS n, {r('sum(q)', 'q')}, {r('sum(c)', 'i')}, {r('sum(25)', 't')} FROM v GROUP BY ALL""",
+    "ragged_leaves": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN concat_ws('|', 2 * o_custkey, '-', '-', 2 * o_orderkey) ELSE concat_ws('|', 2 * o_custkey, CASE WHEN o_totalprice > 150000 THEN 2 ELSE 0 END, 2 * (o_custkey + 1), -1) END AS doubled,
+  concat_ws('|', o_custkey, CASE WHEN o_totalprice > 150000 THEN 'true' ELSE 'false' END, o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN (o_custkey + 1) || '|-0.5|' || lower(o_orderpriority) END) AS texts FROM orders""",
     "ragged_summary": f"""WITH o AS (SELECT o_custkey AS entity, o_orderkey, o_totalprice / 1000 AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
 k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY -o_orderkey) AS j FROM o WHERE i <= greatest(n - 1, 1))
 SELECT entity, {r('-o_orderkey', 'cycle_index')}, {r('p', 'discharge_capacity')}, {r('p * 2', 'charge_capacity')}, true AS no_ir FROM k WHERE j <= 3""",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite
+from .limits import limited
 from .metrics import diagnostics, regression_metrics
 from .relational import anonymised, missing_and_extra
 
@@ -114,12 +115,20 @@ class Evaluation:
 Candidate = Callable[[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]
 
 
-def evaluated_candidate(candidate: Candidate, train: tuple[DataFrame, DataFrame, DataFrame], test: tuple[DataFrame, DataFrame, DataFrame], upto: int = 100, protocol: bool = False, weak: float | None = None, strong: float | None = None, key: str = "row_id") -> Evaluation:
-    """Run a candidate on sanitised tables and score its predictions against the hidden labels.
+def evaluated_candidate(candidate: Candidate, train: tuple[DataFrame, DataFrame, DataFrame], test: tuple[DataFrame, DataFrame, DataFrame], upto: int = 100, protocol: bool = False, weak: float | None = None, strong: float | None = None, key: str = "row_id", limit: float | None = None) -> Evaluation:
+    """Run a candidate on sanitised tables and score its predictions against the hidden labels, within ``limit`` seconds.
 
     ``train`` and ``test``: metadata, steps, labels. The candidate sees aliases, steps up to ``upto`` and the training
-    labels only. Predictions by alias are traced back; any that are missing, unknown, repeated or not finite fail it.
+    labels only. Predictions by alias are traced back; any that are missing, unknown, repeated or not finite fail it, as
+    does a run that takes longer: its jobs are stopped.
     """
+    try:
+        return limited(train[0].sparkSession, lambda: _evaluated(candidate, train, test, upto, protocol, weak, strong, key), limit)
+    except TimeoutError as e:
+        return Evaluation(False, error_type="TimeoutError", reason=f"the candidate {e}")
+
+
+def _evaluated(candidate: Candidate, train: tuple[DataFrame, DataFrame, DataFrame], test: tuple[DataFrame, DataFrame, DataFrame], upto: int, protocol: bool, weak: float | None, strong: float | None, key: str) -> Evaluation:
     early = lambda c: c.where(F.col("cycle_index") <= upto)
     tables = [train[0], early(train[1]), train[2], test[0], early(test[1]), test[2]]
     names = aliases(*tables, key=key).persist()  # read by every table; so are the predictions by every check
@@ -173,13 +182,14 @@ class HiddenEvaluator:
     weak: float | None = None
     strong: float | None = None
     key: str = "row_id"
+    limit: float | None = None
 
     def part(self, split: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         ids = self.splits.where(F.col("split") == split).select(self.key)
         return tuple(t.join(ids, self.key, "left_semi") for t in (self.metadata, self.steps, self.labels))
 
     def evaluate(self, candidate: Candidate, split: str = "validation") -> Evaluation:
-        return evaluated_candidate(candidate, self.part("train"), self.part(split), self.upto, self.protocol, self.weak, self.strong, self.key)
+        return evaluated_candidate(candidate, self.part("train"), self.part(split), self.upto, self.protocol, self.weak, self.strong, self.key, self.limit)
 
 
 def weak_baseline(train: DataFrame, test: DataFrame, y: str = "y") -> DataFrame:

@@ -141,8 +141,14 @@ def parts_of_table(labels: DataFrame, splits: DataFrame | None, key: str = "row_
     return own if "test" in have else own.unionByName(labels.select(key).distinct().join(own, key, "left_anti").withColumn("split", F.lit("test")))
 
 
+def held_groups(rows: DataFrame) -> DataFrame:
+    """(group_key): the groups that a search holds out for validation; all of them, whatever their number."""
+    return rows.where("split = 'validation' AND split_mode <> 'random'").select("group_key").distinct()
+
+
 def search_split(metadata: DataFrame, labels: DataFrame, mode: str = "random", share: float = 0.25, seed: int = 0, held_batch: str | None = None, splits: DataFrame | None = None) -> tuple[DataFrame, dict]:
-    """The rows of a search with ``split`` (train, validation), ``group_key`` and ``split_mode``, and a manifest.
+    """The rows of a search with ``split`` (train, validation), ``group_key`` and ``split_mode``, and a manifest. Which
+    groups are held out is a table of its own: ``held_groups``.
 
     Modes: random (rows), protocol, batch (leave_one_batch_out is the same), primary_test (a canonical table's train and
     primary test rows). A canonical table leaves only its train rows to the other modes, and none of its secondary test
@@ -204,9 +210,8 @@ def search_split(metadata: DataFrame, labels: DataFrame, mode: str = "random", s
         raise RuntimeError("locked test rows reached the search")
     count = rows.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("group_key").alias("g")).collect()  # two rows
     of = {r.split: r for r in count}
-    held = sorted(r[0] for r in rows.where("split = 'validation'").select("group_key").distinct().limit(1000).collect()) if mode != "random" else []
     manifest = {
         "split_mode": mode, "requested_split_mode": asked, "validation_fraction": share, "split_seed": seed, "validation_batch_id": held_batch, "group_type": group, "split_table_kind": kind,
-        **{f"n_{s}_{what}": of[s][c] if s in of else 0 for s in ("train", "validation") for what, c in (("cells", "n"), ("groups", "g"))}, "heldout_groups": held,
+        **{f"n_{s}_{what}": of[s][c] if s in of else 0 for s in ("train", "validation") for what, c in (("cells", "n"), ("groups", "g"))},
     }
     return rows, manifest

@@ -21,16 +21,55 @@ SUMMARY_NAMES = {
 }
 
 
+#: Lists within lists that a value may have.
+MOST_DEPTH = 64
+
+
+def _items(x: Column) -> Column:
+    return F.try_variant_get(x, "$", "array<variant>")
+
+
+def _kind(x: Column) -> Column:
+    """The kind of a leaf: the first word of its schema."""
+    return F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0)
+
+
+def leaves(c: Column) -> Column:
+    """All leaves of a nested list (a variant) in order, depth first, objects and nulls among them; a single value is one
+    leaf. A level is opened at a time, until no list is left."""
+
+    def step(held: Column, _: Column) -> Column:
+        opened = F.flatten(F.transform(held["items"], lambda x: F.coalesce(_items(x), F.array(x))))
+        return F.when(held["more"], F.struct(opened.alias("items"), F.exists(held["items"], lambda x: _items(x).isNotNull()).alias("more"))).otherwise(held)
+
+    start = F.struct(F.array(c).alias("items"), F.lit(True).alias("more"))
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(MOST_DEPTH)), start, step, lambda held: F.when(held["more"], F.raise_error(F.lit("lists are nested too deeply")).cast("array<variant>")).otherwise(held["items"]))
+    return F.when(c.isNotNull(), done)
+
+
 def numeric_leaves(c: Column) -> Column:
-    """All numbers of a nested JSON value (a variant) in order, depth first, as doubles; what is no number is null."""
-    text = F.regexp_replace(F.to_json(c), r'"(?:[^"\\]|\\.)*"', "null")
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(null|-?[0-9][0-9.eE+-]*)"), F.lit(1)), lambda x: finite(x.try_cast("double")))
+    """The numbers of a value (a variant) as doubles; empty for an object or a null.
+
+    A plain list keeps its places: texts that are numbers count, all else is null, truth values are 1 and 0 in a list
+    without texts. Of a list with lists or objects in it, in order and depth first, the numbers and truth values are left;
+    texts, nulls and objects have no place there.
+    """
+    nested = F.exists(_items(c), lambda x: F.coalesce(_kind(x).isin("ARRAY", "OBJECT"), F.lit(False)))
+    texts = F.exists(F.coalesce(_items(c), F.array(c)), lambda x: F.coalesce(_kind(x) == "STRING", F.lit(False)))
+    number = lambda x: finite(F.try_variant_get(x, "$", "double"))
+    truth = lambda x: F.try_variant_get(x, "$", "boolean").cast("double")
+    bare = F.filter(leaves(c), lambda x: F.coalesce(~_kind(x).isin("STRING", "OBJECT", "VOID"), F.lit(False)))
+    ragged = F.transform(bare, lambda x: F.when(_kind(x) == "BOOLEAN", truth(x)).otherwise(number(x)))
+    text = lambda x: finite(F.trim(F.try_variant_get(x, "$", "string")).try_cast("double"))
+    plain = F.transform(F.coalesce(_items(c), F.array(c)), lambda x: F.when(_kind(x) == "BOOLEAN", F.when(~texts, truth(x))).when(_kind(x) == "STRING", text(x)).when(_kind(x) != "OBJECT", number(x)))
+    empty = F.array().cast("array<double>")
+    return F.when(_kind(c).isin("OBJECT", "VOID"), empty).when(nested, ragged).otherwise(F.when(c.isNotNull(), plain))
 
 
 def string_leaves(c: Column) -> Column:
-    """All texts of a nested JSON value in order, trimmed and in lower case."""
-    found = F.regexp_extract_all(F.to_json(c), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    return F.transform(found, lambda x: F.lower(F.trim(x)))
+    """All leaves of a value (a variant) in order as texts, trimmed and in lower case, without nulls and objects."""
+    kept = F.filter(leaves(c), lambda x: F.coalesce(~_kind(x).isin("OBJECT", "VOID"), F.lit(False)))
+    return F.transform(kept, lambda x: F.lower(F.trim(F.try_variant_get(x, "$", "string"))))
 
 
 def first_number(c: Column) -> Column:

@@ -89,18 +89,20 @@ class Tools:
                 return {"verdict": "needs_attention" if dropped else "pass", "issues": [f"unknown setting: {d}" for d in dropped], "key": c.key()}, {}
             lines = self.spark.createDataFrame([("code", i + 1, t) for i, t in enumerate(candidate.splitlines())] or [("code", 1, "")], "name string, line int, text string")
             found = campaign.code_problems(lines, "name", rules, allowed)
-            issues = [f"line {r.line}: {r.rule}" for r in found.orderBy("line", "rule").limit(100).collect()]
-            return {"verdict": "needs_attention" if issues else "pass", "issues": issues, "model": lines.select(campaign.model_class(F.lit(candidate))).first()[0]}, {"problems": found}
+            n = found.count()
+            issues = [f"line {r.line}: {r.rule}" for r in found.orderBy("line", "rule").limit(100).collect()]  # all are in the frame
+            return {"verdict": "needs_attention" if n else "pass", "issues": issues, "n_issues": n, "model": lines.select(campaign.model_class(F.lit(candidate))).first()[0]}, {"problems": found}
 
         return self._handled("review_candidate", {"candidate": candidate if isinstance(candidate, str) else candidate.key()}, run)
 
-    def evaluate_candidate(self, candidate: candidates.Candidate, metadata: DataFrame, steps: DataFrame, labels: DataFrame, assignments: DataFrame | None = None, tables: list[entity_features.FeatureTable] = [], upto: int = 100, protocol: bool = False) -> Response:
-        """Fit a candidate on the training rows and score it on the validation rows, both from the assignments."""
+    def evaluate_candidate(self, candidate: candidates.Candidate, metadata: DataFrame, steps: DataFrame, labels: DataFrame, assignments: DataFrame | None = None, tables: list[entity_features.FeatureTable] = [], upto: int = 100, protocol: bool = False, limit: float | None = None) -> Response:
+        """Fit a candidate on the training rows and score it on the validation rows, both from the assignments, within
+        ``limit`` seconds."""
 
         def run():
             known = evaluation.finite_labels(labels)
             splits = evaluation.train_and_validation(known, assignments)
-            judge = evaluation.HiddenEvaluator(metadata, steps, known, splits, upto, protocol)
+            judge = evaluation.HiddenEvaluator(metadata, steps, known, splits, upto, protocol, limit=limit)
             got = judge.evaluate(candidates.runnable(candidate, tables, upto, protocol))
             if not got.success:
                 raise RuntimeError(f"{got.error_type}: {got.reason}")

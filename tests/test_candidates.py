@@ -148,7 +148,8 @@ def test_search_split_guards(spark):
     rows, manifest = T.search_split(meta, meta, "primary_test", splits=table)
     assert {(r.row_id, r.split) for r in rows.collect()} == {(i, "train" if i < 6 else "validation") for i in range(9)}
     assert {r.row_id for r in T.search_split(meta, meta, "random", splits=table)[0].collect()} == set(range(6))
-    assert T.search_split(meta, meta, "leave_one_batch_out", held_batch="b1")[1]["heldout_groups"] == ["b1"]
+    assert [r.group_key for r in T.held_groups(T.search_split(meta, meta, "leave_one_batch_out", held_batch="b1")[0]).collect()] == ["b1"]
+    assert T.held_groups(T.search_split(meta, meta, "random")[0]).isEmpty()
     for kwargs in ({"mode": "primary_test"}, {"mode": "odd"}, {"mode": "batch", "held_batch": "none"}, {"mode": "random", "share": 1.5}):
         with pytest.raises(ValueError):
             T.search_split(meta, meta, **kwargs)
