@@ -61,7 +61,7 @@ def dedupe_best_config(spark, d):
 
 def upsert_summary(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    new = s.where("s_suppkey % 5 = 0").select((F.col("s_suppkey") * 2).alias("s_suppkey"), F.lit("new").alias("s_name"), F.col("s_acctbal").alias("gain"))
+    new = s.where("s_acctbal > 4500").select((F.col("s_suppkey") * 2).alias("s_suppkey"), F.lit("new").alias("s_name"), F.col("s_acctbal").alias("gain"))
     return R.upserted(s, new, "s_suppkey")
 
 
@@ -183,7 +183,7 @@ SELECT page_id, CASE WHEN a IN (SELECT path FROM l) THEN a WHEN b IN (SELECT pat
     "semi_anti_coverage": "WITH g AS (SELECT doc_id * 2 AS doc_id FROM labels) SELECT DISTINCT doc_id, 'missing' AS what FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g) UNION ALL SELECT DISTINCT doc_id, 'extra' FROM g WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'duplicate' FROM g GROUP BY doc_id HAVING count(*) > 1",
     "union_by_name_offset": "SELECT s_suppkey AS row_id, s_name AS name, s_acctbal AS balance, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey + (SELECT max(s_suppkey) + 1 FROM supplier), c_name, NULL, c_mktsegment FROM customer",
     "dedupe_best_config": "SELECT l_returnflag, l_linestatus, l_linenumber, l_extendedprice, l_orderkey, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_linenumber ORDER BY l_extendedprice, l_orderkey, l_partkey, l_suppkey) = 1",
-    "upsert_summary": "SELECT s_suppkey, s_name, s_acctbal, NULL::DOUBLE AS gain FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey * 2 FROM supplier WHERE s_suppkey % 5 = 0) UNION ALL SELECT s_suppkey * 2, 'new', NULL, s_acctbal FROM supplier WHERE s_suppkey % 5 = 0",
+    "upsert_summary": "SELECT s_suppkey, s_name, s_acctbal, NULL::DOUBLE AS gain FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey * 2 FROM supplier WHERE s_acctbal > 4500) UNION ALL SELECT s_suppkey * 2, 'new', NULL, s_acctbal FROM supplier WHERE s_acctbal > 4500",
     "dataset_profile": " UNION ALL ".join(_prof(c) for c in ("event_id", "user_id", "event_type", "props")),
     "failure_classifier": "SELECT " + "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in RULES) + " ELSE 'other' END AS class, count(*) AS n FROM documents GROUP BY 1",
     "batch_eda_rollup": f"WITH c AS (SELECT c_mktsegment, c_acctbal / 777 AS a FROM customer) SELECT c_mktsegment, {_eda('a')}, false AS overall FROM c GROUP BY c_mktsegment UNION ALL SELECT NULL, {_eda('a')}, true FROM c",

@@ -16,10 +16,11 @@ def config_aggregate(rows: DataFrame, key: list[str], metric: str, run: str, see
     """Per configuration: evaluations, distinct runs and seeds, both sorted in one text, and the metric's statistics; the
     sample deviation of a single evaluation is 0. ``examples``: columns of its first row in ``order``."""
     first = [F.min_by(c, F.struct(*order)).alias(f"example_{c}") for c in examples]
+    seeds, runs = F.collect_set(seed), F.collect_set(F.col(run).cast("string"))
     return rows.groupBy(*key).agg(
-        *first, F.array_join(F.transform(F.array_sort(F.collect_set(seed)), lambda x: x.cast("string")), ";").alias("seeds"),
-        F.count("*").alias("n_evals"), F.count_distinct(run).alias("n_runs"), F.count_distinct(seed).alias("n_seeds"),
-        F.array_join(F.array_sort(F.collect_set(F.col(run).cast("string"))), ";").alias("runs"),
+        *first, F.array_join(F.transform(F.array_sort(seeds), lambda x: x.cast("string")), ";").alias("seeds"),
+        F.count("*").alias("n_evals"), F.size(runs).cast("long").alias("n_runs"), F.size(seeds).cast("long").alias("n_seeds"),
+        F.array_join(F.array_sort(runs), ";").alias("runs"),
         F.avg(metric).alias("mean"), F.coalesce(F.stddev_samp(metric), F.lit(0.0)).alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max"),
         *[F.avg(c).alias(f"mean_{c}") for c in others],
     )

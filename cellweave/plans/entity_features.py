@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.expr import finite, g1_skew
 from ..operators import protocol
 from ..operators.protocol import log10_abs_agg, numbers_of
-from ..operators.series import first_array
 from .program import pruned
 
 # Key columns by preference, steps of the capacity features, names that a column may have.
@@ -66,9 +65,11 @@ def capacity_features(rows: DataFrame, upto: int = 100) -> DataFrame:
     return out
 
 
-def difference_features(rows: DataFrame, upto: int = 100, early: int = 10) -> DataFrame:
+def difference_features(rows: DataFrame, upto: int = 100, early: int = 10, order: str | None = None) -> DataFrame:
     """(key, features of the response at the last step less that at an early one).
 
+    Of several arrays of a step the first in ``order`` counts, without an order the least one.
+
     Arrays of equal length are compared place by place. Without them, or where they are missing for an entity, the
     difference of the per-step capacities stands in; its features carry ``approx_``.
     """
@@ -90,9 +91,9 @@ def difference_features(rows: DataFrame, upto: int = 100, early: int = 10) -> Da
     if not q:
         return stats(scalar, "approx_")
     as_array = lambda c: F.transform(F.col(c), lambda x: x.cast("double")) if dict(rows.dtypes)[c].startswith("array") else numbers_of(c)
-    some = rows.select(key, step.alias("c"), as_array(q).alias("q"), (as_array(v) if v else F.lit(None).cast("array<double>")).alias("v")).where(F.col("c").isin(float(early), float(upto)))
-    some = some.withColumn("order", F.monotonically_increasing_id())
-    firsts = first_array(some, [key, "c"], "q", "order").join(first_array(some, [key, "c"], "v", "order"), [key, "c"])
+    some = rows.select(key, step.alias("c"), as_array(q).alias("q"), (as_array(v) if v else F.lit(None).cast("array<double>")).alias("v"), *([F.col(order).alias("order")] if order else [])).where(F.col("c").isin(float(early), float(upto)))
+    place = (lambda c: F.struct("order", c)) if order else (lambda c: F.col(c))
+    firsts = some.groupBy(key, "c").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), place(c))).alias(c) for c in ("q", "v")])
     pick = lambda c, n: F.max(F.when(F.col("c") == c, F.col(n)))
     both = firsts.groupBy(key).agg(pick(early, "q").alias("q1"), pick(upto, "q").alias("q2"), pick(early, "v").alias("v1"), pick(upto, "v").alias("v2"))
     both = both.where("size(q1) > 0 AND size(q1) = size(q2)")
@@ -104,12 +105,14 @@ def difference_features(rows: DataFrame, upto: int = 100, early: int = 10) -> Da
     return stats(arrays, "").join(stats(rest, "approx_"), key, "full_outer")
 
 
-def protocol_columns(metadata: DataFrame) -> DataFrame:
-    """(key, currents, their mean, most and variance, products of neighbours); the first row of each key counts."""
+def protocol_columns(metadata: DataFrame, order: str | None = None) -> DataFrame:
+    """(key, currents, their mean, most and variance, products of neighbours). Of several rows of a key the first in
+    ``order`` counts, without an order the one with the least currents."""
     key = key_column(metadata.columns)
     names = {c: next((a for a in alias if a in metadata.columns), None) for c, alias in CURRENTS.items()}
-    some = [F.min_by(finite(a) if a else F.lit(None).cast("double"), F.col("_at")).alias(c) for c, a in names.items()]
-    rows = metadata.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(*some)
+    some = [(finite(a) if a else F.lit(None).cast("double")).alias(c) for c, a in names.items()]
+    first = F.struct(*([F.col(order)] if order else []), *some)
+    rows = metadata.groupBy(key).agg(F.min(first).alias("_r")).select(key, *[F.col(f"_r.{c}") for c in names])
     out = protocol.protocol_features(rows, key, list(CURRENTS), products=True)
     out = out.withColumnsRenamed({"protocol_mean": "protocol_current_mean", "protocol_max": "protocol_current_max", "protocol_var": "protocol_current_variance"})
     return out.withColumnsRenamed({f"{a}_x_{b}": f"protocol_{a.lower()}_{b.lower()}" for a, b in zip(list(CURRENTS), list(CURRENTS)[1:])})

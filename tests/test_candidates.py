@@ -181,8 +181,8 @@ def test_ragged_leaves(spark):
     rows = spark.createDataFrame([("e", json.dumps({"10": json.loads(doc), "9": {"V": 4}, "1": 5}))], "entity string, d string").select("entity", F.parse_json("d").alias("d"))
     got = L.padded_samples(L.step_records(rows, ["entity"], "d"), ["entity"])
     assert [(r.cycle_index, r.step_type, r.voltage, r.current) for r in got.orderBy("cycle_index", F.col("voltage").asc_nulls_last(), "step_type").collect()] == [
-        (1.0, "", 4.0, None), (7.0, "charge", 1.0, -2.0), (7.0, "dis", 2.0, -2.0), (7.0, "", 3.0, -2.0), (7.0, "", None, -2.0), (7.0, "", None, -2.0),
-    ] or got.count() == 6
+        (1.0, "", 4.0, None), (7.0, "charge", 1.0, -2.0), (7.0, "dis", 2.0, -2.0), (7.0, "", 3.0, -2.0),
+    ]
     assert got.where("cycle_index = 1").first().voltage == 4.0
 
 
@@ -220,7 +220,7 @@ def test_values_and_programs(spark):
         G.parts(p, G.Inputs(rows), strict=True)
     plan = G.wide_features(G.recipe("scalar_baseline", 30), G.Inputs(rows.select("entity", "step", *[F.col("q").alias(s) for s in G.SIGNALS])), prune=False)
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Scan ExistingRDD") == 1 and len(plan.columns) == 1 + 6 * (16 + 40 + 12 - 8) + 6 * 8 + 6 * 5 or len(plan.columns) > 400
+    assert text.count("Scan ExistingRDD") == 1 and len(plan.columns) == 1 + 6 * (16 + 45 + 12)
 
 
 def test_table_is_written(spark, tmp_path):
@@ -253,7 +253,7 @@ def test_tool_calls(spark, cells, tmp_path):
     got = t.evaluate_candidate(C.Candidate("c", "Ridge"), meta, steps, labels, halves(labels), upto=40)
     assert got.success and got.values["metrics"]["n"] == 15
     assert not t.evaluate_candidate(C.Candidate("c"), meta, steps.drop("row_id"), labels).success
-    assert t.review_candidate("x = open('f')\nridge = 1").values == {"verdict": "needs_attention", "issues": ["line 1: file access"], "model": "Ridge"}
+    assert t.review_candidate("x = open('f')\nridge = 1").values == {"verdict": "needs_attention", "issues": ["line 1: file access"], "n_issues": 1, "model": "Ridge"}
     assert t.review_candidate(C.Candidate("c", settings={"bad": 1})).values["verdict"] == "needs_attention"
     runs = spark.createDataFrame([("a",), ("b",)], "run_id string")
     assert t.compare_runs(runs, ["b"]).values["n_runs"] == 1
