@@ -95,8 +95,9 @@ def parts_for(n: int) -> int:
     return max(1, min(MOST_PARTS, n // PART_ROWS))
 
 
-def dealt(rows: DataFrame, by: list[str], spread: str, parts: int) -> DataFrame:
-    """``rows`` with ``_part``, moved so that each group of ``by`` lies in ``parts`` parts, by the column ``spread``.
+def dealt(rows: DataFrame, by: list[str], spread: str, parts: int | Column) -> DataFrame:
+    """``rows`` with ``_part``, moved so that each group of ``by`` lies in ``parts`` parts, by the column ``spread``; a column
+    of parts may differ from group to group.
 
     What joins or groups the result by ``by`` and ``_part`` moves it no more, and a group of any size fills no one task.
     """

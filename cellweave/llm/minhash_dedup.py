@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt, forget, keyed, parts_for, table, whole_text, with_totals, written
+from .common import MOST_PARTS, PART_ROWS, dealt, forget, keyed, parts_for, table, whole_text, with_found, with_totals, written
 
 WORDS, SHARE = 4, (80, 100)
 MINIMA, ROWS, BANDS = 256, 4, 32
@@ -166,33 +166,41 @@ def near_signatures(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
         both = [np.frombuffer(b"".join(v), np.uint8).reshape(-1, MINIMA) for v in (x, y)]
         return pd.Series(estimate(*both)) if len(x) else pd.Series([], dtype=float)
 
-    first, second = sigs.select(F.col("key").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("key").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(first, "a").join(second, "b").where(agree("sa", "sb") >= LEAST_ESTIMATE).select("a", "b")
+    return beside(pairs, sigs, "sig").where(agree("va", "vb") >= LEAST_ESTIMATE).select(*pairs.columns)
+
+
+def beside(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """The pairs with a value of both, va and vb. An ``a`` has few pairs; a ``b`` may be the hub of any number, about ``m``
+    if the pairs tell: they are dealt in parts by that, and the hub's value goes to each part."""
+    first, second = rows.select(F.col("key").alias("a"), F.col(value).alias("va")), rows.select(F.col("key").alias("b"), F.col(value).alias("vb"))
+    m = F.col("m") if "m" in pairs.columns else F.lit(1)
+    parts = F.greatest(F.lit(1), F.least(F.lit(MOST_PARTS), F.ceil(m / PART_ROWS)))
+    return with_found(dealt(pairs.join(first, "a"), ["b"], "a", parts), second, ["b"]).where("vb IS NOT NULL").drop("_part")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """The (a, b) pairs whose full sets are as like as ``share`` says."""
-    first, second = sets.select(F.col("key").alias("a"), F.col("items").alias("xa")), sets.select(F.col("key").alias("b"), F.col("items").alias("xb"))
-    both = pairs.join(first, "a").join(second, "b").withColumn("both", F.size(F.array_intersect("xa", "xb")).cast("long"))
-    return both.where(F.col("both") * share[1] >= (F.size("xa") + F.size("xb") - F.col("both")) * share[0]).select("a", "b")
+    both = beside(pairs, sets, "items").withColumn("both", F.size(F.array_intersect("va", "vb")).cast("long"))
+    return both.where(F.col("both") * share[1] >= (F.size("va") + F.size("vb") - F.col("both")) * share[0]).select("a", "b")
 
 
 def components(edges: DataFrame, what: str = "stars") -> DataFrame:
     """(node, root) of the nodes of (a, b) edges: root is the least node reachable.
 
     Large-star hangs every larger neighbour of a node on its least neighbour, small-star every smaller one; both keep
-    what is reachable, and they alternate until no edge changes. Each round is written to the shared folder.
+    what is reachable, and they alternate until no edge changes. Each round is written to the shared folder. The neighbours
+    of a node, which may be all others, are dealt in parts.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
     sums = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = sums(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a")
-        small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        parts, least = parts_for(2 * before[0]), ([F.min("b").alias("m")], [F.min("m").alias("m")])
+        large = with_totals(dealt(both, ["a"], "b", parts), ["a"], *least).where("b > a")
+        large = large.select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
+        moved = with_totals(dealt(large, ["a"], "b", parts), ["a"], *least)
+        small = moved.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         e, old = written(small, what), e
         after = sums(e)
         forget(old)
@@ -317,10 +325,10 @@ def linked_keys(rows: DataFrame, k: int = WORDS, share: tuple[int, int] = SHARE)
     exploded = dealt(reps.select("key", "n", F.explode("bands").alias("bucket")), ["bucket"], "key", parts)
     hub, m = F.min("key").alias("hub"), F.count("*").alias("m")
     shared = with_totals(exploded, ["bucket"], [hub, m], [F.min("hub").alias("hub"), F.sum("m").alias("m")], F.col("m") > 1)
-    members = written(shared.select("bucket", "key", "n", "hub"), "members")
+    members = written(shared.select("bucket", "key", "n", "hub", "m"), "members")
     sets = written(shingle_sets(rows.join(members.select("key").distinct(), "key"), k), "sets")
 
-    spokes = members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    spokes = members.where("key <> hub").groupBy(F.col("key").alias("a"), F.col("hub").alias("b")).agg(F.max("m").alias("m"))
     links = written(linked(near_signatures(spokes, sigs), sets, share), "links")
     roots = components(links)
     placed = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("comp"))
