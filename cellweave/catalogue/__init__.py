@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("features", "recipes", "relational", "modelling", "learning", "records")
+MODULES = ("features", "recipes", "relational", "modelling", "learning", "records", "states")
 
 
 def queries() -> dict:

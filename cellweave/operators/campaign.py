@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def config_key(columns: list[str]) -> Column:
-    """A canonical text of a row's settings: names in order, nulls left out."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
-
-
 def config_aggregate(rows: DataFrame, key: list[str], metric: str, run: str, seed: str, others: list[str], examples: list[str] = [], order: list[str] = []) -> DataFrame:
     """Per configuration: evaluations, distinct runs and seeds, both sorted in one text, and the metric's statistics; the
     sample deviation of a single evaluation is 0. ``examples``: columns of its first row in ``order``."""
@@ -244,11 +239,6 @@ def job_actions(jobs: DataFrame, fixable: list[str] = ["OOM", "TIMEOUT", "DEADLI
     )
 
 
-def first_given(*columns: str | Column) -> Column:
-    """The first value that is there."""
-    return F.coalesce(*[F.col(c) if isinstance(c, str) else c for c in columns])
-
-
 def markdown(rows: DataFrame, columns: list[str], most: int = 1000) -> str:
     """A small table as Markdown: at most ``most`` rows, numbers of six digits, long texts cut."""
     def cell(v) -> str:

@@ -206,11 +206,6 @@ def resolved_sources(rows: DataFrame, key: str, columns: list[str], root: str, m
     return out.select(key, "b.path", F.coalesce("b.how", F.lit("unresolved")).alias("how"), F.coalesce("b.source_column", "_first.c").alias("source_column"), F.col("_first.p").alias("source_path"), F.array_join(F.array_distinct(F.coalesce(kept, F.array().cast("array<string>"))), ";").alias("attempted"))
 
 
-def first_per(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The first row of each key in ``order``."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
-
-
 def within(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose key is among the ids (a semi join)."""
     return rows.join(ids.select(key).distinct(), key, "left_semi")

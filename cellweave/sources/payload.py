@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.expr import finite
@@ -60,13 +61,14 @@ def padded(array: str, size):
     return F.when(F.size(x) == 1, F.array_repeat(F.get(x, F.lit(0)), size)).otherwise(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(x, i)))
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str], headless: bool = False) -> DataFrame:
-    """A CSV table with a header; without one its first columns get the names."""
+def read_table(spark: SparkSession, path: str, schema: str, headless: bool = False) -> DataFrame:
+    """A CSV table in one pass: columns by the names of its header, null where it lacks one or a value is none of the type;
+    without a header by place."""
+    wanted = StructType.fromDDL(schema)
     if headless:
-        made = spark.read.option("inferSchema", True).csv(path)
-        return made.select(*[F.col(c).alias(n) for c, n in zip(made.columns, columns)])
-    made = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return made.select(*[F.col(c) if c in made.columns else F.lit(None).alias(c) for c in columns])
+        return spark.read.schema(wanted).csv(path)
+    made = spark.read.option("header", True).csv(path)
+    return made.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in made.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted])
 
 
 def write_json(df: DataFrame, path: str, compress: bool = False) -> None:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .operators import campaign, evaluation, relational
 from .plans import candidates, entity_features, program
+from .sources.payload import append_events
 
 CALLS = ("profile_dataset", "build_battery_features", "list_feature_programs", "review_candidate", "evaluate_candidate", "compare_runs", "list_tools")
 
@@ -51,7 +52,7 @@ class Tools:
         out.milliseconds = (time.perf_counter() - began) * 1000
         if self.trace:
             row = (tool, name, out.success, out.error_type, out.error, out.milliseconds)
-            self.spark.createDataFrame([row], "tool string, request string, success boolean, error_type string, error string, milliseconds double").coalesce(1).write.mode("append").json(self.trace)
+            append_events(self.spark.createDataFrame([row], "tool string, request string, success boolean, error_type string, error string, milliseconds double").coalesce(1), self.trace)
         return out
 
     def profile_dataset(self, metadata: DataFrame, steps: DataFrame, labels: DataFrame) -> Response:
