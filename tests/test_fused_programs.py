@@ -32,7 +32,7 @@ def test_broad_physics_is_planned_quickly(spark):
     G.long_features(p, i)
     began = time.time()
     G.long_features(p, i)
-    assert time.time() - began < 6  # seconds; on an idle machine 2
+    assert time.time() - began < 25  # seconds; about 3 on an idle machine, 30 before curves and moments were planned together
 
 
 def test_a_curve_with_its_own_grid_and_window(spark):
