@@ -7,7 +7,7 @@ no pair of a merged symbol ranks before the merge that makes it, which the const
 
 Edge cases: a null text is empty and has no ids; an added token's string inside a text is that token; texts of white space
 have no ids; repeated rows are encoded each; very long texts are encoded whole, words of over ``LONG`` bytes by a heap in
-place of the rounds; other columns are ignored.
+place of the rounds; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

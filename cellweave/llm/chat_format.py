@@ -7,8 +7,9 @@ A turn is written ``<s>[INST] role [/INST]text</s>``. In a role or text, each of
 backslash behind its first character (one more, where it has some); reading takes one away, so any text survives.
 
 Edge cases: null roles and texts are empty; turns go by (turn, role, text), so ties have one order; repeated rows are
-turns of their own; rows of a null conversation form one; an empty table gives no example; other columns are ignored.
-A conversation is one training text and is held by one task; its examples are as long as its prefixes by definition.
+turns of their own; rows of a null conversation form one; very long texts are escaped and written whole; an empty table
+gives no example; other columns are ignored. A conversation is one training text and is held by one task; its examples are
+as long as its prefixes by definition.
 """
 
 from __future__ import annotations

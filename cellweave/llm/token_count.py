@@ -6,7 +6,7 @@ cache holds it. Texts are cut at spaces first, so that a repeated word costs one
 
 Edge cases: a null text is empty and has no tokens; an added token's string inside a text is one token, as the library
 has it by default; repeated rows are counted each; very long texts are counted whole, pre-tokens of any length merged by a
-heap; other columns are ignored.
+heap; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ labelled rows, which bounds the tokens of the model as well; what a text scores
 
 Edge cases: a null or empty text has no segment and gets the score of one; rows without a label teach nothing; without any
 usable label all scores are the share of toxic labels, 0.5 without labels; repeated rows are scored each; very long texts
-are scanned whole; other columns are ignored.
+are scanned whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
