@@ -98,7 +98,7 @@ def clean_settings(family: str, given: dict | None) -> dict:
 
 def variant_settings(family: str, iteration: int, variant: int) -> dict:
     """The settings of a variant: each grid is gone through by iteration and variant."""
-    k, seed = iteration + variant, 1009 * iteration + 37 * variant
+    k, seed = iteration + variant, 1009 * iteration + 37 * variant  # fixed values: the seed's two factors
     at = lambda grid: grid[k % len(grid)]
     by_folds = {"n_alphas": at(N_ALPHAS), "eps": at(EPS), "cv": 3, "max_iter": 10000, "random_state": seed}
     return {
@@ -152,7 +152,7 @@ def variants(first: Candidate, iteration: int, n: int, protocol_allowed: bool =
     sets = ["scalar_only", "curve_only", "scalar_plus_curve", "broad_physics", "all_available"] if first.tables else ["all_available"]
     at = lambda k: sets[min(k, len(sets) - 1)]
     other = False if protocol_allowed else first.protocol
-    preferred = [
+    preferred = [  # fixed values: families, targets and sets in this order
         ("Ridge", target_transform(first.target), first.protocol, at(0)), ("Ridge", "log10", first.protocol, at(1)), ("ElasticNetCV", "raw", first.protocol, at(2)),
         ("RandomForestRegressor", "raw", other, at(3)), ("GradientBoostingRegressor", "log10", first.protocol, at(4)), ("LassoCV", "log10", other, sets[-1]),
     ]
@@ -163,8 +163,11 @@ def variants(first: Candidate, iteration: int, n: int, protocol_allowed: bool =
 
 
 def wanted_families(of: str, protocol: bool, only: list[str] = []) -> set[str] | None:
-    """The families that a feature set takes; None: all that are allowed."""
+    """The families that a feature set takes, or those of a filter; None: all that are allowed. A filter does not shut out the
+    protocol's where they are allowed and the set is one that has them."""
     found = set(only) or {"scalar_only": SCALARS, "curve_only": CURVES, "scalar_plus_curve": SCALARS | CURVES, "broad_physics": SCALARS | CURVES | PLACEHOLDERS, "protocol_only": {"protocol"}}.get(of, set())
+    if only and protocol and of in ("all_available", "protocol_only"):
+        found |= {"protocol"}
     return (found if protocol else found - {"protocol"}) or None
 
 

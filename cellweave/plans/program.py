@@ -27,6 +27,9 @@ class Spec:
 
 @dataclass
 class Program:
+    """``first_steps``: how many steps the recipe was made for. It is kept with the program; the specifications' own steps and
+    windows already follow from it."""
+
     name: str
     specs: list[Spec]
     include_protocol: bool = False

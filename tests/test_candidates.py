@@ -77,6 +77,8 @@ def test_names_settings_and_variants():
     about = {"a": "capacity_summary", "qdiff": "curve_difference_approximate", "protocol_C1": "protocol"}
     pick = lambda s, p, known=about: C.selected_columns(list(about), known, s, p)
     assert pick("scalar_only", False) == ["a"] and pick("curve_only", True) == ["qdiff"] and pick("protocol_only", True) == ["protocol_C1"] and pick("protocol_only", False) == ["a", "qdiff"]
+    assert C.selected_columns(list(about), about, "all_available", True, ["capacity_summary"]) == ["a", "protocol_C1"] and C.selected_columns(list(about), about, "scalar_only", True, ["capacity_summary"]) == ["a"]
+    assert C.selected_columns(list(about), about, "all_available", False, ["capacity_summary"]) == ["a"]
     assert pick("all_available", False) == ["a", "qdiff"] and pick("all_available", True) == list(about) and pick("scalar_only", True, {}) == ["a"] and pick("curve_only", True, {}) == ["qdiff"]
 
 
