@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.digest import settings_digest
+from ..functions.digest import by_digest
 from ..operators import evaluation as E
 from ..operators.shared import shared_folder
 from ..streaming.store import Store
@@ -26,8 +26,11 @@ def settings_by_digest(spark, d):
     tax, n = F.col("l_tax").cast("string"), F.col("l_linenumber").cast("string")
     one = F.concat(F.lit('{"model": {"alpha": '), tax, F.lit(', "steps": ['), n, F.lit(', 2]}, "flag": true, "none": {}}'))
     two = F.concat(F.lit('{"none": {}, "flag": true, "model": {"steps": ['), n, F.lit('.0, 2e0], "alpha": '), tax, F.lit("0}}"))
-    rows = table(spark, d, "lineitem").select("l_tax", "l_linenumber", settings_digest(F.parse_json(F.when(F.col("l_returnflag") == "N", one).otherwise(two))).alias("digest"))
-    made = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("l_linenumber").alias("line"), F.max("l_linenumber").alias("last_line"), F.min("l_tax").cast("double").alias("tax"), F.max("l_tax").cast("double").alias("last_tax"))
+    text = F.when(F.col("l_returnflag") == "N", one).otherwise(two)
+    rows = table(spark, d, "lineitem").select(text.alias("settings"), F.col("l_linenumber").alias("line"), F.col("l_tax").cast("double").alias("tax"))
+    ends = lambda of: [x for c in ("line", "tax") for x in (F.min(of(c, "")).alias(c), F.max(of(c, "last_")).alias(f"last_{c}"))]
+    made = by_digest(rows, "settings", [F.count("*").alias("n"), *ends(lambda c, last: c)], [F.sum("n").alias("n"), *ends(lambda c, last: last + c)])
+    made = made.select("digest", "n", "line", "last_line", "tax", "last_tax")
     return rounded(made.drop("digest"))
 
 

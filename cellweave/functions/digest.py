@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Objects and lists within each other that settings may have.
@@ -62,3 +62,10 @@ def settings_digest(settings: Column) -> Column:
 def columns_digest(columns: list[str]) -> Column:
     """The digest of a row's columns as settings; nulls are settings, too."""
     return settings_digest(F.parse_json(F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"})))
+
+
+def by_digest(rows: DataFrame, text: str, partial: list[Column], total: list[Column]) -> DataFrame:
+    """(digest, totals) of rows with settings as JSON texts: ``partial`` aggregates of each text, ``total`` of those. Equal
+    texts have one digest, so it is worked out once a text and not once a row."""
+    each = rows.groupBy(text).agg(*partial).repartition(text)
+    return each.withColumn("digest", settings_digest(F.parse_json(F.col(text)))).groupBy("digest").agg(*total)
