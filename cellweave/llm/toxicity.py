@@ -143,16 +143,26 @@ def fit_calibration(model: Model, best: np.ndarray, length: np.ndarray, toxic: n
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps with a weak penalty."""
+    """Slope and offset by Newton steps with a weak penalty; a step that does not lessen the loss is halved, so that classes
+    that do not overlap, whatever their order, end at the one least loss."""
     a = np.stack([x, np.ones_like(x)], axis=1)
-    w, penalty = np.zeros(2), np.diag([1e-3, 1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + penalty + 1e-9 * np.eye(2)
+    w, penalty = np.zeros(2), np.diag([1e-3, 1e-3])
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0.0, z).sum() - y @ z + w @ penalty @ w / 2)
+
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        h = (a * (p * (1 - p))[:, None]).T @ a + penalty
         step = np.linalg.solve(h, a.T @ (y - p) - penalty @ w)
-        w = w + np.clip(step, -5, 5)
+        while loss(w + step) > now and np.abs(step).max() >= 1e-8:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
+        w = w + step
+        now = loss(w)
     return float(w[0]), float(w[1])
 
 
