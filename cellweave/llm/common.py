@@ -49,11 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 _PATH: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, what: str, most: int = 0) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors. ``most``: rows a file,
+    for rows so large that neither a writer nor a reader may hold many of them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", most).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     _PATH[made] = path
     return made

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .byte_bpe import PATTERN, byte_bpe
 from .common import byte_bounded, dealt, forget, parts_for, table, whole_text, with_found, written
 
-#: Code points of texts from which on a block is full.
-BLOCK_SIZE = 2_000_000
+#: Code points of texts from which on a block is full, and blocks that a file holds: readers take thousands of rows at once.
+BLOCK_SIZE, BLOCKS = 2_000_000, 4
 #: Code points of texts that are aligned at once, or one text, and pairs of a group from which on equal ids are counted
 #: before they are paired.
 CHUNK, MANY = 500_000, 1 << 14
@@ -207,30 +207,29 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
 
     kind = dict(docs.dtypes)[id_col]
     width = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
-    blocks = written(aligned_blocks(docs, path_a, path_b, id_col, text_col), "aligned")
+    blocks = written(aligned_blocks(docs, path_a, path_b, id_col, text_col), "aligned", BLOCKS)
     counts = written(pair_counts(blocks, width), "pair-counts")
     places = blocks.select("block", F.posexplode("pair").alias("at", "pair"))
     n = blocks.count()
     known = with_found(dealt(places, ["pair"], "block", parts_for(n)), counts, ["pair"])
-    known = known.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "count", "best"))).alias("known"))
-    known = known.select("block", F.col("known.count").alias("count"), F.col("known.best").alias("best"))
+    known = known.select(F.col("block").alias("of"), "at", "count", F.col("best").cast("long").alias("best"))
     numbers = ["n_a", "n_b", "n_groups", "n_links"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                of = np.repeat(np.arange(len(r.id)), r.n_pairs)
-                place, times = np.asarray(r.place, np.int64), np.asarray(r.times, np.int64)
-                count, best = (np.asarray([] if x is None else x, np.int64)[place] for x in (r.count_, r.best))
-                total = np.zeros((2, len(r.id)), np.int64)
-                np.add.at(total[0], of, best * times)
-                np.add.at(total[1], of, count * times)
-                made = pd.DataFrame({"id": list(r.id), **{c: getattr(r, c) for c in numbers}, "n_best": total[0], "count_sum": total[1], "groups_sha256": r.groups_sha256})
-                yield made if kind == "string" else made.astype({"id": "Int64"})
-
-    rows = blocks.drop("pair", "docs").join(known.withColumnRenamed("count", "count_"), "block", "left")
+    def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        made, found = [], found.sort_values("at")
+        for r in block.itertuples():
+            of = np.repeat(np.arange(len(r.id)), r.n_pairs)
+            place, times = np.asarray(r.place, np.int64), np.asarray(r.times, np.int64)
+            total = np.zeros((2, len(r.id)), np.int64)
+            for into, c in zip(total, ("best", "count")):
+                np.add.at(into, of, found[c].to_numpy(np.int64)[place] * times)
+            made.append(pd.DataFrame({"id": list(r.id), **{c: getattr(r, c) for c in numbers}, "n_best": total[0], "count_sum": total[1], "groups_sha256": r.groups_sha256}))
+        made = pd.concat(made)
+        return made if kind == "string" else made.astype({"id": "Int64"})
+
     schema = f"id {kind}, {', '.join(f'{c} long' for c in numbers)}, n_best long, count_sum long, groups_sha256 string"
-    return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    rows = blocks.drop("pair", "docs").groupBy("block").cogroup(known.groupBy("of"))
+    return rows.applyInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
