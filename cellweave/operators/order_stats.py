@@ -15,6 +15,8 @@ from ..functions.expr import finite
 
 #: Ranges that a group is cut into at once, the sketch's accuracy, and distinct values of a group that are ordered.
 CUTS, ACCURACY, MOST = 64, 2000, 2000
+#: Groups up to which their cuts and chosen ranges go to all tasks, and the values stay where they are.
+FEW_GROUPS = 4096
 
 
 def _found(values: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -30,20 +32,21 @@ def ranked_values(values: DataFrame, keys: list[str], ranks: DataFrame, most: in
     rows, by = values.withColumn("c", F.lit(1).cast("long")), keys
     held: list[DataFrame] = []
     while True:
-        largest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        largest, groups = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
         if not largest or largest <= most:
             break
+        near = F.broadcast if groups <= FEW_GROUPS else lambda few: few
         share = F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], ACCURACY)
         cuts = rows.groupBy(*by).agg(F.array_distinct(share).alias("cuts"))
         at = F.size(F.filter("cuts", lambda x: x < F.col("v")))
-        placed = rows.join(cuts, by).withColumn("b", at).drop("cuts")
+        placed = rows.join(near(cuts), by).withColumn("b", at).drop("cuts")
         counts = placed.groupBy(*by, "b").agg(F.sum("c").alias("n"))  # at most CUTS a group
         upto = F.sum("n").over(Window.partitionBy(*by).orderBy("b"))
         ranges = counts.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("n"))
         joined = ranges.join(wanted, by).where("_at >= lo AND _at < hi")
         chosen = joined.select(*by, "b", *(["k"] if "k" not in by else []), "_at", "lo")
         new_by = keys + ["k"]
-        rows = placed.join(chosen.select(*by, "b", *(["k"] if "k" not in by else [])), [*by, "b"]).groupBy(*new_by, "v").agg(F.sum("c").alias("c")).persist()
+        rows = placed.join(near(chosen.select(*by, "b", *(["k"] if "k" not in by else []))), [*by, "b"]).groupBy(*new_by, "v").agg(F.sum("c").alias("c")).persist()
         wanted = chosen.select(*new_by, (F.col("_at") - F.col("lo")).alias("_at")).persist()
         held += [rows, wanted]
         by = new_by
