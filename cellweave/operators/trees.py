@@ -24,8 +24,9 @@ from pyspark.sql.window import Window
 
 from .shared import settled
 
-#: Distinct values of a feature that a range holds on average, and rows of a node that one task grows to its leaves.
-RANGE_VALUES, SMALL = 50_000, 20_000
+#: Distinct values of a feature that a range holds on average; rows of a node, of up to NARROW features, that one task of a
+#: forest grows to its leaves; rows from which on boosted trees are grown by all tasks.
+RANGE_VALUES, SMALL, NARROW, FEW = 50_000, 500_000, 8, 20_000
 #: Trees that are added up in an expression before the residuals are settled.
 SETTLE = 10
 
@@ -49,11 +50,23 @@ def best_cuts(rows: DataFrame, by: list[str], least: int, ranges: int, features:
     """(by, feature, cut, n, s, n_left, s_left): the best cut of each node of rows (by, x, b, w, r), with the node's and its
     left side's weight and sum of targets; nodes without one are left out. Each side has ``least`` rows, whatever their
     weight. ``features``: an array of those to try."""
-    keys = [*by, "feature"]
-    long = rows.where("w > 0").select(*by, "w", "r", *([features.alias("_f")] if features is not None else []), F.posexplode(F.arrays_zip("x", "b")).alias("feature", "p"))
+    rows = rows.where("w > 0").select(*by, "w", "r", "x", "b", *([features.alias("_f")] if features is not None else []))
+    long = _by_feature(rows, [*by, "w", "r", *(["_f"] if features is not None else [])])
     if features is not None:
         long = long.where(F.array_contains("_f", F.col("feature")))
-    long = long.select(*keys, "w", "r", F.col("p.b").alias("b"), F.col("p.x").alias("v")).repartition(*keys, "b")
+    return _best(long.repartition(*by, "feature", "b"), by, least, ranges)
+
+
+def _by_feature(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each feature of each row: ``columns``, feature, its range b and its value v."""
+    long = rows.select(*columns, F.posexplode(F.arrays_zip("x", "b")).alias("feature", "p"))
+    return long.select(*columns, "feature", F.col("p.b").alias("b"), F.col("p.x").alias("v"))
+
+
+def _best(long: DataFrame, by: list[str], least: int, ranges: int, few: bool = False) -> DataFrame:
+    """``best_cuts`` of rows by feature, of which all of a node, a feature and a range are in one partition; ``few``: of a few
+    nodes, so that their ranges' totals go to all tasks."""
+    keys = [*by, "feature"]
     values = long.groupBy(*keys, "b", "v").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("m"), F.sum("w").alias("n"), F.sum(F.col("w") * F.col("r")).alias("s"))
     own = Window.partitionBy(*keys, "b").orderBy("v")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
@@ -68,7 +81,7 @@ def best_cuts(rows: DataFrame, by: list[str], least: int, ranges: int, features:
         zero = lambda c: F.coalesce(c, F.lit(0))
         sums = [zero(F.sum(f"{c}1").over(before)).alias(f"{c}0") for c in "mns"] + [F.sum(f"{c}1").over(whole).alias(f"{c}a") for c in "mns"]
         totals = totals.select(*keys, "b", *sums, F.lead("v1").over(order).alias("v2"), F.min("lo1").over(whole).alias("lo"), F.max("hi1").over(whole).alias("hi"))
-        placed = placed.drop("lo", "hi").join(totals, [*keys, "b"]).withColumns({f"{c}l": F.col(f"{c}l") + F.col(f"{c}0") for c in "mns"}).withColumn("next", F.coalesce("next", "v2"))
+        placed = placed.drop("lo", "hi").join(F.broadcast(totals) if few else totals, [*keys, "b"]).withColumns({f"{c}l": F.col(f"{c}l") + F.col(f"{c}0") for c in "mns"}).withColumn("next", F.coalesce("next", "v2"))
     nr, sr = F.col("na") - F.col("nl"), F.col("sa") - F.col("sl")
     gap = F.col("sl") / F.col("nl") - sr / nr
     fall = (F.col("nl") * nr / F.col("na") * gap * gap).cast("float")
@@ -97,11 +110,13 @@ class Boosted:
 def boosted(rows: DataFrame, width: int, trees: int = 120, rate: float = 0.05, depth: int = 2, least: int = 1, subsample: float = 1.0, seed: int = 23) -> Boosted:
     """Trees that each fit what the ones before leave, from the mean on; ``rows``: id, x (array), y, all without nulls.
 
-    Each level of a tree is one job, which gives its cuts, at most 2^depth rows. A few rows are one node of few rows: one
-    task grows all trees of them, by the same rule.
+    Each level of a tree is one job, which gives its cuts, at most 2^depth rows. The rows lie by feature and range and stay
+    there: a copy knows all of its row's features, so each level finds its nodes and residuals where they are and moves
+    ranges' totals and best cuts only. A few rows are one node of few rows: one task grows all trees of them, by the same
+    rule.
     """
     takes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), t, "id"), F.lit(1 << 30)) / float(1 << 30) < subsample) if subsample < 1 else F.lit(None).cast("array<boolean>")
-    if rows.count() <= SMALL:
+    if rows.count() <= min(SMALL, FEW):
         found = rows.select("id", "x", F.col("y").cast("double").alias("y"), takes.alias("takes"), F.lit(0).alias("node")).groupBy("node").applyInPandas(lambda f: _boosted_small(f, trees, rate, depth, least), "tree int, start double, text string")
         texts = found.orderBy("tree").collect()  # one row a tree
         return Boosted(texts[0].start, [r.text for r in texts if r.text]) if texts else Boosted(0.0, [])
@@ -110,7 +125,8 @@ def boosted(rows: DataFrame, width: int, trees: int = 120, rate: float = 0.05, d
     if start is None:
         return Boosted(0.0, [])
     made, pending = Boosted(float(start), []), []
-    held = settled(ready.withColumn("r", F.col("r") - F.lit(float(start))))
+    copies = _by_feature(ready.withColumn("r", F.col("r") - F.lit(float(start))), ["id", "x", "w", "r"])
+    held = _laid_out(copies.repartition("feature", "b"))
     for t in range(trees):
         current = held.withColumn("r", F.col("r") - Boosted(0.0, pending).prediction()) if pending else held
         if subsample < 1:
@@ -119,7 +135,7 @@ def boosted(rows: DataFrame, width: int, trees: int = 120, rate: float = 0.05, d
         for level in range(depth):
             where = _node(cuts, level)
             nodes = current.withColumn("node", where).where("node IS NOT NULL")
-            new = {r.node: r.asDict() for r in best_cuts(nodes, ["node"], least, ranges).collect()}
+            new = {r.node: r.asDict() for r in _best(nodes, ["node"], least, ranges, few=True).collect()}
             cuts |= new
             if not new:
                 break
@@ -128,10 +144,20 @@ def boosted(rows: DataFrame, width: int, trees: int = 120, rate: float = 0.05, d
         pending.append(_text(cuts, 0, rate))
         made.trees.append(pending[-1])
         if len(pending) == SETTLE and t + 1 < trees:
-            held, pending = settled(held.withColumn("r", F.col("r") - Boosted(0.0, pending).prediction())), []
+            before, held = held, _laid_out(held.withColumn("r", F.col("r") - Boosted(0.0, pending).prediction()))
+            before.unpersist()
+            pending = []
+    held.unpersist()
     return made
 
 
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """``rows`` kept where they lie: unlike a checkpoint, what is kept still tells how its rows are partitioned."""
+    held = rows.persist()
+    held.count()
+    return held
+
+
 def _goes(c: dict) -> str:
     return f"x[{c['feature']}] <= {float(c['cut'])!r}D"
 
@@ -242,11 +268,12 @@ def forest(train: DataFrame, test: DataFrame, width: int, trees: int = 160, dept
     times = F.when(F.col("asked"), 0.0).otherwise(drawn(F.col("tree"), F.col("id"), seed))
     rows = planted.withColumn("w", times).where("asked OR w > 0").withColumn("node", F.lit("")).withColumn("left", F.lit(depth).cast("int"))
     done: list[DataFrame] = []
+    most = max(1, SMALL * NARROW // max(NARROW, width))
     sizes = rows.groupBy("tree", "node").agg(F.count("*").alias("n"))
-    while (largest := sizes.agg(F.max("n")).first()[0]) and largest > SMALL:
+    while (largest := sizes.agg(F.max("n")).first()[0]) and largest > most:
         rows = settled(rows)
         state = rows.groupBy("tree", "node").agg(F.count("*").alias("rows"), F.count_if(F.col("w") > 0).alias("grow"), F.sum("w").alias("nw"), F.sum(F.col("w") * F.col("r")).alias("sw"), F.min(F.when(F.col("w") > 0, F.col("r"))).alias("lo"), F.max(F.when(F.col("w") > 0, F.col("r"))).alias("hi"))
-        large = state.where(F.col("rows") > SMALL)
+        large = state.where(F.col("rows") > most)
         of = rows.join(large, ["tree", "node"])
         splits = of.where((F.col("grow") >= fewest) & (F.col("lo") < F.col("hi")) & (F.col("left").isNull() | (F.col("left") > 0)))
         some = None
@@ -258,7 +285,7 @@ def forest(train: DataFrame, test: DataFrame, width: int, trees: int = 160, dept
         done.append(settled(cut.where("cut IS NULL AND asked").select("tree", "id", F.try_divide("sw", "nw").alias("p"))))
         goes = F.when(F.get("x", F.col("feature")) <= F.col("cut"), "l").otherwise("r")
         on = cut.where("cut IS NOT NULL").select("id", "x", "r", "b", "asked", "tree", "w", F.concat("node", goes).alias("node"), (F.col("left") - 1).alias("left"))
-        rest = rows.join(state.where(F.col("rows") <= SMALL).select("tree", "node"), ["tree", "node"]).select("id", "x", "r", "b", "asked", "tree", "w", "node", "left")
+        rest = rows.join(state.where(F.col("rows") <= most).select("tree", "node"), ["tree", "node"]).select("id", "x", "r", "b", "asked", "tree", "w", "node", "left")
         rows = settled(on.unionByName(rest))
         sizes = rows.groupBy("tree", "node").agg(F.count("*").alias("n"))
 
