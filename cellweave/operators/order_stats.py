@@ -2,7 +2,8 @@
 
 A group's values are never gathered. A bounded sketch proposes cuts; how many values lie between neighbouring cuts is
 counted exactly, and only the range that holds a wanted rank is kept, until what is left of every group is few distinct
-values. Those are ordered with their numbers. The sketch only steers: whatever it proposes, the counts are exact.
+values. Those are ordered with their numbers. The sketch only steers: whatever it proposes, the counts are exact. Its cuts
+are computed once a round, since a sketch depends on the order in which rows come to it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import finite
+from .shared import settled
 
 #: Ranges that a group is cut into at once, the sketch's accuracy, and distinct values of a group that are ordered.
 CUTS, ACCURACY, MOST = 64, 2000, 2000
@@ -37,7 +39,8 @@ def ranked_values(values: DataFrame, keys: list[str], ranks: DataFrame, most: in
             break
         near = F.broadcast if groups <= FEW_GROUPS else lambda few: few
         share = F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], ACCURACY)
-        cuts = rows.groupBy(*by).agg(F.array_distinct(share).alias("cuts"))
+        # a sketch made twice may differ, and counts hold for the cuts they were made with only
+        cuts = settled(rows.groupBy(*by).agg(F.array_distinct(share).alias("cuts")))
         at = F.size(F.filter("cuts", lambda x: x < F.col("v")))
         placed = rows.join(near(cuts), by).withColumn("b", at).drop("cuts")
         counts = placed.groupBy(*by, "b").agg(F.sum("c").alias("n"))  # at most CUTS a group

@@ -48,3 +48,21 @@ def test_no_task_holds_more_than_a_range(spark, monkeypatch):
     got = O.medians(df, [], {"a": "a"}, most=500).first().a
     v = sorted(x.a for x in df.collect())
     assert got == (v[99_999] + v[100_000]) / 2 and max(seen) <= 500
+
+
+def test_medians_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    """Rows come in another order each time that they are read; a sketch of few places then has other cuts each time."""
+    monkeypatch.setattr(O, "ACCURACY", 50)
+
+    def dealt(frames):
+        for f in frames:
+            yield f.sample(frac=1, random_state=random.SystemRandom().randrange(2**32))
+
+    monkeypatch.setattr(O, "CUTS", 8)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        rows = spark.range(0, 200_000, 1, 1).selectExpr("CAST(id * 7919 % 200003 AS DOUBLE) AS v").mapInPandas(dealt, "v double")
+        assert O.medians(rows, [], {"m": "v"}, most=30_000).first().m == brute([float(i * 7919 % 200003) for i in range(200_000)], 0.5)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
