@@ -14,10 +14,13 @@ of few rows is grown to its leaves in one task.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,16 +39,24 @@ def with_ranges(rows: DataFrame, width: int) -> tuple[DataFrame, int]:
     ranges = max(1, rows.count() // RANGE_VALUES)
     if ranges == 1:
         return rows.withColumn("b", F.array_repeat(F.lit(0), width)), 1
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = rows.agg(*[F.percentile_approx(F.get("x", F.lit(i)), shares, 10 * ranges).alias(f"c{i}") for i in range(width)]).first()
+    cuts = _quantiles(rows, width, ranges)
 
     def place(i: int) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts[f"c{i}"]))]), lambda c: c < F.get("x", F.lit(i))))
+        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts[i]))]), lambda c: c < F.get("x", F.lit(i))))
 
     at = [place(i) for i in range(width)]
     return rows.withColumn("b", F.array(*at)), ranges
 
 
+def _quantiles(rows: DataFrame, width: int, ranges: int) -> list[list[float]]:
+    """Of each feature the values that part it into ``ranges``; a common value comes several times."""
+    if ranges == 1:
+        return [[] for _ in range(width)]
+    shares = [i / ranges for i in range(1, ranges)]
+    found = rows.agg(*[F.percentile_approx(F.get("x", F.lit(i)), shares, 10 * ranges).alias(f"c{i}") for i in range(width)]).first()
+    return [list(found[f"c{i}"]) for i in range(width)]
+
+
 def best_cuts(rows: DataFrame, by: list[str], least: int, ranges: int, features: Column | None = None) -> DataFrame:
     """(by, feature, cut, n, s, n_left, s_left): the best cut of each node of rows (by, x, b, w, r), with the node's and its
     left side's weight and sum of targets; nodes without one are left out. Each side has ``least`` rows, whatever their
@@ -110,47 +121,212 @@ class Boosted:
 def boosted(rows: DataFrame, width: int, trees: int = 120, rate: float = 0.05, depth: int = 2, least: int = 1, subsample: float = 1.0, seed: int = 23) -> Boosted:
     """Trees that each fit what the ones before leave, from the mean on; ``rows``: id, x (array), y, all without nulls.
 
-    Each level of a tree is one job, which gives its cuts, at most 2^depth rows. The rows lie by feature and range and stay
-    there: a copy knows all of its row's features, so each level finds its nodes and residuals where they are and moves
-    ranges' totals and best cuts only. A few rows are one node of few rows: one task grows all trees of them, by the same
-    rule.
+    Each level of a tree is one pass over blocks of sorted rows, which gives its cuts, at most 2^depth. The blocks stay where
+    they are: a block knows all features of its rows, so each level finds its nodes and residuals there and gives sums and
+    a few dozen points only. A few rows are one node of few rows: one task grows all trees of them, by the same rule.
     """
     takes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), t, "id"), F.lit(1 << 30)) / float(1 << 30) < subsample) if subsample < 1 else F.lit(None).cast("array<boolean>")
     if rows.count() <= min(SMALL, FEW):
         found = rows.select("id", "x", F.col("y").cast("double").alias("y"), takes.alias("takes"), F.lit(0).alias("node")).groupBy("node").applyInPandas(lambda f: _boosted_small(f, trees, rate, depth, least), "tree int, start double, text string")
         texts = found.orderBy("tree").collect()  # one row a tree
         return Boosted(texts[0].start, [r.text for r in texts if r.text]) if texts else Boosted(0.0, [])
-    ready, ranges = with_ranges(rows.select("id", "x", F.col("y").cast("double").alias("r"), F.lit(1.0).alias("w")), width)
-    start = ready.agg(F.avg("r")).first()[0]
+    start = rows.agg(F.avg(F.col("y").cast("double"))).first()[0]
     if start is None:
         return Boosted(0.0, [])
     made, pending = Boosted(float(start), []), []
-    copies = _by_feature(ready.withColumn("r", F.col("r") - F.lit(float(start))), ["id", "x", "w", "r"])
-    held = _laid_out(copies.repartition("feature", "b"))
+    held = _blocks(rows.select("id", "x", (F.col("y").cast("double") - F.lit(float(start))).alias("r"), takes.alias("takes")), width)
     for t in range(trees):
-        current = held.withColumn("r", F.col("r") - Boosted(0.0, pending).prediction()) if pending else held
-        if subsample < 1:
-            current = current.where(F.get(takes, F.lit(t)))
         cuts: dict[int, dict] = {}
         for level in range(depth):
-            where = _node(cuts, level)
-            nodes = current.withColumn("node", where).where("node IS NOT NULL")
-            new = {r.node: r.asDict() for r in _best(nodes, ["node"], least, ranges, few=True).collect()}
+            new = _level(held, pending, cuts, level, rate, least, t)
             cuts |= new
             if not new:
                 break
         if not cuts:
             break
-        pending.append(_text(cuts, 0, rate))
-        made.trees.append(pending[-1])
+        pending.append(cuts)
+        made.trees.append(_text(cuts, 0, rate))
         if len(pending) == SETTLE and t + 1 < trees:
-            before, held = held, _laid_out(held.withColumn("r", F.col("r") - Boosted(0.0, pending).prediction()))
+            before, held = held, held.map(partial(_less, pending=pending, rate=rate)).persist(StorageLevel.MEMORY_AND_DISK)
+            held.count()
             before.unpersist()
             pending = []
     held.unpersist()
     return made
 
 
+@dataclass
+class Block:
+    """Neighbours in the order of a feature: ``x`` (features by rows), residuals, and the trees that take each row, as bits.
+
+    The blocks of a feature follow each other by ``place``; equal values may lie in several ones.
+    """
+
+    feature: int
+    place: tuple[int, int]
+    x: np.ndarray
+    r: np.ndarray
+    takes: np.ndarray | None
+
+    def residuals(self, pending: list[dict[int, dict]], rate: float) -> np.ndarray:
+        out = self.r
+        for cuts in pending:
+            out = out - _routed(cuts, self.x, lambda k, c: rate * c[1] / c[0])
+        return out
+
+    def nodes(self, cuts: dict[int, dict], level: int, tree: int) -> np.ndarray:
+        """The node of a level that each row is in; -1 where its way ended before or the tree does not take it."""
+        node = np.zeros(len(self.r), np.int64) + (_routed(cuts, self.x, lambda k, c: k if k >= 2**level - 1 else -1) if level else 0)
+        return node if self.takes is None else np.where(self.takes[:, tree // 8] >> (7 - tree % 8) & 1, node, -1)
+
+
+def _routed(cuts: dict[int, dict], x: np.ndarray, leaf, k: int = 0):
+    """``leaf`` (node, (weight, sum)) of the end that each row comes to."""
+    c = cuts[k]
+    ends = ((2 * k + 1, c["n_left"], c["s_left"]), (2 * k + 2, c["n"] - c["n_left"], c["s"] - c["s_left"]))
+    left, right = (_routed(cuts, x, leaf, e[0]) if e[0] in cuts else leaf(e[0], e[1:]) for e in ends)
+    return np.where(x[c["feature"]] <= c["cut"], left, right)
+
+
+def _blocks(rows: DataFrame, width: int) -> RDD:
+    """The blocks of rows (id, x, r, takes), about RANGE_VALUES rows each, kept where they lie. The rows of a value that is
+    several of a feature's quantiles are dealt in parts."""
+    ranges = max(1, rows.count() // RANGE_VALUES)
+    cuts = _quantiles(rows, width, ranges)
+
+    def at(i: int) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts[i]))]), lambda c: c < F.get("x", F.lit(i)))) if cuts[i] else F.lit(0)
+
+    def dealt(i: int) -> Column:
+        part = F.lit(0)
+        for v, many in Counter(cuts[i]).items():
+            if many > 1:
+                part = F.when(F.get("x", F.lit(i)) == F.lit(float(v)), 1 + F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")).otherwise(part)
+        return part
+
+    places = F.array(*[F.struct(F.lit(i).alias("feature"), at(i).alias("b"), dealt(i).alias("part")) for i in range(width)])
+    long = rows.select("r", "takes", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(width)], F.explode(places).alias("p")).select("p.*", "r", "takes", *[f"x{i}" for i in range(width)])
+
+    def block(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(f"x{key[0]}", kind="stable")
+        x = np.ascontiguousarray(f[[f"x{i}" for i in range(width)]].to_numpy(float).T)
+        takes = b"" if f["takes"].iloc[0] is None else np.packbits(np.stack(f["takes"].to_numpy()).astype(bool), axis=1).tobytes()
+        return pd.DataFrame({"feature": [key[0]], "b": [key[1]], "part": [key[2]], "n": [len(f)], "x": [x.tobytes()], "r": [f["r"].to_numpy(float).tobytes()], "takes": [takes]})
+
+    parts = max(1, ranges * width)
+    made = long.repartition(parts, "feature", "b", "part").groupBy("feature", "b", "part").applyInPandas(block, "feature int, b int, part int, n int, x binary, r binary, takes binary")
+
+    def opened(row) -> Block:
+        return Block(row.feature, (row.b, row.part), np.frombuffer(row.x).reshape(width, row.n), np.frombuffer(row.r), np.frombuffer(row.takes, np.uint8).reshape(row.n, -1) if row.takes else None)
+
+    held = made.rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+    held.count()
+    return held
+
+
+def _less(block: Block, pending: list[dict[int, dict]], rate: float) -> Block:
+    return replace(block, r=block.residuals(pending, rate))
+
+
+def _in_nodes(block: Block, pending: list[dict[int, dict]], cuts: dict[int, dict], level: int, rate: float, tree: int):
+    """(node, values, residuals) of each node of a level that has rows of the block."""
+    r, node, v = block.residuals(pending, rate), block.nodes(cuts, level, tree), block.x[block.feature]
+    for k in range(2**level - 1, 2 ** (level + 1) - 1):
+        here = node == k
+        if here.any():
+            yield (k, v, r) if here.all() else (k, v[here], r[here])
+
+
+def _outermost(n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Places that hold all corners of the points' convex hull; ``n`` rises. No corner lies on or between two others."""
+    kept = []
+    for side in (s, -s):
+        at = np.arange(len(n))
+        while len(at) > 2:
+            x, y = n[at], side[at]
+            above = (y[1:-1] - y[:-2]) * (x[2:] - x[:-2]) > (y[2:] - y[:-2]) * (x[1:-1] - x[:-2])
+            if above.all():
+                break
+            at = at[np.concatenate([[True], above, [True]])]
+        kept.append(at)
+    return np.unique(np.concatenate(kept))
+
+
+def _fall(nl, sl, na, sa):
+    """The fall of the squared error, in single precision."""
+    gap = sl / nl - (sa - sl) / (na - nl)
+    return (nl * (na - nl) / na * gap * gap).astype(np.float32)
+
+
+def _level(held: RDD, pending: list[dict[int, dict]], cuts: dict[int, dict], level: int, rate: float, least: int, tree: int) -> dict[int, dict]:
+    """The best cut of each node of a level, as ``best_cuts`` has it.
+
+    The fall is a convex function of a cut's left weight and sum, wherever a block's sums begin, so the largest one is at a
+    corner of the hull of a block's points. Blocks give their corners, and all points that ``least`` may shut out; a block
+    that holds the largest fall is looked at once more for the least cut among equal ones.
+    """
+
+    def corners(part: int, blocks):
+        for block in blocks:
+            for k, v, r in _in_nodes(block, pending, cuts, level, rate, tree):
+                s, m = r.cumsum(), len(r)
+                end = np.flatnonzero(v[1:] > v[:-1])  # the last row on the left
+                free = end[(end + 1 >= least) & (m - end - 1 >= least)]
+                outer = end[(end + 1 < least) | (m - end - 1 < least)]
+                at = np.concatenate([free[_outermost(free.astype(float), s[free])], outer])
+                yield part, block.feature, block.place, k, m, float(s[-1]), float(v[0]), float(v[-1]), float(r.min()), float(r.max()), at + 1, s[at]
+
+    found: dict[int, dict[int, list]] = {}
+    for f in held.mapPartitionsWithIndex(corners).collect():  # a few dozen points a block
+        found.setdefault(f[3], {}).setdefault(f[1], []).append(f)
+    best, again, parts = {}, {}, set()
+    for k, by_feature in found.items():
+        if not min(f[8] for fs in by_feature.values() for f in fs) < max(f[9] for fs in by_feature.values() for f in fs):
+            continue
+        falls = []
+        for feature, fs in by_feature.items():
+            fs.sort(key=lambda f: f[2])
+            na, sa, n0, s0 = sum(f[4] for f in fs), sum(f[5] for f in fs), 0, 0.0
+            for f, after in zip(fs, [*fs[1:], None]):
+                nl, sl = n0 + f[10], s0 + f[11]
+                fits = (nl >= least) & (na - nl >= least)
+                if fits.any():
+                    falls.append((_fall(nl[fits], sl[fits], na, sa).max(), feature, None, (f[0], (feature, f[2], k)), (n0, s0, na, sa)))
+                n0, s0 = n0 + f[4], s0 + f[5]
+                if after and after[6] > f[7] and n0 >= least and na - n0 >= least:
+                    falls.append((_fall(*np.array([[n0], [s0]], float), na, sa)[0], feature, f[7], after[6], (n0, s0, na, sa)))
+        if not falls:
+            continue
+        most = max(f[0] for f in falls)
+        for _, feature, v, where, sums in (f for f in falls if f[0] == most):
+            if v is None:
+                parts.add(where[0])
+                again[where[1]] = (*sums, most)
+            else:
+                best.setdefault(k, []).append((feature, v, where, *sums))
+
+    def least_of(blocks):
+        for block in blocks:
+            if any((block.feature, block.place, k) in again for k in range(2**level - 1, 2 ** (level + 1) - 1)):
+                for k, v, r in _in_nodes(block, pending, cuts, level, rate, tree):
+                    if (one := again.get((block.feature, block.place, k))) is not None:
+                        n0, s0, na, sa, most = one
+                        end = np.flatnonzero(v[1:] > v[:-1])
+                        end = end[(n0 + end + 1 >= least) & (na - n0 - end - 1 >= least)]
+                        nl, sl = n0 + end + 1, s0 + r.cumsum()[end]
+                        i = int((_fall(nl, sl, na, sa) == most).argmax())
+                        yield k, (block.feature, float(v[end[i]]), float(v[end[i] + 1]), int(nl[i]), float(sl[i]), na, sa)
+
+    for k, one in held.context.runJob(held, least_of, sorted(parts)) if parts else []:
+        best.setdefault(k, []).append(one)
+    made = {}
+    for k, ones in best.items():
+        feature, v, after, nl, sl, na, sa = min(ones)
+        mid = (v + after) / 2
+        made[k] = {"feature": feature, "cut": mid if mid < after else v, "n": float(na), "s": float(sa), "n_left": float(nl), "s_left": float(sl)}
+    return made
+
+
 def _laid_out(rows: DataFrame) -> DataFrame:
     """``rows`` kept where they lie: unlike a checkpoint, what is kept still tells how its rows are partitioned."""
     held = rows.persist()
@@ -162,18 +338,6 @@ def _goes(c: dict) -> str:
     return f"x[{c['feature']}] <= {float(c['cut'])!r}D"
 
 
-def _node(cuts: dict[int, dict], level: int) -> Column:
-    """The node of a level that a row is in; null where its way ended before."""
-
-    def text(node: int, left: int) -> str:
-        if not left:
-            return str(node)
-        c = cuts.get(node)
-        return f"(CASE WHEN {_goes(c)} THEN {text(2 * node + 1, left - 1)} ELSE {text(2 * node + 2, left - 1)} END)" if c else "CAST(NULL AS INT)"
-
-    return F.expr(text(0, level)).cast("int")
-
-
 def _text(cuts: dict[int, dict], node: int, rate: float) -> str:
     c = cuts[node]
     sides = ((2 * node + 1, c["n_left"], c["s_left"]), (2 * node + 2, c["n"] - c["n_left"], c["s"] - c["s_left"]))

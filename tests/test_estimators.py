@@ -167,3 +167,34 @@ def test_awkward_tables(spark):
         extra = {"trees": 3} if family in ("gbr", "forest") else {}
         assert [r.y_pred for r in model.evaluated(some, some, ["a", "b"], "y", family, "id", **extra).collect()] == pytest.approx([5.0] * 3)
         assert model.evaluated(some, empty, ["a", "b"], "y", family, "id", **extra).count() == 0
+
+
+@pytest.mark.parametrize("least, subsample", [(1, 1.0), (4, 0.6)])
+def test_blocks_and_one_task_grow_the_same_boosted_trees(spark, monkeypatch, least, subsample):
+    """A feature with a value so common that it is dealt in parts, a constant one, and one with many values."""
+    g = np.random.default_rng(11)
+    x = np.column_stack([g.normal(size=400), np.where(g.random(400) < 0.7, 1.0, g.integers(0, 5, 400)), np.full(400, 2.0)])
+    y = np.round(x[:, 0] + 2 * (x[:, 1] > 2) + g.normal(size=400), 3)
+    df = spark.createDataFrame([(i, [float(v) for v in r], float(t)) for i, (r, t) in enumerate(zip(x, y))], "id int, x array<double>, y double").repartition(3)
+    made = []
+    for few in (20_000, 0):
+        monkeypatch.setattr(trees, "FEW", few)
+        monkeypatch.setattr(trees, "RANGE_VALUES", 30)
+        monkeypatch.setattr(trees, "SETTLE", 2)
+        model = trees.boosted(df, 3, trees=5, rate=0.3, depth=3, least=least, subsample=subsample)
+        made.append([r.p for r in df.select("id", model.prediction().alias("p")).orderBy("id").collect()])
+    assert made[1] == pytest.approx(made[0], rel=1e-9)
+
+
+def test_boosted_trees_leave_the_driver_no_plans(spark, monkeypatch):
+    """A level was a query whose plan held all before it; now levels are no queries."""
+    df, _, _ = small_sample(spark)
+    monkeypatch.setattr(trees, "FEW", 0)
+    monkeypatch.setattr(trees, "SETTLE", 2)
+    queries = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    counts = []
+    for n in (1, 6):
+        before = queries()
+        assert len(trees.boosted(df, 3, trees=n, rate=0.3, least=3).trees) == n
+        counts.append(queries() - before)
+    assert counts[0] == counts[1]
