@@ -1,7 +1,7 @@
 """What a query moves, holds or works out may grow no faster than its rows."""
 
 from cellweave.functions import digest
-from cellweave.operators import order_stats, series, trees
+from cellweave.operators import curves, order_stats, series, trees
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,13 @@ def test_a_tree_of_many_rows_is_one_task(spark, monkeypatch):
     train = spark.range(30_000).selectExpr("id", "array(CAST(id AS DOUBLE)) AS x", "CAST(id > 9999 AS DOUBLE) AS y")
     test = spark.createDataFrame([(1, [5.0]), (2, [20000.0])], "id long, x array<double>")
     assert {r.id: r.prediction for r in trees.forest(train, test, 1, trees=2).collect()} == {1: 0.0, 2: 1.0}
+
+
+def test_places_of_single_curves_are_no_groups(spark):
+    """Beside a pair, each of a single curve's 1,000 places was a group of a table in memory."""
+    rows = spark.createDataFrame([(e, s, float(x), float(x * s + e)) for e in (1, 2) for s in (0, 1) for x in range(3)], "e int, s int, x double, y double")
+    wanted = [curves.Curve("y", (0, 1)), curves.Curve("y", (0, 1), True)]
+    made = curves.curve_stats(rows, "e", "s", "x", wanted, aggs=("mean", "max"))
+    assert {(r.task, r.slot, r.e): (r.shape_max, r.identity_max) for r in made.collect()} == {(0, 0, 1): (1.0, None), (0, 0, 2): (2.0, None), (0, 1, 1): (3.0, None), (0, 1, 2): (4.0, None), (1, -2, 1): (None, 2.0), (1, -2, 2): (None, 2.0)}
+    by = [line for line in _plan(made) if "HashAggregate(keys=" in line]
+    assert by and not any(" i#" in line.split("functions=")[0] for line in by)
