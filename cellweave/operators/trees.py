@@ -30,6 +30,8 @@ from .shared import settled
 #: Distinct values of a feature that a range holds on average; rows of a node, of up to NARROW features, that one task of a
 #: forest grows to its leaves; rows from which on boosted trees are grown by all tasks.
 RANGE_VALUES, SMALL, NARROW, FEW = 50_000, 500_000, 8, 20_000
+#: Rows of a node from which on all its nodes of a level are cut together.
+TOGETHER = 20_000
 #: Trees that are added up in an expression before the residuals are settled.
 SETTLE = 10
 
@@ -372,26 +374,101 @@ def _cut(x: np.ndarray, y: np.ndarray, w: np.ndarray, heavy: np.ndarray, feature
 
 
 def grown(x: np.ndarray, y: np.ndarray, w: np.ndarray, least: int, depth: int | None, tried: int | None = None, seed: int = 0, fewest: int = 2) -> np.ndarray:
-    """What the tree of the rows with weight gives for every row: all features stay sorted, a node takes its rows of each."""
-    out, width = np.zeros(len(y)), x.shape[1]
-    open_, random = [(np.arange(len(y)), np.argsort(x, axis=0, kind="stable").T, depth)], np.random.default_rng(seed)
+    """What the tree of the rows with weight gives for every row: all features stay sorted, a node takes its rows of each.
+    A node of at most TOGETHER rows that tries all features is grown by levels of all its nodes at once."""
+    out, width, side = np.full(len(y), np.nan), x.shape[1], np.zeros(len(y), bool)
+    place_of = np.zeros(len(y), int)
+    heavy, light = np.flatnonzero(w > 0), np.flatnonzero(~(w > 0))
+    if not len(heavy):
+        return out
+    random, some_only = np.random.default_rng(seed), bool(tried and tried < width)
+    open_ = [(heavy, light, heavy[np.argsort(x[heavy], axis=0, kind="stable").T], depth)]
     while open_:
-        rows, order, left = open_.pop()
-        weight, cut = w[rows], None
-        live = y[rows][weight > 0]
-        if len(live) >= max(fewest, 2) and live.max() > live.min() and (left is None or left > 0):
-            some = np.sort(random.choice(width, tried, replace=False)) if tried and tried < width else np.arange(width)
-            heavy = order[some]
-            cut = _cut(x, y, w, heavy[w[heavy] > 0].reshape(len(some), -1), some, least)
+        rows, run, order, left = open_.pop()
+        if len(rows) <= TOGETHER and not some_only:
+            place_of[rows] = np.arange(len(rows))
+            out[rows], out[run] = _grown_together(x[rows], y[rows], w[rows], place_of[order], x[run], least, left, fewest)
+            continue
+        cut = None
+        if len(rows) >= max(fewest, 2) and y[rows].max() > y[rows].min() and (left is None or left > 0):
+            some = np.sort(random.choice(width, tried, replace=False)) if some_only else np.arange(width)
+            cut = _cut(x, y, w, order[some], some, least)
         if cut is None:
-            out[rows] = (weight * y[rows]).sum() / weight.sum() if len(live) else np.nan
+            out[rows] = out[run] = (w[rows] * y[rows]).sum() / w[rows].sum()
             continue
-        goes = x[:, cut["feature"]] <= cut["cut"]
-        for side in (goes, ~goes):
-            open_.append((rows[side[rows]], order[side[order]].reshape(width, -1), None if left is None else left - 1))
+        for part in (rows, run):  # the node's rows only
+            side[part] = x[part, cut["feature"]] <= cut["cut"]
+        on, after = side[order], None if left is None else left - 1
+        open_.append((rows[side[rows]], run[side[run]], order[on].reshape(width, -1), after))
+        open_.append((rows[~side[rows]], run[~side[run]], order[~on].reshape(width, -1), after))
     return out
 
 
+def _grown_together(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: np.ndarray, run: np.ndarray, least: int, depth: int | None, fewest: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a tree of few rows gives for them and for the rows ``run``, a level of all open nodes at once, as ``_cut`` cuts.
+
+    A level's nodes lie one after another in each feature's order; nodes of like size are cut together, filled up to the
+    largest, so each node's sums are made as if it were alone.
+    """
+    x, run, width = np.ascontiguousarray(x.T), np.ascontiguousarray(run.T), order.shape[0]
+    out, ran = np.zeros(x.shape[1]), np.zeros(run.shape[1])
+    going, at = np.arange(run.shape[1]), np.zeros(run.shape[1], int)  # rows that still run, and their nodes
+    size, level = np.array([order.shape[1]]), 0
+    while len(size):
+        start = size.cumsum() - size
+        own = order[0]
+        means = np.add.reduceat(w[own] * y[own], start) / np.add.reduceat(w[own], start)
+        open_ = (size >= max(fewest, 2)) & (np.maximum.reduceat(y[own], start) > np.minimum.reduceat(y[own], start)) & (depth is None or level < depth)
+        feature, cut, many = np.full(len(size), -1), np.zeros(len(size)), np.zeros(len(size), int)
+        kinds = np.ceil(np.log2(np.maximum(size, 1))).astype(int)
+        for kind in np.unique(kinds[open_]):
+            k = np.flatnonzero(open_ & (kinds == kind))
+            place = np.arange(size[k].max())
+            there = place < size[k][:, None]
+            rows = order[:, start[k][:, None] + np.minimum(place, size[k][:, None] - 1)]
+            v = x[np.arange(width)[:, None, None], rows]
+            weight = np.where(there, w[rows], 0.0)
+            n, s = weight.cumsum(axis=2), (weight * y[rows]).cumsum(axis=2)
+            left = place[1:]
+            fits = (v[:, :, 1:] > v[:, :, :-1]) & there[:, 1:] & (left >= least) & (size[k][:, None] - left >= least)
+            nl, sl, na, sa = n[:, :, :-1], s[:, :, :-1], n[:, :, -1:], s[:, :, -1:]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gap = sl / nl - (sa - sl) / (na - nl)
+                fall = np.where(fits, nl * (na - nl) / na * gap * gap, -1.0).astype(np.float32)
+            i, j = fall.argmax(axis=2), np.arange(len(k))
+            f = fall.max(axis=2).argmax(axis=0)
+            i = i[f, j]
+            some = fits[f, j, i]
+            lo, hi = v[f, j, i], v[f, j, i + 1]
+            mid = (lo + hi) / 2
+            feature[k], cut[k], many[k] = np.where(some, f, -1), np.where(mid < hi, mid, lo), np.where(some, i + 1, 0)
+        ends = feature < 0
+        node = np.repeat(np.arange(len(size)), size)
+        out[own[ends[node]]] = means[node[ends[node]]]
+        done = ends[at]
+        ran[going[done]] = means[at[done]]
+        going, at = going[~done], at[~done]
+        # the two sides of a node take its place in each order, in the order they had
+        stays = ~ends[node]
+        order, node = order[:, stays], node[stays]
+        new = np.cumsum(~ends) - 1
+        goes = np.zeros(x.shape[1], bool)
+        goes[order[0]] = x[feature[node], order[0]] <= cut[node]
+        at_left = run[feature[at], going] <= cut[at]
+        at = 2 * new[at] + ~at_left
+        node, left, all_ = new[node], many[~ends], size[~ends]
+        first = all_.cumsum() - all_
+        on = goes[order]
+        before = on.cumsum(axis=1) - on  # rows to the left, of all nodes before too
+        passed = left.cumsum() - left
+        within = before - passed[node]
+        to = np.where(on, first[node] + within, first[node] + left[node] + np.arange(order.shape[1]) - first[node] - within)
+        moved = np.empty_like(order)
+        np.put_along_axis(moved, to, order, axis=1)
+        order, size, level = moved, np.column_stack([left, all_ - left]).ravel(), level + 1
+    return out, ran
+
+
 def _boosted_small(f: pd.DataFrame, trees: int, rate: float, depth: int, least: int) -> pd.DataFrame:
     """(tree, start, text) of the boosted trees of a few rows."""
     f = f.sort_values("id", kind="stable")

@@ -198,3 +198,20 @@ def test_boosted_trees_leave_the_driver_no_plans(spark, monkeypatch):
         assert len(trees.boosted(df, 3, trees=n, rate=0.3, least=3).trees) == n
         counts.append(queries() - before)
     assert counts[0] == counts[1]
+
+
+@pytest.mark.parametrize("least, depth, fewest", [(2, None, 2), (1, 4, 2), (3, None, 9)])
+def test_nodes_that_grow_together_grow_as_alone(monkeypatch, least, depth, fewest):
+    g = np.random.default_rng(8)
+    x = np.column_stack([np.round(g.normal(size=700), 1), g.normal(size=700), np.full(700, 1.0)])
+    x = np.column_stack([x, x[:, 0]])
+    y, w = np.round(g.normal(size=700) * 100, 2), g.poisson(1, 700).astype(float)
+    made = []
+    for together in (0, 60, 20_000):
+        monkeypatch.setattr(trees, "TOGETHER", together)
+        made.append(trees.grown(x, y, w, least, depth, fewest=fewest).tolist())
+    assert made[0] == pytest.approx(made[1], rel=1e-12) and made[0] == pytest.approx(made[2], rel=1e-12)
+    there = w > 0
+    if fewest == 2:
+        brute = tree(x[there], y[there], w[there], least, depth)
+        assert made[2] == pytest.approx([brute(r) for r in x], rel=1e-9)

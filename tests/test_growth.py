@@ -1,5 +1,6 @@
 """What a query moves, holds or works out may grow no faster than its rows."""
 
+import numpy as np
 from cellweave.functions import digest
 from cellweave.operators import curves, order_stats, series, trees
 from pyspark.sql import functions as F
@@ -65,3 +66,10 @@ def test_places_of_single_curves_are_no_groups(spark):
     assert {(r.task, r.slot, r.e): (r.shape_max, r.identity_max) for r in made.collect()} == {(0, 0, 1): (1.0, None), (0, 0, 2): (2.0, None), (0, 1, 1): (3.0, None), (0, 1, 2): (4.0, None), (1, -2, 1): (None, 2.0), (1, -2, 2): (None, 2.0)}
     by = [line for line in _plan(made) if "HashAggregate(keys=" in line]
     assert by and not any(" i#" in line.split("functions=")[0] for line in by)
+
+
+def test_a_small_node_of_a_tree_is_no_step_of_its_own(monkeypatch):
+    """Each node was cut alone and compared all rows of its task."""
+    monkeypatch.setattr(trees, "_cut", lambda *a: 1 / 0)
+    x = np.arange(3000.0)[:, None] * 7 % 3001
+    assert trees.grown(x, x[:, 0], np.ones(3000), 1, None).tolist() == x[:, 0].tolist()
