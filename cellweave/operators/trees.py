@@ -30,7 +30,7 @@ from .shared import settled
 #: Distinct values of a feature that a range holds on average; rows of a node, of up to NARROW features, that one task of a
 #: forest grows to its leaves; rows from which on boosted trees are grown by all tasks.
 RANGE_VALUES, SMALL, NARROW, FEW = 50_000, 500_000, 8, 20_000
-#: Rows of a node from which on all its nodes of a level are cut together.
+#: Rows of a node up to which all nodes of a level below it are cut together.
 TOGETHER = 20_000
 #: Trees that are added up in an expression before the residuals are settled.
 SETTLE = 10
